@@ -1,0 +1,19 @@
+"""Registry of the transit queries: each runs an operator over the driver's tables, beside the SQL that says the same."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def agg01_stock_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES["agg01_stock_profile"] = agg01_stock_profile
