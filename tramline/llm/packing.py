@@ -17,8 +17,6 @@ from tramline.llm.common import pieces as parts_of
 
 SIZE = 2048
 END = 1
-#: Characters that go through the tokenizer at once; cuts are only made before a blank that follows a letter.
-PATTERN_KEY = "pattern"
 
 
 @lru_cache(maxsize=2)
@@ -85,7 +83,6 @@ def pack_group(rows: list[tuple], size: int, linear: float, quadratic: float) ->
     rows = sorted(rows, key=lambda r: (-cost(r[2], linear, quadratic), r[0], r[1]))
     total = sum(r[2] for r in rows)
     n = -(-total // size)
-    # what the last sequence lacks is taken from its room at once, so all others end full
     room = [size] * n
     heap = [(0.0, i) for i in range(n)]
     used = [0] * n

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm import langid, mixing, packing, pii, quality_pu, quality_rules, sharding, webp
+from tramline.llm import jaccard_join, langid, mixing, packing, pii, quality_pu, quality_rules, sharding, suffix_dedup, webp
 from tramline.llm.common import table
 
 #: Rows that Arrow hands to Python at once: long texts would make the default's batches large.
@@ -21,6 +21,10 @@ def held_out(key: Column) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % 4 == 2
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(arrow(spark), sf_dir, "documents"))
+
+
 def op2_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(arrow(spark), sf_dir, "documents")
     n = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
@@ -58,6 +62,10 @@ def op6_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_key(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(arrow(spark), sf_dir, "documents"))
+
+
 def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "text", F.size("pii_found").cast("long").alias("n_found"), *pii.count_kinds(F.col("pii_found")))
@@ -71,6 +79,6 @@ def op10_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.curriculum(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_webp, op3_language, op4_quality_pu, op5_packing, op6_rendezvous, op8_pseudonyms, op9_divergence, op10_curriculum)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_webp, op3_language, op4_quality_pu, op5_packing, op6_rendezvous, op7_jaccard_join, op8_pseudonyms, op9_divergence, op10_curriculum)}
 
 ORACLE_SQL: dict[str, str] = {}
