@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from tramline.queries import base
+from tramline.queries import crowding as _crowding  # noqa: F401
+from tramline.queries import events as _events  # noqa: F401
 from tramline.queries import panel as _panel  # noqa: F401
+from tramline.queries import scalars as _scalars  # noqa: F401
 from tramline.queries import stock as _stock  # noqa: F401
 
 QUERIES = base.QUERIES
