@@ -91,6 +91,13 @@ def test_permutations(spark):
     assert days.distinct().count() == len(range(0, pii.DAYS, 7)) and days.where(~F.col("x").between("1900-01-01", "2099-12-31")).isEmpty()
 
 
+def test_counts_of_kinds(spark):
+    df = spark.createDataFrame([("8.8.8.8 and a@b.de and 9.9.9.9",), (None,)], "text string")
+    out = pii.pseudonymise(df)
+    rows = out.select(*pii.count_kinds(F.col("pii_found"))).collect()
+    assert {(r.n_ip, r.n_email, r.n_card) for r in rows} == {(2, 1, 0), (0, 0, 0)}
+
+
 def test_other_columns_stay(spark):
     df = spark.createDataFrame([(1, "8.8.8.8", "v", [1])], "k int, text string, value string, kinds array<int>")
     out = pii.pseudonymise(df, found=None)

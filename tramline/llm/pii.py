@@ -5,8 +5,6 @@ different ones: every step is a permutation of the values of that format."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -201,8 +199,9 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = "corpus-1", fou
 
 def count_kinds(found: Column) -> list[Column]:
     """A count column for each kind."""
-    return [F.size(F.filter(found, lambda k, kind=kind: k == kind)).cast("long").alias(f"n_{kind}") for kind, _ in PATTERNS]
+    return [F.size(F.filter(found, _equals(kind))).cast("long").alias(f"n_{kind}") for kind, _ in PATTERNS]
 
 
-def total(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns)
+def _equals(kind: str):
+    # a function of one parameter: of two, the second would be the place in the array
+    return lambda k: k == kind
