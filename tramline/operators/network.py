@@ -163,9 +163,9 @@ def connected(edges: DataFrame, keys: Sequence[str], a: str, b: str, checkpoint:
     both = cut(both)
     labels = cut(both.groupBy(*keys, "node").agg(F.least(F.col("node"), F.min("near")).alias("label")))
     while True:
-        near = both.join(labels.withColumnsRenamed({"node": "near", "label": "_l"}), [*keys, "near"]).groupBy(*keys, "node").agg(F.min("_l").alias("_near"))
+        near = both.join(labels.select(*keys, F.col("node").alias("near"), F.col("label").alias("_l")), [*keys, "near"]).groupBy(*keys, "node").agg(F.min("_l").alias("_near"))
         low = labels.join(near, [*keys, "node"]).select(*keys, "node", F.col("label").alias("_old"), F.least("label", "_near").alias("label"))
-        jump = labels.withColumnsRenamed({"node": "label", "label": "_further"})
+        jump = labels.select(*keys, F.col("node").alias("label"), F.col("label").alias("_further"))
         after = cut(low.join(jump, [*keys, "label"], "left").select(*keys, "node", "_old", F.least("label", F.coalesce("_further", "label")).alias("label")))
         labels = after.drop("_old")
         if after.where("_old <> label").isEmpty():

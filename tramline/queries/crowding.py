@@ -235,9 +235,9 @@ def win17_expand_edge_slots(spark, d):
     return N.expand_edge_slots(edges, waits, ["edge"])
 
 
-@query("WITH s AS (SELECT o_custkey AS train, o_custkey % 3 AS line, o_orderkey AS ord, o_orderkey % 40 AS station, CAST(o_totalprice AS BIGINT) AS tm, o_orderpriority AS name FROM orders), h AS (SELECT line, station AS from_station, lead(station) OVER w AS to_station, lead(tm) OVER w - tm AS t, name AS a, lead(name) OVER w AS b FROM s WINDOW w AS (PARTITION BY train ORDER BY ord)), e AS (SELECT line, from_station, to_station, median(t) AS seconds, count(*) AS n FROM h WHERE to_station IS NOT NULL AND t > 0 AND a <> b GROUP BY ALL) SELECT line, from_station, to_station, round(seconds, 2) AS seconds, n FROM e QUALIFY n >= 0.6 * median(n) OVER (PARTITION BY line)")
+@query("WITH s AS (SELECT o_custkey AS train, o_custkey % 3 AS line, o_orderkey AS ord, o_orderkey % 40 AS station, CAST(floor(o_totalprice) AS BIGINT) AS tm, o_orderpriority AS name FROM orders), h AS (SELECT line, station AS from_station, lead(station) OVER w AS to_station, lead(tm) OVER w - tm AS t, name AS a, lead(name) OVER w AS b FROM s WINDOW w AS (PARTITION BY train ORDER BY ord)), e AS (SELECT line, from_station, to_station, median(t) AS seconds, count(*) AS n FROM h WHERE to_station IS NOT NULL AND t > 0 AND a <> b GROUP BY ALL) SELECT line, from_station, to_station, round(seconds, 2) AS seconds, n FROM e QUALIFY n >= 0.6 * median(n) OVER (PARTITION BY line)")
 def agg35_segment_travel_time(spark, d):
-    s = read(spark, d, "orders").select(F.col("o_custkey").alias("train"), (F.col("o_custkey") % 3).alias("line"), F.col("o_orderkey").alias("ord"), (F.col("o_orderkey") % 40).alias("station"), F.round("o_totalprice").cast("long").alias("at"), F.col("o_orderpriority").alias("name"))
+    s = read(spark, d, "orders").select(F.col("o_custkey").alias("train"), (F.col("o_custkey") % 3).alias("line"), F.col("o_orderkey").alias("ord"), (F.col("o_orderkey") % 40).alias("station"), F.floor("o_totalprice").alias("at"), F.col("o_orderpriority").alias("name"))
     return rounded(N.segment_travel_time(s, "train", "line", ["ord"], "at", "station", "name", 0.6), 2)
 
 
