@@ -12,12 +12,15 @@ places are equal too. So:
    document is found;
 3. each document takes back which of its suffixes have a lower document and removes the bytes they cover.
 
-Documents meet in batches whose text is shuffled once; the three passes read the same exchange. Between the passes go
-only packed arrays: 4 bytes a cover place, 8 bytes a candidate and a bit for each in answer."""
+Documents meet in batches, ranges of keys whose text is shuffled once, compressed; the three passes read the same
+exchange. As batches are ranges, the lowest batch that holds a suffix holds its lowest document, so no keys go to the
+buckets: between the passes go sorted fingerprints as compressed differences (2 to 3 bytes a cover place, 6 bytes a
+candidate) and a bit for each in answer."""
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tramline.llm.common import pieces
+from tramline.llm.common import in_slices, pieces, utf8
 from tramline.llm.shingles import mixed
 
 #: A perfect difference set modulo 31: every difference but 0 once.
@@ -50,8 +53,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Texts:
     """A batch's documents in order of key, their bytes joined."""
 
-    def __init__(self, pdf: pd.DataFrame, keep: np.ndarray | None = None):
-        rows = sorted(zip(pdf["doc"].tolist(), (t.encode("utf-8", "surrogatepass") for t in pdf["text"]), strict=True))
+    def __init__(self, blobs: list[bytes], keep: np.ndarray | None = None):
+        rows = sorted(r for b in blobs for r in unpacked(b))
         self.all = rows
         self.rows = rows if keep is None else [r for r, k in zip(rows, keep.tolist(), strict=True) if k]
         self.keys = np.array([k for k, _ in self.rows], np.int64)
@@ -81,10 +84,42 @@ class Texts:
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
-def by_bucket(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order that puts buckets together and where each begins."""
-    order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(n + 1))
+def packed(keys: list[int], texts: list[bytes]) -> bytes:
+    sizes = np.array([len(t) for t in texts], np.int64)
+    head = len(keys).to_bytes(8, "little") + np.array(keys, np.int64).tobytes() + sizes.tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(texts))
+
+
+def unpacked(blob: bytes) -> list[tuple[int, bytes]]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int.from_bytes(raw[:8], "little")
+    keys, sizes = np.frombuffer(raw, np.int64, n, 8), np.frombuffer(raw, np.int64, n, 8 + 8 * n)
+    ends = np.cumsum(sizes) + 8 + 16 * n
+    return [(k, raw[e - m : e]) for k, m, e in zip(keys.tolist(), sizes.tolist(), ends.tolist(), strict=True)]
+
+
+def bucket_starts(x: np.ndarray, bits: int, n: int) -> np.ndarray:
+    """Where each of n buckets begins in sorted numbers of so many bits: buckets are equal ranges of the numbers."""
+    edges = np.array([(i << bits) // n for i in range(n)], np.uint64)
+    return np.append(np.searchsorted(x, edges), len(x))
+
+
+def squeeze_sorted(x: np.ndarray) -> bytes:
+    """Sorted numbers as the first one and their differences, compressed by byte planes."""
+    steps = np.diff(x)
+    planes = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
+    raw = np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :planes].T).tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(int(x[0]).to_bytes(8, "little") + bytes([planes]) + raw)
+
+
+def sorted_of(blob: bytes) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    planes = raw[8]
+    steps = np.frombuffer(raw, np.uint8, offset=9).reshape(planes, -1)
+    out = np.zeros((steps.shape[1] + 1, 8), np.uint8)
+    out[1:, :planes] = steps.T
+    out[0] = np.frombuffer(raw, np.uint8, 8)
+    return np.cumsum(out.reshape(-1).view("<u8"), dtype=np.uint64)
 
 
 def squeeze(a: np.ndarray) -> bytes:
@@ -156,7 +191,15 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     n_batches = pieces(total, BATCH_BYTES)
     n_places = pieces(total * len(COVER) // MODULUS, BUCKET_PLACES)
     n_suffixes = pieces(total, 2 * BUCKET_PLACES)
-    batch = F.pmod(F.xxhash64("doc"), F.lit(n_batches)).cast("int").alias("batch")
+    # keys that cut the documents into ranges of about equal number: one a batch, so a few bytes for each 4 MB of text
+    cuts = docs.agg(F.percentile_approx(F.col(key).cast("long"), [i / n_batches for i in range(1, n_batches)], 100 * n_batches)).first()[0] if n_batches > 1 else []
+    bounds = np.unique(np.array(cuts or [], np.int64))
+    bits = 31 + n_places.bit_length()
+
+    @F.pandas_udf("int")
+    def batch_of(keys: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, keys.to_numpy(), side="left").astype(np.int32))
+
     same = rows.groupBy("sha").agg(F.min("doc").alias("least"))
     ids = rows.select("doc", "sha", F.octet_length("text").cast("long").alias("n_bytes"))
     ids = ids.join(same, "sha")
@@ -166,25 +209,44 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         F.when(F.col("n_bytes") >= length, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")).alias("n_spans"),
         F.when(F.col("n_bytes") >= length, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("sha")).alias("kept_sha256"),
     )
-    firsts = same.select(F.col("least").alias("doc"), "sha").select("doc", "sha", batch)
-    texts = rows.select("doc", "text", batch)
+    firsts = same.select(F.col("least").alias("doc"), "sha").withColumn("batch", batch_of("doc"))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keys, texts = pdf["doc"].to_numpy(), utf8(pdf["text"])
+            at = np.searchsorted(bounds, keys, side="left")
+            order = np.argsort(at, kind="stable")
+            out = []
+            for group in np.split(order, np.flatnonzero(np.diff(at[order])) + 1) if len(order) else []:
+                group = group.tolist()
+                for part in in_slices([texts[i] for i in group], BATCH_BYTES):
+                    mine = group[part]
+                    out.append((int(at[mine[0]]), packed(keys[mine].tolist(), [texts[i] for i in mine])))
+            yield pd.DataFrame(out, columns=["batch", "blob"])
+
+    texts = rows.select("doc", "text").mapInPandas(pack, "batch int, blob binary")
+
+    def cover_ranks(own: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cover places in order of their fingerprints, those, and where buckets begin."""
+        at = own.cover(depth)
+        h = own.prints(at, depth) >> np.uint64(64 - bits)
+        order = np.argsort(h)
+        return at[order], h[order], bucket_starts(h[order], bits, n_places)
 
     def places(key_: tuple, pdf: pd.DataFrame, first: pd.DataFrame) -> pd.DataFrame:
-        every = Texts(pdf)
+        every = Texts(pdf["blob"].tolist())
         wanted = set(zip(first["doc"].tolist(), first["sha"].tolist(), strict=True))
         keep = np.array([(k, hashlib.sha256(x).hexdigest()) in wanted for k, x in every.all], bool)
-        own = every if keep.all() else Texts(pdf, keep)
-        h = own.prints(own.cover(depth), depth)
-        order, begin = by_bucket((h >> np.uint64(32)) % np.uint64(n_places), n_places)
-        low = h[order].astype(np.uint32)
-        out = [(int(b), key_[0], PLACES, low[begin[b] : begin[b + 1]].tobytes()) for b in np.flatnonzero(np.diff(begin))]
+        own = every if keep.all() else Texts(pdf["blob"].tolist(), keep)
+        _, h, begin = cover_ranks(own)
+        out = [(int(b), key_[0], PLACES, squeeze_sorted(h[begin[b] : begin[b + 1]])) for b in np.flatnonzero(np.diff(begin))]
         out.append((key_[0] % n_places, key_[0], WHO, squeeze(keep)))
         return pd.DataFrame(out, columns=["bucket", "batch", "kind", "blob"])
 
     def ranked(pdf: pd.DataFrame) -> pd.DataFrame:
         """Answers each batch's cover places of one bucket with whether their rank is shared."""
         own = pdf[pdf["kind"] == PLACES]
-        parts = [np.frombuffer(b, np.uint32) for b in own["blob"]]
+        parts = [sorted_of(b) for b in own["blob"]]
         out = pdf[pdf["kind"] == WHO].to_dict("records")
         if parts:
             ordered = np.sort(np.concatenate(parts))
@@ -197,59 +259,44 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     def suffixes(key_: tuple, pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         blobs = {(k, b): x for k, b, x in zip(answers["kind"], answers["bucket"], answers["blob"], strict=True)}
         who = next(x for (k, _), x in blobs.items() if k == WHO)
-        own = Texts(pdf, bits_of(who))
-        at = own.cover(depth)
-        h = own.prints(at, depth)
-        order, begin = by_bucket((h >> np.uint64(32)) % np.uint64(n_places), n_places)
+        own = Texts(pdf["blob"].tolist(), bits_of(who))
+        at, _, begin = cover_ranks(own)
         shared = np.zeros(len(at), bool)
         for b in np.flatnonzero(np.diff(begin)):
-            shared[order[begin[b] : begin[b + 1]]] = bits_of(blobs[PLACES, b])
+            shared[begin[b] : begin[b + 1]] = bits_of(blobs[PLACES, b])
         on = candidates(own, at[shared], length)
-        starts = np.flatnonzero(on)
-        prints, first, _ = classes(own, starts, length)
-        doc = np.searchsorted(own.ends, starts[first], side="right")
-        order, begin = by_bucket(prints % np.uint64(n_suffixes), n_suffixes)
+        prints, _, _ = classes(own, np.flatnonzero(on), length)
+        begin = bucket_starts(prints, 64, n_suffixes)
         out = [(key_[0] % n_suffixes, key_[0], WHO, who), (key_[0] % n_suffixes, key_[0], WHERE, squeeze(on))]
-        for b in np.flatnonzero(np.diff(begin)):
-            mine = order[begin[b] : begin[b + 1]]
-            mine = mine[np.argsort(doc[mine], kind="stable")]
-            docs_, counts = np.unique(doc[mine], return_counts=True)
-            out.append((int(b), key_[0], SUFFIXES, len(docs_).to_bytes(8, "little") + own.keys[docs_].tobytes() + counts.astype(np.int64).tobytes() + prints[mine].tobytes()))
+        out += [(int(b), key_[0], SUFFIXES, squeeze_sorted(prints[begin[b] : begin[b + 1]])) for b in np.flatnonzero(np.diff(begin))]
         return pd.DataFrame(out, columns=["bucket", "batch", "kind", "blob"])
 
     def sorted_suffixes(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Sorts the suffixes of one bucket and answers each batch with which of its own have a lower document."""
-        own = pdf[pdf["kind"] == SUFFIXES]
+        """Sorts the suffixes of one bucket and answers each batch with which of its own a lower batch has."""
+        own = pdf[pdf["kind"] == SUFFIXES].sort_values("batch")
         out = pdf[pdf["kind"] != SUFFIXES].to_dict("records")
-        keys, prints, sizes = [], [], []
-        for blob in own["blob"]:
-            n = int.from_bytes(blob[:8], "little")
-            keys.append(np.repeat(np.frombuffer(blob, np.int64, n, 8), np.frombuffer(blob, np.int64, n, 8 + 8 * n)))
-            prints.append(np.frombuffer(blob, np.uint64, offset=8 + 16 * n))
-            sizes.append(len(prints[-1]))
-        if sizes:
-            k, h = np.concatenate(keys), np.concatenate(prints)
-            order = np.argsort(h)
-            begin = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
-            lowest = np.empty(len(h), np.int64)
-            lowest[order] = np.repeat(np.minimum.reduceat(k[order], begin), np.diff(np.append(begin, len(h))))
-            for b, x, part in zip(own["bucket"], own["batch"], np.split(lowest < k, np.cumsum(sizes)[:-1]), strict=True):
+        parts = [sorted_of(b) for b in own["blob"]]
+        if parts:
+            h = np.concatenate(parts)
+            # stable, so of equal suffixes that of the lowest batch comes first
+            order = np.argsort(h, kind="stable")
+            lower = np.empty(len(h), bool)
+            lower[order] = np.concatenate([[False], h[order][1:] == h[order][:-1]])
+            for b, x, part in zip(own["bucket"], own["batch"], np.split(lower, np.cumsum([len(p) for p in parts])[:-1]), strict=True):
                 out.append({"bucket": b, "batch": x, "kind": SUFFIXES, "blob": squeeze(part)})
         return pd.DataFrame(out, columns=["bucket", "batch", "kind", "blob"])
 
     def cut(_: tuple, pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         blobs = {(k, b): x for k, b, x in zip(answers["kind"], answers["bucket"], answers["blob"], strict=True)}
         pick = lambda kind: next(x for (k, _), x in blobs.items() if k == kind)
-        own = Texts(pdf, bits_of(pick(WHO)))
+        own = Texts(pdf["blob"].tolist(), bits_of(pick(WHO)))
         starts = np.flatnonzero(bits_of(pick(WHERE)))
         prints, first, of = classes(own, starts, length)
         doc = np.searchsorted(own.ends, starts, side="right")
-        order, begin = by_bucket(prints % np.uint64(n_suffixes), n_suffixes)
+        begin = bucket_starts(prints, 64, n_suffixes)
         below = np.zeros(len(prints), bool)
         for b in np.flatnonzero(np.diff(begin)):
-            mine = order[begin[b] : begin[b + 1]]
-            mine = mine[np.argsort(doc[first[mine]], kind="stable")]
-            below[mine] = bits_of(blobs[SUFFIXES, b])
+            below[begin[b] : begin[b + 1]] = bits_of(blobs[SUFFIXES, b])
         gone = below[of] | (own.keys[doc] > own.keys[doc[first]][of]) if len(starts) else np.zeros(0, bool)
         return removed(own, starts, gone, length)
 

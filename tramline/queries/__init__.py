@@ -7,6 +7,7 @@ from tramline.queries import crowding as _crowding  # noqa: F401
 from tramline.queries import evaluation as _evaluation  # noqa: F401
 from tramline.queries import events as _events  # noqa: F401
 from tramline.queries import feeds as _feeds  # noqa: F401
+from tramline.queries import jobs as _jobs  # noqa: F401
 from tramline.queries import panel as _panel  # noqa: F401
 from tramline.queries import quality as _quality  # noqa: F401
 from tramline.queries import scalars as _scalars  # noqa: F401

@@ -62,7 +62,10 @@ def agg01_stock_profile(spark, d):
     return rounded(S.stock_profile(slotted(spark, d)))
 
 
-@query(f"SELECT station_id, CAST((dayofweek(collected_at) + 6) % 7 AS INTEGER) AS dow, CAST(hour(collected_at) AS INTEGER) AS hour, round(avg(stock), 6) AS mean_stock, round(stddev_samp(stock), 6) AS sd_stock, round(avg(stock / racks), 6) AS mean_ratio, count(*) AS n FROM ({DEDUP}) GROUP BY 1, 2, 3")
+AGG02 = f"SELECT station_id, CAST((dayofweek(collected_at) + 6) % 7 AS INTEGER) AS dow, CAST(hour(collected_at) AS INTEGER) AS hour, round(avg(stock), 6) AS mean_stock, round(stddev_samp(stock), 6) AS sd_stock, round(avg(stock / racks), 6) AS mean_ratio, count(*) AS n FROM ({DEDUP}) GROUP BY 1, 2, 3"
+
+
+@query(AGG02)
 def agg02_realtime_profile(spark, d):
     return rounded(S.realtime_profile(v_stock(spark, d), "station_id", "collected_at", "stock", "racks", "event_id"))
 
@@ -94,15 +97,16 @@ def joi15_blend_profile(spark, d):
     return rounded(S.blend_profile(S.stock_profile(s.where(old)), S.stock_profile(s.where(~old)), ["station_id", "dow_type", "time_slot"], least=2))
 
 
-@query(
-    """SELECT g.station_id, g.dow_type, g.time_slot,
+joi04_complete_grid_sql = """SELECT g.station_id, g.dow_type, g.time_slot,
     round(coalesce(p.exp_bikes, s.exp_bikes, o.exp_bikes), 6) AS exp_bikes, round(coalesce(p.p_empty, s.p_empty, o.p_empty), 6) AS p_empty, round(coalesce(p.p_full, s.p_full, o.p_full), 6) AS p_full,
     CASE WHEN p.station_id IS NOT NULL THEN 'observed' WHEN s.station_id IS NOT NULL THEN 'station_slot' ELSE 'station' END AS source
     FROM (SELECT station_id, CAST(dow_type AS INTEGER) AS dow_type, CAST(time_slot AS INTEGER) AS time_slot FROM (SELECT DISTINCT station_id FROM v_profile), range(3) t(dow_type), range(48) u(time_slot)) g
     LEFT JOIN v_profile p ON g.station_id = p.station_id AND g.dow_type = p.dow_type AND g.time_slot = p.time_slot
     LEFT JOIN (SELECT station_id, time_slot, avg(exp_bikes) AS exp_bikes, avg(p_empty) AS p_empty, avg(p_full) AS p_full FROM v_profile GROUP BY ALL) s ON g.station_id = s.station_id AND g.time_slot = s.time_slot
     LEFT JOIN (SELECT station_id, avg(exp_bikes) AS exp_bikes, avg(p_empty) AS p_empty, avg(p_full) AS p_full FROM v_profile GROUP BY ALL) o ON g.station_id = o.station_id"""
-)
+
+
+@query(joi04_complete_grid_sql)
 def joi04_complete_grid(spark, d):
     return rounded(S.complete_grid(S.stock_profile(slotted(spark, d))))
 
