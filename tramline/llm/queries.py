@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm import jaccard_join, langid, mixing, packing, pii, quality_pu, quality_rules, sharding, suffix_dedup, webp
+from tramline.llm import jaccard_join, langid, mixing, oracle, packing, pii, quality_pu, quality_rules, sharding, suffix_dedup, webp
 from tramline.llm.common import table
 
 #: Rows that Arrow hands to Python at once: long texts would make the default's batches large.
@@ -76,9 +76,10 @@ def op9_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.curriculum(table(spark, sf_dir, "documents"))
+    out = mixing.curriculum(table(spark, sf_dir, "documents"))
+    return out.withColumn("position", F.round("position", 9))
 
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_webp, op3_language, op4_quality_pu, op5_packing, op6_rendezvous, op7_jaccard_join, op8_pseudonyms, op9_divergence, op10_curriculum)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracle.ORACLE_SQL
