@@ -129,8 +129,11 @@ def phrases(model: Model, texts: list[bytes]) -> np.ndarray:
             c = columns[i, :n]
             go = flat[state[:n] * width + c]
             stuck = go < 0
-            count[:n] += stuck
             again = first[c]
+            count[:n] += stuck
+            alone = again < 0
+            if alone.any():  # such a byte ends the phrase before it and is one itself
+                count[:n] += alone & (state[:n] > 0)
             # a new phrase starts at the byte that did not fit; if nothing starts with it, it stands alone
             state[:n] = np.where(stuck, np.maximum(again, 0), go)
         count += state > 0

@@ -79,14 +79,27 @@ def features(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def class_prior(score_u: np.ndarray, score_p: np.ndarray, least: float = 0.05) -> float:
-    """The share of positives among the unlabelled: the lowest ratio U(A) / P(A) over the sets A = {score >= t} and
-    {score < t} that hold ``least`` of the positives. On a set without negatives the ratio is the prior itself."""
-    t = np.quantile(score_p, np.linspace(0.02, 0.98, 97))
-    p_up = np.array([(score_p >= x).mean() for x in t])
-    u_up = np.array([(score_u >= x).mean() for x in t])
-    ratios = np.concatenate([(u_up / np.maximum(p_up, 1e-9))[p_up >= least], ((1 - u_up) / np.maximum(1 - p_up, 1e-9))[1 - p_up >= least]])
-    return float(np.clip(ratios.min(), 0.05, 0.98)) if len(ratios) else 0.5
+def class_prior(score_u: np.ndarray, score_p: np.ndarray, least: float = 0.3) -> float:
+    """The share of positives among the unlabelled: the lowest ratio U(A) / P(A) over the sets A = {score >= t} that hold
+    ``least`` of the positives, each share moved by its standard error, so that small samples do not pull it down. On a
+    set without negatives the ratio is the prior itself. The scores must be of rows that the score did not learn from."""
+    t = np.quantile(score_p, np.linspace(0.0, 1 - least, 71))
+    p, u = (np.array([(s >= x).mean() for x in t]) for s in (score_p, score_u))
+    error = lambda v, n: np.sqrt(np.maximum(v * (1 - v), 0) / max(n, 1))
+    ratio = (u + error(u, len(score_u))) / np.maximum(p - error(p, len(score_p)), 1e-9)
+    return float(np.clip(ratio.min(), 0.05, 0.98))
+
+
+def estimated_prior(x_p: np.ndarray, x_u: np.ndarray, folds: int = 3) -> float:
+    """The median of the priors found on parts held out from a score learned on the rest."""
+    found = []
+    for k in range(min(folds, len(x_p), len(x_u))):
+        out_p, out_u = (np.arange(len(x)) % folds == k for x in (x_p, x_u))
+        if out_p.all() or out_u.all():
+            break
+        w, b = descend(x_p[~out_p], x_u[~out_u], 0.5)  # any prior ranks
+        found.append(class_prior(x_u[out_u] @ w + b, x_p[out_p] @ w + b))
+    return float(np.median(found)) if found else 0.5
 
 
 def descend(x_p: np.ndarray, x_u: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
@@ -139,8 +152,7 @@ def fit(docs: DataFrame, positives: DataFrame, key: str = "doc_id", text: str =
     z_p, z_u = (lifted(np.clip((x - mid) / wide, -8, 8)) for x in (x_p, x_u))
     scale = np.maximum(z_u.std(axis=0), 1e-3)
     z_p, z_u = z_p / scale, z_u / scale
-    w, b = descend(z_p, z_u, 0.5)  # any prior ranks; this one is only for the estimate
-    prior = class_prior(z_u @ w + b, z_p @ w + b)
+    prior = estimated_prior(z_p, z_u)
     w, b = descend(z_p, z_u, prior)
     return Model(np.concatenate([mid, wide]), scale, w, b, prior)
 
