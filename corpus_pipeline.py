@@ -9,8 +9,8 @@ from tramline.llm import jaccard_join, langid, mixing, packing, pii
 from tramline.llm.common import table, written
 from tramline.llm.queries import arrow, vocabulary
 
-#: A text whose best language has a lower score than this is in none of them.
-LEAST_SCORE = 0.4
+#: A text whose best language has a lower score than this fits three languages equally well, so it is in none of them.
+LEAST_SCORE = 1 / 3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -88,7 +88,9 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     seen = sorted(set(b"".join(sample.values())))
     code = np.zeros(256, np.int64)
     code[seen] = np.arange(1, len(seen) + 1)
-    langs = sorted(sample)
+    # the most frequent first: a tie of phrases, as short texts have, goes to the likelier language
+    rank = {r["lang"]: -r["count"] for r in found}
+    langs = sorted(sample, key=lambda x: (rank[x], x))
     return Model(langs, code, [suffix_automaton(code[np.frombuffer(sample[x], np.uint8)], len(seen) + 1) for x in langs])
 
 
@@ -147,7 +149,7 @@ def score(model: Model, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
     """The language of fewest phrases a byte of each text, and a score of 0 to 1.
 
     The score is the softmax of the phrases that each language needs, scaled to their mean over the languages by a
-    sharpness of 40: the share at the winner. Ties go to the first language by name."""
+    sharpness of 40: the share at the winner. Ties go to the model's first language, the most frequent in training."""
     if not model.langs:
         return ["und"] * len(texts), np.zeros(len(texts))
     n = phrases(model, texts).astype(float)
