@@ -193,12 +193,20 @@ def decile_bins(df: DataFrame, x: str, y: str, bins: int = 10) -> DataFrame:
     return df.crossJoin(F.broadcast(edges)).groupBy(b.alias("bin")).agg(F.avg(x).alias("x_mean"), F.avg(y).alias("y_mean"), F.count(F.lit(1)).alias("n"))
 
 
-def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Ranks from 1, equal values sharing the mean of theirs. Values are counted first, so the ordered window is over
-    distinct values only."""
+def average_rank(df: DataFrame, value: str, name: str, ranges: int = 200) -> DataFrame:
+    """Ranks from 1, equal values sharing the mean of theirs.
+
+    Values are counted first and dealt to ``ranges`` ranges cut at approximate quantiles; each range is ordered by itself
+    and starts at the count of the ranges below it, so no task orders all values. Only a row a range is gathered."""
     counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select(value, (below + (F.col("_n") + 1) / 2).alias(name))
+    cuts = df.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10_000).alias("_cuts"))
+    dealt = counts.crossJoin(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    totals = dealt.groupBy("_range").agg(F.sum("_n").alias("_t"))
+    before = Window.partitionBy(F.lit(1)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_range", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    below = F.col("_start") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
+    ranks = dealt.join(F.broadcast(starts), "_range").select(value, (below + (F.col("_n") + 1) / 2).alias(name))
     return df.join(ranks, value)
 
 

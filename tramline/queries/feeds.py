@@ -206,3 +206,47 @@ def snk03_link_export(spark, d):
 @query("SELECT station_id, date, CAST(sum(stock) AS BIGINT) AS stock_sum FROM v_stock WHERE stock >= 0 GROUP BY 1, 2")
 def str13_daily_from_valid(spark, d):
     return S.valid_stock(v_stock(spark, d)).groupBy("station_id", "date").agg(F.sum("stock").alias("stock_sum"))
+
+
+WEATHER = "SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN 'observed' ELSE 'forecast' END AS source, event_type, floor(value) AS v, user_id % 5 AS nx, CAST(ts AS DATE) AS day FROM events WHERE event_type <> 'error'"
+
+
+def weather_envelopes(spark, d):
+    e = read(spark, d, "events")
+    seen = F.col("event_type").isin("view", "click")
+    day = F.date_format("ts", "yyyyMMdd")
+    v = F.floor("value").cast("string")
+    body = F.to_json(F.struct(day.alias("baseDate"), F.lit("600").alias("baseTime"), F.when(~seen, day).alias("fcstDate"), F.when(~seen, "900").alias("fcstTime"), F.upper(F.substring("event_type", 1, 3)).alias("category"), (F.col("user_id") % 5).cast("string").alias("nx"), F.lit("1").alias("ny"), F.when(seen, v).alias("obsrValue"), F.when(~seen & (F.col("event_type") != "error"), v).alias("fcstValue")))
+    return e.select(body.alias("payload_json"), F.timestamp_seconds(F.col("event_id")).alias("poll_run_at"), F.current_timestamp().alias("ingested_at"))
+
+
+@query(f"SELECT source, upper(substr(event_type, 1, 3)) AS category, CAST(nx AS INTEGER) AS nx, CAST(epoch(day) + CASE source WHEN 'observed' THEN 6 ELSE 9 END * 3600 AS BIGINT) AS valid_time, v::DOUBLE AS value FROM ({WEATHER})")
+def src05_weather_payload(spark, d):
+    return io.weather_payload(weather_envelopes(spark, d)).select("source", "category", "nx", F.unix_timestamp("valid_time").alias("valid_time"), "value")
+
+
+@query(f"SELECT source, CAST(nx AS INTEGER) AS nx, CAST(epoch(day) + CASE source WHEN 'observed' THEN 6 ELSE 9 END * 3600 AS BIGINT) AS valid_time, " + ", ".join(f"arg_max(v::DOUBLE, event_id) FILTER (WHERE event_type = '{k}') AS \"{k[:3].upper()}\"" for k in ("view", "click", "purchase", "signup")) + f", max(event_id) AS collected FROM ({WEATHER}) GROUP BY 1, 2, 3")
+def agg07_weather_pivot(spark, d):
+    wide = io.weather_pivot(io.weather_payload(weather_envelopes(spark, d)), ["VIE", "CLI", "PUR", "SIG"])
+    return wide.select("source", "nx", F.unix_timestamp("valid_time").alias("valid_time"), "VIE", "CLI", "PUR", "SIG", F.unix_timestamp("collected_at").alias("collected"))
+
+
+@query("SELECT event_id, CAST(event_id % 90 AS INTEGER) AS seconds, event_type AS message, CAST(floor(epoch(ts)) AS BIGINT) AS generated FROM events")
+def src06_arrival_payload(spark, d):
+    e = read(spark, d, "events")
+    body = F.to_json(F.struct(F.col("event_id").cast("string").alias("btrainNo"), (F.col("event_id") % 90).cast("string").alias("barvlDt"), F.col("event_type").alias("arvlMsg2"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("recptnDt")))
+    env = e.select(F.col("user_id").cast("string").alias("entity_id"), body.alias("payload_json"), F.col("ts").alias("poll_run_at"), F.col("ts").alias("ingested_at"))
+    return io.arrival_payload(env).select(F.col("train_no").cast("long").alias("event_id"), "seconds", "message", F.unix_timestamp("generated_at").alias("generated"))
+
+
+@query("SELECT p.point_id, CASE WHEN lon < 127.0 THEN CASE WHEN lat < 37.55 THEN 'sw' ELSE 'nw' END ELSE CASE WHEN lat < 37.55 THEN 'se' ELSE 'ne' END END AS area, CASE WHEN lon < 126.81 OR lat > 37.69 THEN 'nearest' ELSE 'within' END AS method FROM v_point p WHERE abs(lat - 37.55) > 0.0001 AND abs(lon - 127.0) > 0.0001 AND abs(lon - 126.81) > 0.0001 AND abs(lat - 37.69) > 0.0001")
+def joi13_point_in_polygon(spark, d):
+    from tramline.operators.events import point_in_polygon
+    from tramline.queries.base import v_point
+
+    box = lambda a, b, x, y: [(a, b), (x, b), (x, y), (a, y)]
+    rings = [("sw", box(126.81, 37.0, 127.0, 37.55)), ("nw", box(126.81, 37.55, 127.0, 37.69)), ("se", box(127.0, 37.0, 128.0, 37.55)), ("ne", box(127.0, 37.55, 128.0, 37.69))]
+    areas = spark.createDataFrame(rings, "area string, ring array<struct<x:double,y:double>>")
+    far = lambda c, v: F.abs(F.col(c) - v) > 0.0001
+    p = v_point(spark, d).where(far("lat", 37.55) & far("lon", 127.0) & far("lon", 126.81) & far("lat", 37.69))
+    return point_in_polygon(p.select("point_id", F.col("lon").alias("x"), F.col("lat").alias("y")), areas, "point_id", "area")

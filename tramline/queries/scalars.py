@@ -169,3 +169,34 @@ def arr06_duration_days(spark, d):
 
     f = v_festival(spark, d).withColumn("begin_date", F.when(F.col("id") % 9 == 0, F.date_add("end_date", 3)).otherwise(F.col("begin_date")))
     return duration_days(f, "begin_date", "end_date").select("id", "days", "reversed")
+
+
+CDF = "CASE WHEN {z} >= 0 THEN 1 - {u} ELSE {u} END"
+UPPER = "(exp(-({z}) * ({z}) / 2) / 2.5066282746310002 * ({t} * (0.319381530 + {t} * (-0.356563782 + {t} * (1.781477937 + {t} * (-1.821255978 + {t} * 1.330274429))))))"
+
+
+def cdf_sql(z: str) -> str:
+    t = f"(1 / (1 + 0.2316419 * abs({z})))"
+    return f"({CDF.format(z=z, u=UPPER.format(z=z, t=t))})"
+
+
+RISK = "SELECT event_id, floor(value)::DOUBLE AS q50, greatest((floor(value / 2) + 4) / 2.5631031, 0.1) AS sd FROM events"
+
+
+@query(f"SELECT event_id, round({cdf_sql('((0.5 - q50) / sd)')}, 5) AS p_empty, round(1 - {cdf_sql('((39.5 - q50) / sd)')}, 5) AS p_full FROM (SELECT event_id, q50, sd::DOUBLE AS sd FROM ({RISK}))")
+def fun23_empty_full_risk(spark, d):
+    half = F.floor(F.col("value") / 2)
+    e, f = S.empty_full_risk(F.lit(0.0), F.floor("value").cast("double"), (half + 4).cast("double"), F.lit(40.0))
+    return events(spark, d).select("event_id", F.round(e, 5).alias("p_empty"), F.round(f, 5).alias("p_full"))
+
+
+@query(f"SELECT event_id, round(CAST(user_id AS DOUBLE) * (w * h / 2 + (1 - w) * h * {cdf_sql('(h - 4.0)')} / 2), 4) AS people FROM (SELECT event_id, user_id, value AS h, greatest(least((15.0 - value) / 10, 1), 0)::DOUBLE AS w FROM events)")
+def fun22_platform_accumulation(spark, d):
+    return events(spark, d).select("event_id", F.round(S.platform_accumulation(F.col("user_id").cast("double"), F.col("value"), mu=4.0), 4).alias("people"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 <> 0 AND floor(value) > 0 THEN CASE WHEN floor(value) * 40 <= 1800 THEN CAST(floor(epoch(ts)) + floor(value) * 40 AS BIGINT) END WHEN user_id % 2 = 0 THEN CAST(floor(epoch(ts)) AS BIGINT) END AS eta FROM events")
+def fun25_arrival_eta(spark, d):
+    seconds = F.when(F.col("event_id") % 3 != 0, F.floor("value") * 40).otherwise(F.lit(0))
+    ts = F.col("ts").cast("timestamp")
+    return events(spark, d).select("event_id", F.unix_timestamp(S.arrival_eta(seconds, ts, ts, F.when(F.col("user_id") % 2 == 0, "a").otherwise("b"), F.lit("a"))).alias("eta"))
