@@ -36,10 +36,11 @@ def duck():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    df = QUERIES[name](spark, FOLDER)
+    # what has no SQL is only checked for rows, on tables that are large enough to have some
+    df = QUERIES[name](spark, FOLDER if name in ORACLE_SQL else FOLDER.replace("0.001", "0.01"))
     columns = sorted(df.columns)
     rows = sorted(tuple(plain(r[c]) for c in columns) for r in df.collect())
-    assert rows
+    assert rows or name in ORACLE_SQL
     if name in ORACLE_SQL:
         out = duck.execute(ORACLE_SQL[name])
         names = [c[0] for c in out.description]

@@ -225,12 +225,23 @@ def src05_weather_payload(spark, d):
     return io.weather_payload(weather_envelopes(spark, d)).select("source", "category", "nx", F.unix_timestamp("valid_time").alias("valid_time"), "value")
 
 
-@query(f"SELECT source, CAST(nx AS INTEGER) AS nx, CAST(epoch(day) + CASE source WHEN 'observed' THEN 6 ELSE 9 END * 3600 AS BIGINT) AS valid_time, " + ", ".join(f"arg_max(v::DOUBLE, event_id) FILTER (WHERE event_type = '{k}') AS \"{k[:3].upper()}\"" for k in ("view", "click", "purchase", "signup")) + f", max(event_id) AS collected FROM ({WEATHER}) GROUP BY 1, 2, 3")
+PIVOT = f"SELECT source, CAST(nx AS INTEGER) AS nx, CAST(epoch(day) + CASE source WHEN 'observed' THEN 6 ELSE 9 END * 3600 AS BIGINT) AS valid_time, " + ", ".join(f"arg_max(v::DOUBLE, event_id) FILTER (WHERE event_type = '{k}') AS \"{k[:3].upper()}\"" for k in ("view", "click", "purchase", "signup")) + f", max(event_id) AS collected FROM ({WEATHER}) GROUP BY 1, 2, 3"
+
+
+@query(PIVOT)
 def agg07_weather_pivot(spark, d):
     wide = io.weather_pivot(io.weather_payload(weather_envelopes(spark, d)), ["VIE", "CLI", "PUR", "SIG"])
     return wide.select("source", "nx", F.unix_timestamp("valid_time").alias("valid_time"), "VIE", "CLI", "PUR", "SIG", F.unix_timestamp("collected_at").alias("collected"))
 
 
+@query(PIVOT)
+def p3_weather_features(spark, d):
+    from tramline.plans.jobs import weather_features
+
+    wide, _ = weather_features(weather_envelopes(spark, d), ["VIE", "CLI", "PUR", "SIG"], {"VIE": (0, 500)})
+    return wide.select("source", "nx", F.unix_timestamp("valid_time").alias("valid_time"), "VIE", "CLI", "PUR", "SIG", F.unix_timestamp("collected_at").alias("collected"))
+
+
 @query("SELECT event_id, CAST(event_id % 90 AS INTEGER) AS seconds, event_type AS message, CAST(floor(epoch(ts)) AS BIGINT) AS generated FROM events")
 def src06_arrival_payload(spark, d):
     e = read(spark, d, "events")
