@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -43,11 +42,19 @@ PLACES, WHO, SUFFIXES, WHERE = range(4)
 SCHEMA = "bucket int, batch int, kind int, blob binary"
 
 
-@lru_cache(maxsize=2)
+_POWERS: list[np.ndarray] = []
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, BASE), np.full(n, INVERSE)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+    """Powers of the base and of its inverse, one table a process that grows to the longest batch met."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = -(-n // (1 << 20)) << 20
+        _POWERS.clear()
+        for x in (BASE, INVERSE):
+            table = np.full(size, x)
+            table[0] = 1
+            _POWERS.append(np.multiply.accumulate(table, out=table))
+    return _POWERS[0][:n], _POWERS[1][:n]
 
 
 class Texts:
@@ -62,14 +69,14 @@ class Texts:
         self.ends = np.cumsum([len(t) for _, t in self.rows]).astype(np.int64) if self.rows else np.zeros(0, np.int64)
         self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64) if self.rows else np.zeros(0, np.int64)
         n = len(self.data)
-        size = 1 << max(n, 1).bit_length()
-        up, _ = powers(size)
+        up, _ = powers(max(n, 1))
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(VALUE[self.data] * up[:n], out=self.sums[1:])
+        np.multiply(VALUE[self.data], up[:n], out=self.sums[1:])
+        np.cumsum(self.sums, out=self.sums)
 
     def prints(self, at: np.ndarray, length: int) -> np.ndarray:
         """Fingerprints of the ``length`` bytes at these places."""
-        _, down = powers(1 << max(len(self.data), 1).bit_length())
+        _, down = powers(max(len(self.data), 1))
         return mixed((self.sums[at + length] - self.sums[at]) * down[at])
 
     def cover(self, length: int) -> np.ndarray:
