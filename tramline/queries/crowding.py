@@ -222,7 +222,7 @@ def agg30_neighbor_correlation(spark, d):
 
 
 
-@query()
+@query("WITH dep AS (SELECT DISTINCT user_id % 5 AS edge, hour(ts) * 3600 + minute(ts) * 60 AS q FROM events), g AS (SELECT edge, coalesce(lag(q) OVER w, 0) AS p, q AS e, q FROM dep WINDOW w AS (PARTITION BY edge ORDER BY q) UNION ALL SELECT edge, max(q), 86400, min(q) + 86400 FROM dep GROUP BY 1), s AS (SELECT edge, q, sl, greatest(p, sl * 1800) AS lo, least(e, (sl + 1) * 1800) AS hi FROM g, range(48) r(sl) WHERE greatest(p, sl * 1800) < least(e, (sl + 1) * 1800)) SELECT edge, CAST(sl AS INTEGER) AS slot, CAST(round(sum((hi - lo) * (q - (lo + hi) / 2)) / 1800) AS INTEGER) AS wait FROM s GROUP BY 1, 2")
 def win16_expected_wait(spark, d):
     e = read(spark, d, "events").select((F.col("user_id") % 5).alias("edge"), (F.hour("ts") * 3600 + F.minute("ts") * 60).alias("sec"))
     return N.expected_wait(e, ["edge"], "sec")

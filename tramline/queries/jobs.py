@@ -8,6 +8,7 @@ from tramline.operators import crowding as C
 from tramline.operators import panel as P
 from tramline.operators import stock as S
 from tramline.plans import jobs as J
+from tramline.queries import crowding as CR
 from tramline.queries import events as EV
 from tramline.queries import panel as PN
 from tramline.queries import stock as ST
@@ -65,12 +66,12 @@ def p7_crowding(spark, d):
     return J.crowding(pred, cal, C.link_targets(topo(spark, d)), [10, 20, 40])[0].select("station_no", "date", "slot30", "direction", "to_station", "calibrated", "grade", "status")
 
 
-@query()
+@query(f"SELECT station_no, direction, train_id, CAST(arr_min AS INTEGER) AS arr_min, round(10.0 * count(DISTINCT train_id) OVER w * (h / nullif(sum(h) OVER w, 0)), 6) AS load, 0.0::DOUBLE AS arriving, 'first' AS source FROM ({CR.HEAD}) WINDOW w AS (PARTITION BY station_no, direction, slot30)")
 def p8_train_table(spark, d):
     tt = v_timetable(spark, d)
     flows = C.trains_per_slot(tt, ["station_no", "direction"]).withColumn("onboard", F.col("trains") * 10.0)
     near = P.segment_neighbors(topo(spark, d))
-    return J.train_table(tt, flows, near).select("station_no", "direction", "train_id", "arr_min", "load", "arriving", "source")
+    return rounded(J.train_table(tt, flows, near).select("station_no", "direction", "train_id", "arr_min", "load", "arriving", "source"))
 
 
 @query(f"WITH v AS (SELECT o_orderpriority AS place, 37.5::DOUBLE + min(o_custkey) * 0.0001 AS lat, 126.95::DOUBLE AS lon FROM orders GROUP BY 1), near AS (SELECT DISTINCT place, station_no FROM (SELECT p.place, s.station_no, {EV.KM} AS km FROM v p, v_station s) WHERE km <= 5), g AS (SELECT station_no, date, count(*) AS n_games FROM v_game JOIN near USING (place) GROUP BY ALL), f AS (SELECT station_no, date, count(DISTINCT id) AS n_festivals FROM ({EV.DAYS}) JOIN near USING (place) WHERE year(date) = 1998 GROUP BY ALL) SELECT coalesce(g.station_no, f.station_no) AS station_no, coalesce(g.date, f.date) AS date, coalesce(n_games, 0) AS n_games, coalesce(n_festivals, 0) AS n_festivals FROM g FULL JOIN f ON g.station_no = f.station_no AND g.date = f.date")
