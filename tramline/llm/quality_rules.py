@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tramline.llm.common import let, words
+from tramline.llm.common import let, words, written
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -116,7 +116,8 @@ def rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         shares(class_histogram(t)).alias("_classes"), let(lists, lambda x: shares(word_histogram(t, x))).alias("_common"),
     )
     rows = rows.select("*", F.col("_w")["n_words"].alias("n_words"), F.col("_w")["n_repeat_words"].alias("n_repeat_words")).drop("_w")
-    rows = rows.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
+    # counts and shares, a few hundred bytes a row, are needed twice: for the references and for the verdicts
+    rows = written(rows.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))), "counts")
     mean = lambda c, n: F.array(*[F.avg(F.get(F.col(c), F.lit(i))) for i in range(n)])
     references = (
         rows.where(~F.col("base_failed")).groupBy("_lang").agg(F.count(F.lit(1)).alias("_n"), mean("_classes", len(CLASSES) + 1).alias("_ref_classes"), mean("_common", 1 + len(COMMON["en"])).alias("_ref_common")).where(F.col("_n") >= least_docs)
