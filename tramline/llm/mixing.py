@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tramline.llm.common import unit_hash, words
+from tramline.llm.common import unit_hash, words, written
 
 #: Weights of the sources by code point order, null last, repeated.
 CYCLE = (3.0, 1.0, 2.0)
@@ -48,18 +48,18 @@ def position_of_share(share: Column, start: Column, end: Column) -> Column:
     return F.when(F.abs(slope) < 1e-12, share).otherwise(2 * share * (start + end) / (2 * (start + root)))
 
 
-def curriculum(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", total_share: float = 1.5, cap: float = 2.0, cycle: Sequence[float] = CYCLE, buckets: int = 64, seed: int = 11) -> DataFrame:
-    """Every row with the words the mix takes of it and the training position it gets.
+def planned(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", total_share: float = 1.5, cap: float = 2.0, cycle: Sequence[float] = CYCLE, buckets: int = 64, seed: int = 11) -> DataFrame:
+    """Every row as ``_key``, with its source's figures, ``_middle`` (words of its source up to its middle in one pass),
+    the words ``taken`` of it and its source's weights at the start and the end of training (``weight``, ``_last``).
 
     Size: words of the text (null: 0). Inside a source rows follow a keyed hash; the running sum of sizes gives each
     row its range of the source's demand. A target of q whole passes and a rest takes every row q times, and once more
     the rows that the rest ends after; ``taken`` is never over ceil(cap) x size. A source's schedule runs from weight
-    ``w`` to ``w x (1 + rank) / 2`` over the training; the row's share of its source's demand is inverted through the
-    schedule's integral to ``position`` (0 to 1), by which a writer range-sorts (``in_order``).
+    ``w`` to ``w x (1 + rank) / 2`` over the training.
 
     The running sum is made in two steps, (source, bucket) totals and then rows inside a bucket, so a source with most
     rows is no single task. Null sources are one source; rows with equal keys and equal texts all stay; rows without
-    words take 0 at position 1. Only totals of sources and buckets are gathered."""
+    words take 0. Only totals of sources and buckets are gathered."""
     rows = docs.select(
         F.col(key).alias("_key"),
         F.col(source).cast("string").alias("source"),
@@ -79,16 +79,41 @@ def curriculum(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
         rows.withColumn("_sum", F.sum("size").over(inside))
         # buckets x sources rows; sources are labels of the corpus, so this side is small, and the optimizer checks it
         .join(plan, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
-        .withColumn("_end", F.col("_start") + F.col("_sum"))
-        .withColumn("taken", (F.col("size") * (passes + (F.col("_end") - F.col("size") / 2 <= rest).cast("long"))).cast("long"))
-        .withColumn("_share", F.when(F.col("source_size") > 0, (F.col("_end") - F.col("size") / 2) / F.col("source_size")).otherwise(F.lit(1.0)))
-        .select(
-            F.col("_key").alias(key), "size", "source_size", "target", "taken", "source",
-            F.when(F.col("size") > 0, position_of_share(F.col("_share"), F.col("weight"), F.col("weight") * (1 + rank) / 2)).otherwise(F.lit(1.0)).alias("position"),
-        )
+        .withColumn("_middle", F.col("_start") + F.col("_sum") - F.col("size") / 2)
+        .withColumn("taken", (F.col("size") * (passes + (F.col("_middle") <= rest).cast("long"))).cast("long"))
+        .select("_key", "size", "source_size", "target", "taken", "source", "_middle", "weight", (F.col("weight") * (1 + rank) / 2).alias("_last"))
     )
 
 
+def curriculum(docs: DataFrame, key: str = "doc_id", **kw) -> DataFrame:
+    """Every row with the words the mix takes of it and the training position of one pass over its source.
+
+    The row's share of its source's size is inverted through the schedule's integral to ``position`` (0 to 1), by which a
+    writer range-sorts (``in_order``); rows without words stand at 1. ``copies`` has the positions of all that is taken.
+    For the rest see ``planned``."""
+    share = F.when(F.col("source_size") > 0, F.col("_middle") / F.col("source_size")).otherwise(F.lit(1.0))
+    return planned(docs, key, **kw).select(
+        F.col("_key").alias(key), "size", "source_size", "target", "taken", "source",
+        F.when(F.col("size") > 0, position_of_share(share, F.col("weight"), F.col("_last"))).otherwise(F.lit(1.0)).alias("position"),
+    )
+
+
+def copies(docs: DataFrame, key: str = "doc_id", **kw) -> DataFrame:
+    """A row for each time a document is taken: ``key, size, source, copy`` (from 1) and its training ``position``.
+
+    Copies of a source follow one another pass by pass. The words taken up to a copy's middle, over all words taken of the
+    source, are inverted through the schedule's integral, so every source runs from the start of training to its end,
+    however often it is read. The plan, a few dozen bytes a row, is written once: totals and rows need it."""
+    plan = written(planned(docs, key, **kw).where("taken > 0"), "mix")
+    totals = plan.groupBy(F.col("source").alias("_s")).agg(F.sum("taken").alias("_total"))
+    share = ((F.col("copy") - 1) * F.col("source_size") + F.col("_middle")) / F.col("_total")
+    return (
+        plan.join(totals, F.col("source").eqNullSafe(F.col("_s")))
+        .withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))))
+        .select(F.col("_key").alias(key), "size", "source", "copy", position_of_share(share, F.col("weight"), F.col("_last")).alias("position"))
+    )
+
+
 def in_order(mixed: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows range-sorted by training position."""
     return mixed.orderBy("position", key)
@@ -97,14 +122,13 @@ def in_order(mixed: DataFrame, key: str = "doc_id") -> DataFrame:
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", **kw) -> DataFrame:
     """``docs`` as the mix reads them: a row for each time a document is taken, in order of position, columns as before.
 
-    Rows that the mix does not take go. Position is of the first pass; passes of a document follow one another by a
-    source's whole demand, so the order is by (pass, position)."""
+    Rows that the mix does not take go. Each copy has a position of its own (``copies``), so repeats of one source stand
+    among the first passes of the others, as the schedules say."""
     names = docs.columns
-    plan = curriculum(docs, key, source=source, **kw).where("taken > 0").select(F.col(key).alias("_k"), F.col("position").alias("_position"), (F.col("taken") / F.col("size")).cast("int").alias("_times")).dropDuplicates(["_k"])
+    plan = copies(docs, key, source=source, **kw).select(F.col(key).alias("_k"), F.col("copy").alias("_copy"), F.col("position").alias("_position")).dropDuplicates(["_k", "_copy"])
     return (
         docs.join(plan, F.col(key) == F.col("_k"))
-        .withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-        .repartitionByRange("_pass", "_position", key)
-        .sortWithinPartitions("_pass", "_position", key)
+        .repartitionByRange("_position", key, "_copy")
+        .sortWithinPartitions("_position", key, "_copy")
         .select(*names)
     )
