@@ -15,11 +15,19 @@ ROUNDS = 8
 FIRST_DAY, DAYS, LEFT, RIGHT = "1900-01-01", 73049, 271, 270
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Kind, pattern; the first that fits at a place wins. Kinds with a rule of their own (check digits, calendar) are validated later.
+#: Characters of an IBAN by its country (the registry's lengths).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ DZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST",
+    26: "IR IS TR", 27: "BF BI CF CG CM DJ FR GA GR IT KM MC MG MR SM TD", 28: "AL AZ BJ BY CI CY DO GQ GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN = "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in IBAN_LENGTHS.items())
 PATTERNS = (
     ("email", r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}"),
     ("aws_key", r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"),
     ("secret", r"(?<=(?:password|token|secret|api_key) ?[=:] ?[\"']?)(?=[0-9]*[A-Za-z])[A-Za-z0-9]{12,64}(?![A-Za-z0-9])"),
-    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
+    ("iban", rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{IBAN})(?![A-Za-z0-9])"),
     ("ip", rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])"),
     ("iso_date", r"(?<![0-9-])(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9](?![0-9-])"),
     ("day_first", r"(?<![0-9./])[0-3][0-9]\.[01][0-9]\.(?:19|20)[0-9]{2}(?![0-9/])"),
@@ -29,7 +37,11 @@ PATTERNS = (
     ("us_phone", r"(?<![0-9A-Za-z])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])"),
     ("card", r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"),
 )
-ANY = "|".join(p for _, p in PATTERNS)
+#: A run of groups of digits, 13 in all or more, up to a group that starts a value of another kind. It may hold a card among
+#: other numbers. Possessive, since a long run would use up the stack of the matcher.
+OTHER = "|".join(p for kind, p in PATTERNS if kind in ("email", "ip", "iso_date", "day_first", "month_first", "ssn"))
+RUN = rf"(?<![0-9A-Za-z])(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]++(?![A-Za-z])(?:[ -](?!{OTHER})[0-9]++(?![A-Za-z]))*+"
+ANY = "|".join(RUN if kind == "card" else p for kind, p in PATTERNS)
 
 
 def keyed(key: str, *parts: Column) -> Column:
@@ -168,12 +180,51 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     )
 
 
+def cards_within(value: Column, key: str) -> Column:
+    """struct<value, kinds>: a run of groups of letters and digits with the cards among its groups replaced.
+
+    Candidates begin and end where groups do, have 13 to 19 digits and a right check digit. The longest is taken first, of
+    equal ones the leftmost, and then those that share no group with one taken."""
+
+    def of(chars: Column) -> Column:
+        between = lambda i: F.coalesce(F.get(chars, i).isin(" ", "-"), F.lit(True))
+        places = F.sequence(F.lit(0), F.size(chars) - 1)
+        starts, ends = F.filter(places, lambda i: between(i - 1)), F.filter(places, lambda i: between(i + 1))
+        return let(F.struct(starts.alias("starts"), ends.alias("ends")), lambda g: let(taken(chars, g["starts"], g["ends"]), lambda w: rebuilt(chars, w)))
+
+    def cut(chars: Column, start: Column, end: Column) -> Column:
+        """The characters from start up to end, without end."""
+        return F.array_join(F.slice(chars, start + 1, end - start), "")
+
+    def taken(chars: Column, starts: Column, ends: Column) -> Column:
+        def window(a: Column, b: Column) -> Column:
+            first, last = F.get(starts, a), F.get(ends, b)
+            return F.struct((last - first + 1 - (b - a)).alias("n"), first.alias("start"), (last + 1).alias("end"))
+
+        last = F.size(starts) - 1
+        some = F.flatten(F.transform(F.sequence(F.lit(0), last), lambda a: F.filter(F.transform(F.sequence(a, F.least(a + 18, last)), lambda b: window(a, b)), lambda w: w["n"].between(13, 19))))
+        right = F.filter(some, lambda w: let(cut(chars, w["start"], w["end"]), lambda t: t.rlike("^[0-9 -]+$") & (luhn_sum(F.regexp_replace(t, "[^0-9]", "")) % 10 == 0)))
+        ranked = F.array_sort(F.transform(right, lambda w: F.struct((-w["n"]).alias("n"), w["start"].alias("start"), w["end"].alias("end"))))
+        none = F.array().cast("array<struct<n:int,start:int,end:int>>")
+        apart = F.aggregate(ranked, none, lambda found, w: F.when(F.exists(found, lambda x: (x["start"] < w["end"]) & (w["start"] < x["end"])), found).otherwise(F.concat(found, F.array(w))))
+        return F.array_sort(F.transform(apart, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"))))
+
+    def rebuilt(chars: Column, w: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(w, i - 1)["end"], F.lit(0))
+        parts = F.transform(w, lambda x, i: F.concat(cut(chars, before(i), x["start"]), pseudonym_card(cut(chars, x["start"], x["end"]), key)))
+        text = F.concat(F.array_join(parts, ""), cut(chars, before(F.size(w)), F.size(chars)))
+        return F.struct(text.alias("value"), F.transform(w, lambda _: F.lit("card")).alias("kinds"))
+
+    return let(F.filter(F.split(value, ""), lambda c: c != ""), of)
+
+
 def pseudonymise(docs: DataFrame, text: str = "text", key: str = "corpus-1", found: str | None = "pii_found") -> DataFrame:
     """``docs`` with each personal value in ``text`` replaced by its pseudonym, and the kinds found (``found``: an
     array<string>, one entry a value, in order of text; None leaves it out).
 
     The text is cut at the matches of one pattern; pieces and pseudonyms are joined again, so the rest of the text is
-    kept as it is. Matches that fail their check (Luhn, modulo 97, calendar) stay. A null text stays null with no kinds;
+    kept as it is. Matches that fail their check (Luhn, modulo 97, calendar) stay, but for the cards among the groups of a
+    run of digits or of what is no account number (``cards_within``). A null text stays null with no kinds;
     an empty one stays empty. Rows, also equal ones, and all other columns stay as they are. The key is a parameter: who
     has it can undo the permutation."""
     t = F.col(text)
@@ -181,17 +232,19 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = "corpus-1", fou
         raise ValueError(f"column {found} exists")
 
     def one(value: Column) -> Column:
-        return let(kind_of(value), lambda k: F.struct(pseudonym(value, k, key).alias("value"), k.alias("kind")))
+        whole = lambda k: F.struct(pseudonym(value, k, key).alias("value"), F.array(k).alias("kinds"))
+        stays = F.struct(value.alias("value"), F.array().cast("array<string>").alias("kinds"))
+        return let(kind_of(value), lambda k: F.when(k.isNotNull(), whole(k)).when(value.rlike("^[0-9A-Z]++[ -][0-9A-Z -]*+$"), cards_within(value, key)).otherwise(stays))
 
     # only a text with a digit next to something can hold a match; the others skip the long pattern
     may = t.rlike(r"[0-9@]|AKIA|password|token|secret|api_key")
-    values = F.when(may, F.transform(F.regexp_extract_all(t, F.lit(ANY), F.lit(0)), one)).otherwise(F.array().cast("array<struct<value:string,kind:string>>"))
+    values = F.when(may, F.transform(F.regexp_extract_all(t, F.lit(ANY), F.lit(0)), one)).otherwise(F.array().cast("array<struct<value:string,kinds:array<string>>>"))
 
     def joined(v: Column) -> Column:
         cut = F.split(t, ANY, -1)
         return F.when(F.size(v) > 0, F.array_join(F.zip_with(cut, v, lambda piece, x: F.concat(piece, F.coalesce(x["value"], F.lit("")))), "")).otherwise(t)
 
-    both = let(values, lambda v: F.struct(joined(v).alias("text"), F.filter(v["kind"], lambda k: k.isNotNull()).alias("kinds")))
+    both = let(values, lambda v: F.struct(joined(v).alias("text"), F.flatten(v["kinds"]).alias("kinds")))
     out = docs.withColumn("_both_", both)
     names = [F.col("_both_")["text"].alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
     return out.select(*names, *([F.coalesce(F.col("_both_")["kinds"], F.array().cast("array<string>")).alias(found)] if found else []))
