@@ -32,6 +32,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` has not, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    name = base
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Stands for a null key inside an operator: below every other key.
+NULL_KEY = -(2**63)
+
+
+def long_key(key: str) -> Column:
+    """A key column as a long; null becomes ``NULL_KEY``, so that Arrow does not turn keys into floats."""
+    return F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY))
+
+
+def given_key(key: Column) -> Column:
+    """The key as it was before ``long_key``."""
+    return F.nullif(key, F.lit(NULL_KEY))
+
+
 def words(text: Column) -> Column:
     """array<string> of the words of a text; empty for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")

@@ -25,3 +25,15 @@ def components(edges: DataFrame) -> DataFrame:
         if after.where(F.col("_old") != F.col("label")).isEmpty():
             return after.select("node", "label")
         labels = after.select("node", "label")
+
+
+def hub_components(links: DataFrame) -> DataFrame:
+    """``(node, label)`` for the nodes of ``links(node, hub)`` (longs): nodes that share a hub hang together, and so on.
+
+    Each node is tied to its lowest hub and each of its other hubs to that one, so only hubs go through the rounds of
+    ``components``: a group of a million nodes around a few hubs costs a few edges. A node's hubs are one row; callers
+    bound how many it has. The label is the lowest hub of the component."""
+    of_node = written(links.groupBy("node").agg(F.min("hub").alias("least"), F.collect_set("hub").alias("hubs")), "hubs")
+    edges = of_node.select(F.explode("hubs").alias("a"), F.col("least").alias("b")).distinct()
+    labels = components(edges).select(F.col("node").alias("least"), "label")
+    return of_node.select("node", "least").join(labels, "least", "left").select("node", F.coalesce("label", "least").alias("label"))

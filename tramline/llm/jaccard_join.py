@@ -8,11 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tramline.llm.common import in_slices, pieces, utf8, written
-from tramline.llm.components import components
+from tramline.llm.common import fresh, given_key, in_slices, long_key, pieces, utf8, written
+from tramline.llm.components import hub_components
 from tramline.llm.shingles import mixed, shingle_sets
 
 #: Bands of rows of MinHash values. Texts of similarity 0.8 miss each other in all bands with a chance of 5e-7.
@@ -22,6 +22,8 @@ STEP = 32
 SLICE = 1 << 20
 #: Classes that one task compares with as many others.
 CHUNK = 2048
+#: A component of more chunks than this meets by bands: its chunks would be shipped more often than a class has bands.
+MOST_CHUNKS = BANDS
 
 
 def multipliers() -> tuple[np.ndarray, np.ndarray]:
@@ -116,9 +118,25 @@ def verified(sets_a: list[np.ndarray], sets_b: list[np.ndarray], i: np.ndarray,
     return both >= threshold * (na[i] + nb[j] - both) - 1e-9
 
 
-def links_of_block(a: pd.DataFrame, b: pd.DataFrame | None, least: list[int], threshold: float) -> pd.DataFrame:
+def band_values(sig: np.ndarray) -> np.ndarray:
+    """[class, band, row] the stored values of signature rows by band."""
+    return sig.reshape(len(sig), ROWS, BANDS).transpose(0, 2, 1)
+
+
+def first_common_band(sig_a: np.ndarray, sig_b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The first band in which the signatures of each pair agree; ``BANDS`` where none does."""
+    out = np.full(len(i), BANDS, np.int64)
+    for begin in range(0, len(i), 1 << 14):
+        part = slice(begin, begin + (1 << 14))
+        same = (band_values(sig_a[i[part]]) == band_values(sig_b[j[part]])).all(axis=2)
+        out[part] = np.where(same.any(axis=1), same.argmax(axis=1), BANDS)
+    return out
+
+
+def links_of_block(a: pd.DataFrame, b: pd.DataFrame | None, least: list[int], threshold: float, band: int | None = None) -> pd.DataFrame:
     """``node, root, links`` of the classes of a block, or of two blocks with each other: rows linked counts the
-    documents of linked classes, root is a class of the same component among the pairs seen here."""
+    documents of linked classes, root is a class of the same component among the pairs seen here. If the block is one of
+    a band, pairs that share an earlier band are left to that one."""
     other = a if b is None else b
     sig = lambda t: np.frombuffer(b"".join(t["sig"]), np.uint16).reshape(len(t), VALUES)
     sets = lambda t: [np.frombuffer(s, np.uint64) for s in t["shingles"]]
@@ -135,6 +153,9 @@ def links_of_block(a: pd.DataFrame, b: pd.DataFrame | None, least: list[int], th
         i += begin
         if b is None:
             i, j = i[i < j], j[i < j]
+        if band is not None:
+            own = first_common_band(sig_a, sig_b, i, j) == band
+            i, j = i[own], j[own]
         ok = verified(sets_a[begin : begin + 256], sets_b, i - begin, j, threshold)
         i, j = i[ok], j[ok]
         np.add.at(links, i, size_b[j])
@@ -153,13 +174,14 @@ def links_of_block(a: pd.DataFrame, b: pd.DataFrame | None, least: list[int], th
     return pd.DataFrame({"node": nodes, "root": nodes[root], "links": links})
 
 
-def signed(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """``key, node, sig, bands`` of every row with a word. ``node`` names the shingle set: its digest's first 8 bytes."""
+def signed(docs: DataFrame, words: int) -> DataFrame:
+    """``key, hash, digest, sig, bands`` of every row of ``docs(key, text, hash)`` with a word. The digest (16 bytes)
+    names the set of shingles."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts = utf8(pdf["_text"])
-            keys = pdf["_key"].to_numpy()
+            texts = utf8(pdf["text"])
+            keys, hashes = pdf["key"].to_numpy(), pdf["hash"].to_numpy()
             for part in in_slices(texts, SLICE):
                 sets = shingle_sets(texts[part], words)
                 some = [k for k, s in enumerate(sets) if len(s)]
@@ -171,16 +193,17 @@ def signed(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
                     bands = mixed(bands * np.uint64(0x9E3779B97F4A7C15) + sig[:, r * BANDS : (r + 1) * BANDS] + np.arange(1, BANDS + 1, dtype=np.uint64))
                 yield pd.DataFrame({
                     "key": keys[part][some],
-                    "node": [int.from_bytes(hashlib.blake2b(sets[k].tobytes(), digest_size=8).digest(), "little", signed=True) for k in some],
+                    "hash": hashes[part][some],
+                    "digest": [hashlib.blake2b(sets[k].tobytes(), digest_size=16).digest() for k in some],
                     "sig": [row.tobytes() for row in sig.astype(np.uint16)],
                     "bands": list(bands.view(np.int64)),
                 })
 
-    return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where(F.octet_length("_text") > 0).mapInPandas(run, "key long, node long, sig binary, bands array<long>")
+    return docs.where(F.octet_length("text") > 0).mapInPandas(run, "key long, hash long, digest binary, sig binary, bands array<long>")
 
 
 def with_shingles(docs: DataFrame, words: int) -> DataFrame:
-    """``docs(node, size, sig, group.., text)`` with the shingle set in place of the text."""
+    """``docs(node, .., text)`` with the shingle set in place of the text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -192,75 +215,105 @@ def with_shingles(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInPandas(run, f"{names}, shingles binary")
 
 
+def candidate_groups(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(node, label)`` of the classes that share a band of MinHash values with another, labelled by component; and
+    ``(node, pos, band)`` of the shared bands.
+
+    A band's lowest class stands for it as a hub. A class has at most ``BANDS`` of them, and only hubs that a class ties
+    together go through the rounds of the components."""
+    banded = classes.select("node", F.posexplode("bands").alias("pos", "band"))
+    leads = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).where("n > 1")
+    shared = banded.join(leads, "band")
+    return hub_components(shared.select("node", "hub")), shared.select("node", "pos", "band")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, threshold: float = 0.8, tolerance: float = 1e-9) -> DataFrame:
     """``key, class_id, n_links``: every row with the lowest key of its group, and how many other rows it is linked to.
 
     Two rows are linked if the Jaccard similarity of their sets of ``words``-word shingles is at least ``threshold``;
     groups are the connected components of the links. Rows with equal sets are one class: they count in ``n_links`` but
-    are compared once. Classes that share a band of MinHash values are candidates; candidates that hang together are
+    are compared once. Classes that share a band of MinHash values are candidates. Candidates that hang together are
     compared in blocks of ``CHUNK`` classes: MinHash values ``STEP`` at a time, a pair is dropped as soon as the posterior
     probability of reaching the threshold is under ``tolerance``, and what is left is verified on the whole sets. A group
     of any size is spread over tasks by pairs of blocks, and a block gives back counts and a spanning forest, not pairs.
+    Where bands chain so many classes together that pairs of blocks would ship each over ``BANDS`` times, classes meet by
+    the bands they share instead, and a pair counts at the first band that it has in common.
 
     A null or empty text, and one without words, is alone with 0 links. Repeated rows are linked to one another. Keys
-    are integers; other columns are not read."""
-    rows = written(signed(docs, key, text, words), "signatures")
-    classes = rows.groupBy("node").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("size"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    classes = written(classes, "classes")
-    banded = classes.select("node", F.explode("bands").alias("band"))
-    # a band value of one class is no candidate; the first of a band's classes stands for the band
-    leads = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).where("n > 1")
-    stars = banded.join(leads, "band").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
-    together = components(stars)
+    are integers; a null key is below every other (and so a class_id may be null). Other columns are not read. An empty
+    table gives an empty result."""
+    own = docs.select(long_key(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("hash"))
+    rows = written(signed(own, words), "signatures")
+    classes = rows.groupBy("digest").agg(F.min(F.struct("key", "hash")).alias("first_row"), F.count(F.lit(1)).alias("size"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    # numbers given once and written: no two classes share one, as parts of a digest might
+    classes = written(classes.select("*", F.col("first_row.key").alias("least"), F.col("first_row.hash").alias("hash"), F.monotonically_increasing_id().alias("node")).drop("first_row"), "classes")
+    together, shared = candidate_groups(classes)
+    together = written(together, "candidates")
     sizes = together.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     members = (
         together.join(sizes, "label")
-        .join(classes.select("node", "size", "sig", "least"), "node")
-        .select("node", "label", "size", "sig", "least", chunks.alias("chunks"), F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk"))
+        .join(classes.select("node", "size", "sig", "least", "hash"), "node")
+        .select("node", "label", "size", "sig", "least", "hash", chunks.alias("chunks"), F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk"))
     )
     packs = pieces(classes.count(), CHUNK)
-    texts = docs.select(F.col(key).alias("least"), F.col(text).alias("text"))
-    sets = with_shingles(members.join(texts, "least").drop("least"), words)
-    # small groups share a task; of a large one each pair of chunks is a task
-    small = sets.where("chunks = 1").withColumn("at", F.concat_ws("-", F.lit("s"), F.pmod(F.xxhash64("label"), F.lit(packs))))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.concat_ws("-", F.col("label"), F.least(F.col("chunk"), j), F.greatest(F.col("chunk"), j)))
-    large = sets.where("chunks > 1").withColumn("at", F.explode(pairs))
+    # a class is compared by the text of its first row
+    sets = with_shingles(members.join(own.withColumnRenamed("key", "least"), ["least", "hash"]).drop("least", "hash"), words)
+    # small groups share a task; of a large one each pair of chunks is a task; of a huge one each pair of chunks of a band
+    small = sets.where("chunks = 1").withColumn("at", F.concat_ws(":", F.lit("s"), F.pmod(F.xxhash64("label"), F.lit(packs))))
+    large = sets.where(f"chunks > 1 and chunks <= {MOST_CHUNKS}").withColumn("at", F.explode(chunk_pairs(F.col("label"), F.col("chunks"), F.col("chunk"))))
+    huge_nodes = members.where(f"chunks > {MOST_CHUNKS}").select("node")
+    huge_bands = shared.join(huge_nodes, "node")
+    parts = huge_bands.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("parts"))
+    huge = (
+        sets.where(f"chunks > {MOST_CHUNKS}")
+        .join(huge_bands.join(parts, "band"), "node")
+        .withColumn("chunks", F.col("parts"))
+        .withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        .withColumn("label", F.col("band"))
+        .withColumn("at", F.explode(chunk_pairs(F.concat_ws(":", F.lit("b"), F.col("pos"), F.col("band")), F.col("chunks"), F.col("chunk"))))
+        .drop("pos", "band", "parts")
+    )
     least = fewest_matches(threshold, tolerance)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        # a node may come twice where rows repeat a key
+        # a node may come twice where whole rows repeat
         pdf = pdf.drop_duplicates("node").sort_values("node")
         found = []
         for _, group in pdf.groupby("label", sort=False):
-            if group["chunks"].iloc[0] == 1:
-                found.append(links_of_block(group, None, least, threshold))
+            at = group["at"].iloc[0].split(":")
+            band = int(at[1]) if at[0] == "b" else None
+            if at[0] == "s" or at[-2] == at[-1]:
+                found.append(links_of_block(group, None, least, threshold, band))
             else:
                 a, *rest = (x for _, x in group.groupby("chunk"))
-                wanted = group["at"].iloc[0].rsplit("-", 2)[1:]
-                if wanted[0] == wanted[1]:
-                    found.append(links_of_block(a, None, least, threshold))
-                elif rest:
-                    found.append(links_of_block(a, rest[0], least, threshold))
+                if rest:
+                    found.append(links_of_block(a, rest[0], least, threshold, band))
         return pd.concat(found) if found else pd.DataFrame({"node": [], "root": [], "links": []}).astype("int64")
 
-    links = written(small.unionByName(large).groupBy("at").applyInPandas(compare, "node long, root long, links long"), "links")
-    groups = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    links = written(small.unionByName(large).unionByName(huge).groupBy("at").applyInPandas(compare, "node long, root long, links long"), "links")
+    groups = hub_components(links.select("node", F.col("root").alias("hub")))
     per_class = (
-        classes.select("node", "least", "size")
+        classes.select("node", "digest", "least", "size")
         .join(links.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
         .join(groups, "node", "left")
         .withColumn("label", F.coalesce("label", "node"))
     )
     lowest = per_class.groupBy("label").agg(F.min("least").alias("class_id"))
-    of_class = per_class.join(lowest, "label").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
-    worded = rows.select("key", "node").join(of_class, "node").select(F.col("key").alias(key), "class_id", "n_links")
-    wordless = docs.where(F.col(text).isNull() | ~F.col(text).rlike(r"[^\x20\x09-\x0D]")).select(F.col(key).cast("long").alias(key), F.col(key).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return worded.union(wordless)
+    of_class = per_class.join(lowest, "label").select("digest", "class_id", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
+    worded = rows.select("key", "digest").join(of_class, "digest").select("key", "class_id", "n_links")
+    wordless = own.where(F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("key", F.col("key").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return worded.union(wordless).select(given_key(F.col("key")).alias(key), given_key(F.col("class_id")).alias("class_id"), "n_links")
+
+
+def chunk_pairs(name: Column, chunks: Column, chunk: Column) -> Column:
+    """The tasks in which a chunk meets each of its group's chunks, itself included."""
+    return F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: F.concat_ws(":", name, F.least(chunk, j), F.greatest(chunk, j)))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **kw) -> DataFrame:
     """``docs`` without the rows that have a near duplicate of lower key in their group. Rows that repeat a key stay or
-    go together."""
-    stay = near_duplicates(docs, key, text, **kw).where(F.col(key) == F.col("class_id")).select(F.col(key).alias("_stay")).distinct()
-    return docs.join(stay, docs[key] == F.col("_stay"), "left_semi")
+    go together; a null key is below every other."""
+    name = fresh(docs, "_stay")
+    stay = near_duplicates(docs, key, text, **kw).where(F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias(name)).distinct()
+    return docs.join(stay, F.col(f"`{key}`").cast("long").eqNullSafe(F.col(name)), "left_semi")
