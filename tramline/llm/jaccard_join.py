@@ -262,18 +262,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     # small groups share a task; of a large one each pair of chunks is a task; of a huge one each pair of chunks of a band
     small = sets.where("chunks = 1").withColumn("at", F.concat_ws(":", F.lit("s"), F.pmod(F.xxhash64("label"), F.lit(packs))))
     large = sets.where(f"chunks > 1 and chunks <= {MOST_CHUNKS}").withColumn("at", F.explode(chunk_pairs(F.col("label"), F.col("chunks"), F.col("chunk"))))
-    huge_nodes = members.where(f"chunks > {MOST_CHUNKS}").select("node")
-    huge_bands = shared.join(huge_nodes, "node")
-    parts = huge_bands.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("parts"))
-    huge = (
-        sets.where(f"chunks > {MOST_CHUNKS}")
-        .join(huge_bands.join(parts, "band"), "node")
-        .withColumn("chunks", F.col("parts"))
-        .withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-        .withColumn("label", F.col("band"))
-        .withColumn("at", F.explode(chunk_pairs(F.concat_ws(":", F.lit("b"), F.col("pos"), F.col("band")), F.col("chunks"), F.col("chunk"))))
-        .drop("pos", "band", "parts")
-    )
+    blocks = small.unionByName(large)
+    if (sizes.agg(F.max("n")).first()[0] or 0) > CHUNK * MOST_CHUNKS:
+        huge_bands = shared.join(members.where(f"chunks > {MOST_CHUNKS}").select("node"), "node")
+        parts = huge_bands.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("parts"))
+        huge = (
+            sets.where(f"chunks > {MOST_CHUNKS}")
+            .join(huge_bands.join(parts, "band"), "node")
+            .withColumn("chunks", F.col("parts"))
+            .withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+            .withColumn("label", F.col("band"))
+            .withColumn("at", F.explode(chunk_pairs(F.concat_ws(":", F.lit("b"), F.col("pos"), F.col("band")), F.col("chunks"), F.col("chunk"))))
+            .drop("pos", "band", "parts")
+        )
+        blocks = blocks.unionByName(huge)
     least = fewest_matches(threshold, tolerance)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -291,7 +293,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
                     found.append(links_of_block(a, rest[0], least, threshold, band))
         return pd.concat(found) if found else pd.DataFrame({"node": [], "root": [], "links": []}).astype("int64")
 
-    links = written(small.unionByName(large).unionByName(huge).groupBy("at").applyInPandas(compare, "node long, root long, links long"), "links")
+    links = written(blocks.groupBy("at").applyInPandas(compare, "node long, root long, links long"), "links")
     groups = hub_components(links.select("node", F.col("root").alias("hub")))
     per_class = (
         classes.select("node", "digest", "least", "size")
