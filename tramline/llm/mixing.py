@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tramline.llm.common import unit_hash, words, written
+from tramline.llm.common import pieces, unit_hash, words
 
 #: Weights of the sources by code point order, null last, repeated.
 CYCLE = (3.0, 1.0, 2.0)
@@ -48,19 +48,23 @@ def position_of_share(share: Column, start: Column, end: Column) -> Column:
     return F.when(F.abs(slope) < 1e-12, share).otherwise(2 * share * (start + end) / (2 * (start + root)))
 
 
-def planned(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", total_share: float = 1.5, cap: float = 2.0, cycle: Sequence[float] = CYCLE, buckets: int = 64, seed: int = 11) -> DataFrame:
-    """Every row as ``_key``, with its source's figures, ``_middle`` (words of its source up to its middle in one pass),
-    the words ``taken`` of it and its source's weights at the start and the end of training (``weight``, ``_last``).
+def planned(docs: DataFrame, kept: Sequence[Column], key: str = "doc_id", text: str = "text", source: str = "source", total_share: float = 1.5, cap: float = 2.0, cycle: Sequence[float] = CYCLE, seed: int = 11) -> DataFrame:
+    """A struct ``row`` of the ``kept`` columns for every row of ``docs``, with ``size``, its source's ``source_size`` and
+    ``target``, the words ``taken`` of it and ``positions``, the training position (0 to 1) of each time it is taken.
 
     Size: words of the text (null: 0). Inside a source rows follow a keyed hash; the running sum of sizes gives each
     row its range of the source's demand. A target of q whole passes and a rest takes every row q times, and once more
-    the rows that the rest ends after; ``taken`` is never over ceil(cap) x size. A source's schedule runs from weight
-    ``w`` to ``w x (1 + rank) / 2`` over the training.
-
-    The running sum is made in two steps, (source, bucket) totals and then rows inside a bucket, so a source with most
-    rows is no single task. Null sources are one source; rows with equal keys and equal texts all stay; rows without
-    words take 0. Only totals of sources and buckets are gathered."""
+    the rows whose middle lies within the rest; ``taken`` is never over ceil(cap) x size. The source's weight runs
+    linearly from ``w`` to ``w x (1 + rank) / 2`` over the training (rank: its weight over the largest). Its cumulative
+    demand up to the middle of a copy, ``pass x source_size + middle``, over its target is inverted through the integral of
+    that schedule: every source runs from the start of training to its end, however often it is read.
+
+    Running sums are made in two steps, totals of (source, bucket) and then rows inside a bucket of about 20,000, so a
+    source with most rows is no single task. Null sources are one source; rows with equal keys all stay; rows without
+    words take 0 and have no position. Only totals of sources and buckets are gathered."""
+    buckets = pieces(docs.count(), 20_000, 64)
     rows = docs.select(
+        F.struct(*kept).alias("row"),
         F.col(key).alias("_key"),
         F.col(source).cast("string").alias("source"),
         F.size(words(F.col(text))).cast("long").alias("size"),
@@ -72,63 +76,35 @@ def planned(docs: DataFrame, key: str = "doc_id", text: str = "text", source: st
     starts = totals.select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_start"))
     plan = starts.join(targets, F.col("_s").eqNullSafe(F.col("source"))).drop("source")
     inside = Window.partitionBy("source", "_bucket").orderBy("_u", "_key", "size").rowsBetween(Window.unboundedPreceding, 0)
-    rank = F.col("weight") / max(cycle)
-    passes = F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)))
-    rest = F.col("target") - passes * F.col("source_size")
+    last = F.col("weight") * (1 + F.col("weight") / max(cycle)) / 2
+    times = F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)))
+    rest = F.col("target") - times * F.col("source_size")
+    at = lambda n: (n * F.col("source_size") + F.col("_middle")) / F.col("target")
     return (
         rows.withColumn("_sum", F.sum("size").over(inside))
-        # buckets x sources rows; sources are labels of the corpus, so this side is small, and the optimizer checks it
+        # sources x buckets rows, a few for each 20,000 rows; the optimizer checks the size of this side
         .join(plan, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
         .withColumn("_middle", F.col("_start") + F.col("_sum") - F.col("size") / 2)
-        .withColumn("taken", (F.col("size") * (passes + (F.col("_middle") <= rest).cast("long"))).cast("long"))
-        .select("_key", "size", "source_size", "target", "taken", "source", "_middle", "weight", (F.col("weight") * (1 + rank) / 2).alias("_last"))
+        .withColumn("_times", F.when(F.col("size") > 0, times + (F.col("_middle") <= rest).cast("long")).otherwise(F.lit(0)).cast("int"))
+        .select(
+            "row", "size", "source", "source_size", "target", (F.col("size") * F.col("_times")).alias("taken"),
+            F.transform(F.slice(F.sequence(F.lit(0), F.greatest(F.col("_times"), F.lit(1)) - 1), F.lit(1), F.col("_times")), lambda n: position_of_share(at(n), F.col("weight"), last)).alias("positions"),
+        )
     )
 
 
 def curriculum(docs: DataFrame, key: str = "doc_id", **kw) -> DataFrame:
-    """Every row with the words the mix takes of it and the training position of one pass over its source.
-
-    The row's share of its source's size is inverted through the schedule's integral to ``position`` (0 to 1), by which a
-    writer range-sorts (``in_order``); rows without words stand at 1. ``copies`` has the positions of all that is taken.
-    For the rest see ``planned``."""
-    share = F.when(F.col("source_size") > 0, F.col("_middle") / F.col("source_size")).otherwise(F.lit(1.0))
-    return planned(docs, key, **kw).select(
-        F.col("_key").alias(key), "size", "source_size", "target", "taken", "source",
-        F.when(F.col("size") > 0, position_of_share(share, F.col("weight"), F.col("_last"))).otherwise(F.lit(1.0)).alias("position"),
-    )
-
+    """Every row as ``key, size, source_size, target, taken, source, positions`` (see ``planned``), range-sorted by its
+    first position; rows that are not taken stand last."""
+    rows = planned(docs, [F.col(key)], key, **kw)
+    return rows.select(F.col("row")[key].alias(key), "size", "source_size", "target", "taken", "source", "positions").orderBy(F.get("positions", F.lit(0)).asc_nulls_last(), key)
 
-def copies(docs: DataFrame, key: str = "doc_id", **kw) -> DataFrame:
-    """A row for each time a document is taken: ``key, size, source, copy`` (from 1) and its training ``position``.
-
-    Copies of a source follow one another pass by pass. The words taken up to a copy's middle, over all words taken of the
-    source, are inverted through the schedule's integral, so every source runs from the start of training to its end,
-    however often it is read. The plan, a few dozen bytes a row, is written once: totals and rows need it."""
-    plan = written(planned(docs, key, **kw).where("taken > 0"), "mix")
-    totals = plan.groupBy(F.col("source").alias("_s")).agg(F.sum("taken").alias("_total"))
-    share = ((F.col("copy") - 1) * F.col("source_size") + F.col("_middle")) / F.col("_total")
-    return (
-        plan.join(totals, F.col("source").eqNullSafe(F.col("_s")))
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))))
-        .select(F.col("_key").alias(key), "size", "source", "copy", position_of_share(share, F.col("weight"), F.col("_last")).alias("position"))
-    )
 
+def mix(docs: DataFrame, key: str = "doc_id", **kw) -> DataFrame:
+    """``docs`` as the mix reads them: a row for each time a document is taken, range-sorted by that copy's position.
 
-def in_order(mixed: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows range-sorted by training position."""
-    return mixed.orderBy("position", key)
-
-
-def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", **kw) -> DataFrame:
-    """``docs`` as the mix reads them: a row for each time a document is taken, in order of position, columns as before.
-
-    Rows that the mix does not take go. Each copy has a position of its own (``copies``), so repeats of one source stand
-    among the first passes of the others, as the schedules say."""
-    names = docs.columns
-    plan = copies(docs, key, source=source, **kw).select(F.col(key).alias("_k"), F.col("copy").alias("_copy"), F.col("position").alias("_position")).dropDuplicates(["_k", "_copy"])
-    return (
-        docs.join(plan, F.col(key) == F.col("_k"))
-        .repartitionByRange("_position", key, "_copy")
-        .sortWithinPartitions("_position", key, "_copy")
-        .select(*names)
-    )
+    Rows that the mix does not take go. Repeats of one source stand among the first passes of the others, as the
+    schedules say. Whole rows travel with their plan, so rows that repeat a key keep each its own."""
+    rows = planned(docs, [F.col(f"`{c}`") for c in docs.columns], key, **kw).select("row", F.explode("positions").alias("position"))
+    own = F.col("row")[key]
+    return rows.repartitionByRange("position", own).sortWithinPartitions("position", own).select("row.*")

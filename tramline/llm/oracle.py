@@ -24,12 +24,15 @@ p AS (
 r AS (
   SELECT d.*, p.source_size, p.target, p.weight, p.last_weight, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS end_
   FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
-q AS (SELECT *, floor(target / greatest(source_size, 1)) AS passes, CASE WHEN source_size > 0 THEN (end_ - size / 2) / source_size ELSE 1.0 END AS share FROM r)
-SELECT doc_id, size, source_size, target, source,
-  CAST(size * (passes + CAST(end_ - size / 2 <= target - passes * source_size AS BIGINT)) AS BIGINT) AS taken,
-  round(CASE WHEN size = 0 THEN 1.0 WHEN abs(last_weight - weight) < 1e-12 THEN share
-    ELSE 2 * share * (weight + last_weight) / (2 * (weight + sqrt(weight * weight + (last_weight - weight) * share * (weight + last_weight)))) END, 9) AS position
-FROM q"""
+q AS (SELECT *, floor(target / greatest(source_size, 1)) AS passes, end_ - size / 2 AS middle FROM r),
+n AS (SELECT *, CASE WHEN size > 0 THEN CAST(passes AS BIGINT) + CAST(middle <= target - passes * source_size AS BIGINT) ELSE 0 END AS times FROM q),
+x AS (SELECT *, middle / target AS share1, (source_size + middle) / target AS share2 FROM n)
+SELECT doc_id, size, source_size, target, source, CAST(size * times AS BIGINT) AS taken,
+  round(CASE WHEN times < 1 THEN NULL WHEN abs(last_weight - weight) < 1e-12 THEN share1
+    ELSE 2 * share1 * (weight + last_weight) / (2 * (weight + sqrt(weight * weight + (last_weight - weight) * share1 * (weight + last_weight)))) END, 9) AS position,
+  round(CASE WHEN times < 2 THEN NULL WHEN abs(last_weight - weight) < 1e-12 THEN share2
+    ELSE 2 * share2 * (weight + last_weight) / (2 * (weight + sqrt(weight * weight + (last_weight - weight) * share2 * (weight + last_weight)))) END, 9) AS second_position
+FROM x"""
 
 
 def rules() -> str:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import json
 import zlib
 from collections.abc import Iterator
@@ -10,9 +9,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from tramline.llm.common import given_key, long_key
 from tramline.llm.common import pieces as parts_of
 
 SIZE = 2048
@@ -23,37 +25,61 @@ END = 1
 def encoder(path: str):
     """A fast encoder with the vocabulary and merges of a byte-level BPE file of the tokenizers library.
 
-    The file's ids are read as merge ranks; special tokens of the file are ordinary text. Ids are those of
-    ``tokenizers`` with ``encode_special_tokens`` set, which the tests compare."""
+    The file's ids are read as merge ranks. A special token's string in a text is that token's id, as ``tokenizers``
+    does without any flag; the tests compare the ids with that library's."""
     import public_tokenizers
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    special = {x["content"] for x in spec.get("added_tokens", [])}
+    special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
     # the printable stand-ins of byte-level BPE: printable Latin-1 stands for itself, the other bytes for 256 upward
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in plain]
     byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
     ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4").tobytes())
 
 
-def tokenised(docs: DataFrame, path: str, key: str, text: str, groups: int, size: int) -> DataFrame:
-    """Whole sequences of each document (checksum made, ids left behind) and its last part with the ids.
+def by_hash(rows: DataFrame, n: int, per_group: int) -> DataFrame:
+    """``rows(_key, _text)`` with a group by a hash of key and text, which doesn't depend on partitions."""
+    groups = parts_of(n, per_group)
+    return rows.withColumn("_group", F.pmod(F.xxhash64("_key", F.crc32(F.col("_text").cast("binary"))), F.lit(groups)).cast("long"))
 
-    A row's group is a hash of its key and checksum of the text, so it doesn't depend on partitions."""
+
+def by_place(rows: DataFrame, file: str, row: str, per_group: int) -> DataFrame:
+    """``rows`` with a group for each ``per_group`` rows that follow one another in a file; files count by name.
+
+    The groups of a file begin where those of the files before it end: one row a file is ordered."""
+    counts = rows.groupBy(F.col(file).alias("_f")).agg(F.ceil((F.max(row) + 1) / per_group).alias("_n"))
+    before = Window.orderBy(F.length("_f"), "_f").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_f", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    return rows.join(starts, F.col(file) == F.col("_f")).withColumn("_group", (F.col("_first") + F.floor(F.col(row) / per_group)).cast("long"))
+
+
+def has_files(docs: DataFrame) -> bool:
+    """Whether the rows know their place in a file, as rows of a file source do."""
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index").schema  # noqa: B018
+    except AnalysisException:
+        return False
+    return True
+
+
+def tokenised(rows: DataFrame, path: str, size: int) -> DataFrame:
+    """Of ``rows(_key, _group, _text)`` the whole sequences of each document (checksum made, ids left behind) and its last
+    part with the ids."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)
         for pdf in batches:
             rows = []
             for k, group, t in zip(pdf["_key"], pdf["_group"], pdf["_text"], strict=True):
-                ids = np.array([*enc.encode_ordinary(t or ""), END], dtype=np.uint32)
+                ids = np.array([*enc.encode(t or "", allowed_special="all"), END], dtype=np.uint32)
                 n = len(ids)
                 whole = n - n % size
                 rows += [(k, group, i, size, n, crc(ids[i : i + size]), None) for i in range(0, whole, size)]
@@ -64,9 +90,7 @@ def tokenised(docs: DataFrame, path: str, key: str, text: str, groups: int, size
                     rows = []
             yield pd.DataFrame(rows, columns=["doc_id", "group", "start", "length", "doc_tokens", "crc", "ids"])
 
-    t = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key).cast("long").alias("_key"), F.pmod(F.xxhash64(F.col(key), F.crc32(t.cast("binary"))), F.lit(groups)).cast("int").alias("_group"), t.alias("_text"))
-    return rows.mapInPandas(run, "doc_id long, group int, start long, length long, doc_tokens long, crc long, ids binary")
+    return rows.select("_key", "_group", "_text").mapInPandas(run, "doc_id long, group long, start long, length long, doc_tokens long, crc long, ids binary")
 
 
 def cost(length: int, linear: float, quadratic: float) -> float:
@@ -77,49 +101,41 @@ def pack_group(rows: list[tuple], size: int, linear: float, quadratic: float) ->
     """Packs pieces ``(doc_id, start, length, doc_tokens, ids)`` shorter than ``size``; yields
     ``(doc_id, start, length, crc, doc_tokens, sequence, offset)``.
 
-    There are as many sequences as the tokens fill. Pieces go from the dearest down to the sequence of lowest cost so far
-    that has room (a heap by cost). A piece for which the cheapest with any room is too small is cut there and the rest
-    goes on to the next, so all sequences but the last few are full. Ties go by doc_id, start and sequence number."""
-    rows = sorted(rows, key=lambda r: (-cost(r[2], linear, quadratic), r[0], r[1]))
-    total = sum(r[2] for r in rows)
-    n = -(-total // size)
-    room = [size] * n
-    heap = [(0.0, i) for i in range(n)]
-    used = [0] * n
+    There are as many sequences as the tokens fill. Pieces go from the dearest down, each to the sequence of lowest cost
+    so far among all that have room for it. Where none has, the piece is cut: its first part fills the cheapest sequence
+    with any room, and the rest goes on in the same way. Ties go by doc_id, start and sequence number."""
+    rows = sorted(rows, key=lambda r: (-cost(r[2], linear, quadratic), r[0], r[1], r[4]))
+    n = -(-sum(r[2] for r in rows) // size)
+    room, spent = np.full(n, size), np.zeros(n)
     for doc, start, length, tokens, ids in rows:
         ids = np.frombuffer(ids, "<u2" if len(ids) == 2 * length else "<u4").astype("<u4")
         at = 0
-        tight = []
         while at < length:
-            value, i = heapq.heappop(heap)
-            # look past up to 16 cheaper sequences that are too small before a cut
-            if room[i] < length - at and len(tight) < 16 and heap:
-                tight.append((value, i))
-                continue
-            if room[i] < length - at and tight:
-                heapq.heappush(heap, (value, i))
-                value, i = tight.pop(0)
-            take = min(room[i], length - at)
-            yield doc, start + at, take, crc(ids[at : at + take]), tokens, i, used[i]
+            fits = room >= length - at
+            i = int(np.where(fits if fits.any() else room > 0, spent, np.inf).argmin())
+            take = min(int(room[i]), length - at)
+            yield doc, start + at, take, crc(ids[at : at + take]), tokens, i, size - int(room[i])
             room[i] -= take
-            used[i] += take
+            spent[i] += cost(take, linear, quadratic)
             at += take
-            if room[i]:
-                heapq.heappush(heap, (value + cost(take, linear, quadratic), i))
-        for x in tight:
-            heapq.heappush(heap, x)
 
 
-def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", size: int = SIZE, linear: float = 1.0, quadratic: float = 1.0 / 1024, per_group: int = 2048, rows: int | None = None) -> DataFrame:
+def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", size: int = SIZE, linear: float = 1.0, quadratic: float = 1.0 / 1024, per_group: int = 2048, in_order: bool = False) -> DataFrame:
     """All documents (an empty or null text is its end token alone) cut into pieces of sequences of ``size`` tokens.
 
     A piece costs ``linear * n + quadratic * n^2``: it attends only within itself. Full stretches of long documents are
-    sequences of their own; the last parts are dealt by a hash to groups of about ``per_group`` documents, and each
-    group is packed in one task (``pack_group``). A group's memory is bounded by its documents' last parts, whatever the
-    documents' length; it leaves under one sequence of padding. Keys may repeat; each row is packed by itself. Keys are
-    integers. Columns other than key and text are not read."""
-    groups = parts_of(docs.count() if rows is None else rows, per_group)
-    cut = tokenised(docs, path, key, text, groups, size)
+    sequences of their own; the last parts are dealt to groups of about ``per_group`` documents, and each group is packed
+    in one task (``pack_group``). Groups go by a hash, or with ``in_order``, for a table of files written in training order,
+    by place in the files: sequence ids then follow that order from group to group. A group's memory is bounded by its
+    documents' last parts, whatever the documents' length; it leaves under one sequence of padding. Keys may repeat; each
+    row is packed by itself. Keys are integers or null. Columns other than key and text are not read; an empty table gives
+    no piece."""
+    chosen = [long_key(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")]
+    if in_order and has_files(docs):
+        rows = by_place(docs.select(*chosen, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")), "_file", "_row", per_group)
+    else:
+        rows = by_hash(docs.select(*chosen), docs.count(), per_group)
+    cut = tokenised(rows, path, size)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         group = int(pdf["group"].iloc[0])
@@ -131,11 +147,10 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", si
         out += [(d, s, n, c, t, first + i, o) for d, s, n, c, t, i, o in packed]
         got = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
         got["sequence_id"] += group << 32
-        got["doc_id"] = got["doc_id"].astype("Int64")
         return got
 
     out = cut.groupBy("group").applyInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
-    return out.withColumn("cost", attention_cost(F.col("length"), linear, quadratic))
+    return out.withColumn("doc_id", given_key(F.col("doc_id"))).withColumn("cost", attention_cost(F.col("length"), linear, quadratic))
 
 
 def attention_cost(length: Column, linear: float, quadratic: float) -> Column:

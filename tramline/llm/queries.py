@@ -77,7 +77,9 @@ def op9_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.curriculum(table(spark, sf_dir, "documents"))
-    return out.withColumn("position", F.round("position", 9))
+    # targets are at most two times a source's size, so there are at most two copies
+    first, second = (F.round(F.get("positions", F.lit(i)), 9).alias(n) for i, n in enumerate(("position", "second_position")))
+    return out.select("doc_id", "size", "source_size", "target", "taken", "source", first, second)
 
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_webp, op3_language, op4_quality_pu, op5_packing, op6_rendezvous, op7_jaccard_join, op8_pseudonyms, op9_divergence, op10_curriculum)}
