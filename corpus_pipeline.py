@@ -38,8 +38,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2,048 tokens."""
-    return packing.pack(docs, vocabulary())
+    """Pieces of sequences of 2,048 tokens; sequence ids follow the order in which the mixture was written."""
+    return packing.pack(docs, vocabulary(), in_order=True)
 
 
 STAGES = [
