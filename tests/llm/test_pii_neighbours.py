@@ -34,9 +34,9 @@ def test_ibans_beside_capital_words(spark):
 
 
 def test_two_in_a_run_and_other_kinds_behind(spark):
-    texts = ["4111 1111 1111 1111 4041894974608795", "4111111111111111 2021-02-28", "4111111111111111 8.8.8.8", "12345 2021-02-28", "AT611904300234573201 4111 1111 1111 1111", "4111111111111111 123-45-6789"]
+    texts = ["4111 1111 1111 1111 4041894974608795", "4111111111111111 2021-02-28", "4111111111111111 8.8.8.8", "12345 2021-02-28", "AT611904300234573201 4111 1111 1111 1111", "4111111111111111 123-45-6789", "4111111111111111 212-555-1234"]
     got = run(spark, texts)
-    assert [f for _, f in got] == [["card", "card"], ["card", "iso_date"], ["card", "ip"], ["iso_date"], ["iban", "card"], ["card", "ssn"]]
+    assert [f for _, f in got] == [["card", "card"], ["card", "iso_date"], ["card", "ip"], ["iso_date"], ["iban", "card"], ["card", "ssn"], ["card", "us_phone"]]
     assert got[3][0].startswith("12345 ")
 
 

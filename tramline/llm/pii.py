@@ -1,14 +1,16 @@
 """Format-preserving pseudonyms for personal numbers, dates and addresses, in DataFrame functions only.
 
 Equal values get equal pseudonyms under one key, in whatever document they stand, and different values of a format get
-different ones: every step is a permutation of the values of that format."""
+different ones: every step is a permutation of the values of that format. What counts as the value are its letters and
+digits: spellings that differ in separators (cards, accounts, phones, SSNs), in the order of a date, or in the case of an
+email address are linked."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tramline.llm.common import let
+from tramline.llm.common import fresh, let
 
 ROUNDS = 8
 #: Days from 1900-01-01 to 2099-12-31 and the two factors whose product just covers them.
@@ -32,15 +34,17 @@ PATTERNS = (
     ("iso_date", r"(?<![0-9-])(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9](?![0-9-])"),
     ("day_first", r"(?<![0-9./])[0-3][0-9]\.[01][0-9]\.(?:19|20)[0-9]{2}(?![0-9/])"),
     ("month_first", r"(?<![0-9./])[01][0-9]/[0-3][0-9]/(?:19|20)[0-9]{2}(?![0-9/])"),
-    ("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"),
+    ("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}(?:-(?!00)[0-9]{2}-|(?<![0-9] [0-9]{3}) (?!00)[0-9]{2} (?![0-9]{4} [0-9]))(?!0000)[0-9]{4}(?![0-9-])"),
     ("phone", r"(?<![0-9A-Za-z])\+[1-9][0-9]{0,2}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])"),
-    ("us_phone", r"(?<![0-9A-Za-z])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])"),
+    ("us_phone", r"(?<![0-9A-Za-z])(?:\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?:" + "|".join(rf"(?<![0-9]{by})[2-9][0-9]{{2}}{by}[2-9][0-9]{{2}}{by}[0-9]{{4}}(?!{by}[0-9])" for by in ("-", r"\.", " ")) + r")(?![0-9A-Za-z]))"),
     ("card", r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"),
 )
 #: A run of groups of digits, 13 in all or more, up to a group that starts a value of another kind. It may hold a card among
 #: other numbers. Possessive, since a long run would use up the stack of the matcher.
-OTHER = "|".join(p for kind, p in PATTERNS if kind in ("email", "ip", "iso_date", "day_first", "month_first", "ssn"))
+OTHER = "|".join(p for kind, p in PATTERNS if kind in ("email", "ip", "iso_date", "day_first", "month_first", "ssn", "us_phone"))
 RUN = rf"(?<![0-9A-Za-z])(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]++(?![A-Za-z])(?:[ -](?!{OTHER})[0-9]++(?![A-Za-z]))*+"
+#: Country codes of telephone numbers: of one and two digits; all others have three.
+COUNTRY = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 ANY = "|".join(RUN if kind == "card" else p for kind, p in PATTERNS)
 
 
@@ -49,32 +53,61 @@ def keyed(key: str, *parts: Column) -> Column:
     return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), *[p.cast("string") for p in parts]), 256), 1, 12), 16, 10).cast("long")
 
 
-def permute_characters(value: Column, key: str) -> Column:
+def permute_characters(value: Column, key: str, phone: bool = False) -> Column:
     """A Feistel permutation of the strings of one format.
 
     A format is the class of each place: digit, small letter, capital, or a fixed character. Even rounds add a keyed
     hash of the second half to every place of the first, modulo the size of the place's class; odd rounds the reverse.
-    Each round can be undone, so the whole is a permutation. Strings of one place have only the odd rounds' keyed shift."""
+    Each round can be undone, so the whole is a permutation. Strings of one place have only the odd rounds' keyed shift.
+    With ``phone`` the values are ten digits whose first and fourth are of the class 2 to 9 or of the class 0 and 1, as
+    area codes and exchanges are."""
 
     def one_round(text: Column, r: Column) -> Column:
         half = F.floor(F.length(text) / 2).cast("int")
         left, right = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.length(text))
         even = r % 2 == 0
 
-        def place(c: Column, i: Column, other: Column) -> Column:
+        def place(c: Column, i: Column, other: Column, first: bool) -> Column:
             code = F.ascii(c)
             base = F.when(c.rlike("^[0-9]$"), 48).when(c.rlike("^[a-z]$"), 97).when(c.rlike("^[A-Z]$"), 65)
             radix = F.when(base == 48, 10).otherwise(26)
+            if phone and first:
+                base = F.when(i.isin(0, 3) & (code >= 50), 50).otherwise(48)
+                radix = F.when(i.isin(0, 3), F.when(code >= 50, 8).otherwise(2)).otherwise(10)
             return F.when(base.isNull(), c).otherwise(F.chr((base + (code - base + keyed(key, r, i, other)) % radix).cast("int")))
 
-        def shifted(part: Column, other: Column) -> Column:
-            return F.array_join(F.transform(F.filter(F.split(part, ""), lambda c: c != ""), lambda c, i: place(c, i, other)), "")
+        def shifted(part: Column, other: Column, first: bool) -> Column:
+            return F.array_join(F.transform(characters(part), lambda c, i: place(c, i, other, first)), "")
 
-        return F.when(even, F.concat(shifted(left, right), right)).otherwise(F.concat(left, shifted(right, left)))
+        return F.when(even, F.concat(shifted(left, right, True), right)).otherwise(F.concat(left, shifted(right, left, False)))
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), value, one_round)
 
 
+def characters(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda c: c != "")
+
+
+def bare(value: Column) -> Column:
+    """The letters and digits of a value."""
+    return F.regexp_replace(value, "[^A-Za-z0-9]", "")
+
+
+def woven(value: Column, plain: Column) -> Column:
+    """``value`` with its letters and digits replaced in order by those of ``plain``; separators stay."""
+
+    def step(a: Column, c: Column) -> Column:
+        own = c.rlike("^[A-Za-z0-9]$")
+        return F.struct(F.concat(a["out"], F.when(own, F.substring(plain, a["i"], F.lit(1))).otherwise(c)).alias("out"), F.when(own, a["i"] + 1).otherwise(a["i"]).alias("i"))
+
+    return F.aggregate(characters(value), F.struct(F.lit("").alias("out"), F.lit(1).alias("i")), step, lambda a: a["out"])
+
+
+def with_case(value: Column, small: Column) -> Column:
+    """``small`` with capitals where ``value`` has them."""
+    return F.array_join(F.zip_with(characters(value), characters(small), lambda c, x: F.when(c.rlike("^[A-Z]$"), F.upper(x)).otherwise(x)), "")
+
+
 def permute_number(n: Column, left: int, right: int, key: str) -> Column:
     """A Feistel permutation of 0 .. left * right - 1: the two mixed-radix halves in turn get a keyed hash of the other."""
 
@@ -104,13 +137,13 @@ def luhn_sum(digits: Column) -> Column:
 
 
 def pseudonym_card(value: Column, key: str) -> Column:
-    """The digits before the check digit are permuted and a right check digit is put behind them."""
+    """The digits before the check digit are permuted, whatever stands between them, and a right check digit is put
+    behind them."""
 
     def with_check(body: Column) -> Column:
-        digits = F.regexp_replace(body, "[^0-9]", "")
-        return F.concat(body, ((10 - luhn_sum(F.concat(digits, F.lit("0"))) % 10) % 10).cast("string"))
+        return woven(value, F.concat(body, ((10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string")))
 
-    return let(permute_characters(F.substring(value, F.lit(1), F.length(value) - 1), key), with_check)
+    return let(bare(value), lambda v: let(permute_characters(F.substring(v, F.lit(1), F.length(v) - 1), key), with_check))
 
 
 def iban_rest(iban: Column) -> Column:
@@ -122,10 +155,48 @@ def iban_rest(iban: Column) -> Column:
 
 def pseudonym_iban(value: Column, key: str) -> Column:
     def with_check(body: Column) -> Column:
-        plain = F.concat(F.substring(value, 1, 2), F.lit("00"), F.regexp_replace(body, " ", ""))
-        return F.concat(F.substring(value, 1, 2), F.lpad((98 - iban_rest(plain)).cast("string"), 2, "0"), body)
+        country = F.substring(value, 1, 2)
+        return woven(value, F.concat(country, F.lpad((98 - iban_rest(F.concat(country, F.lit("00"), body))).cast("string"), 2, "0"), body))
+
+    return let(bare(value), lambda v: let(permute_characters(F.substring(v, F.lit(5), F.length(v)), key), with_check))
+
 
-    return let(permute_characters(F.substring(value, F.lit(5), F.length(value)), key), with_check)
+def pseudonym_ssn(value: Column, key: str) -> Column:
+    """A permutation of the valid numbers: areas 001 to 899 but 666, groups 01 to 99, serials 0001 to 9999."""
+
+    def of(v: Column) -> Column:
+        area, group, serial = (F.substring(v, a, n).cast("long") for a, n in ((1, 3), (4, 2), (6, 4)))
+        place = F.when(area < 666, area - 1).otherwise(area - 2)
+        return let(permute_number((place * 99 + group - 1) * 9999 + serial - 1, 898 * 99, 9999, key), back)
+
+    def back(n: Column) -> Column:
+        place = F.floor(n / (99 * 9999))
+        parts = (F.when(place < 665, place + 1).otherwise(place + 2), F.floor(n / 9999) % 99 + 1, n % 9999 + 1)
+        return woven(value, F.concat(*[F.lpad(x.cast("long").cast("string"), w, "0") for x, w in zip(parts, (3, 2, 4), strict=True)]))
+
+    return let(bare(value), of)
+
+
+def pseudonym_phone(value: Column, key: str) -> Column:
+    """The digits behind the country code are permuted. Ten of them behind 1, or without a code, keep the classes of area
+    codes and exchanges, so a number is linked with and without the 1."""
+
+    def of(v: Column) -> Column:
+        code = F.when(value.startswith("+"), F.regexp_extract(v, COUNTRY, 0)).otherwise(F.lit(""))
+        return let(F.struct(code.alias("code"), F.substring(v, F.length(code) + 1, F.length(v)).alias("rest")), numbered)
+
+    def numbered(n: Column) -> Column:
+        american = n["code"].isin("", "1") & (F.length(n["rest"]) == 10)
+        return let(F.concat(n["code"], F.when(american, permute_characters(n["rest"], f"{key}|tel", True)).otherwise(permute_characters(n["rest"], f"{key}|tel"))), lambda p: woven(value, p))
+
+    return let(bare(value), of)
+
+
+def pseudonym_email(value: Column, key: str) -> Column:
+    """Addresses that differ in case alone are linked; the last label stays."""
+    end = F.length(value) - F.length(F.regexp_extract(value, r"\.[A-Za-z]+$", 0))
+    body = F.substring(value, F.lit(1), end)
+    return F.concat(let(permute_characters(F.lower(body), key), lambda p: with_case(body, p)), F.substring(value, end + 1, F.length(value)))
 
 
 def pseudonym_ip(value: Column, key: str) -> Column:
@@ -162,10 +233,8 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     """The pseudonym of a validated value; a value without a kind stays as it is."""
     day = lambda form, k: F.date_format(permute_day(F.try_to_date(value, form), f"{key}|day"), form)  # noqa: E731,ARG005
     after = lambda n: F.concat(F.substring(value, 1, n), permute_characters(F.substring(value, F.lit(n + 1), F.length(value)), key))
-    cut = F.length(F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .(-])|^\+[1-9]", 0))
-    end = F.length(value) - F.length(F.regexp_extract(value, r"\.[A-Za-z]+$", 0))
     return (
-        F.when(kind == "email", F.concat(permute_characters(F.substring(value, F.lit(1), end), key), F.substring(value, end + 1, F.length(value))))
+        F.when(kind == "email", pseudonym_email(value, key))
         .when(kind == "aws_key", after(4))
         .when(kind == "secret", after(0))
         .when(kind == "iban", pseudonym_iban(value, key))
@@ -173,8 +242,9 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
         .when(kind == "iso_date", day("yyyy-MM-dd", 0))
         .when(kind == "day_first", day("dd.MM.yyyy", 1))
         .when(kind == "month_first", day("MM/dd/yyyy", 2))
-        .when(kind == "phone", F.concat(F.substring(value, F.lit(1), cut), permute_characters(F.substring(value, cut + 1, F.length(value)), key)))
-        .when(kind.isin("ssn", "us_phone"), after(0))
+        .when(kind == "phone", pseudonym_phone(value, key))
+        .when(kind == "us_phone", pseudonym_phone(value, key))
+        .when(kind == "ssn", pseudonym_ssn(value, key))
         .when(kind == "card", pseudonym_card(value, key))
         .otherwise(value)
     )
@@ -244,10 +314,11 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = "corpus-1", fou
         cut = F.split(t, ANY, -1)
         return F.when(F.size(v) > 0, F.array_join(F.zip_with(cut, v, lambda piece, x: F.concat(piece, F.coalesce(x["value"], F.lit("")))), "")).otherwise(t)
 
+    name = fresh(docs, "_both")
     both = let(values, lambda v: F.struct(joined(v).alias("text"), F.flatten(v["kinds"]).alias("kinds")))
-    out = docs.withColumn("_both_", both)
-    names = [F.col("_both_")["text"].alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*names, *([F.coalesce(F.col("_both_")["kinds"], F.array().cast("array<string>")).alias(found)] if found else []))
+    out = docs.withColumn(name, both)
+    names = [F.col(name)["text"].alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
+    return out.select(*names, *([F.coalesce(F.col(name)["kinds"], F.array().cast("array<string>")).alias(found)] if found else []))
 
 
 def count_kinds(found: Column) -> list[Column]:
