@@ -120,6 +120,18 @@ def test_rules(docs):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == base(t), (k, t)
 
 
+def test_words_decide(spark):
+    """Of texts of 60 words an ordinary one stays and one without a common word goes; a short one is not judged by words."""
+    rnd = random.Random(2)
+    rare = lambda: "".join(rnd.choice("bdfgklmnprst") + rnd.choice("aeiou") for _ in range(rnd.randint(2, 4)))
+    prose = lambda n: " ".join(rnd.choice(["the", "of", "and", "to", "in", "a"]) if rnd.random() < 0.4 else rare() for _ in range(n))
+    rows = [(k, prose(60 + k), "en", "s", 0, 0) for k in range(200)]
+    rows += [(1000, " ".join(rare() for _ in range(60)), "en", "s", 0, 0), (1001, prose(60), "en", "s", 0, 0), (1002, " ".join(rare() for _ in range(59)), "en", "s", 0, 0), (1003, " ".join(rare() for _ in range(60)), "xx", "s", 0, 0)]
+    out = {r.doc_id: r for r in quality_rules.rules(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(out[k].kept for k in (*range(200), 1001, 1002, 1003))
+    assert not out[1000].base_failed and not out[1000].kept and out[1000].word_distance > 0.95 and out[1003].word_distance is None
+
+
 def test_distance(spark):
     p, q = np.array([0.2, 0.8, 0.0]), np.array([0.5, 0.25, 0.25])
     m = (p + q) / 2

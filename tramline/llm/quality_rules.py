@@ -5,19 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tramline.llm.common import let, words, written
+from tramline.llm.common import SPACES, let, words, written
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
-#: Frequent function words of each language.
-COMMON = {
-    "de": ["der", "die", "und", "das", "zu", "den", "mit", "von", "im", "ist", "nicht", "ein", "eine", "auf", "in"],
-    "en": ["the", "of", "and", "to", "in", "is", "that", "it", "for", "was", "on", "as", "with", "are", "be"],
-    "es": ["de", "la", "que", "el", "en", "y", "los", "del", "se", "las", "por", "un", "para", "con", "una"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans"],
-}
 #: Character classes as patterns; each character is counted in the first that fits.
 CLASSES = (r"[a-z]", r"[A-Z]", r"[0-9]", r"[\x20\x09-\x0D]", r"[.,;:'\"()-]", r"[#*$%&|<>!?@^~_=+/\\\[\]{}`]", r"\p{L}")
+#: A word is common in a language if this share of the words of a text is it, on the mean of the language's texts. So a
+#: language has at most 1 / COMMON_SHARE common words.
+COMMON_SHARE = 0.005
 
 
 def n_repeat_words(w: Column, n: int = 5) -> Column:
@@ -70,15 +66,34 @@ def class_histogram(text: Column) -> Column:
     return nest(text, 0, [])
 
 
-def word_histogram(text: Column, lists: Column) -> Column:
-    """array<double>: how often each of ``lists`` (array<string>) stands in the text, and all other words."""
-    plain = F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "), " "), lambda x: x != "")
-    every = sorted({w for ws in COMMON.values() for w in ws})
+def small_words(text: Column) -> Column:
+    """array<string> of the words in small letters, punctuation and all."""
+    return F.filter(F.split(F.lower(text), SPACES), lambda x: x != "")
+
+
+def common_words(texts: DataFrame, share: float, least_words: int, least_docs: int) -> DataFrame:
+    """``_lang, _list``: the common words of each language (with a letter) in order, from the rows of ``texts(_lang, text)`` with
+    ``least_words`` words or more; languages of fewer than ``least_docs`` such rows have none.
+
+    Words are counted by (language, word), summed on the map side first, so no language is one group. A list has at most
+    1 / ``share`` words."""
+    rows = texts.select("_lang", small_words(F.col("text")).alias("w")).where(F.size("w") >= least_words)
+    each = rows.select("_lang", F.explode("w").alias("word"), (F.lit(1.0) / F.size("w")).alias("part"))
+    sums = each.groupBy("_lang", "word").agg(F.sum("part").alias("part"))
+    docs = rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_docs)
+    # only the few words over the limit meet in a group
+    common = sums.join(docs, "_lang").where((F.col("part") >= share * F.col("n")) & F.col("word").rlike(r"\p{L}"))
+    return common.groupBy("_lang").agg(F.sort_array(F.collect_list("word")).alias("_list"))
+
+
+def word_histogram(text: Column, common: Column) -> Column:
+    """array<double>: how often each word of ``common`` (array<string>) stands in the text, and all other words."""
 
     def of(ws: Column) -> Column:
-        return let(F.filter(ws, lambda x: x.isin(every)), lambda hits: let(F.transform(lists, lambda c: F.size(F.filter(hits, lambda x: x == c)).cast("double")), lambda found: F.concat(found, F.array((F.size(ws) - F.aggregate(found, F.lit(0.0), lambda a, x: a + x)).cast("double")))))
+        hits = F.filter(ws, lambda x: F.array_contains(common, x))
+        return let(hits, lambda h: F.concat(F.transform(common, lambda c: F.size(F.filter(h, lambda x: x == c)).cast("double")), F.array((F.size(ws) - F.size(h)).cast("double"))))
 
-    return let(plain, of)
+    return let(small_words(text), of)
 
 
 def shares(counts: Column) -> Column:
@@ -92,38 +107,44 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x), F.lit(0.0)))
 
 
-def rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", class_limit: float = 0.25, word_limit: float = 0.5, least_chars: int = 200, least_words: int = 60, least_docs: int = 5) -> DataFrame:
+def mean_shares(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """``_lang`` and the mean of the arrays of a column, place by place."""
+    each = rows.select("_lang", F.posexplode(column).alias("i", "x")).groupBy("_lang", "i").agg(F.avg("x").alias("x"))
+    return each.groupBy("_lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias(name))
+
+
+def rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", class_limit: float = 0.25, word_limit: float = 0.85, least_chars: int = 200, least_words: int = 60, least_docs: int = 5, common_share: float = COMMON_SHARE) -> DataFrame:
     """Every row with its counts, its distances to the reference of its language, and the verdict.
 
-    The reference of a language is the mean share, over all its texts that pass the base rules, of each character class
-    and of each of its ``COMMON`` words; a language of fewer than ``least_docs`` such texts has none. References are a
-    few numbers a language, so they are broadcast once their count is known to be small by the optimizer's own check.
-    A row is kept if it passes the base rules and each distance is within its limit; a distance of a text shorter than
-    its guard (``least_chars``, ``least_words``), or without a reference, does not count.
-
-    Null text: no words, so base_failed. A null or unknown lang uses the English list and has no reference unless such
-    texts form one. Repeated rows each get their own verdict; other columns are not read."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    language = F.coalesce(F.col(lang).cast("string"), F.lit("und"))
-    lists = F.lit(None).cast("array<string>")
-    for name, ws in COMMON.items():
-        lists = F.when(language == name, F.array(*[F.lit(w) for w in ws])).otherwise(lists)
-    lists = F.coalesce(lists, F.array(*[F.lit(w) for w in COMMON["en"]]))
-    rows = docs.select(
-        F.col(key).alias("_key"), language.alias("_lang"),
+    A language's common words are counted over all its texts (``common_words``). Its reference is the mean share, over all
+    its texts that pass the base rules, of each character class and of each common word; a language of fewer than
+    ``least_docs`` such texts has none. Lists and references are at most a few hundred numbers a language; the optimizer
+    checks their size before it broadcasts them.
+    A row is kept if it passes the base rules, its class distance is at most ``class_limit``, and its word distance at most
+    ``word_limit`` of the distance that a text without any common word has. A distance of a text shorter than its guard
+    (``least_chars``, ``least_words``), or without a reference, does not count.
+
+    Null text: no words, so base_failed. Rows of a null lang are a language of their own, ``und``. Repeated rows each get
+    their own verdict; other columns are not read; an empty table gives an empty result."""
+    own = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("_lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    lists = common_words(own, common_share, least_words, least_docs).withColumnRenamed("_lang", "_l")
+    t = F.col("text")
+    rows = own.join(lists, F.col("_lang") == F.col("_l"), "left").select(
+        "_key", "_lang",
         let(words(t), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), n_repeat_words(w).alias("n_repeat_words"))).alias("_w"),
         *[c.alias(n) for n, c in base_counts(t).items()],
-        shares(class_histogram(t)).alias("_classes"), let(lists, lambda x: shares(word_histogram(t, x))).alias("_common"),
+        shares(class_histogram(t)).alias("_classes"), F.when(F.col("_list").isNotNull(), shares(word_histogram(t, F.col("_list")))).alias("_common"),
     )
     rows = rows.select("*", F.col("_w")["n_words"].alias("n_words"), F.col("_w")["n_repeat_words"].alias("n_repeat_words")).drop("_w")
     # counts and shares, a few hundred bytes a row, are needed twice: for the references and for the verdicts
     rows = written(rows.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))), "counts")
-    mean = lambda c, n: F.array(*[F.avg(F.get(F.col(c), F.lit(i))) for i in range(n)])
-    references = (
-        rows.where(~F.col("base_failed")).groupBy("_lang").agg(F.count(F.lit(1)).alias("_n"), mean("_classes", len(CLASSES) + 1).alias("_ref_classes"), mean("_common", 1 + len(COMMON["en"])).alias("_ref_common")).where(F.col("_n") >= least_docs)
-    )
+    passed = rows.where(~F.col("base_failed"))
+    enough = passed.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least_docs)
+    references = enough.join(mean_shares(passed, "_classes", "_ref_classes"), "_lang").join(mean_shares(passed, "_common", "_ref_common"), "_lang", "left")
+    none = F.transform(F.col("_ref_common"), lambda x, i: F.when(i == F.size("_ref_common") - 1, 1.0).otherwise(0.0))
+    references = references.withColumn("_none", js_distance(none, F.col("_ref_common")))
     out = rows.join(references, "_lang", "left")
-    out = out.withColumn("class_distance", js_distance(F.col("_classes"), F.col("_ref_classes"))).withColumn("word_distance", js_distance(F.col("_common"), F.col("_ref_common")))
+    out = out.withColumn("class_distance", js_distance(F.col("_classes"), F.col("_ref_classes"))).withColumn("word_distance", js_distance(F.col("_common"), F.col("_ref_common")) / F.nullif(F.col("_none"), F.lit(0.0)))
     near = (F.coalesce(F.col("class_distance"), F.lit(0.0)) <= class_limit) | (F.col("word_chars") < least_chars)
     usual = (F.coalesce(F.col("word_distance"), F.lit(0.0)) <= word_limit) | (F.col("n_words") < least_words)
     return out.select(F.col("_key").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & near & usual).alias("kept"), F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"))

@@ -72,7 +72,7 @@ def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.rules(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
+    return quality_rules.rules(table(spark, sf_dir, "documents"))
 
 
 def op10_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
