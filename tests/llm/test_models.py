@@ -2,6 +2,7 @@
 
 import os
 import random
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -16,30 +17,45 @@ tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
 
 
 def cross_parse(text: bytes, source: bytes) -> int:
-    """Phrases of the greedy parse in blocks: each the longest piece that the source has, one byte at least."""
-    n = 0
-    for b in range(0, len(text), L.BLOCK):
-        block, i = text[b : b + L.BLOCK], 0
-        while i < len(block):
-            j = i + 1
-            while j < len(block) and block[i : j + 1] in source and block[i:j] in source:
-                j += 1
-            n, i = n + 1, j
+    """Phrases of the greedy parse of a whole text: each the longest piece that the source has, one byte at least."""
+    n, i = 0, 0
+    while i < len(text):
+        j = i + 1
+        while j < len(text) and text[i : j + 1] in source and text[i:j] in source:
+            j += 1
+        n, i = n + 1, j
     return n
 
 
-def test_phrases_are_those_of_the_greedy_parse():
+@pytest.mark.parametrize("block", [5, 64, 1024])
+def test_phrases_are_those_of_the_greedy_parse(monkeypatch, block):
+    monkeypatch.setattr(L, "BLOCK", block)
     rnd = random.Random(8)
-    sources = [bytes(rnd.choice(b"abcd ") for _ in range(400)) for _ in range(3)]
+    sources = [*[bytes(rnd.choice(b"abcd ") for _ in range(400)) for _ in range(3)], b"abababab cc"]
     seen = sorted(set(b"".join(sources)))
     code = np.zeros(256, np.int64)
     code[seen] = np.arange(1, len(seen) + 1)
-    m = L.Model(["a", "b", "c"], code, [L.suffix_automaton(code[np.frombuffer(s, np.uint8)], len(seen) + 1) for s in sources])
-    texts = [b"", b"a", b"zz", *[bytes(rnd.choice(b"abcd ez") for _ in range(rnd.choice([3, 40, 1023, 1024, 1025, 3000]))) for _ in range(25)]]
+    m = L.Model(list("abcd"), code, [L.suffix_automaton(code[np.frombuffer(s, np.uint8)], len(seen) + 1) for s in sources], np.array([400, 400, 400, 11]), np.ones(4))
+    texts = [b"", b"a", b"zz", b"ab" * 2000, b"z" + b"ab" * 1111 + b"zz", b"a" * 3000, *[bytes(rnd.choice(b"abcd ez") for _ in range(rnd.choice([3, 40, 1023, 1024, 1025, 3000]))) for _ in range(25)]]
     got = L.phrases(m, texts)
     assert got.tolist() == [[cross_parse(t, s) for s in sources] for t in texts]
 
 
+def test_less_text_is_no_disadvantage():
+    """Phrases alone prefer the language with more text; entropies are of like size for texts of either language."""
+    rnd = random.Random(3)
+    make = lambda letters, n: b" ".join(bytes(rnd.choice(letters) for _ in range(rnd.randint(2, 6))) for _ in range(n))
+    a, b = b"etaoinsh", b"etaoinrd"  # two languages that differ in two letters
+    large, small = make(a, 6000), make(b, 250)
+    seen = sorted(set(large + small))
+    code = np.zeros(256, np.int64)
+    code[seen] = np.arange(1, len(seen) + 1)
+    m = L.Model(["a", "b"], code, [L.suffix_automaton(code[np.frombuffer(s, np.uint8)], len(seen) + 1) for s in (large, small)], np.array([len(large), len(small)]), np.ones(2))
+    texts = [make(b, 60) for _ in range(60)]
+    by_phrases, by_entropy = (int((x.argmin(axis=1) == 1).sum()) for x in (L.phrases(m, texts), L.entropy(m, texts)))
+    assert by_entropy >= by_phrases and by_entropy >= 57
+
+
 def test_small_tables_of_language(spark):
     rows = [(1, "das ist der Hund " * 9, "de"), (2, "this is the dog " * 9, "en"), (3, None, None), (4, "", "en"), (5, "12 !?", "en"), (6, "the dog is this", None), (7, "der Hund ist das " * 900, None), (7, "der Hund ist das " * 900, None)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, score string")
@@ -53,6 +69,16 @@ def test_small_tables_of_language(spark):
         L.identify(df.withColumnRenamed("score", "lang_pred"), m)
 
 
+def test_texts_in_no_taught_language_do_not_fit(spark):
+    rnd = random.Random(1)
+    english = ["the dog", "a house", "is in", "this small", "of the old", "was there", "and then it", "we have seen", "on that day", "with some", "people", "from there"]
+    rows = [(k, " ".join(rnd.choice(english) for _ in range(60)), "en") for k in range(60)] + [(k, " ".join(rnd.choice(["der hund", "ein haus", "ist im", "und dann", "das kleine", "wir haben", "gesehen"]) for _ in range(60)), "de") for k in range(60, 120)]
+    other = ["kaikki ihmiset syntyvat vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu jarki ja omatunto ja heidan on toimittava toisiaan kohtaan veljeyden hengessa", "zqx"]
+    df = spark.createDataFrame(rows + [(k, t, None) for k, t in enumerate([*other, None, ""], 200)], "doc_id long, text string, lang string")
+    out = {r.doc_id: r.misfit for r in L.identify(df, L.fit(df), misfit="misfit").collect()}
+    assert all(out[k] < 1.5 for k in range(120)) and out[200] > 2.5 and out[201] == out[202] == out[203] == 0.0
+
+
 @tables
 def test_held_out_language(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
@@ -92,16 +118,20 @@ def test_small_tables_of_quality(spark):
 
 
 @tables
-def test_pipeline(spark):
+def test_pipeline(spark, tmp_path):
     import corpus_pipeline as C
     from tests.llm.test_jaccard_join import brute
     from tramline.llm import mixing, pii
     from tramline.llm.common import written
 
-    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    n = docs.count()
+    again = docs.orderBy("doc_id").limit(1)
+    polish = "wszystkie ludzkie istoty rodzą się wolne i równe w swojej godności i w swoich prawach są one obdarzone rozumem i sumieniem i powinny postępować wobec innych w duchu braterstwa"
+    odd = [(10**6, "12 34 !!", "en", "src0", 8), (10**6 + 1, polish, None, "src0", len(polish)), (10**6 + 2, None, "en", None, None), (10**6 + 3, "", None, None, 0), (None, "a short text without a number", None, None, 29)]
+    folder = str(tmp_path)
+    docs.unionByName(spark.createDataFrame(odd, docs.schema)).unionByName(again).write.parquet(f"{folder}/documents.parquet")
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    odd = spark.createDataFrame([(10**6, "12 34 !!", "en", "src0", 8)], docs.schema)
-    docs = written(docs.unionByName(odd), "docs")
     kept = []
     for name, stage in C.STAGES[:-1]:
         out = written(stage(spark, docs, folder), name)
@@ -109,17 +139,22 @@ def test_pipeline(spark):
         kept.append(out)
         docs = out
     language, near, private, mixed = kept
-    assert language.where("doc_id = 1000000").isEmpty() and language.count() == 200
-    rows = [(r.doc_id, r.text) for r in language.collect()]
-    assert sorted(r.doc_id for r in near.collect()) == sorted(k for k, c, _ in brute(rows) if k == c)
+    assert language.where("doc_id >= 1000000").isEmpty() and language.count() == n + 2
+    rows = [(-1 if r.doc_id is None else r.doc_id, r.text) for r in language.collect()]
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in near.collect()) == sorted(k for k, c, _ in brute(rows) if k == c)
     before, after = ({r.doc_id: r.text for r in t.collect()} for t in (near, private))
     found = {r.doc_id: r.pii_found for r in pii.pseudonymise(near).collect()}
     assert all((before[k] != after[k]) == bool(found[k]) for k in before) and any(found.values())
     assert {r.doc_id: r.n_chars for r in private.collect()} == {k: len(t) for k, t in after.items()}
-    plan = {r.doc_id: r.taken // r.size for r in mixing.curriculum(private).collect() if r.size}
+    plan = defaultdict(int)
+    for r in mixing.curriculum(private).collect():
+        plan[r.doc_id] += len(r.positions)
     times = {r.doc_id: r.n for r in mixed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert times == {k: n for k, n in plan.items() if n}
-    pieces = C.STAGES[-1][1](spark, mixed, folder).toPandas()
+    packed = C.STAGES[-1][1](spark, mixed, folder)
+    assert sorted(map(str, packed.collect())) == sorted(map(str, C.run(spark, folder).collect()))
+    pieces = packed.where("doc_id IS NOT NULL").toPandas()
+    times.pop(None, None)
     tokens = {k: n for k, n in zip(pieces.doc_id, pieces.doc_tokens, strict=True)}
     assert pieces.length.sum() == sum(tokens[k] * n for k, n in times.items())
     assert (pieces.groupby("sequence_id").length.sum() <= 2048).all()

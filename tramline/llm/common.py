@@ -19,8 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (``spark.checkpoint.dir``); one beside the warehouse where it is unset."""
+    """The folder that the cluster shares (``spark.checkpoint.dir``). Where it is unset, as in tests, a local session has one
+    beside the warehouse; a cluster's session raises, since a folder of one machine would lose rows."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return found or f"{spark.conf.get('spark.sql.warehouse.dir')}-scratch"
 
 
