@@ -207,7 +207,7 @@ def test_packing_in_order_of_files(spark, tmp_path):
     assert sorted(r.doc_id for r in out if r.start == 0) == list(range(500))
     spans = defaultdict(list)
     for r in out:
-        spans[r.sequence_id >> 32].append(r.doc_id)
+        spans[r.sequence_id >> packing.SEQUENCE_BITS].append(r.doc_id)
     ranges = [(min(v), max(v)) for _, v in sorted(spans.items())]
     assert len(ranges) >= 10 and all(a[1] < b[0] for a, b in zip(ranges, ranges[1:], strict=False))
     # rows without a file are dealt by hash

@@ -19,7 +19,7 @@ from tramline.llm.shingles import mixed, shingle_sets
 BANDS, ROWS = 48, 6
 VALUES = BANDS * ROWS
 STEP = 32
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Classes that one task compares with as many others.
 CHUNK = 2048
 #: A component of more chunks than this meets by bands: its chunks would be shipped more often than a class has bands.

@@ -15,7 +15,7 @@ from tramline.llm.common import fresh, in_slices, utf8
 #: Bytes a lane of the parse has. A longer text has several, which are joined to one parse (``joined_lanes``).
 BLOCK = 1024
 #: Bytes of text parsed at once in a task.
-SLICE = 1 << 21
+SLICE = 1 << 20
 #: Bytes of letters from which on a text's entropy tells whether it is in a taught language at all.
 LEAST_BYTES = 120
 

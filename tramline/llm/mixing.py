@@ -70,12 +70,15 @@ def planned(docs: DataFrame, kept: Sequence[Column], key: str = "doc_id", text:
         F.size(words(F.col(text))).cast("long").alias("size"),
         unit_hash(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("_u"),
     ).withColumn("_bucket", F.floor(F.col("_u") * buckets).cast("int"))
+    # plain keys for a source that may be null, so that the join below finds the window's partitioning and moves no text
+    rows = rows.withColumns({"_none": F.col("source").isNull(), "_name": F.coalesce("source", F.lit(""))})
     totals = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_words"))
     targets = capped_targets(totals.groupBy("source").agg(F.sum("_words").alias("source_size")), total_share, cap, cycle)
     before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_start"))
     plan = starts.join(targets, F.col("_s").eqNullSafe(F.col("source"))).drop("source")
-    inside = Window.partitionBy("source", "_bucket").orderBy("_u", "_key", "size").rowsBetween(Window.unboundedPreceding, 0)
+    plan = plan.withColumns({"_none": F.col("_s").isNull(), "_name": F.coalesce("_s", F.lit(""))}).withColumnRenamed("_b", "_bucket").drop("_s")
+    inside = Window.partitionBy("_none", "_name", "_bucket").orderBy("_u", "_key", "size").rowsBetween(Window.unboundedPreceding, 0)
     last = F.col("weight") * (1 + F.col("weight") / max(cycle)) / 2
     times = F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)))
     rest = F.col("target") - times * F.col("source_size")
@@ -83,7 +86,7 @@ def planned(docs: DataFrame, kept: Sequence[Column], key: str = "doc_id", text:
     return (
         rows.withColumn("_sum", F.sum("size").over(inside))
         # sources x buckets rows, a few for each 20,000 rows; the optimizer checks the size of this side
-        .join(plan, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
+        .join(plan, ["_none", "_name", "_bucket"])
         .withColumn("_middle", F.col("_start") + F.col("_sum") - F.col("size") / 2)
         .withColumn("_times", F.when(F.col("size") > 0, times + (F.col("_middle") <= rest).cast("long")).otherwise(F.lit(0)).cast("int"))
         .select(

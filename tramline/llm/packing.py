@@ -12,13 +12,14 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tramline.llm.common import given_key, long_key
 from tramline.llm.common import pieces as parts_of
 
 SIZE = 2048
 END = 1
+#: Bits of a sequence id: the file and the place in it name a group, then comes the sequence in the group.
+FILE_BITS, PLACE_BITS, SEQUENCE_BITS = 20, 16, 27
 
 
 @lru_cache(maxsize=2)
@@ -51,20 +52,18 @@ def by_hash(rows: DataFrame, n: int, per_group: int) -> DataFrame:
     return rows.withColumn("_group", F.pmod(F.xxhash64("_key", F.crc32(F.col("_text").cast("binary"))), F.lit(groups)).cast("long"))
 
 
-def by_place(rows: DataFrame, file: str, row: str, per_group: int) -> DataFrame:
-    """``rows`` with a group for each ``per_group`` rows that follow one another in a file; files count by name.
-
-    The groups of a file begin where those of the files before it end: one row a file is ordered."""
-    counts = rows.groupBy(F.col(file).alias("_f")).agg(F.ceil((F.max(row) + 1) / per_group).alias("_n"))
-    before = Window.orderBy(F.length("_f"), "_f").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_f", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    return rows.join(starts, F.col(file) == F.col("_f")).withColumn("_group", (F.col("_first") + F.floor(F.col(row) / per_group)).cast("long"))
+def by_place(rows: DataFrame, name: str, row: str, per_group: int) -> DataFrame:
+    """``rows`` with a group for each ``per_group`` rows that follow one another in a file. Files that Spark wrote count by
+    the number of their part, any other ones by a hash of their name; nothing is shuffled to find the groups."""
+    part = F.regexp_extract(name, r"^part-([0-9]+)", 1).try_cast("long")
+    file = F.coalesce(part, F.pmod(F.xxhash64(name), F.lit(1 << FILE_BITS))) % (1 << FILE_BITS)
+    return rows.withColumn("_group", F.shiftleft(file, PLACE_BITS) + F.floor(F.col(row) / per_group).cast("long"))
 
 
 def has_files(docs: DataFrame) -> bool:
     """Whether the rows know their place in a file, as rows of a file source do."""
     try:
-        docs.select("_metadata.file_path", "_metadata.row_index").schema  # noqa: B018
+        docs.select("_metadata.file_name", "_metadata.row_index").schema  # noqa: B018
     except AnalysisException:
         return False
     return True
@@ -132,7 +131,7 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", si
     no piece."""
     chosen = [long_key(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")]
     if in_order and has_files(docs):
-        rows = by_place(docs.select(*chosen, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")), "_file", "_row", per_group)
+        rows = by_place(docs.select(*chosen, F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row")), "_file", "_row", per_group)
     else:
         rows = by_hash(docs.select(*chosen), docs.count(), per_group)
     cut = tokenised(rows, path, size)
@@ -146,7 +145,7 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", si
         packed = pack_group(list(zip(rest["doc_id"], rest["start"], rest["length"], rest["doc_tokens"], rest["ids"], strict=True)), size, linear, quadratic)
         out += [(d, s, n, c, t, first + i, o) for d, s, n, c, t, i, o in packed]
         got = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-        got["sequence_id"] += group << 32
+        got["sequence_id"] += group << SEQUENCE_BITS
         return got
 
     out = cut.groupBy("group").applyInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
