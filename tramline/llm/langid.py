@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from tramline.llm.common import fresh, in_slices, utf8
 
 #: Bytes a lane of the parse has. A longer text has several, which are joined to one parse (``joined_lanes``).
-BLOCK = 1024
+BLOCK = 512
 #: Bytes of text parsed at once in a task.
-SLICE = 1 << 20
+SLICE = 1 << 21
 #: Bytes of letters from which on a text's entropy tells whether it is in a taught language at all.
 LEAST_BYTES = 120
 
@@ -138,27 +138,30 @@ def phrases(model: Model, texts: list[bytes]) -> np.ndarray:
             row += n
     used = np.where(np.arange(lanes) == np.cumsum(blocks)[owner] - 1, lengths[owner] - (blocks[owner] - 1) * BLOCK, BLOCK)
     order = np.argsort(-used, kind="stable")
-    columns, used = np.ascontiguousarray(grid[order].T), used[order]
+    columns, used = np.ascontiguousarray(grid[order].T).astype(np.int32), used[order]
     alive = np.searchsorted(-used, -np.arange(BLOCK), side="left")  # lanes that have a byte at each step
     place = np.empty(lanes, np.int64)
     place[order] = np.arange(lanes)
     later = np.flatnonzero(np.concatenate([[False], owner[1:] == owner[:-1]]))  # lanes that go on a text
     for k, table in enumerate(model.step):
         width = table.shape[1]
-        flat = table.reshape(-1)
-        first = table[0]
+        # a state is named by where its row begins, so that a step is one sum and one look-up
+        flat = np.where(table < 0, -1, table * np.int32(width)).reshape(-1)
+        again = np.maximum(flat[:width], 0)
         state = np.zeros(lanes, np.int32)
         starts = np.zeros((BLOCK, lanes), bool)
         for i in range(BLOCK):
             n = alive[i]
             if not n:
                 break
-            c = columns[i, :n]
-            go = flat[state[:n] * width + c]
+            c, s = columns[i, :n], state[:n]
+            go = flat.take(s + c)
             stuck = go < 0
             # a new phrase starts at the byte that did not fit; if nothing starts with it, it stands alone
-            starts[i, :n] = stuck | (state[:n] == 0)
-            state[:n] = np.where(stuck, np.maximum(first[c], 0), go)
+            np.logical_or(stuck, s == 0, out=starts[i, :n])
+            np.copyto(s, go)
+            at = np.flatnonzero(stuck)
+            s[at] = again.take(c.take(at))
         count = starts.sum(axis=0, dtype=np.int64)
         if len(later):
             joined_lanes(flat, width, columns, used, starts, state, count, place[later], place[later - 1])
@@ -196,7 +199,7 @@ def joined_lanes(flat: np.ndarray, width: int, columns: np.ndarray, used: np.nda
             if not len(open_):
                 break
             s, c = at[open_], columns[i, lane[open_]]
-            go = flat[s * width + c]
+            go = flat.take(s + c)
             new = (go < 0) | (s == 0)
             meets = new & starts[i, lane[open_]]
             met = open_[meets]
