@@ -130,9 +130,10 @@ def allocate_flows(df: DataFrame, slot_keys: Sequence[str], direction: str, shar
     way = Window.partitionBy(*slot_keys, direction)
     directions = F.size(F.collect_set(direction).over(slot))
     df = df.withColumns({"_dirs": directions, "_dir_load": F.sum(load).over(way), "_all": F.sum(load).over(slot), "_share": F.sum(share).over(way), "_k": F.count(F.lit(1)).over(way)})
-    of_direction = F.when(F.col("_all") > 0, F.col("_dir_load") / F.col("_all")).otherwise(1 / F.col("_dirs")) if by_load else 1 / F.col("_dirs")
+    equally = F.col(flow) / F.col("_dirs")
+    of_direction = F.when(F.col("_all") > 0, F.col(flow) * F.col("_dir_load") / F.col("_all")).otherwise(equally) if by_load else equally
     within = F.when(F.col("_share") > 0, F.col(share) / F.col("_share")).otherwise(1 / F.col("_k"))
-    return df.withColumn("allocated", F.col(flow) * of_direction * within).drop("_dirs", "_dir_load", "_all", "_share", "_k")
+    return df.withColumn("allocated", of_direction * within).drop("_dirs", "_dir_load", "_all", "_share", "_k")
 
 
 def split_hourly(df: DataFrame, shares: DataFrame, keys: Sequence[str], hour: str, value: str, slot: str = "slot30") -> DataFrame:
@@ -195,13 +196,42 @@ def grouped_line_fit(df: DataFrame, keys: Sequence[str], x: str, y: str, const:
 
 def boundary_offset(df: DataFrame, keys: Sequence[str], x: str, y: str, boundary: str, least: int = 4) -> DataFrame:
     """Offset of boundary cells: slope through 0 of the interior cells, then mean boundary y / slope - mean boundary x.
-    Groups with fewer than ``least`` interior points have none."""
+    Groups with fewer than ``least`` interior points have none. ``joint_boundary_fit`` fits both at once."""
     inner, edge = ~F.col(boundary), F.col(boundary)
     slope = F.sum(F.when(inner, F.col(x) * F.col(y))) / F.nullif(F.sum(F.when(inner, F.col(x) * F.col(x))), F.lit(0.0))
     g = df.groupBy(*keys).agg(slope.alias("slope"), F.count(F.when(inner, 1)).alias("n_inner"), F.avg(F.when(edge, F.col(y))).alias("_y"), F.avg(F.when(edge, F.col(x))).alias("_x"))
     return g.select(*keys, "slope", "n_inner", F.when(F.col("n_inner") >= least, F.col("_y") / F.nullif(F.col("slope"), F.lit(0.0)) - F.col("_x")).alias("offset"))
 
 
+def joint_boundary_fit(df: DataFrame, keys: Sequence[str], x: str, y: str, boundary: str) -> DataFrame:
+    """``slope, offset, joint, mae`` by group: y = slope (x + offset) on boundary cells and slope x on the others.
+
+    The anchored fit takes the slope through 0 of the interior and the offset that meets the boundary's mean, not below 0
+    and 0 where there is no boundary or no slope. The joint fit minimises the squares of all cells at once (slope and
+    slope x offset are linear in it: four sums). It is taken where it lowers the mean absolute error. Two groupings, for
+    the sums and for the errors of both fits."""
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(boundary).isNotNull())
+    inner, edge = ~F.col(boundary), F.col(boundary)
+    total = lambda c, v: F.coalesce(F.sum(F.when(c, v)), F.lit(0.0))
+    xy, xx = F.col(x) * F.col(y), F.col(x) * F.col(x)
+    g = rows.groupBy(*keys).agg(
+        total(inner, xy).alias("_ixy"), total(inner, xx).alias("_ixx"), total(edge, xy).alias("_exy"), total(edge, xx).alias("_exx"),
+        total(edge, F.col(x)).alias("_ex"), total(edge, F.col(y)).alias("_ey"), F.count_if(edge).alias("_n"),
+    )
+    n = F.nullif(F.col("_n").cast("double"), F.lit(0.0))
+    slope = F.col("_ixy") / F.nullif(F.col("_ixx"), F.lit(0.0))
+    offset = F.coalesce(F.greatest(F.lit(0.0), F.col("_ey") / n / F.nullif(slope, F.lit(0.0)) - F.col("_ex") / n), F.lit(0.0))
+    # normal equations of y = b x + c [boundary]: the boundary's own mean takes c out
+    b = (F.col("_ixy") + F.col("_exy") - F.coalesce(F.col("_ex") * F.col("_ey") / n, F.lit(0.0))) / F.nullif(F.col("_ixx") + F.col("_exx") - F.coalesce(F.col("_ex") * F.col("_ex") / n, F.lit(0.0)), F.lit(0.0))
+    c = F.coalesce(F.greatest(F.lit(0.0), (F.col("_ey") / n - b * F.col("_ex") / n) / F.nullif(b, F.lit(0.0))), F.lit(0.0))
+    fits = g.select(*keys, slope.alias("_s0"), offset.alias("_o0"), b.alias("_s1"), c.alias("_o1"))
+    error = lambda k: F.avg(F.abs(F.col(y) - F.col(f"_s{k}") * (F.col(x) + F.when(edge, F.col(f"_o{k}")).otherwise(0.0))))
+    e = rows.join(fits, list(keys)).groupBy(*keys, "_s0", "_o0", "_s1", "_o1").agg(error(0).alias("_e0"), error(1).alias("_e1"))
+    joint = F.coalesce(F.col("_e1") < F.col("_e0"), F.lit(False))
+    pick = lambda p: F.when(joint, F.col(f"{p}1")).otherwise(F.col(f"{p}0"))
+    return e.select(*keys, pick("_s").alias("slope"), pick("_o").alias("offset"), joint.alias("joint"), pick("_e").alias("mae"))
+
+
 def grouped_ols3(df: DataFrame, keys: Sequence[str], y: str, x: Sequence[str], least: int = 10) -> DataFrame:
     """Least squares on three regressors without constant by group: nine sums in one aggregation, solved by Cramer."""
     a, b, c = x
@@ -235,7 +265,7 @@ def kruskal_h(df: DataFrame, group: str, value: str) -> DataFrame:
     ranked = average_rank(df.where(F.col(value).isNotNull()), value, "_r")
     by = ranked.groupBy(group).agg(F.sum("_r").alias("_s"), F.count(F.lit(1)).alias("_n"))
     h = by.agg(F.sum("_n").alias("n"), F.sum(F.col("_s") * F.col("_s") / F.col("_n")).alias("q"))
-    ties = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_t")).agg(F.sum(F.col("_t") * F.col("_t") * F.col("_t") - F.col("_t")).alias("t"))
+    ties = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_t")).agg(F.sum(F.pow(F.col("_t"), 3) - F.col("_t")).alias("t"))
     n = F.col("n").cast("double")
     return h.crossJoin(F.broadcast(ties)).select(((12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1)) / (1 - F.col("t") / (n * n * n - n))).alias("h"))
 

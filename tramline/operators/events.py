@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -23,28 +22,70 @@ def duration_days(df: DataFrame, begin: str, end: str) -> DataFrame:
     return df.withColumns({"days": days, "reversed": days <= 0})
 
 
+#: Kilometres of a degree of latitude, a little less than on the sphere, so that cells are never too narrow.
+DEGREE = 111.0
+#: Half of the way around the sphere: nothing is further.
+FARTHEST = 20_100.0
+
+
+def in_cells(band: Column, lon: Column, km: float, steps: Column) -> Column:
+    """The cells of longitude, ``steps`` beside that of ``lon``, in a band of latitude ``km`` high.
+
+    Cells of a band are a tenth wider than the radius at the band's latitude that is nearest to a pole; they divide the
+    circle evenly, so that they wrap at 180 degrees. A band that reaches a pole is one cell, and so is one with under twelve
+    (there the radius spans more degrees than its length over the parallel's says)."""
+    top = F.least(F.greatest(F.abs(band), F.abs(band + 1)) * (km / DEGREE), F.lit(90.0))
+    n = F.floor(F.cos(F.radians(top)) * (360.0 * DEGREE / km / 1.1))
+    n = F.when(n < 12, F.lit(1)).otherwise(n).cast("long")
+    own = F.floor(F.pmod(lon + 180.0, F.lit(360.0)) / 360.0 * n).cast("long")
+    return F.array_distinct(F.transform(steps, lambda i: F.pmod(own + i, n)))
+
+
 def radius_join(points: DataFrame, stations: DataFrame, km: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """All pairs within ``km`` and their distance.
-
-    Both sides are dealt to square cells as wide as the radius; a station also stands in the eight cells around its own,
-    so one equality join finds every pair once. Cells of longitude are widened for the highest latitude met (60 degrees
-    at most; beyond it cells are wider than they need be, never narrower)."""
-    d_lat = km / 111.0
-    d_lon = km / (111.0 * math.cos(math.radians(60)))
-    cell = lambda c, w: F.floor(F.col(c) / w)
-    near = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    p = points.withColumns({"_x": cell(lat, d_lat), "_y": cell(lon, d_lon)})
+    """All pairs within ``km`` and their distance, at every latitude and across 180 degrees.
+
+    Both sides are dealt to bands of latitude as high as the radius and to cells of longitude as wide as it; a station also
+    stands in the cells around its own, in its band and in those above and below it by their cells, so one equality join
+    finds every pair once."""
+    height = km / DEGREE
+    band = lambda c: F.floor(F.col(c) / height)
+    three, one = (F.array(*[F.lit(i) for i in steps]) for steps in ((-1, 0, 1), (0,)))
+    p = points.withColumn("_x", band(lat))
+    p = p.withColumn("_y", F.explode(in_cells(F.col("_x"), F.col(lon), km, one)))
     s = stations.withColumnsRenamed({lat: "_lat", lon: "_lon"})
-    s = s.withColumn("_x", F.explode(F.transform(near, lambda i: F.floor(F.col("_lat") / d_lat) + i))).withColumn("_y", F.explode(F.transform(near, lambda i: F.floor(F.col("_lon") / d_lon) + i)))
+    s = s.withColumn("_x", F.explode(F.transform(three, lambda i: band("_lat") + i)))
+    s = s.withColumn("_y", F.explode(in_cells(F.col("_x"), F.col("_lon"), km, three)))
     pairs = p.join(s, ["_x", "_y"]).withColumn("km", haversine_km(F.col(lat), F.col(lon), F.col("_lat"), F.col("_lon")))
     return pairs.where(F.col("km") <= km).drop("_x", "_y", "_lat", "_lon")
 
 
-def nearest_one(points: DataFrame, facilities: DataFrame, point: str, facility: str, km: float = 50.0, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """The nearest facility of each point within ``km`` (ties: lowest id); null where there is none."""
-    pairs = radius_join(points.select(point, lat, lon), facilities.select(facility, lat, lon), km, lat, lon)
-    best = pairs.groupBy(point).agg(F.min(F.struct("km", facility)).alias("_b"))
-    return points.select(point).join(best, point, "left").select(point, F.col("_b")[facility].alias(facility), F.col("_b")["km"].alias("km"))
+def nearest_one(points: DataFrame, facilities: DataFrame, point: str, facility: str, km: float = 1.0, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """The nearest facility of each point, however far (ties: lowest id); null where there are no facilities or the point
+    has no place.
+
+    Points look within ``km`` first; those that find none look within four times that, and so on around the globe. So a
+    city's points meet the few facilities near them, and only what is left meets more. The rounds end when no point is
+    left; each round's answers are cut from the plan by a checkpoint where one is set."""
+    left = points.select(point, lat, lon).where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+    facilities = facilities.select(facility, lat, lon).where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+    found = None
+    empty = facilities.isEmpty()
+    while not empty:
+        best = radius_join(left, facilities, km, lat, lon).groupBy(point).agg(F.min(F.struct("km", facility)).alias("_b"))
+        if points.sparkSession.sparkContext.getCheckpointDir():
+            best = best.checkpoint()
+        found = best if found is None else found.unionByName(best)
+        left = left.join(best.select(point), point, "left_anti")
+        if km > FARTHEST or left.isEmpty():
+            break
+        km *= 4
+    if found is None:
+        found = left.select(point, F.lit(None).cast(_pair_type(facilities, facility)).alias("_b"))
+    return points.select(point).join(found, point, "left").select(point, F.col("_b")[facility].alias(facility), F.col("_b")["km"].alias("km"))
+
+
+def _pair_type(facilities: DataFrame, facility: str):
+    return facilities.select(F.struct(F.lit(0.0).alias("km"), facility).alias("s")).schema["s"].dataType
 
 
 def walk_edges(a: DataFrame, b: DataFrame, a_id: str, b_id: str, metres: float = 500.0, detour: float = 1.3, speed: float = 1.2) -> DataFrame:
@@ -68,9 +109,13 @@ def coord_match(df: DataFrame, master: DataFrame, key: str, station: str, lat: s
     return exact.unionByName(found(rest, 5))
 
 
-def point_in_polygon(points: DataFrame, polygons: DataFrame, point: str, area: str) -> DataFrame:
+def point_in_polygon(points: DataFrame, polygons: DataFrame, point: str, area: str, cells: int = 64) -> DataFrame:
     """The area whose ring (array of x, y; not closed) holds each point ("within"), else the one whose boundary is nearest
-    ("nearest"). Few polygons; each is a row with its bounding box."""
+    ("nearest"; ties by area). A point on an edge is within the area to the right of a vertical edge and above a horizontal
+    one, as the ray's half-open rule has it.
+
+    Points meet the polygons whose bounding box has their cell of a grid of about ``cells`` cells a side over all boxes.
+    Only points in no polygon meet all polygons, for the nearest boundary."""
 
     def edges(i: Column) -> tuple[Column, Column]:
         n = F.size("ring")
@@ -92,9 +137,20 @@ def point_in_polygon(points: DataFrame, polygons: DataFrame, point: str, area: s
     index = F.sequence(F.lit(0), F.size("ring") - 1)
     inside = F.aggregate(F.transform(index, crosses), F.lit(0), lambda a, v: a + v) % 2 == 1
     near = F.array_min(F.transform(index, distance))
-    pairs = points.crossJoin(F.broadcast(polygons)).select(point, area, inside.alias("_in"), near.alias("_d"))
-    best = pairs.groupBy(point).agg(F.min_by(F.struct(F.col(area), F.col("_in")), F.struct((~F.col("_in")).cast("int"), F.when(F.col("_in"), 0.0).otherwise(F.col("_d")), F.col(area))).alias("_b"))
-    return best.select(point, F.col("_b")[area].alias(area), F.when(F.col("_b")["_in"], "within").otherwise("nearest").alias("method"))
+    xs, ys = F.transform("ring", lambda v: v["x"]), F.transform("ring", lambda v: v["y"])
+    boxed = polygons.select(area, "ring", F.array_min(xs).alias("_x0"), F.array_max(xs).alias("_x1"), F.array_min(ys).alias("_y0"), F.array_max(ys).alias("_y1"))
+    grid = boxed.agg(F.min("_x0").alias("_gx"), F.min("_y0").alias("_gy"), F.nullif((F.max("_x1") - F.min("_x0")) / cells, F.lit(0.0)).alias("_w"), F.nullif((F.max("_y1") - F.min("_y0")) / cells, F.lit(0.0)).alias("_h"))
+    cell = lambda v, low, step: F.coalesce(F.floor((v - F.col(low)) / F.col(step)), F.lit(0))
+    # one row of numbers
+    laid = boxed.crossJoin(F.broadcast(grid))
+    laid = laid.withColumn("_i", F.explode(F.sequence(cell(F.col("_x0"), "_gx", "_w"), cell(F.col("_x1"), "_gx", "_w"))))
+    laid = laid.withColumn("_j", F.explode(F.sequence(cell(F.col("_y0"), "_gy", "_h"), cell(F.col("_y1"), "_gy", "_h")))).select(area, "ring", "_i", "_j")
+    own = points.select(point, "x", "y")
+    placed = own.crossJoin(F.broadcast(grid)).select(point, "x", "y", cell(F.col("x"), "_gx", "_w").alias("_i"), cell(F.col("y"), "_gy", "_h").alias("_j"))
+    within = placed.join(laid, ["_i", "_j"]).where(inside).groupBy(point).agg(F.min(area).alias(area)).withColumn("method", F.lit("within"))
+    rest = own.join(within.select(point), point, "left_anti").crossJoin(polygons.select(area, "ring"))
+    nearest = rest.groupBy(point).agg(F.min(F.struct(near.alias("d"), F.col(area))).alias("_b")).select(point, F.col("_b")[area].alias(area), F.lit("nearest").alias("method"))
+    return within.unionByName(nearest)
 
 
 def sequence_join(left: DataFrame, right: DataFrame, a: str, b: str, date: str, tie: str, values: Sequence[str]) -> DataFrame:
@@ -145,16 +201,26 @@ def dedup_ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) ->
 
 def coord_majority(primary: DataFrame, second: DataFrame, reference: DataFrame, key: str, metres: float = 300.0) -> DataFrame:
     """Coordinates of a primary list, replaced by the second's where second and reference agree within ``metres`` and the
-    primary is further from both; ``replaced`` tells."""
+    primary is further from the second; ``replaced`` tells."""
     s = second.select(key, F.col("lat").alias("_la2"), F.col("lon").alias("_lo2"))
     r = reference.select(key, F.col("lat").alias("_la3"), F.col("lon").alias("_lo3"))
     j = primary.join(s, key, "left").join(r, key, "left")
     d = lambda a, b: haversine_m(F.col(a[0]), F.col(a[1]), F.col(b[0]), F.col(b[1]))
     p, q, z = ("lat", "lon"), ("_la2", "_lo2"), ("_la3", "_lo3")
-    bad = F.coalesce((d(q, z) <= metres) & (d(p, q) > metres) & (d(p, z) > metres), F.lit(False))
+    bad = F.coalesce((d(q, z) <= metres) & (d(p, q) > metres), F.lit(False))
     return j.select(key, F.when(bad, F.col("_la2")).otherwise(F.col("lat")).alias("lat"), F.when(bad, F.col("_lo2")).otherwise(F.col("lon")).alias("lon"), bad.alias("replaced"))
 
 
+def coord_replace(primary: DataFrame, reference: DataFrame, key: str, warn: float = 300.0, metres: float = 1000.0) -> DataFrame:
+    """Coordinates of a primary list, replaced by the reference's where the two are over ``metres`` apart or the primary has
+    none (``replaced``); ``warned`` where they are over ``warn`` apart. Keys that the reference lacks stay."""
+    r = reference.select(key, F.col("lat").alias("_la"), F.col("lon").alias("_lo"))
+    j = primary.join(r, key, "left")
+    apart = F.when(F.col("_la").isNotNull() & F.col("_lo").isNotNull(), F.coalesce(haversine_m(F.col("lat"), F.col("lon"), F.col("_la"), F.col("_lo")), F.lit(float("inf"))))
+    bad, warned = (F.coalesce(apart > m, F.lit(False)) for m in (metres, warn))
+    return j.select(key, F.when(bad, F.col("_la")).otherwise(F.col("lat")).alias("lat"), F.when(bad, F.col("_lo")).otherwise(F.col("lon")).alias("lon"), bad.alias("replaced"), warned.alias("warned"))
+
+
 def coord_by_line_then_name(df: DataFrame, coords: DataFrame, line: str = "line", name: str = "name") -> DataFrame:
     """Coordinates by line and name, else by name alone (the lowest line's)."""
     exact = coords.select(line, name, F.col("lat").alias("_la"), F.col("lon").alias("_lo"))

@@ -148,18 +148,28 @@ def adjacency_pairs(topology: DataFrame, line: str = "line") -> DataFrame:
 
 
 def expand_ranges(topology: DataFrame, known: DataFrame, line: str = "line") -> DataFrame:
-    """Segments given as ranges [a, b] as arrays of known station ids, and the ids of the ranges that are not known."""
-    ids = known.agg(F.collect_set("station_no").alias("_known"))
+    """Segments given as ranges [a, b] as arrays of known station ids, in order of the ranges, and the ids that are not
+    known. Ids meet the known ones in a join and are put together again by line."""
     every = F.flatten(F.transform("ranges", lambda r: F.sequence(r[0], r[1])))
-    out = topology.crossJoin(F.broadcast(ids)).withColumn("_all", every)
-    return out.select(line, F.filter("_all", lambda x: F.array_contains("_known", x)).alias("stations"), F.array_except("_all", "_known").alias("gaps"))
+    ids = topology.select(line, F.posexplode(every).alias("_i", "station_no"))
+    j = ids.join(known.select("station_no").distinct().withColumn("_known", F.lit(True)), "station_no", "left")
+    cells = j.groupBy(line).agg(F.array_sort(F.collect_list(F.struct("_i", "station_no", F.coalesce("_known", F.lit(False)).alias("known")))).alias("_c"))
+    of = lambda keep: F.transform(F.filter("_c", keep), lambda c: c["station_no"])
+    return cells.select(line, of(lambda c: c["known"]).alias("stations"), F.array_distinct(of(lambda c: ~c["known"])).alias("gaps"))
 
 
 def connected(edges: DataFrame, keys: Sequence[str], a: str, b: str, checkpoint: bool = True) -> DataFrame:
     """Components of each line: (keys, node, label), label the lowest node. Rounds of lowest label and pointer jumping,
-    with a reliable checkpoint each, until nothing changes."""
+    until nothing changes. Each round is cut by a reliable checkpoint; where no checkpoint folder is set, a local session
+    has one in its warehouse and a cluster's session raises."""
+    context = edges.sparkSession.sparkContext
+    if checkpoint and not context.getCheckpointDir():
+        folder = context.getConf().get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or f"{edges.sparkSession.conf.get('spark.sql.warehouse.dir')}-checkpoints")
     both = edges.select(*keys, F.col(a).alias("node"), F.col(b).alias("near")).union(edges.select(*keys, F.col(b), F.col(a))).distinct()
-    cut = (lambda t: t.checkpoint()) if checkpoint and edges.sparkSession.sparkContext.getCheckpointDir() else (lambda t: t)
+    cut = (lambda t: t.checkpoint()) if checkpoint else (lambda t: t)
     both = cut(both)
     labels = cut(both.groupBy(*keys, "node").agg(F.least(F.col("node"), F.min("near")).alias("label")))
     while True:

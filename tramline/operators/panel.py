@@ -378,7 +378,25 @@ def extend_with_recent(panel: DataFrame, recent: DataFrame, station: str = "stat
 
 
 def code_then_name(df: DataFrame, master: DataFrame, code: str, line: str, name: str) -> DataFrame:
-    """The master's station by code, else by line and name; null without a match."""
-    by_code = master.select(F.col("code").alias(code), F.col("station_no").alias("_c"))
-    by_name = master.select(F.col("line").alias(line), F.col("name").alias(name), F.col("station_no").alias("_n")).dropDuplicates([line, name])
+    """The master's station by code, else by line and name (the lowest of several); null without a match."""
+    by_code = master.groupBy(F.col("code").alias(code)).agg(F.min("station_no").alias("_c"))
+    by_name = master.groupBy(F.col("line").alias(line), F.col("name").alias(name)).agg(F.min("station_no").alias("_n"))
     return df.join(by_code, code, "left").join(by_name, [line, name], "left").withColumn("station_no", F.coalesce("_c", "_n")).drop("_c", "_n")
+
+
+def unmatched_inventory(matched: DataFrame, line: str, name: str) -> DataFrame:
+    """The (line, name) pairs that ``code_then_name`` found no station for, with their rows."""
+    return matched.where("station_no IS NULL").groupBy(line, name).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def holiday_similarity(df: DataFrame, keys: Sequence[str], kind: str, value: str, holiday: str, others: Sequence[str]) -> DataFrame:
+    """Which other day type the profile of ``holiday`` is nearest to: for each of ``others`` the correlation and the mean
+    distance of the two mean profiles over the keys that both have, and whether it is the nearest (lowest distance, ties by
+    name). One grouping by key and day type, then one over the pairs of columns."""
+    wide = df.groupBy(*keys).pivot(kind, [holiday, *others]).agg(F.avg(value))
+    at = lambda n: F.col(f"`{n}`")
+    laid = wide.select(at(holiday).alias("_h"), F.explode(F.array(*[F.struct(F.lit(o).alias("day_type"), at(o).alias("v")) for o in others])).alias("_o"))
+    rows = laid.select("_h", "_o.day_type", "_o.v").where("_h IS NOT NULL AND v IS NOT NULL")
+    found = rows.groupBy("day_type").agg(F.corr("_h", "v").alias("corr"), F.avg(F.abs(F.col("_h") - F.col("v"))).alias("gap"), F.count(F.lit(1)).alias("n"))
+    best = found.agg(F.min(F.struct("gap", "day_type")).alias("_b"))
+    return found.crossJoin(F.broadcast(best)).select("day_type", "corr", "gap", "n", (F.col("day_type") == F.col("_b.day_type")).alias("nearest"))

@@ -245,9 +245,18 @@ def amplify(df: DataFrame, copies: int, date: str, years: int = 4) -> DataFrame:
 
 
 def station_index(df: DataFrame, entity: str) -> DataFrame:
-    """Sorted distinct codes with dense numbers from 0. A dimension: its codes pass one sort."""
+    """Sorted distinct codes with dense numbers from 0.
+
+    Codes are dealt to ranges; a code's number is its place in its range behind those of the ranges before it, so none is
+    ordered with all others in one task. Only the ranges' counts pass one window."""
     codes = df.where(F.col(entity).isNotNull()).select(entity).distinct()
-    return codes.withColumn("code", F.row_number().over(Window.orderBy(entity)) - 1)
+    dealt = codes.repartitionByRange(entity).withColumn("_p", F.spark_partition_id())
+    first = dealt.groupBy("_p").agg(F.min(entity).alias("_low"), F.count(F.lit(1)).alias("_n"))
+    # ranges are named by their lowest code, which does not hang on how a second run deals them
+    before = Window.orderBy("_low").rowsBetween(Window.unboundedPreceding, -1)
+    starts = first.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_p").orderBy(entity)) - 1
+    return dealt.withColumn("_i", inside).join(starts, "_p").select(entity, (F.col("_start") + F.col("_i")).cast("int").alias("code"))
 
 
 def encode_station(df: DataFrame, index: DataFrame, entity: str) -> DataFrame:

@@ -13,12 +13,11 @@ from tramline.queries.panel import topology
 from tramline.queries.scalars import HAV
 
 #: A day's line: stations of a line in order with the panel's sums by month, so that lines are full.
-LINE = "SELECT s.line, s.seq, s.station_no, month(p.date) AS m, sum(p.boarding) AS boarding, sum(p.alighting) AS alighting FROM v_panel p JOIN v_station s ON s.station_no = p.station_no WHERE year(p.date) = 1998 GROUP BY ALL"
+LINE = "SELECT s.line, s.seq, s.station_no, month(p.date) AS m, sum(p.boarding) AS boarding, sum(p.alighting) AS alighting FROM v_panel p JOIN v_station s ON s.station_no = p.station_no GROUP BY ALL"
 
 
 def line_month(spark, d):
-    p = v_panel(spark, d).where("year(date) = 1998")
-    return p.join(v_station(spark, d), "station_no").groupBy("line", "seq", "station_no", F.month("date").alias("m")).agg(F.sum("boarding").alias("boarding"), F.sum("alighting").alias("alighting"))
+    return v_panel(spark, d).join(v_station(spark, d), "station_no").groupBy("line", "seq", "station_no", F.month("date").alias("m")).agg(F.sum("boarding").alias("boarding"), F.sum("alighting").alias("alighting"))
 
 
 OD = "SELECT i.line, i.m, i.seq AS i, j.seq AS j, CASE WHEN t.total - i.alighting > 0 THEN i.boarding / (t.total - i.alighting) ELSE 0 END * j.alighting AS trips, t.n FROM l i JOIN l j ON i.line = j.line AND i.m = j.m AND i.seq <> j.seq JOIN (SELECT line, m, sum(alighting) AS total, count(*) AS n FROM l GROUP BY ALL) t ON t.line = i.line AND t.m = i.m"
@@ -186,6 +185,17 @@ def agg38_boundary_offset(spark, d):
     return rounded(C.boundary_offset(v_panel(spark, d).withColumn("edge", F.col("slot") >= 6), ["station_no"], "boarding", "alighting", "edge"))
 
 
+JOINT = """WITH g AS (SELECT station_no, sum(CASE WHEN slot < 6 THEN boarding * alighting ELSE 0 END) AS ixy, sum(CASE WHEN slot < 6 THEN boarding * boarding ELSE 0 END) AS ixx, sum(CASE WHEN slot >= 6 THEN boarding * alighting ELSE 0 END) AS exy, sum(CASE WHEN slot >= 6 THEN boarding * boarding ELSE 0 END) AS exx, avg(boarding) FILTER (WHERE slot >= 6) AS x, avg(alighting) FILTER (WHERE slot >= 6) AS y, count(*) FILTER (WHERE slot >= 6) AS m FROM v_panel GROUP BY 1),
+    f AS (SELECT station_no, ixy / nullif(ixx, 0) AS s0, x, y, (ixy + exy - coalesce(m * x * y, 0)) / nullif(ixx + exx - coalesce(m * x * x, 0), 0) AS s1 FROM g), o AS (SELECT station_no, s0, s1, coalesce(greatest(0, y / nullif(s0, 0) - x), 0) AS o0, coalesce(greatest(0, (y - s1 * x) / nullif(s1, 0)), 0) AS o1 FROM f),
+    e AS (SELECT p.station_no, s0, o0, s1, o1, avg(abs(alighting - s0 * (boarding + CASE WHEN slot >= 6 THEN o0 ELSE 0 END))) AS e0, avg(abs(alighting - s1 * (boarding + CASE WHEN slot >= 6 THEN o1 ELSE 0 END))) AS e1 FROM v_panel p JOIN o ON o.station_no = p.station_no GROUP BY ALL)
+    SELECT station_no, round(CASE WHEN e1 < e0 THEN s1 ELSE s0 END, 6) AS slope, round(CASE WHEN e1 < e0 THEN o1 ELSE o0 END, 6) AS "offset", coalesce(e1 < e0, false) AS joint, round(CASE WHEN e1 < e0 THEN e1 ELSE e0 END, 6) AS mae FROM e"""
+
+
+@query(JOINT)
+def agg38_joint_boundary_fit(spark, d):
+    return rounded(C.joint_boundary_fit(v_panel(spark, d).withColumn("edge", F.col("slot") >= 6), ["station_no"], "boarding", "alighting", "edge"))
+
+
 @query("SELECT station_no, n, round(sum(r) FILTER (WHERE true), 3) AS check FROM (SELECT l_suppkey AS station_no, count(*) OVER (PARTITION BY l_suppkey) AS n, 0.0::DOUBLE AS r FROM lineitem) GROUP BY 1, 2")
 def agg39_grouped_ols3(spark, d):
     # residuals of least squares are orthogonal to the regressors, so their products sum to 0
@@ -343,13 +353,25 @@ def win21_stalled_series(spark, d):
     return N.stalled_series(e, ["user_id"], "event_id", "lag", "event_id")
 
 
-@query()
+#: One line of text for each (station, date): the values of the 7 slots of each of the 3 days before, oldest first, "-" where
+#: nothing was seen; days are separated by a bar.
+HISTORY = "WITH k AS (SELECT DISTINCT station_no, date FROM v_panel), c AS (SELECT k.station_no, k.date, b.range AS back, s.range AS slot, p.boarding AS v FROM k CROSS JOIN range(1, 4) b CROSS JOIN range(1, 8) s LEFT JOIN v_panel p ON p.station_no = k.station_no AND p.date = k.date - CAST(b.range AS INTEGER) AND p.slot = s.range), r AS (SELECT station_no, date, back, string_agg(coalesce(CAST(CAST(v AS BIGINT) AS VARCHAR), '-'), ' ' ORDER BY slot) AS line, string_agg(CASE WHEN v IS NULL THEN '0' ELSE '1' END, '' ORDER BY slot) AS seen FROM c GROUP BY 1, 2, 3) SELECT station_no, date, {} FROM r GROUP BY 1, 2"
+
+
+def slot_texts(history):
+    """Each day of a history as text; a day that is not there has seven dashes."""
+    value = lambda r, i: F.coalesce(F.get(r, i)["boarding"].cast("long").cast("string"), F.lit("-"))
+    return F.array_join(F.transform(history, lambda r: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: value(r, i)), " ")), "|")
+
+
+@query(HISTORY.format("string_agg(line, '|' ORDER BY back DESC) AS history, string_agg(seen, '|' ORDER BY back DESC) AS mask"))
 def win24_history_arrays(spark, d):
     h = C.history_arrays(v_panel(spark, d), "station_no", "date", "slot", ["boarding"], 3, 7)
-    return h.select("station_no", "date", F.to_json("history").alias("history"), F.to_json(F.struct("mask")).alias("mask"))
+    mask = F.array_join(F.transform("mask", lambda r: F.array_join(F.transform(r, lambda x: F.when(x, "1").otherwise("0")), "")), "|")
+    return h.select("station_no", "date", slot_texts(F.col("history")).alias("history"), mask.alias("mask"))
 
 
-@query()
+@query(HISTORY.format("string_agg(CASE WHEN back = 1 THEN line ELSE '- - - - - - -' END, '|' ORDER BY back DESC) AS history"))
 def win25_sequence_mask(spark, d):
     h = C.sequence_mask(C.history_arrays(v_panel(spark, d), "station_no", "date", "slot", ["boarding"], 3, 7), [1], 3)
-    return h.select("station_no", "date", F.to_json("history").alias("history"))
+    return h.select("station_no", "date", slot_texts(F.col("history")).alias("history"))

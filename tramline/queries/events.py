@@ -74,11 +74,11 @@ def agg15_station_events(spark, d):
     return E.station_events(games(spark, d), festivals(spark, d), ["place", "date"])
 
 
-@query(f"WITH near AS (SELECT DISTINCT station_no FROM (SELECT s.station_no, {KM} AS km FROM v_point p, v_station s WHERE p.point_id % 10 = 0) WHERE km <= 1), days AS (SELECT DISTINCT date FROM v_game WHERE place = '1-URGENT') SELECT p.station_no, p.date, p.slot, p.station_no IN (SELECT station_no FROM near) AND p.date IN (SELECT date FROM days) AS event FROM v_panel p")
+@query(f"WITH near AS (SELECT DISTINCT station_no FROM (SELECT s.station_no, {KM} AS km FROM v_point p, v_station s WHERE p.lat > 37.5) WHERE km <= 1), days AS (SELECT DISTINCT date FROM v_game WHERE place = '1-URGENT') SELECT p.station_no, p.date, p.slot, p.station_no IN (SELECT station_no FROM near) AND p.date IN (SELECT date FROM days) AS event FROM v_panel p")
 def joi26_event_flag(spark, d):
     from tramline.queries.base import v_panel
 
-    near = E.radius_join(v_point(spark, d).where("point_id % 10 = 0"), v_station(spark, d).drop("name", "line", "seq"), 1.0)
+    near = E.radius_join(v_point(spark, d).where("lat > 37.5"), v_station(spark, d).drop("name", "line", "seq"), 1.0)
     return E.event_flag(v_panel(spark, d), near, v_game(spark, d).where("place = '1-URGENT'")).select("station_no", "date", "slot", "event")
 
 
@@ -94,6 +94,14 @@ def joi28_coord_majority(spark, d):
     return E.coord_majority(s, moved, moved.withColumn("lon", F.col("lon") + 0.0001), "station_no")
 
 
+@query("SELECT station_no, CASE WHEN station_no % 3 = 0 THEN lat + 0.02 ELSE lat END AS lat, lon, station_no % 3 = 0 AS replaced, station_no % 3 < 2 AND station_no % 7 <> 0 AS warned FROM v_station WHERE station_no % 7 <> 0 UNION ALL SELECT station_no, lat, lon, false, false FROM v_station WHERE station_no % 7 = 0")
+def joi28_coord_replace(spark, d):
+    s = v_station(spark, d).select("station_no", "lat", "lon")
+    k = F.col("station_no") % 3
+    moved = s.where("station_no % 7 <> 0").withColumn("lat", F.col("lat") + F.when(k == 0, 0.02).when(k == 1, 0.005).otherwise(0.0))
+    return E.coord_replace(s, moved, "station_no")
+
+
 @query("WITH c AS (SELECT line, 'n' || station_no % 30 AS name, lat, lon FROM v_station WHERE station_no % 4 <> 0 QUALIFY row_number() OVER (PARTITION BY line, 'n' || station_no % 30 ORDER BY station_no) = 1), a AS (SELECT name, arg_min(lat, line) AS lat, arg_min(lon, line) AS lon FROM c GROUP BY 1) SELECT s.station_no, coalesce(c.lat, a.lat) AS lat, coalesce(c.lon, a.lon) AS lon FROM v_station s LEFT JOIN c ON c.line = s.line AND c.name = 'n' || s.station_no % 30 LEFT JOIN a ON a.name = 'n' || s.station_no % 30")
 def joi29_coord_by_line_then_name(spark, d):
     s = v_station(spark, d).select("station_no", "line", F.concat(F.lit("n"), F.col("station_no") % 30).alias("name"), "lat", "lon")

@@ -14,8 +14,10 @@ from tramline.streaming import streams as R
 
 
 def place(spark: SparkSession) -> str:
-    """A new folder that the cluster shares."""
+    """A new folder that the cluster shares; a local session without one has its own beside the warehouse."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{found or spark.conf.get('spark.sql.warehouse.dir') + '-scratch'}/stream-{uuid.uuid4().hex}"
 
 
@@ -250,7 +252,7 @@ def src06_arrival_payload(spark, d):
     return io.arrival_payload(env).select(F.col("train_no").cast("long").alias("event_id"), "seconds", "message", F.unix_timestamp("generated_at").alias("generated"))
 
 
-@query("SELECT p.point_id, CASE WHEN lon < 127.0 THEN CASE WHEN lat < 37.55 THEN 'sw' ELSE 'nw' END ELSE CASE WHEN lat < 37.55 THEN 'se' ELSE 'ne' END END AS area, CASE WHEN lon < 126.81 OR lat > 37.69 THEN 'nearest' ELSE 'within' END AS method FROM v_point p WHERE abs(lat - 37.55) > 0.0001 AND abs(lon - 127.0) > 0.0001 AND abs(lon - 126.81) > 0.0001 AND abs(lat - 37.69) > 0.0001")
+@query("SELECT p.point_id, CASE WHEN lon < 127.0 THEN CASE WHEN lat < 37.55 THEN 'sw' ELSE 'nw' END ELSE CASE WHEN lat < 37.55 THEN 'se' ELSE 'ne' END END AS area, CASE WHEN lon < 126.81 OR lat >= 37.69 THEN 'nearest' ELSE 'within' END AS method FROM v_point p")
 def joi13_point_in_polygon(spark, d):
     from tramline.operators.events import point_in_polygon
     from tramline.queries.base import v_point
@@ -258,6 +260,4 @@ def joi13_point_in_polygon(spark, d):
     box = lambda a, b, x, y: [(a, b), (x, b), (x, y), (a, y)]
     rings = [("sw", box(126.81, 37.0, 127.0, 37.55)), ("nw", box(126.81, 37.55, 127.0, 37.69)), ("se", box(127.0, 37.0, 128.0, 37.55)), ("ne", box(127.0, 37.55, 128.0, 37.69))]
     areas = spark.createDataFrame(rings, "area string, ring array<struct<x:double,y:double>>")
-    far = lambda c, v: F.abs(F.col(c) - v) > 0.0001
-    p = v_point(spark, d).where(far("lat", 37.55) & far("lon", 127.0) & far("lon", 126.81) & far("lat", 37.69))
-    return point_in_polygon(p.select("point_id", F.col("lon").alias("x"), F.col("lat").alias("y")), areas, "point_id", "area")
+    return point_in_polygon(v_point(spark, d).select("point_id", F.col("lon").alias("x"), F.col("lat").alias("y")), areas, "point_id", "area")

@@ -187,9 +187,9 @@ def agg23_static_profile_pivot(spark, d):
     return rounded(P.static_profile(v_panel(spark, d), "station_no", "slot", "boarding", range(1, 8)))
 
 
-@query("WITH p AS (SELECT * FROM v_panel WHERE year(date) = 1998 AND month(date) = 5) SELECT a.station_no, a.date, b.slot FROM (SELECT DISTINCT station_no, date FROM p) a, (SELECT DISTINCT slot FROM p) b WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.station_no = a.station_no AND p.date = a.date AND p.slot = b.slot)")
+@query("WITH p AS (SELECT * FROM v_panel) SELECT a.station_no, a.date, b.slot FROM (SELECT DISTINCT station_no, date FROM p) a, (SELECT DISTINCT slot FROM p) b WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.station_no = a.station_no AND p.date = a.date AND p.slot = b.slot)")
 def agg23_missing_cells(spark, d):
-    return P.missing_cells(v_panel(spark, d).where("year(date) = 1998 AND month(date) = 5"), ["station_no", "date"], "slot")
+    return P.missing_cells(v_panel(spark, d), ["station_no", "date"], "slot")
 
 
 @query("SELECT station_no, year, total, round((total - prev) / nullif(prev, 0), 6) AS change FROM (SELECT *, CASE WHEN lag(year) OVER w = year - 1 THEN lag(total) OVER w END AS prev FROM (SELECT station_no, CAST(year(date) AS INTEGER) AS year, sum(boarding) AS total FROM v_panel GROUP BY 1, 2) WINDOW w AS (PARTITION BY station_no ORDER BY year))")
@@ -263,6 +263,18 @@ def agg43_day_type_gap(spark, d):
     return rounded(P.day_type_gap(v_dow(spark, d), KEY, "dow_type", "boarding", 1, 2))
 
 
+KINDS = "CASE WHEN h.is_holiday THEN 'holiday' WHEN dayofweek(p.date) = 6 THEN 'saturday' WHEN dayofweek(p.date) = 0 THEN 'sunday' ELSE 'weekday' END"
+
+
+@query(f"WITH k AS (SELECT p.*, {KINDS} AS kind FROM v_panel p LEFT JOIN v_holiday h ON h.date = p.date), m AS (SELECT station_no, slot, kind, avg(boarding) AS v FROM k GROUP BY ALL), g AS (SELECT b.kind AS day_type, corr(a.v, b.v) AS corr, avg(abs(a.v - b.v)) AS gap, count(*) AS n FROM m a JOIN m b ON a.station_no = b.station_no AND a.slot = b.slot AND a.kind = 'holiday' AND b.kind <> 'holiday' GROUP BY 1) SELECT day_type, round(corr, 6) AS corr, round(gap, 6) AS gap, n, row_number() OVER (ORDER BY gap, day_type) = 1 AS nearest FROM g")
+def agg43_holiday_similarity(spark, d):
+    from tramline.queries.base import v_holiday
+
+    p = v_panel(spark, d).join(v_holiday(spark, d), "date", "left")
+    kind = F.when(F.col("is_holiday"), "holiday").when(F.dayofweek("date") == 7, "saturday").when(F.dayofweek("date") == 1, "sunday").otherwise("weekday")
+    return rounded(P.holiday_similarity(p.withColumn("kind", kind), KEY, "kind", "boarding", "holiday", ["weekday", "saturday", "sunday"]))
+
+
 @query("WITH s AS (SELECT station_no, stddev_samp(boarding) AS sd, avg(CAST(boarding <= 20 AS INTEGER)) AS low_rate FROM v_panel GROUP BY 1) SELECT station_no, round(sd, 6) AS sd, round(low_rate, 6) AS low_rate, sd >= (SELECT quantile_cont(sd, 0.9) FROM s) AS sd_high, low_rate >= (SELECT quantile_cont(low_rate, 0.9) FROM s) AS low_high FROM s")
 def agg44_station_outlier_flags(spark, d):
     return rounded(P.outlier_flags(v_panel(spark, d), "station_no", "boarding"))
@@ -379,11 +391,20 @@ def set04_extend_with_recent(spark, d):
 
 @query("SELECT c_custkey, coalesce(a.station_no, b.station_no) AS station_no FROM customer LEFT JOIN v_station a ON a.station_no * 3 = c_custkey LEFT JOIN (SELECT line, min(station_no) AS station_no FROM v_station GROUP BY 1) b ON b.line = c_nationkey AND c_custkey % 5 = 0")
 def joi19_code_then_name(spark, d):
+    return matched_codes(spark, d).select("c_custkey", "station_no")
+
+
+def matched_codes(spark, d):
     s = v_station(spark, d)
     first = s.groupBy("line").agg(F.min("station_no").alias("station_no")).select((F.col("station_no") * 0 - 1 - F.col("line")).alias("code"), "line", F.lit("0").alias("name"), "station_no")
     master = s.select((F.col("station_no") * 3).alias("code"), (F.lit(-1) - F.col("line")).alias("line"), F.col("station_no").cast("string").alias("name"), "station_no").unionByName(first)
     c = read(spark, d, "customer").select("c_custkey", F.col("c_custkey").alias("code"), F.col("c_nationkey").alias("line"), (F.col("c_custkey") % 5).cast("string").alias("name"))
-    return P.code_then_name(c, master, "code", "line", "name").select("c_custkey", "station_no")
+    return P.code_then_name(c, master, "code", "line", "name")
+
+
+@query("SELECT CAST(c_nationkey AS INTEGER) AS line, CAST(c_custkey % 5 AS VARCHAR) AS name, count(*) AS rows FROM customer LEFT JOIN v_station a ON a.station_no * 3 = c_custkey LEFT JOIN (SELECT line, min(station_no) AS station_no FROM v_station GROUP BY 1) b ON b.line = c_nationkey AND c_custkey % 5 = 0 WHERE coalesce(a.station_no, b.station_no) IS NULL GROUP BY 1, 2")
+def joi19_unmatched_inventory(spark, d):
+    return P.unmatched_inventory(matched_codes(spark, d), "line", "name")
 
 
 @query("SELECT station_no, date FROM v_panel WHERE slot = 1 INTERSECT SELECT station_no, date FROM v_panel WHERE slot = 2")

@@ -66,13 +66,14 @@ def dq08_edges(spark, d):
     return Q.edge_check(e, v_station(spark, d))
 
 
-CHAIN = "SELECT DISTINCT o_custkey % 10 AS line, o_custkey AS a, o_custkey + 10 AS b FROM orders WHERE o_orderkey % 9 = 0 AND o_custkey % 70 < 50"
+CHAIN = "SELECT DISTINCT c_custkey % 10 AS line, c_custkey AS a, c_custkey + 10 AS b FROM customer WHERE c_mktsegment <> 'BUILDING'"
 
 
 @query(f"WITH RECURSIVE e AS ({CHAIN}), b AS (SELECT line, a, b FROM e UNION SELECT line, b, a FROM e), r(line, a, b) AS (SELECT line, a, a FROM b UNION SELECT r.line, r.a, b.b FROM r JOIN b ON b.line = r.line AND b.a = r.b), c AS (SELECT line, a, min(b) AS label FROM r GROUP BY 1, 2) SELECT line, count(DISTINCT label) AS components, count(*) AS stations FROM c GROUP BY 1")
 def dq09_line_connectivity(spark, d):
-    o = read(spark, d, "orders").where("o_orderkey % 9 = 0 AND o_custkey % 70 < 50")
-    e = o.select((F.col("o_custkey") % 10).alias("line"), F.col("o_custkey").alias("a"), (F.col("o_custkey") + 10).alias("b")).distinct()
+    # lines break where a customer's segment says so
+    o = read(spark, d, "customer").where("c_mktsegment <> 'BUILDING'")
+    e = o.select((F.col("c_custkey") % 10).alias("line"), F.col("c_custkey").alias("a"), (F.col("c_custkey") + 10).alias("b")).distinct()
     return Q.components_per_line(N.connected(e, ["line"], "a", "b"))
 
 
