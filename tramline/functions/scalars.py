@@ -141,3 +141,8 @@ def station_name(name: Column, alias: Mapping[str, str] | None = None, suffix: s
 def headway_minutes(value: Column) -> Column:
     """Minutes between buses; 0, blank and no number are null."""
     return F.nullif(F.trim(value).try_cast("int"), F.lit(0))
+
+
+def stable_number(*parts: Column) -> Column:
+    """A number from 0 up to 2^60 by the md5 of the parts: the same in every run and in any SQL engine that has md5."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 15), 16, 10).cast("long")

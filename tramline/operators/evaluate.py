@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tramline.functions.scalars import normal_cdf
+from tramline.functions.scalars import normal_cdf, stable_number
 
 
 def daily_losses(df: DataFrame, axes: dict[str, Column], truth: str, base: str, model: str, target: str = "target", date: str = "date") -> DataFrame:
@@ -36,7 +36,7 @@ def draws(losses: DataFrame, keys: Sequence[str], n: int, seed: int, date: str =
     numbered = days.withColumn("_i", F.row_number().over(Window.orderBy(date)) - 1)
     size = days.agg(F.count(F.lit(1)).alias("_size"))
     grid = losses.sparkSession.range(n).withColumnRenamed("id", "draw").crossJoin(F.broadcast(size)).withColumn("_place", F.explode(F.sequence(F.lit(1), F.col("_size"))))
-    picks = grid.select("draw", F.pmod(F.xxhash64("draw", "_place", F.lit(seed)), F.col("_size")).alias("_i"))
+    picks = grid.select("draw", F.pmod(stable_number(F.lit(seed), F.col("draw"), F.col("_place")), F.col("_size")).alias("_i"))
     times = picks.join(numbered, "_i").groupBy("draw", date).agg(F.count(F.lit(1)).alias("_k"))
     return times.join(losses, date).groupBy("draw", *keys).agg(*[F.sum(F.col(c) * F.col("_k")).alias(c) for c in ("n", "sse_base", "sae_base", "sse_model", "sae_model")])
 
@@ -139,7 +139,7 @@ def divergence_bounds(df: DataFrame, train: DataFrame, keys: Sequence[str], pred
 
 def stratified_sample(df: DataFrame, stratum: str, key: str, per_stratum: int, seed: int = 1) -> DataFrame:
     """``per_stratum`` rows of each stratum, the same ones on every run."""
-    w = Window.partitionBy(stratum).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    w = Window.partitionBy(stratum).orderBy(stable_number(F.lit(seed), F.col(key)), key)
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_stratum).drop("_r")
 
 

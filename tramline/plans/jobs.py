@@ -18,7 +18,7 @@ from tramline.operators import stock as S
 from tramline.sources import io
 
 
-def stock_refresh(rows: DataFrame, prior: DataFrame, last: Column, holidays: DataFrame | None = None, days: int = 28) -> tuple[DataFrame, DataFrame]:
+def stock_refresh(rows: DataFrame, prior: DataFrame, last: Column, holidays: DataFrame | None = None, days: int = 28, weight: float = 48.0, least: int = 6) -> tuple[DataFrame, DataFrame]:
     """P1: snapshots -> valid rows -> last of each slot -> daily partials -> 28-day profile -> blend -> full grid, and the
     findings of the grid's check. ``rows`` has event_id, station_id, collected_at, stock, racks."""
     clean = S.dedup_slot(S.valid_stock(rows), "station_id", "collected_at", "event_id").withColumn("date", F.col("collected_at").cast("date"))
@@ -30,7 +30,7 @@ def stock_refresh(rows: DataFrame, prior: DataFrame, last: Column, holidays: Dat
     recent = partials.where(F.col("date").between(F.date_sub(last, days - 1), last))
     n = F.sum("n")
     profile = recent.groupBy("station_id", "dow_type", "time_slot").agg((F.sum("stock_sum") / n).alias("exp_bikes"), (F.sum("empty_sum") / n).alias("p_empty"), (F.sum("full_sum") / n).alias("p_full"), n.alias("n"))
-    grid = S.complete_grid(S.blend_profile(prior, profile, ["station_id", "dow_type", "time_slot"]))
+    grid = S.complete_grid(S.blend_profile(prior, profile, ["station_id", "dow_type", "time_slot"], weight, least))
     checks = Q.rule_violations(grid, {"stock": F.col("exp_bikes") >= 0, "p_empty": F.col("p_empty").between(0, 1), "p_full": F.col("p_full").between(0, 1)}, "station_id")
     return grid, checks
 
@@ -102,11 +102,20 @@ def crowding(pred: DataFrame, calibration: DataFrame, targets: DataFrame, thresh
     return C.to_link_table(graded, targets.select("station_no", "direction", "to_station"))
 
 
-def train_table(timetable: DataFrame, flows: DataFrame, adjacent: DataFrame) -> DataFrame:
-    """P8: timetable (station_no, direction, train_id, arr_min) -> runs -> shares in the half hour -> flows allocated ->
-    load that arrives with each train. ``flows`` has station_no, direction, slot30, onboard."""
+def train_table(timetable: DataFrame, percent: DataFrame, adjacent: DataFrame, hourly: DataFrame, halves: DataFrame, capacity: float) -> DataFrame:
+    """P8: timetable (station_no, direction, train_id, arr_min) -> trains of each half hour -> people on board of them all ->
+    shares by headway -> load of each train; the station's hourly boardings -> half hours -> allocated over its trains of
+    both directions by load; runs -> load that arrives with each train.
+
+    ``percent`` has station_no, direction, slot30, percent (of ``capacity`` a train); ``hourly`` station_no, hour, boarding;
+    ``halves`` station_no, slot30, share of the hour."""
+    at = ["station_no", "direction", "slot30"]
+    onboard = percent.join(C.trains_per_slot(timetable, at[:2]), at).withColumn("onboard", F.col("percent") / 100 * capacity * F.col("trains"))
     shares = C.headway_share(timetable, ["station_no", "direction"])
-    allocated = shares.join(flows, ["station_no", "direction", "slot30"]).withColumn("load", F.col("onboard") * F.col("share"))
+    loaded = shares.join(onboard.select(*at, "onboard"), at).withColumn("load", F.col("onboard") * F.col("share"))
+    flows = C.split_hourly(hourly, halves, ["station_no"], "hour", "boarding").select("station_no", "slot30", "boarding_30min")
+    boarded = loaded.join(flows, ["station_no", "slot30"], "left")
+    allocated = C.allocate_flows(boarded, ["station_no", "slot30"], "direction", "share", "load", "boarding_30min", by_load=True).withColumnRenamed("allocated", "boarding")
     runs = C.run_split(allocated, ["direction", "train_id"], "arr_min", "station_no")
     return C.node_states(runs, ["direction", "train_id", "run"], ["arr_min", "station_no"], adjacent)
 

@@ -99,9 +99,9 @@ def allocation(spark, d):
     return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_returnflag").alias("dir"), F.col("l_quantity").alias("load"), F.col("l_discount").alias("share"), F.lit(1000.0).alias("flow"))
 
 
-@query(f"WITH a AS (SELECT *, sum(load) OVER d AS dl, sum(load) OVER o AS al, sum(share) OVER d AS ds, count(*) OVER d AS k FROM ({ALLOC}) WINDOW o AS (PARTITION BY l_orderkey), d AS (PARTITION BY l_orderkey, dir)) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(1000 * dl / al * CASE WHEN ds > 0 THEN share / ds ELSE 1.0 / k END, 4) AS allocated FROM a")
+@query(f"WITH a AS (SELECT *, sum(load) OVER d AS dl, sum(load) OVER o AS al, sum(share) OVER d AS ds, count(*) OVER d AS k FROM ({ALLOC}) WINDOW o AS (PARTITION BY l_orderkey), d AS (PARTITION BY l_orderkey, dir)) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(1000 * dl / al * CASE WHEN ds > 0 THEN share / ds ELSE 1.0 / k END, 6) AS allocated FROM a")
 def win09_allocate_flows(spark, d):
-    return rounded(C.allocate_flows(allocation(spark, d), ["l_orderkey"], "dir", "share", "load", "flow", by_load=True).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "allocated"), 4)
+    return rounded(C.allocate_flows(allocation(spark, d), ["l_orderkey"], "dir", "share", "load", "flow", by_load=True).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "allocated"))
 
 
 @query("WITH h AS (SELECT l_suppkey AS station_no, l_linenumber AS hour, sum(l_quantity) AS v FROM lineitem GROUP BY ALL), s AS (SELECT station_no, hour, unnest([printf('%02d:00', hour), printf('%02d:30', hour)]) AS slot30, v FROM h) SELECT station_no, slot30, round(v * CASE WHEN station_no % 9 = 0 THEN NULL WHEN slot30 LIKE '%:00' THEN 0.6 ELSE 0.4 END, 6) AS v_30min FROM s")

@@ -26,9 +26,15 @@ def eva02_improvement(spark, d):
     return rounded(V.improvement(losses(spark, d), ["axis", "group"]))
 
 
-@query()
+#: Sums of each of the draws 0 .. n - 1 over the days of a loss table x; days are picked by md5.
+DRAWS = """{p}days AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS size FROM (SELECT DISTINCT date FROM {x})), {p}picks AS (SELECT draw, CAST('0x' || substr(md5('7:' || draw || ':' || place), 1, 15) AS BIGINT) % size AS i FROM (SELECT range AS draw, size, unnest(range(1, size + 1)) AS place FROM range({n}), (SELECT max(size) AS size FROM {p}days))),
+    {p}times AS (SELECT draw, date, count(*) AS k FROM {p}picks JOIN {p}days ON {p}days.i = {p}picks.i GROUP BY 1, 2), {p}draws AS (SELECT draw, axis, "group", 100 * (1 - sqrt(sum(sse_model * k) / sum(sse_base * k))) AS r, 100 * (1 - sum(sae_model * k) / sum(sae_base * k)) AS m FROM {p}times t JOIN {x} ON {x}.date = t.date GROUP BY 1, 2, 3)"""
+
+
+@query(f"""WITH a AS (SELECT * FROM ({LOSS}) WHERE axis = 'all'), {DRAWS.format(p='', x='a', n=100)}, g AS (SELECT axis, "group", CAST(sum(n) AS BIGINT) AS n, 100 * (1 - sqrt(sum(sse_model) / sum(sse_base))) AS r, 100 * (1 - sum(sae_model) / sum(sae_base)) AS m FROM a GROUP BY 1, 2)
+    SELECT g.axis, g."group", g.n, round(g.r, 6) AS rmse_gain, round(quantile_cont(d.r, 0.025), 6) AS rmse_low, round(quantile_cont(d.r, 0.975), 6) AS rmse_high, round(g.m, 6) AS mae_gain, round(quantile_cont(d.m, 0.025), 6) AS mae_low, round(quantile_cont(d.m, 0.975), 6) AS mae_high FROM g JOIN draws d ON d.axis = g.axis AND d."group" = g."group" GROUP BY ALL""")
 def eva02_block_bootstrap(spark, d):
-    return V.block_bootstrap(losses(spark, d).where("axis = 'all'"), ["axis", "group"], 100)
+    return rounded(V.block_bootstrap(losses(spark, d).where("axis = 'all'"), ["axis", "group"], 100))
 
 
 @query(f"""WITH l AS ({LOSS}), d AS (SELECT axis, "group", date, (sse_base - sse_model) / n AS d FROM l), c AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY axis, "group") AS t, d - avg(d) OVER (PARTITION BY axis, "group") AS c, avg(d) OVER (PARTITION BY axis, "group") AS m FROM d WINDOW w AS (PARTITION BY axis, "group" ORDER BY date)),
@@ -106,14 +112,18 @@ def eva12_seasonal_naive(spark, d):
     return P.day_lags(v_panel(spark, d), ["station_no", "slot"], ["boarding"], [7]).select("station_no", "date", "slot", F.col("boarding_lag7d").alias("naive"))
 
 
-@query()
+WORSE = "SELECT date, 'all' AS axis, 'all' AS \"group\", count(*) AS n, sum((lookup - boarding) ** 2) AS sse_base, sum(abs(lookup - boarding)) AS sae_base, sum((lookup * 0.9 - boarding) ** 2) AS sse_model, sum(abs(lookup * 0.9 - boarding)) AS sae_model FROM v_pred GROUP BY ALL"
+
+
+@query(f"""WITH a AS (SELECT * FROM ({LOSS}) WHERE axis = 'all'), b AS ({WORSE}), {DRAWS.format(p='', x='a', n=50)}, {DRAWS.format(p='b_', x='b', n=50)}
+    SELECT x.axis, x."group", round(quantile_cont(y.r - x.r, 0.025), 6) AS low, round(quantile_cont(y.r - x.r, 0.5), 6) AS median, round(quantile_cont(y.r - x.r, 0.975), 6) AS high FROM draws x JOIN b_draws y ON y.draw = x.draw GROUP BY 1, 2""")
 def eva13_window_diff(spark, d):
     a = losses(spark, d).where("axis = 'all'")
     worse = V.daily_losses(v_pred(spark, d).withColumn("model", F.col("lookup") * 0.9), {"all": F.lit("all")}, "boarding", "lookup", "model")
-    return V.window_diff(a, worse, ["axis", "group"], 50)
+    return rounded(V.window_diff(a, worse, ["axis", "group"], 50))
 
 
-@query()
+@query("SELECT event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY CAST('0x' || substr(md5('1:' || event_id), 1, 15) AS BIGINT), event_id) <= 100")
 def eva14_stratified_sample(spark, d):
     return V.stratified_sample(read(spark, d, "events"), "event_type", "event_id", 100).select("event_id", "event_type")
 

@@ -261,3 +261,51 @@ def joi13_point_in_polygon(spark, d):
     rings = [("sw", box(126.81, 37.0, 127.0, 37.55)), ("nw", box(126.81, 37.55, 127.0, 37.69)), ("se", box(127.0, 37.0, 128.0, 37.55)), ("ne", box(127.0, 37.55, 128.0, 37.69))]
     areas = spark.createDataFrame(rings, "area string, ring array<struct<x:double,y:double>>")
     return point_in_polygon(v_point(spark, d).select("point_id", F.col("lon").alias("x"), F.col("lat").alias("y")), areas, "point_id", "area")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS station_id, CAST(floor(value) AS INTEGER) AS stock, 100.0::DOUBLE AS racks FROM events WHERE event_id % 2 = 0 OR event_id % 10 <> 5")
+def src02_read_mixed_schema(spark, d):
+    root = place(spark)
+    e = read(spark, d, "events")
+    names = {"stationId": F.col("user_id").cast("string"), "parkingBikeTotCnt": F.floor("value").cast("string"), "rackTotCnt": F.lit("100")}
+    e.where("event_id % 2 = 0").select(*[v.alias(k) for k, v in names.items()], F.col("ts").cast("string").alias("collected_at")).write.parquet(root)
+    body = F.to_json(F.struct(*[v.alias(k) for k, v in names.items()]))
+    # of the envelopes one in five names another entity, and one in five none
+    k = F.col("event_id") % 10
+    entity = F.when(k == 5, "other").when(k == 7, " ").otherwise(F.col("user_id").cast("string"))
+    e.where("event_id % 2 = 1").select(entity.alias("entity_id"), body.alias("payload_json"), F.col("ts").cast("string").alias("ingested_at")).write.mode("append").parquet(root)
+    return io.read_mixed_schema(spark, root).select("station_id", "stock", "racks")
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS id, CAST(user_id AS VARCHAR) AS station, CASE WHEN event_id % 2 = 1 THEN event_type END AS kind FROM events")
+def src08_read_rental_csv(spark, d):
+    root = place(spark)
+    e = read(spark, d, "events")
+    # the first layout ends in a blank column
+    e.where("event_id % 2 = 0").select(F.col("event_id").alias("a"), F.col("user_id").alias("b"), F.lit(None).cast("string").alias(" ")).write.option("header", "true").csv(f"{root}/two")
+    e.where("event_id % 2 = 1").select(F.col("event_id").alias("a"), F.col("user_id").alias("b"), F.col("event_type").alias("c")).write.option("header", "true").csv(f"{root}/three")
+    return io.read_rental_csv(spark, {f"{root}/two": ["id", "station"], f"{root}/three": ["id", "station", "kind"]})
+
+
+@query("SELECT event_id, event_type FROM events")
+def src09_read_json_arrays(spark, d):
+    root = place(spark)
+    groups = read(spark, d, "events").groupBy((F.col("event_id") % 7).alias("file")).agg(F.collect_list(F.struct("event_id", "event_type")).alias("rows"))
+    # a file of one line, an array, for each group
+    groups.select("file", F.to_json("rows").alias("value")).repartition("file").write.partitionBy("file").text(root)
+    return io.read_json_arrays(spark, root).select("event_id", "event_type")
+
+
+@query("SELECT event_id, value AS temp, CASE WHEN event_id % 3 = 0 THEN 0.0 ELSE 1.5 END AS rain FROM events")
+def src11_read_hourly_weather(spark, d):
+    root = place(spark)
+    read(spark, d, "events").select("event_id", F.col("value").alias("temp"), F.when(F.col("event_id") % 3 != 0, 1.5).alias("rain")).write.option("header", "true").csv(root)
+    return io.read_hourly_weather(spark, root, "event_id long, temp double, rain double", ["rain"])
+
+
+@query("SELECT station_id, date, stock FROM v_stock WHERE date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'")
+def src12_read_hourly_stock(spark, d):
+    root = place(spark)
+    v_stock(spark, d).select("station_id", "date", "stock", F.lit("x").alias("more")).write.option("header", "true").csv(root)
+    day = lambda x: F.lit(x).cast("date")
+    return io.read_hourly_stock(spark, root, "station_id long, date date, stock int, more string", ["station_id", "date", "stock"], day("2024-01-05"), day("2024-01-20"))

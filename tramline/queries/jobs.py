@@ -12,18 +12,19 @@ from tramline.queries import crowding as CR
 from tramline.queries import events as EV
 from tramline.queries import panel as PN
 from tramline.queries import stock as ST
-from tramline.queries.base import query, rounded, v_anchor, v_dow, v_festival, v_game, v_holiday, v_long, v_pred, v_rental, v_station, v_stock, v_timetable
+from tramline.queries.base import query, read, rounded, v_anchor, v_dow, v_festival, v_game, v_holiday, v_long, v_pred, v_rental, v_station, v_stock, v_timetable
 
 
 #: The profile of the last rows of each slot, under the name that the grid's SQL reads.
-CLEAN = f"vp AS (SELECT station_id, dow_type, time_slot, avg(stock) AS exp_bikes, avg(CAST(stock <= 0 AS INTEGER)) AS p_empty, avg(CAST(stock >= racks AS INTEGER)) AS p_full FROM (SELECT *, {ST.SLOTS} FROM ({ST.DEDUP})) GROUP BY 1, 2, 3)"
+CLEAN = f"vr AS (SELECT station_id, dow_type, time_slot, avg(stock) AS exp_bikes, avg(CAST(stock <= 0 AS INTEGER)) AS p_empty, avg(CAST(stock >= racks AS INTEGER)) AS p_full, count(*) AS n FROM (SELECT *, {ST.SLOTS} FROM ({ST.DEDUP})) GROUP BY 1, 2, 3), vq AS (SELECT station_id, dow_type, time_slot, avg(stock + 3) AS exp_bikes, avg(CAST(stock + 3 <= 0 AS INTEGER)) AS p_empty, avg(CAST(stock + 3 >= racks AS INTEGER)) AS p_full FROM (SELECT *, {ST.SLOTS} FROM v_stock WHERE station_id % 3 <> 0) GROUP BY 1, 2, 3), vp AS (SELECT coalesce(q.station_id, r.station_id) AS station_id, coalesce(q.dow_type, r.dow_type) AS dow_type, coalesce(q.time_slot, r.time_slot) AS time_slot, {', '.join(f'CASE WHEN q.{v} IS NULL THEN r.{v} WHEN r.n >= 2 THEN (q.{v} * 4 + r.{v} * r.n) / (4 + r.n) ELSE q.{v} END AS {v}' for v in S.VALUES)} FROM vq q FULL JOIN vr r ON r.station_id = q.station_id AND r.dow_type = q.dow_type AND r.time_slot = q.time_slot)"
 
 
 @query(f"WITH {CLEAN} SELECT station_id, dow_type, time_slot, round(exp_bikes, 6) AS exp_bikes, source FROM ({ST.joi04_complete_grid_sql.replace('v_profile', 'vp')})")
 def p1_stock_refresh(spark, d):
     rows = v_stock(spark, d).select("event_id", "station_id", "collected_at", "stock", "racks")
-    prior = S.stock_profile(ST.slotted(spark, d)).limit(0)
-    return rounded(J.stock_refresh(rows, prior, F.lit("2024-01-31").cast("date"), days=31)[0].select("station_id", "dow_type", "time_slot", "exp_bikes", "source"))
+    # a third of the stations has no prior, and so has a cell that only the refresh saw
+    prior = S.stock_profile(ST.slotted(spark, d).withColumn("stock", F.col("stock") + 3)).where("station_id % 3 <> 0")
+    return rounded(J.stock_refresh(rows, prior, F.lit("2024-01-31").cast("date"), days=31, weight=4.0, least=2)[0].select("station_id", "dow_type", "time_slot", "exp_bikes", "source"))
 
 
 @query(ST.AGG02)
@@ -32,10 +33,10 @@ def p2_realtime_profile(spark, d):
     return rounded(J.realtime_profile(raw, {"stationId": "station_id", "stockTxt": "stock", "rackTotCnt": "racks"}))
 
 
-@query(f"WITH f AS ({ST.FLOW.replace('CAST(ts AS DATE) AS date, CAST((hour(ts) * 60 + minute(ts)) // 5 AS INTEGER) AS slot', 'time_bucket(INTERVAL 5 MINUTE, ts) AS date, 0 AS slot')}) SELECT station_id, CAST(epoch(date) AS BIGINT) AS at, net_flow, r.value AS anchor_stock FROM f ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') r ON r.user_id = f.station_id AND f.date >= r.ts")
+@query(f"WITH f AS ({ST.FLOW.replace('CAST(ts AS DATE) AS date, CAST((hour(ts) * 60 + minute(ts)) // 5 AS INTEGER) AS slot', 'time_bucket(INTERVAL 5 MINUTE, ts) AS date, 0 AS slot')}) SELECT station_id, CAST(epoch(date) AS BIGINT) AS at, net_flow, r.value AS anchor_stock, CAST(coalesce(sum(net_flow) OVER (PARTITION BY station_id ORDER BY CAST(epoch(date) AS BIGINT) RANGE BETWEEN 1 FOLLOWING AND 1800 FOLLOWING), 0) AS BIGINT) AS net_flow_next_30, CAST(coalesce(sum(net_flow) OVER (PARTITION BY station_id ORDER BY CAST(epoch(date) AS BIGINT) RANGE BETWEEN 1 FOLLOWING AND 3600 FOLLOWING), 0) AS BIGINT) AS net_flow_next_60 FROM f ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') r ON r.user_id = f.station_id AND f.date >= r.ts")
 def p4_netflow_panel(spark, d):
     anchors = v_anchor(spark, d).select(F.col("user_id").alias("station_id"), "ts", F.col("value").alias("stock"), F.col("anchor_id").alias("tie"))
-    return J.netflow_panel(v_rental(spark, d), anchors).select("station_id", F.unix_timestamp("slot_start").alias("at"), "net_flow", "anchor_stock")
+    return J.netflow_panel(v_rental(spark, d), anchors).select("station_id", F.unix_timestamp("slot_start").alias("at"), "net_flow", "anchor_stock", "net_flow_next_30", "net_flow_next_60")
 
 
 @query(f"WITH w AS (SELECT * FROM ({PN.WEATHER}) WHERE hour < 24), e AS (SELECT date, count(*) AS n_games FROM v_game GROUP BY 1) SELECT p.station_no, p.date, p.slot, boarding, alighting, CASE WHEN dayofweek(p.date) = 6 THEN 'saturday' WHEN dayofweek(p.date) = 0 THEN 'sunday' WHEN h.is_holiday THEN 'holiday' ELSE 'weekday' END AS day_type, w.temp, coalesce(e.n_games, 0) AS n_games FROM v_panel p LEFT JOIN v_holiday h ON h.date = p.date LEFT JOIN w ON w.date = p.date + CAST((p.slot + 18) // 24 AS INTEGER) AND w.hour = (p.slot + 18) % 24 LEFT JOIN e ON e.date = p.date")
@@ -66,18 +67,30 @@ def p7_crowding(spark, d):
     return J.crowding(pred, cal, C.link_targets(topo(spark, d)), [10, 20, 40])[0].select("station_no", "date", "slot30", "direction", "to_station", "calibrated", "grade", "status")
 
 
-@query(f"SELECT station_no, direction, train_id, CAST(arr_min AS INTEGER) AS arr_min, round(10.0 * count(DISTINCT train_id) OVER w * (h / nullif(sum(h) OVER w, 0)), 6) AS load, 0.0::DOUBLE AS arriving, 'first' AS source FROM ({CR.HEAD}) WINDOW w AS (PARTITION BY station_no, direction, slot30)")
+#: Trains of many stops: 97 numbers over all events. A stop's load is its share of what the trains of its half hour carry.
+TRAINS = f"""WITH tt AS (SELECT station_no, direction, train_id % 97 AS train_id, arr_min, min(train_id) AS stop FROM v_timetable GROUP BY 1, 2, 3, 4), h AS ({CR.HEAD.replace('v_timetable', 'tt')}),
+    c AS (SELECT *, h / nullif(sum(h) OVER w, 0) AS share, count(DISTINCT train_id) OVER w AS trains FROM h WINDOW w AS (PARTITION BY station_no, direction, slot30)), l AS (SELECT *, (40 + station_no % 20) / 100 * 160.0 * trains * share AS load FROM c),
+    f AS (SELECT user_id AS station_no, hour(ts) AS hour, count(*)::DOUBLE AS v FROM events GROUP BY 1, 2), x AS (SELECT station_no, printf('%02d:%02d', hour, k.range * 30) AS slot30, v * CASE k.range WHEN 0 THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END AS flow FROM f, range(2) k WHERE station_no % 9 <> 0),
+    z AS (SELECT l.*, flow, sum(load) OVER s AS al, sum(load) OVER d AS dl, sum(share) OVER d AS ds, count(*) OVER d AS k FROM l LEFT JOIN x ON x.station_no = l.station_no AND x.slot30 = l.slot30 WINDOW s AS (PARTITION BY l.station_no, l.slot30), d AS (PARTITION BY l.station_no, l.slot30, direction)),
+    r AS (SELECT *, sum(CAST(coalesce(new, false) AS INTEGER)) OVER (PARTITION BY direction, train_id ORDER BY arr_min, station_no, stop) AS run FROM (SELECT *, arr_min - lag(arr_min) OVER (PARTITION BY direction, train_id ORDER BY arr_min, station_no, stop) > 20 AS new FROM z)),
+    n AS (SELECT *, lag(station_no) OVER w AS p, lag(load) OVER w AS q, row_number() OVER w AS i FROM r WINDOW w AS (PARTITION BY direction, train_id, run ORDER BY arr_min, station_no, stop)), g AS ({PN.RING})
+    SELECT n.stop, round(load, 6) AS load, round(flow * CASE WHEN al > 0 THEN dl / al END * CASE WHEN ds > 0 THEN share / ds ELSE 1.0 / k END, 6) AS boarding, CASE WHEN i = 1 THEN 0.0 WHEN g.other IS NOT NULL THEN round(q, 6) END AS arriving, CASE WHEN i = 1 THEN 'first' WHEN g.other IS NOT NULL THEN 'previous' ELSE 'not_adjacent' END AS source FROM n LEFT JOIN (SELECT DISTINCT station_no, other FROM g) g ON g.station_no = n.station_no AND g.other = n.p"""
+
+
+@query(TRAINS)
 def p8_train_table(spark, d):
-    tt = v_timetable(spark, d)
-    flows = C.trains_per_slot(tt, ["station_no", "direction"]).withColumn("onboard", F.col("trains") * 10.0)
-    near = P.segment_neighbors(topo(spark, d))
-    return rounded(J.train_table(tt, flows, near).select("station_no", "direction", "train_id", "arr_min", "load", "arriving", "source"))
+    from tramline.functions.timefn import half_hours
+
+    tt = v_timetable(spark, d).groupBy("station_no", "direction", (F.col("train_id") % 97).alias("train"), "arr_min").agg(F.min("train_id").alias("stop")).withColumnRenamed("train", "train_id")
+    percent = C.trains_per_slot(tt, ["station_no", "direction"]).select("station_no", "direction", "slot30", (F.lit(40.0) + F.col("station_no") % 20).alias("percent"))
+    hourly = read(spark, d, "events").groupBy(F.col("user_id").alias("station_no"), F.hour("ts").alias("hour")).agg(F.count(F.lit(1)).cast("double").alias("boarding"))
+    halves = hourly.where("station_no % 9 <> 0").select("station_no", F.explode(half_hours(F.col("hour"))).alias("slot30")).distinct().withColumn("share", F.when(F.col("slot30").endswith(":00"), 0.6).otherwise(0.4))
+    out = J.train_table(tt, percent, P.segment_neighbors(topo(spark, d)), hourly, halves, 160.0)
+    return rounded(out.select("stop", "load", "boarding", "arriving", "source"))
 
 
 @query(f"WITH v AS (SELECT o_orderpriority AS place, 37.5::DOUBLE + min(o_custkey) * 0.0001 AS lat, 126.95::DOUBLE AS lon FROM orders GROUP BY 1), near AS (SELECT DISTINCT place, station_no FROM (SELECT p.place, s.station_no, {EV.KM} AS km FROM v p, v_station s) WHERE km <= 5), g AS (SELECT station_no, date, count(*) AS n_games FROM v_game JOIN near USING (place) GROUP BY ALL), f AS (SELECT station_no, date, count(DISTINCT id) AS n_festivals FROM ({EV.DAYS}) JOIN near USING (place) GROUP BY ALL) SELECT coalesce(g.station_no, f.station_no) AS station_no, coalesce(g.date, f.date) AS date, coalesce(n_games, 0) AS n_games, coalesce(n_festivals, 0) AS n_festivals FROM g FULL JOIN f ON g.station_no = f.station_no AND g.date = f.date")
 def p9_event_panel(spark, d):
-    from tramline.queries.base import read
-
     venues = read(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("place")).agg((F.lit(37.5) + F.min("o_custkey") * 0.0001).alias("lat")).withColumn("lon", F.lit(126.95))
     day = lambda x: F.lit(x).cast("date")
     out = J.event_panel(v_game(spark, d), v_festival(spark, d), v_station(spark, d), venues, day("1900-01-01"), day("2100-01-01"), 5.0)
