@@ -55,3 +55,28 @@ def test_against_brute_force(spark, monkeypatch):
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(1, "short"), (2, "short")]])
 def test_small_tables(spark, rows):
     assert got(spark, [(k, t, None, None) for k, t in rows]) == brute(rows)
+
+
+def test_equal_first_fingerprints_are_told_apart(spark, monkeypatch):
+    """With a first fingerprint that keeps 6 bits nearly all strings collide in it; the second one keeps them apart."""
+    monkeypatch.setattr(S, "BATCH_BYTES", 3000)
+    first = S.Texts.prints
+    monkeypatch.setattr(S.Texts, "prints", lambda self, at, length: first(self, at, length) & S.np.uint64(0xFC00000000000000) if length == 50 else first(self, at, length))
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("abcdé") for _ in range(rnd.randint(2, 9)))
+    shared = " ".join(word() for _ in range(30))
+    rows = [(k, " ".join(word() for _ in range(40)) + (shared if k % 3 == 0 else "")) for k in range(60)]
+    data = [S.Texts([S.packed([k], [t.encode()])]) for k, t in rows]
+    for t in data:
+        at = S.np.arange(len(t.data) - 49)
+        h, h2, _, of = S.classes(t, at, 50)
+        strings = [t.data[i : i + 50].tobytes() for i in at]
+        assert len(set(h.tolist())) <= 64 and len(h) == len(set(strings))
+        assert len({(s, c) for s, c in zip(strings, of.tolist())}) == len(h)
+
+
+def test_null_keys_come_first(spark):
+    text = "a passage that is longer than fifty bytes, as the contract has it, and repeats"
+    df = spark.createDataFrame([(None, text), (4, text + " more"), (None, "x" + text)], "doc_id long, text string")
+    out = sorted((r.doc_id is None, r.n_bytes, r.n_removed) for r in S.remove_repeats(df).collect())
+    assert out == [(False, len(text) + 5, len(text)), (True, len(text), 0), (True, len(text) + 1, 0)]
