@@ -57,22 +57,18 @@ def test_small_tables(spark, rows):
     assert got(spark, [(k, t, None, None) for k, t in rows]) == brute(rows)
 
 
-def test_equal_first_fingerprints_are_told_apart(spark, monkeypatch):
-    """With a first fingerprint that keeps 6 bits nearly all strings collide in it; the second one keeps them apart."""
-    monkeypatch.setattr(S, "BATCH_BYTES", 3000)
-    first = S.Texts.prints
-    monkeypatch.setattr(S.Texts, "prints", lambda self, at, length: first(self, at, length) & S.np.uint64(0xFC00000000000000) if length == 50 else first(self, at, length))
+def test_fingerprints_are_those_of_the_bytes():
+    """Equal strings have equal fingerprints wherever they stand; strings that differ in one byte, or in the order of two,
+    have others."""
     rnd = random.Random(7)
-    word = lambda: "".join(rnd.choice("abcdé") for _ in range(rnd.randint(2, 9)))
-    shared = " ".join(word() for _ in range(30))
-    rows = [(k, " ".join(word() for _ in range(40)) + (shared if k % 3 == 0 else "")) for k in range(60)]
-    data = [S.Texts([S.packed([k], [t.encode()])]) for k, t in rows]
-    for t in data:
-        at = S.np.arange(len(t.data) - 49)
-        h, h2, _, of = S.classes(t, at, 50)
-        strings = [t.data[i : i + 50].tobytes() for i in at]
-        assert len(set(h.tolist())) <= 64 and len(h) == len(set(strings))
-        assert len({(s, c) for s, c in zip(strings, of.tolist())}) == len(h)
+    base = bytes(rnd.choice(b"ab") for _ in range(50))
+    others = {base[:i] + bytes([base[i] ^ 3]) + base[i + 1 :] for i in range(50)} | {base[:i] + base[i : i + 2][::-1] + base[i + 2 :] for i in range(49)}
+    for pad in (0, 1, 5, 8):
+        t = S.Texts([S.packed([k], [b"p" * pad + x]) for k, x in enumerate([base, *sorted(others - {base})])])
+        h = t.strong_prints(t.starts + pad, 50)
+        assert len(set(h.tolist())) == len(h) == len(others | {base})
+        first = h[0] if pad == 0 else first
+        assert h[0] == first
 
 
 def test_null_keys_come_first(spark):

@@ -1,20 +1,20 @@
 """Removal of passages that an earlier document has, by suffixes and a difference cover, one bucket at a time.
 
-Every 50-byte string of every document would be a suffix to sort: far more than the input. A difference cover modulo 21
-makes that unnecessary. Its five residues have every difference modulo 21, so of two equal 50-byte strings, wherever they
-start, one pair of cover places lies within the first 21 bytes of both at the same shift, and the 30 bytes behind those
+Every 50-byte string of every document would be a suffix to sort: far more than the input. A difference cover modulo 31
+makes that unnecessary. Its six residues have every difference modulo 31, so of two equal 50-byte strings, wherever they
+start, one pair of cover places lies within the first 31 bytes of both at the same shift, and the 20 bytes behind those
 places are equal too. So:
 
-1. the suffixes at cover places are dealt to buckets by a fingerprint of 30 bytes and each bucket is ranked alone; a
+1. the suffixes at cover places are dealt to buckets by a fingerprint of 20 bytes and each bucket is ranked alone; a
    place whose rank is its own cannot lie in a repeated string;
-2. only suffixes within 21 bytes before a cover place with a shared rank are candidates. They are dealt to buckets by two
-   independent fingerprints of their 50 bytes, 96 bits together, each bucket is sorted alone, and of each run of equal
-   suffixes the lowest document is found;
+2. only suffixes within 31 bytes before a cover place with a shared rank are candidates. They are dealt to buckets by a
+   64-bit fingerprint of their 50 bytes, each bucket is sorted alone, and of each run of equal suffixes the lowest
+   document is found;
 3. each document takes back which of its suffixes have a lower document and removes the bytes they cover.
 
 Documents meet in batches, ranges of keys whose text is shuffled once, compressed; the three passes read the same
 exchange. As batches are ranges, the lowest batch that holds a suffix holds its lowest document, so no keys go to the
-buckets: between the passes go sorted fingerprints as compressed differences (2 to 3 bytes a cover place, 10 bytes a
+buckets: between the passes go sorted fingerprints as compressed differences (2 to 3 bytes a cover place, 6 bytes a
 candidate) and a bit for each in answer."""
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from tramline.llm.common import given_key, in_slices, long_key, pieces, utf8
 from tramline.llm.shingles import mixed
 
-#: A perfect difference set modulo 21: every difference but 0 once.
-MODULUS, COVER = 21, (0, 1, 4, 14, 16)
+#: A perfect difference set modulo 31: every difference but 0 once.
+MODULUS, COVER = 31, (1, 5, 11, 24, 25, 27)
 BATCH_BYTES, BUCKET_PLACES = 1 << 22, 1 << 22
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -79,15 +79,15 @@ class Texts:
         _, down = powers(max(len(self.data), 1))
         return mixed((self.sums[at + length] - self.sums[at]) * down[at])
 
-    def second_prints(self, at: np.ndarray, length: int) -> np.ndarray:
-        """Fingerprints of another family, 32 bits: the ``length`` bytes word by word, each mixed into what came before;
-        the last word may overlap the one before it."""
-        words = np.ndarray((max(len(self.data) - 7, 0),), "<u8", self.data, strides=(1,)) if len(self.data) > 7 else np.zeros(0, "<u8")
+    def strong_prints(self, at: np.ndarray, length: int) -> np.ndarray:
+        """64-bit fingerprints that decide equality: the ``length`` bytes word by word, each mixed into what came before, so
+        that every bit hangs on every byte and its place; the last word may overlap the one before it."""
+        words = np.ndarray((len(self.data) - 7,), "<u8", self.data, strides=(1,)) if len(self.data) > 7 else np.zeros(0, "<u8")
         out = np.full(len(at), BASE)
         for k in [*range(0, length - 7, 8), length - 8]:
             out ^= words[at + k]
             out = mixed(out)
-        return (out >> np.uint64(32)).astype(np.uint32)
+        return out
 
     def cover(self, length: int) -> np.ndarray:
         """The cover places, counted from each document's start, that have ``length`` bytes behind them."""
@@ -163,20 +163,16 @@ def candidates(t: Texts, shared: np.ndarray, length: int) -> np.ndarray:
     return on
 
 
-def classes(t: Texts, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Equal suffixes of a batch: both fingerprints of the classes, in their order, the first member (in the lowest
-    document) of each, and the class of every candidate."""
-    h, h2 = t.prints(at, length), t.second_prints(at, length)
+def classes(t: Texts, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal suffixes of a batch: fingerprints of the classes, the first member (in the lowest document) of each, and
+    the class of every candidate."""
+    h = t.strong_prints(at, length)
     order = np.argsort(h, kind="stable")
-    a, b = h[order], h2[order]
-    if len(h) and ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():
-        order = np.lexsort((h2, h))
-        a, b = h[order], h2[order]
-    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(h) else np.zeros(0, bool)
+    new = np.concatenate([[True], h[order][1:] != h[order][:-1]]) if len(h) else np.zeros(0, bool)
     of = np.empty(len(h), np.int64)
     of[order] = np.cumsum(new) - 1
     first = order[new]
-    return h[first], h2[first], first, of
+    return h[first], first, of
 
 
 def removed(t: Texts, at: np.ndarray, gone: np.ndarray, length: int) -> pd.DataFrame:
@@ -286,32 +282,23 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         for b in np.flatnonzero(np.diff(begin)):
             shared[begin[b] : begin[b + 1]] = bits_of(blobs[PLACES, b])
         on = candidates(own, at[shared], length)
-        prints, second, _, _ = classes(own, np.flatnonzero(on), length)
+        prints, _, _ = classes(own, np.flatnonzero(on), length)
         begin = bucket_starts(prints, 64, n_suffixes)
         out = [(key_[0] % n_suffixes, key_[0], WHO, who), (key_[0] % n_suffixes, key_[0], WHERE, squeeze(on))]
-        cuts = [(int(b), slice(begin[b], begin[b + 1])) for b in np.flatnonzero(np.diff(begin))]
-        out += [(b, key_[0], SUFFIXES, second[c].tobytes() + squeeze_sorted(prints[c]) + int(c.stop - c.start).to_bytes(8, "little")) for b, c in cuts]
+        out += [(int(b), key_[0], SUFFIXES, squeeze_sorted(prints[begin[b] : begin[b + 1]])) for b in np.flatnonzero(np.diff(begin))]
         return pd.DataFrame(out, columns=["bucket", "batch", "kind", "blob"])
 
     def sorted_suffixes(pdf: pd.DataFrame) -> pd.DataFrame:
         """Sorts the suffixes of one bucket and answers each batch with which of its own a lower batch has."""
         own = pdf[pdf["kind"] == SUFFIXES].sort_values("batch")
         out = pdf[pdf["kind"] != SUFFIXES].to_dict("records")
-        parts, seconds = [], []
-        for b in own["blob"]:
-            n = 4 * int.from_bytes(b[-8:], "little")
-            seconds.append(np.frombuffer(b, np.uint32, n // 4))
-            parts.append(sorted_of(b[n:-8]))
+        parts = [sorted_of(b) for b in own["blob"]]
         if parts:
-            h, h2 = np.concatenate(parts), np.concatenate(seconds)
+            h = np.concatenate(parts)
             # stable, so of equal suffixes that of the lowest batch comes first
             order = np.argsort(h, kind="stable")
-            x, y = h[order], h2[order]
-            if ((x[1:] == x[:-1]) & (y[1:] != y[:-1])).any():
-                order = np.lexsort((h2, h))
-                x, y = h[order], h2[order]
             lower = np.empty(len(h), bool)
-            lower[order] = np.concatenate([[False], (x[1:] == x[:-1]) & (y[1:] == y[:-1])])
+            lower[order] = np.concatenate([[False], h[order][1:] == h[order][:-1]])
             for b, x, part in zip(own["bucket"], own["batch"], np.split(lower, np.cumsum([len(p) for p in parts])[:-1]), strict=True):
                 out.append({"bucket": b, "batch": x, "kind": SUFFIXES, "blob": squeeze(part)})
         return pd.DataFrame(out, columns=["bucket", "batch", "kind", "blob"])
@@ -321,7 +308,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         pick = lambda kind: next(x for (k, _), x in blobs.items() if k == kind)
         own = Texts(pdf["blob"].tolist(), bits_of(pick(WHO)))
         starts = np.flatnonzero(bits_of(pick(WHERE)))
-        prints, _, first, of = classes(own, starts, length)
+        prints, first, of = classes(own, starts, length)
         doc = np.searchsorted(own.ends, starts, side="right")
         begin = bucket_starts(prints, 64, n_suffixes)
         below = np.zeros(len(prints), bool)
