@@ -127,7 +127,8 @@ def rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     Null text: no words, so base_failed. Rows of a null lang are a language of their own, ``und``. Repeated rows each get
     their own verdict; other columns are not read; an empty table gives an empty result."""
     own = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("_lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    lists = common_words(own, common_share, least_words, least_docs).withColumnRenamed("_lang", "_l")
+    # written first, so that the optimizer knows how small it is and no text moves to meet it
+    lists = written(common_words(own, common_share, least_words, least_docs).withColumnRenamed("_lang", "_l"), "common")
     t = F.col("text")
     rows = own.join(lists, F.col("_lang") == F.col("_l"), "left").select(
         "_key", "_lang",
