@@ -144,7 +144,8 @@ def rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     references = enough.join(mean_shares(passed, "_classes", "_ref_classes"), "_lang").join(mean_shares(passed, "_common", "_ref_common"), "_lang", "left")
     none = F.transform(F.col("_ref_common"), lambda x, i: F.when(i == F.size("_ref_common") - 1, 1.0).otherwise(0.0))
     references = references.withColumn("_none", js_distance(none, F.col("_ref_common")))
-    out = rows.join(references, "_lang", "left")
+    # written as the lists are, so that a language's rows are not dealt to one task to meet them
+    out = rows.join(written(references, "references"), "_lang", "left")
     out = out.withColumn("class_distance", js_distance(F.col("_classes"), F.col("_ref_classes"))).withColumn("word_distance", js_distance(F.col("_common"), F.col("_ref_common")) / F.nullif(F.col("_none"), F.lit(0.0)))
     near = (F.coalesce(F.col("class_distance"), F.lit(0.0)) <= class_limit) | (F.col("word_chars") < least_chars)
     usual = (F.coalesce(F.col("word_distance"), F.lit(0.0)) <= word_limit) | (F.col("n_words") < least_words)
