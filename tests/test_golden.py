@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import math
+import random
 
 import pytest
 from pyspark.errors import PySparkException
@@ -207,3 +208,36 @@ def test_history(spark):
     assert [[c.v if c else None for c in day] if day else None for day in r.history] == [[11, 12], [21, 22], None]
     m = C.sequence_mask(h, [2], 3).where("date = '2026-01-04'").first()
     assert [bool(x) for x in m.history] == [False, True, False]
+
+
+def test_cooldown_of_runs(spark):
+    """Runs of triggers of every density against a plain fold, with equal times, null times, triggers and entities."""
+    rnd = random.Random(11)
+    rows = [(e, rnd.randint(-5000, 20000) if rnd.random() > 0.02 else None, rnd.choice([True, True, False, None])) for e, n in (("a", 400), ("b", 30), (None, 60), ("c", 5)) for _ in range(n)]
+    rows += [("d", 7, True), ("d", 7, True)]
+    df = spark.createDataFrame(rows, "id string, ts long, hot boolean")
+    for seconds in (600, 1, 0):
+        want, last = [], {}
+        for e, t, on in sorted(rows, key=lambda r: (r[0] or "", r[1] is None, r[1] or 0, bool(r[2]))):
+            fire = bool(on) and t is not None and (e not in last or t - last[e] >= seconds)
+            if fire:
+                last[e] = t
+            want.append((e, t, fire))
+        got = [tuple(r) for r in R.cooldown_batch(df, "id", "ts", "hot", seconds).collect()]
+        assert sorted(map(str, got)) == sorted(map(str, want))
+    assert R.cooldown_batch(df.where("id = 'z'"), "id", "ts", "hot").collect() == []
+
+
+def test_asof_over_buckets(spark):
+    """The last right row lies in the same bucket, in one before, or nowhere; ties and null keys and times."""
+    rnd = random.Random(5)
+    at = lambda: dt.datetime(2026, 1, 1) + dt.timedelta(hours=rnd.randint(0, 400))
+    left = [(i, rnd.choice(["a", "a", "b", "c", None]), at()) for i in range(200)] + [(900, "a", None)]
+    right = [(k, at(), i, float(i)) for i, k in enumerate(["a"] * 12 + ["b"] * 3 + [None] * 4)]
+    l, r = spark.createDataFrame(left, "id int, k string, t timestamp"), spark.createDataFrame(right, "k string, t timestamp, n int, v double")
+    for width in (3600, 86400, 10**9):
+        got = {x.id: (x.anchor_v, x.minutes_since) for x in K.asof_backward(l, r, "k", "t", ["v"], "n", width).collect()}
+        assert len(got) == len(left)
+        for i, k, t in left:
+            best = max(((b, n, v) for a, b, n, v in right if a == k and t is not None and b <= t), default=None)
+            assert got[i] == ((best[2], (t - best[0]).total_seconds() / 60) if best else (None, None))

@@ -173,15 +173,24 @@ def mode_rack_count(df: DataFrame, entity: str, racks: str) -> DataFrame:
     return counts.groupBy(entity).agg(F.min_by(racks, F.struct(-F.col("_n"), F.col(racks))).alias(racks))
 
 
-def asof_backward(left: DataFrame, right: DataFrame, by: str, on: str, values: Sequence[str], tie: str) -> DataFrame:
-    """Each left row with the last right row at or before it, and the minutes since. Rows of both are ordered in one
-    window of the key; a right row comes before a left one of equal time, ``tie`` orders right rows of equal time."""
+def asof_backward(left: DataFrame, right: DataFrame, by: str, on: str, values: Sequence[str], tie: str, bucket: int = 86400) -> DataFrame:
+    """Each left row with the last right row at or before it, and the minutes since. A right row comes before a left one
+    of equal time, ``tie`` orders right rows of equal time.
+
+    Rows of both sides are ordered in one window of key and time bucket (``bucket`` seconds), so a key with a share of all
+    rows is many tasks. What the buckets before have last is carried by a second window, over one row a bucket."""
     l = left.withColumns({"_side": F.lit(1), "_right": F.lit(None).cast(_struct_type(right, [on, *values]))})
     r = right.select(F.col(by), F.col(on), F.lit(0).alias("_side"), F.struct(on, *values).alias("_right"), F.col(tie).alias("_tie"))
     both = l.withColumn("_tie", F.lit(None).cast(right.schema[tie].dataType)).unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy(by).orderBy(on, "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumn("_last", F.last("_right", ignorenulls=True).over(w)).where("_side = 1")
-    seconds = F.unix_timestamp(F.col(on).cast("timestamp")) - F.unix_timestamp(F.col("_last")[on].cast("timestamp"))
+    instant = lambda c: F.unix_timestamp(c.cast("timestamp"))
+    both = both.withColumn("_bucket", F.floor(instant(F.col(on)) / bucket))
+    w = Window.partitionBy(by, "_bucket").orderBy(on, "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    inside = both.withColumn("_last", F.last("_right", ignorenulls=True).over(w)).where("_side = 1")
+    buckets = both.groupBy(by, "_bucket").agg(F.max_by("_right", F.when(F.col("_side") == 0, F.struct(on, "_tie"))).alias("_newest"))
+    earlier = Window.partitionBy(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = buckets.select(F.col(by).alias("_by"), F.col("_bucket").alias("_at"), F.last("_newest", ignorenulls=True).over(earlier).alias("_before"))
+    out = inside.join(carried, F.col(by).eqNullSafe(F.col("_by")) & F.col("_bucket").eqNullSafe(F.col("_at")), "left").withColumn("_last", F.coalesce("_last", "_before"))
+    seconds = instant(F.col(on)) - instant(F.col("_last")[on])
     return out.select(*left.columns, *[F.col("_last")[v].alias(f"anchor_{v}") for v in values], (seconds / 60).alias("minutes_since"))
 
 

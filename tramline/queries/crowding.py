@@ -238,11 +238,12 @@ def win16_expected_wait(spark, d):
     return N.expected_wait(e, ["edge"], "sec")
 
 
-@query("SELECT n_nationkey AS edge, CAST(a.range AS INTEGER) AS dow_type, CAST(b.range AS INTEGER) AS slot, CASE WHEN n_nationkey % 2 = 0 THEN 86400 ELSE CAST(60 * (b.range % 10) AS INTEGER) END AS wait FROM nation, range(3) a, range(48) b")
+@query("WITH w AS (SELECT user_id AS edge, CAST(event_id % 3 AS INTEGER) AS dow_type, CAST(2 * hour(ts) + minute(ts) // 30 AS INTEGER) AS slot, CAST(1800 // count(*) AS INTEGER) AS wait FROM events GROUP BY ALL), e AS (SELECT DISTINCT user_id AS edge FROM events) SELECT edge, dow_type, slot, coalesce(wait, 86400) AS wait FROM (SELECT edge, CAST(a.range AS INTEGER) AS dow_type, CAST(b.range AS INTEGER) AS slot FROM e, range(3) a, range(48) b) LEFT JOIN w USING (edge, dow_type, slot)")
 def win17_expand_edge_slots(spark, d):
-    edges = read(spark, d, "nation").select(F.col("n_nationkey").alias("edge"))
-    waits = edges.where("edge % 2 = 1").withColumn("dow_type", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(47)))).withColumn("wait", 60 * (F.col("slot") % 10))
-    return N.expand_edge_slots(edges, waits, ["edge"])
+    e = read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    slot = (2 * F.hour("ts") + F.floor(F.minute("ts") / 30)).cast("int")
+    waits = e.groupBy(F.col("user_id").alias("edge"), (F.col("event_id") % 3).cast("int").alias("dow_type"), slot.alias("slot")).agg(F.floor(1800 / F.count(F.lit(1))).cast("int").alias("wait"))
+    return N.expand_edge_slots(e.select(F.col("user_id").alias("edge")).distinct(), waits, ["edge"])
 
 
 @query("WITH s AS (SELECT o_custkey AS train, o_custkey % 3 AS line, o_orderkey AS ord, o_orderkey % 40 AS station, CAST(floor(o_totalprice) AS BIGINT) AS tm, o_orderpriority AS name FROM orders), h AS (SELECT line, station AS from_station, lead(station) OVER w AS to_station, lead(tm) OVER w - tm AS t, name AS a, lead(name) OVER w AS b FROM s WINDOW w AS (PARTITION BY train ORDER BY ord)), e AS (SELECT line, from_station, to_station, median(t) AS seconds, count(*) AS n FROM h WHERE to_station IS NOT NULL AND t > 0 AND a <> b GROUP BY ALL) SELECT line, from_station, to_station, round(seconds, 2) AS seconds, n FROM e QUALIFY n >= 0.6 * median(n) OVER (PARTITION BY line)")

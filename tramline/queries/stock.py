@@ -237,9 +237,9 @@ def set05_amplify(spark, d):
     return S.amplify(v_panel(spark, d).drop("alighting"), 3, "date")
 
 
-@query("SELECT n_name AS name, CAST(row_number() OVER (ORDER BY n_name) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT n_name FROM nation)")
+@query("SELECT p_name AS name, CAST(row_number() OVER (ORDER BY p_name) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT p_name FROM part)")
 def ml04_station_index(spark, d):
-    return S.station_index(read(spark, d, "nation").select(F.col("n_name").alias("name")), "name")
+    return S.station_index(read(spark, d, "part").select(F.col("p_name").alias("name")), "name")
 
 
 @query("SELECT s_suppkey, n_name AS name, code FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN (SELECT n_name AS nm, CAST(row_number() OVER (ORDER BY n_name) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT n_name FROM nation)) ON nm = n_name")

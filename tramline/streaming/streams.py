@@ -132,16 +132,36 @@ def cooldown_stream(stream: DataFrame, entity: str, ts: str, trigger: str, secon
 
 
 def cooldown_batch(df: DataFrame, entity: str, ts: str, trigger: str, seconds: int = 600) -> DataFrame:
-    """The batch twin: a fold over each entity's readings in order of time."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(ts).cast("long").alias("ts"), F.col(trigger).alias("on"))))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<ts:bigint,fired:boolean>>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        fire = F.coalesce(x["on"], F.lit(False)) & (a["last"].isNull() | (x["ts"] - a["last"] >= seconds))
-        return F.struct(F.when(fire, x["ts"]).otherwise(a["last"]).alias("last"), F.concat(a["out"], F.array(F.struct(x["ts"].alias("ts"), fire.alias("fired")))).alias("out"))
-
-    folded = df.groupBy(F.col(entity).cast("string").alias("entity")).agg(F.aggregate(rows, start, step, lambda a: a["out"]).alias("o"))
-    return folded.select("entity", F.explode("o").alias("x")).select("entity", "x.ts", "x.fired")
+    """The batch twin: which readings fire, with ``seconds`` at least between the firings of an entity.
+
+    Only readings that trigger can fire. One that comes ``seconds`` or more after the trigger before it always does, so
+    triggers fall into runs that do not hang on one another, and an entity is not one group. Runs begin where a bucket of
+    ``seconds`` lies far enough behind the last one with a trigger, so only buckets are ordered by entity. The runs are
+    then read in order of time, with the last firing as the only state. A reading without a time never fires."""
+    width = max(seconds, 1)
+    rows = df.select(F.col(entity).cast("string").alias("entity"), F.col(ts).cast("long").alias("ts"), F.coalesce(F.col(trigger), F.lit(False)).alias("_on"))
+    can = F.col("_on") & F.col("ts").isNotNull()
+    hot = rows.where(can).select("entity", "ts", F.floor(F.col("ts") / width).alias("_b"))
+    w = Window.partitionBy("entity").orderBy("_b")
+    buckets = hot.groupBy("entity", "_b").agg(F.min("ts").alias("_low"), F.max("ts").alias("_high"))
+    buckets = buckets.withColumn("_new", F.coalesce(F.col("_low") - F.lag("_high").over(w) >= width, F.lit(True)).cast("long"))
+    runs = buckets.select(F.col("entity").alias("_e"), F.col("_b").alias("_c"), F.sum("_new").over(w).alias("_run"))
+    dealt = hot.join(runs, F.col("entity").eqNullSafe(F.col("_e")) & (F.col("_b") == F.col("_c"))).select("entity", "_run", "ts")
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, last = None, None
+        for pdf in batches:
+            fires = []
+            for run, t in zip(zip(pdf["entity"], pdf["_run"], strict=True), pdf["ts"], strict=True):
+                if run != here:
+                    here, last = run, None
+                fire = last is None or t - last >= seconds
+                last = t if fire else last
+                fires.append(fire)
+            yield pd.DataFrame({"entity": pdf["entity"], "ts": pdf["ts"], "fired": fires})
+
+    walked = dealt.repartition("entity", "_run").sortWithinPartitions("entity", "_run", "ts").mapInPandas(walk, COOLED)
+    return walked.union(rows.where(~can).select("entity", "ts", F.lit(False).alias("fired")))
 
 
 def batch_latency(rows: DataFrame, produced: str, received: str, keys: list[str]) -> DataFrame:
