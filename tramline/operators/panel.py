@@ -315,13 +315,16 @@ def route_by_availability(df: DataFrame, observed: DataFrame, station: str, date
 def most_specific(df: DataFrame, rules: DataFrame, keys: Sequence[str], row: str) -> DataFrame:
     """The rule that fits a row (a null key of a rule fits anything) and names most keys; ties go to the rule's name.
 
-    Rules are a short table; each row meets only rules that fit it in the join's condition."""
-    r = rules.withColumn("_spec", sum((F.col(k).isNotNull().cast("int") for k in keys), F.lit(0))).withColumnsRenamed({k: f"_{k}" for k in keys})
-    fits = None
+    A row meets the rules by equality, once for each set of keys that a rule may name: 2^n narrow copies for n keys, and
+    no row is held against rules that do not fit it."""
+    named = sum((F.when(F.col(f"_{k}").isNotNull(), 1 << i).otherwise(0) for i, k in enumerate(keys)), F.lit(0))
+    r = rules.withColumnsRenamed({k: f"_{k}" for k in keys}).withColumn("_set", named)
+    sets = F.explode(F.array(*[F.lit(m) for m in range(1 << len(keys))])).alias("_s")
+    each = df.select(row, *keys, sets).select(row, "_s", *[F.when(F.col("_s").bitwiseAND(1 << i) > 0, F.col(k)).alias(k) for i, k in enumerate(keys)])
+    fits = F.col("_s") == F.col("_set")
     for k in keys:
-        c = F.col(f"_{k}").isNull() | (F.col(f"_{k}") == F.col(k))
-        fits = c if fits is None else fits & c
-    best = df.join(F.broadcast(r), fits).groupBy(row).agg(F.max_by("rule", F.struct("_spec", "rule")).alias("rule"))
+        fits &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    best = each.join(r, fits).groupBy(row).agg(F.max_by("rule", F.struct(F.bit_count("_set"), "rule")).alias("rule"))
     return df.join(best, row, "left")
 
 
