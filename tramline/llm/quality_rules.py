@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tramline.llm.common import SPACES, let, words, written
 
@@ -14,6 +15,8 @@ CLASSES = (r"[a-z]", r"[A-Z]", r"[0-9]", r"[\x20\x09-\x0D]", r"[.,;:'\"()-]", r"
 #: A word is common in a language if this share of the words of a text is it, on the mean of the language's texts. So a
 #: language has at most 1 / COMMON_SHARE common words.
 COMMON_SHARE = 0.005
+#: Hash buckets of words, many more than the common words of a language.
+BUCKETS = 4096
 
 
 def n_repeat_words(w: Column, n: int = 5) -> Column:
@@ -75,15 +78,25 @@ def common_words(texts: DataFrame, share: float, least_words: int, least_docs: i
     """``_lang, _list``: the common words of each language (with a letter) in order, from the rows of ``texts(_lang, text)`` with
     ``least_words`` words or more; languages of fewer than ``least_docs`` such rows have none.
 
-    Words are counted by (language, word), summed on the map side first, so no language is one group. A list has at most
-    1 / ``share`` words."""
-    rows = texts.select("_lang", small_words(F.col("text")).alias("w")).where(F.size("w") >= least_words)
-    each = rows.select("_lang", F.explode("w").alias("word"), (F.lit(1.0) / F.size("w")).alias("part"))
-    sums = each.groupBy("_lang", "word").agg(F.sum("part").alias("part"))
-    docs = rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_docs)
-    # only the few words over the limit meet in a group
-    common = sums.join(docs, "_lang").where((F.col("part") >= share * F.col("n")) & F.col("word").rlike(r"\p{L}"))
-    return common.groupBy("_lang").agg(F.sort_array(F.collect_list("word")).alias("_list"))
+    Two passes, both summed on the map side, so no language is one group. The first sums shares by (language, hash bucket
+    of the word): a word is in no bucket of less than its own share, so words of lighter buckets are not common and need
+    no row of their own. The second counts the words of heavy buckets, at most 1 / ``share`` a language, and decides by
+    their exact sums. A list has at most 1 / ``share`` words."""
+    # texts that are too short are null arrays, which the outer explode turns into a null word without a share
+    rows = texts.select("_lang", let(small_words(F.col("text")), lambda w: F.when(F.size(w) >= least_words, w)).alias("w"))
+    word, bucket = F.col("word"), F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int")
+    # a null at the end of each array counts the texts
+    ended = rows.select("_lang", (F.lit(1.0) / F.size("w")).alias("part"), F.explode_outer(F.concat("w", F.array(F.lit(None).cast("string")))).alias("word"))
+    totals = ended.groupBy("_lang", F.when(word.isNotNull(), bucket).otherwise(-1).alias("_bucket")).agg(F.sum(F.when(word.isNotNull(), F.col("part")).when(F.col("part").isNotNull(), 1.0)).alias("part"))
+    n = F.max(F.when(F.col("_bucket") == -1, F.col("part"))).over(Window.partitionBy("_lang"))
+    # the sum of a bucket may be rounded otherwise than that of its word
+    heavy = totals.select("_lang", "_bucket", "part", n.alias("n")).where((F.col("n") >= least_docs) & (F.col("_bucket") >= 0) & (F.col("part") >= share * (1 - 1e-6) * F.col("n")))
+    heavy = written(heavy.select("_lang", "_bucket", "n"), "heavy")
+    each = rows.select("_lang", (F.lit(1.0) / F.size("w")).alias("part"), F.explode_outer("w").alias("word")).withColumn("_bucket", bucket)
+    sums = each.join(heavy, ["_lang", "_bucket"]).groupBy("_lang", "n", "word").agg(F.sum("part").alias("part"))
+    # only the few words over the limit meet in a group; the pattern sees those alone
+    lists = sums.where(F.col("part") >= share * F.col("n")).groupBy("_lang").agg(F.collect_list("word").alias("_list"))
+    return lists.select("_lang", F.sort_array(F.filter("_list", lambda x: x.rlike(r"\p{L}"))).alias("_list")).where(F.size("_list") > 0)
 
 
 def word_histogram(text: Column, common: Column) -> Column:
