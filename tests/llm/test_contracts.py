@@ -22,13 +22,21 @@ COLUMNS = {
     "op8_pseudonyms": "doc_id text n_found",
     "op9_divergence": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
     "op10_curriculum": "doc_id size source_size target taken",
+    "op12_merkle": "doc_id leaf subroot root proof_sha256 folded_root verified",
+    "op13_minhash_dedup": "doc_id n_shingles component_id kept",
 }
 
 
 def test_all_are_registered():
     import __spark_entry__ as entry
 
-    assert set(COLUMNS) | {"pipeline"} <= set(entry.queries()) and set(COLUMNS) == set(Q.QUERIES)
+    assert set(COLUMNS) | {"pipeline"} <= set(entry.queries()) and set(COLUMNS) | {"op11_prefix_trie"} == set(Q.QUERIES)
+
+
+def test_nodes_of_the_trie(spark):
+    df = Q.op11_prefix_trie(spark, FOLDER)
+    assert df.columns == "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256".split()
+    assert len({(r.conv_id, r.depth) for r in df.collect()}) == df.count()
 
 
 @pytest.mark.parametrize("name", sorted(COLUMNS))

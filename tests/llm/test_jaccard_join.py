@@ -95,9 +95,10 @@ def test_recall_of_bands_and_pruning():
         for swap in (0.0, 0.03, 0.06, 0.1):
             a = [np.unique(rnd.integers(0, 2**64, size, dtype=np.uint64)) for _ in range(60)]
             b = [np.unique(np.concatenate([x[: len(x) - int(swap * len(x))], rnd.integers(0, 2**64, int(swap * len(x)), dtype=np.uint64)])) for x in a]
-            sig = J.signatures(a + b).astype(np.uint16)
+            full = J.signatures(a + b)
+            bands, sig = J.band_hashes(full), full.astype(np.uint16)
             near = J.verified(a, b, np.arange(60), np.arange(60), 0.8)
-            band = J.first_common_band(sig[:60], sig[60:], np.arange(60), np.arange(60)) < J.BANDS
+            band = J.first_common_band(bands[:60], bands[60:], np.arange(60), np.arange(60)) < J.BANDS
             kept = set(zip(*map(np.ndarray.tolist, J.surviving(sig[:60], sig[60:], least)), strict=True))
             seen += int(near.sum())
             lost += sum(1 for k in np.flatnonzero(near).tolist() if not band[k] or (k, k) not in kept)
@@ -112,3 +113,14 @@ def test_empty_table(spark):
 def test_bounds_of_the_posterior():
     least = J.fewest_matches(0.8, 1e-9)
     assert least == sorted(least) and 0 < least[0] < 0.8 * J.STEP and least[-1] < 0.8 * J.VALUES
+
+
+def test_bands_that_agree_in_stored_bits_only(spark):
+    """A pair whose band 2 is its first common one, although the 16 stored bits of band 0 agree as well, counts at band 2."""
+    rnd = np.random.default_rng(9)
+    a = rnd.integers(0, 2**32, (1, J.VALUES), dtype=np.uint32)
+    b = rnd.integers(0, 2**32, (1, J.VALUES), dtype=np.uint32)
+    b[:, 2 :: J.BANDS] = a[:, 2 :: J.BANDS]
+    b[:, 0 :: J.BANDS] = a[:, 0 :: J.BANDS] ^ np.uint32(1 << 20)
+    assert (a.astype(np.uint16)[:, 0 :: J.BANDS] == b.astype(np.uint16)[:, 0 :: J.BANDS]).all()
+    assert J.first_common_band(J.band_hashes(a), J.band_hashes(b), np.array([0]), np.array([0])).tolist() == [2]

@@ -118,17 +118,23 @@ def verified(sets_a: list[np.ndarray], sets_b: list[np.ndarray], i: np.ndarray,
     return both >= threshold * (na[i] + nb[j] - both) - 1e-9
 
 
-def band_values(sig: np.ndarray) -> np.ndarray:
-    """[class, band, row] the stored values of signature rows by band."""
-    return sig.reshape(len(sig), ROWS, BANDS).transpose(0, 2, 1)
+def band_hashes(sig: np.ndarray) -> np.ndarray:
+    """[class, band] 64-bit hashes of the values (uint32) of each band and its place, by which classes meet."""
+    out = np.full((len(sig), BANDS), 0, np.uint64)
+    for r in range(ROWS):
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + sig[:, r * BANDS : (r + 1) * BANDS] + np.arange(1, BANDS + 1, dtype=np.uint64))
+    return out
+
 
+def first_common_band(bands_a: np.ndarray, bands_b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The first band in which the hashes of each pair agree; ``BANDS`` where none does.
 
-def first_common_band(sig_a: np.ndarray, sig_b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The first band in which the signatures of each pair agree; ``BANDS`` where none does."""
+    These are the hashes by which classes meet. Stored signatures have 16 bits of each value and may agree in a band in
+    which the pair does not meet."""
     out = np.full(len(i), BANDS, np.int64)
     for begin in range(0, len(i), 1 << 14):
         part = slice(begin, begin + (1 << 14))
-        same = (band_values(sig_a[i[part]]) == band_values(sig_b[j[part]])).all(axis=2)
+        same = bands_a[i[part]] == bands_b[j[part]]
         out[part] = np.where(same.any(axis=1), same.argmax(axis=1), BANDS)
     return out
 
@@ -140,6 +146,7 @@ def links_of_block(a: pd.DataFrame, b: pd.DataFrame | None, least: list[int], th
     other = a if b is None else b
     sig = lambda t: np.frombuffer(b"".join(t["sig"]), np.uint16).reshape(len(t), VALUES)
     sets = lambda t: [np.frombuffer(s, np.uint64) for s in t["shingles"]]
+    bands = lambda t: np.stack(t["bands"].to_list())
     sig_a, sets_a = sig(a), sets(a)
     sig_b, sets_b = (sig_a, sets_a) if b is None else (sig(b), sets(b))
     n = len(a)
@@ -154,7 +161,7 @@ def links_of_block(a: pd.DataFrame, b: pd.DataFrame | None, least: list[int], th
         if b is None:
             i, j = i[i < j], j[i < j]
         if band is not None:
-            own = first_common_band(sig_a, sig_b, i, j) == band
+            own = first_common_band(bands(a), bands(other), i, j) == band
             i, j = i[own], j[own]
         ok = verified(sets_a[begin : begin + 256], sets_b, i - begin, j, threshold)
         i, j = i[ok], j[ok]
@@ -175,8 +182,8 @@ def links_of_block(a: pd.DataFrame, b: pd.DataFrame | None, least: list[int], th
 
 
 def signed(docs: DataFrame, words: int) -> DataFrame:
-    """``key, hash, digest, sig, bands`` of every row of ``docs(key, text, hash)`` with a word. The digest (16 bytes)
-    names the set of shingles."""
+    """``key, hash, digest, n_shingles, sig, bands`` of every row of ``docs(key, text, hash)`` with a word. The digest (16
+    bytes) names the set of shingles."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -188,18 +195,16 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
                 if not some:
                     continue
                 sig = signatures([sets[k] for k in some])
-                bands = np.full((len(some), BANDS), 0, np.uint64)
-                for r in range(ROWS):
-                    bands = mixed(bands * np.uint64(0x9E3779B97F4A7C15) + sig[:, r * BANDS : (r + 1) * BANDS] + np.arange(1, BANDS + 1, dtype=np.uint64))
                 yield pd.DataFrame({
                     "key": keys[part][some],
                     "hash": hashes[part][some],
                     "digest": [hashlib.blake2b(sets[k].tobytes(), digest_size=16).digest() for k in some],
+                    "n_shingles": [len(sets[k]) for k in some],
                     "sig": [row.tobytes() for row in sig.astype(np.uint16)],
-                    "bands": list(bands.view(np.int64)),
+                    "bands": list(band_hashes(sig).view(np.int64)),
                 })
 
-    return docs.where(F.octet_length("text") > 0).mapInPandas(run, "key long, hash long, digest binary, sig binary, bands array<long>")
+    return docs.where(F.octet_length("text") > 0).mapInPandas(run, "key long, hash long, digest binary, n_shingles long, sig binary, bands array<long>")
 
 
 def with_shingles(docs: DataFrame, words: int) -> DataFrame:
@@ -274,8 +279,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
             .withColumn("label", F.col("band"))
             .withColumn("at", F.explode(chunk_pairs(F.concat_ws(":", F.lit("b"), F.col("pos"), F.col("band")), F.col("chunks"), F.col("chunk"))))
             .drop("pos", "band", "parts")
+            .join(classes.select("node", "bands"), "node")
         )
-        blocks = blocks.unionByName(huge)
+        blocks = blocks.unionByName(huge, allowMissingColumns=True)
     least = fewest_matches(threshold, tolerance)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:

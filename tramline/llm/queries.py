@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm import jaccard_join, langid, mixing, oracle, packing, pii, quality_pu, quality_rules, sharding, suffix_dedup, webp
+from tramline.llm import jaccard_join, langid, merkle, minhash_dedup, mixing, oracle, packing, pii, prefix_trie, quality_pu, quality_rules, sharding, structures_sql, suffix_dedup, webp
 from tramline.llm.common import table
 
 #: Rows that Arrow hands to Python at once: long texts would make the default's batches large.
@@ -82,6 +82,18 @@ def op10_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "source", first, second)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_webp, op3_language, op4_quality_pu, op5_packing, op6_rendezvous, op7_jaccard_join, op8_pseudonyms, op9_divergence, op10_curriculum)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(arrow(spark), sf_dir, "conversations"))
 
-ORACLE_SQL: dict[str, str] = oracle.ORACLE_SQL
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(arrow(spark), sf_dir, "documents"), seen=merkle.tampered())
+
+
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.mark(table(arrow(spark), sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_webp, op3_language, op4_quality_pu, op5_packing, op6_rendezvous, op7_jaccard_join, op8_pseudonyms, op9_divergence, op10_curriculum, op11_prefix_trie, op12_merkle, op13_minhash_dedup)}
+
+ORACLE_SQL: dict[str, str] = oracle.ORACLE_SQL | structures_sql.SQL
