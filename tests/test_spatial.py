@@ -63,3 +63,36 @@ def test_polygons_by_cells(spark):
     for k, x, y in points:
         within = sorted(a for a, ring in rings if inside(x, y, ring))
         assert (got[k].method, got[k].area) == ("within", within[0]) if within else got[k].method == "nearest"
+
+
+def to_segment(x, y, a, b):
+    dx, dy = b[0] - a[0], b[1] - a[1]
+    n = dx * dx + dy * dy
+    t = max(0.0, min(1.0, ((x - a[0]) * dx + (y - a[1]) * dy) / n)) if n else 0.0
+    return math.hypot(x - a[0] - t * dx, y - a[1] - t * dy)
+
+
+@pytest.mark.parametrize("spread", [3.0, 100.0])
+def test_nearest_boundary_of_a_thousand_polygons(spark, spread):
+    """Small rings in clusters, rings within rings, long thin ones over the whole map, single vertices; points far outside."""
+    rnd = random.Random(int(spread))
+    rings = []
+    for k in range(1000):
+        cx, cy = rnd.choice([(0, 0), (50, 50), (90, 3)])
+        cx, cy = cx + rnd.gauss(0, spread), cy + rnd.gauss(0, spread)
+        n, r = rnd.choice([1, 2, 3, 4, 9]), rnd.choice([0.01, 0.3, 2])
+        rings.append((k, [(cx + r * math.cos(2 * math.pi * i / n), cy + r * math.sin(2 * math.pi * i / n)) for i in range(n)]))
+    rings += [(1000, [(-150.0, -150.0), (250.0, 240.0), (250.0, 240.1)]), (1001, [(10.0, -99.0), (10.0, 199.0), (10.0, 199.0)]), (1002, [])]
+    points = [(k, rnd.uniform(-60, 150), rnd.uniform(-60, 150)) for k in range(60)] + [(60, 1e4, -1e4), (61, 50.0, 50.0), (62, None, 3.0)]
+    areas = spark.createDataFrame(rings, "area int, ring array<struct<x:double,y:double>>")
+    places = spark.createDataFrame(points, "p int, x double, y double")
+    found = E.nearest_boundary(places, areas, "p", "area")
+    got = {r.p: r for r in found.collect()}
+    assert len(got) == len(points) and got[62].area is None
+    for p, x, y in points[:-1]:
+        far = {k: min(to_segment(x, y, a, b) for a, b in zip(ring, ring[1:] + ring[:1], strict=True)) for k, ring in rings if ring}
+        assert math.isclose(got[p].distance, min(far.values()), rel_tol=1e-9, abs_tol=1e-12)
+        assert math.isclose(far[got[p].area], min(far.values()), rel_tol=1e-9, abs_tol=1e-12)
+    plan = found._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+    assert all(r.area is None for r in E.nearest_boundary(places, areas.limit(0), "p", "area").collect())

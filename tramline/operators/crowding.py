@@ -46,6 +46,43 @@ def circular_loads(df: DataFrame, keys: Sequence[str], seq: str = "seq", boardin
     return df.join(loads, [*keys, seq], "left").fillna(0.0, ["load_up", "load_down"])
 
 
+def ring_loads(df: DataFrame, keys: Sequence[str], seq: str = "seq", boarding: str = "boarding", alighting: str = "alighting") -> DataFrame:
+    """``circular_loads`` without its pairs: the ring is laid out three times, and each load is a difference of running sums.
+
+    With m = n // 2 a trip goes upwards if it has m stops or fewer, so of those who board at i up to m stations behind s, all
+    pass s who get off in s+1 .. i+m: load_up(s) = sum of w(i) (A(i+m) - A(s)) over i in s-m+1 .. s, where A runs over alightings.
+    Downwards likewise with (n - 1) // 2. Sums are read at other places of the ring by laying each row out to the rows that
+    read it, so one partitioning by ring serves all, and the work grows with the stations. Stations are numbered by ``seq``."""
+    line = Window.partitionBy(*keys)
+    ranked = df.withColumn("_i", F.row_number().over(line.orderBy(seq)) - 1)
+    total, n = F.sum(alighting).over(line), F.count(F.lit(1)).over(line)
+    w = F.when(total - F.col(alighting) > 0, F.col(boarding) / (total - F.col(alighting))).otherwise(0.0)
+    laid = ranked.select(*keys, "_i", w.cast("double").alias("_w"), F.col(alighting).cast("double").alias("_a"), n.alias("_n"), (total > 0).alias("_some"))
+    run = Window.partitionBy(*keys).orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
+    laid = laid.withColumn("_lap", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("_t", F.col("_i") + F.col("_lap") * F.col("_n")).withColumn("_A", F.sum("_a").over(run))
+    m, k = F.floor(F.col("_n") / 2), F.floor((F.col("_n") - 1) / 2)
+
+    def moved(t: DataFrame, steps: dict[str, tuple[Column, str]], own: Sequence[str]) -> DataFrame:
+        """Rows with the values that other rows send them, each to the row ``step`` places on."""
+        cells = F.array(F.struct(F.lit("").alias("as"), F.col("_t").alias("t")), *[F.struct(F.lit(name).alias("as"), (F.col("_t") + step).alias("t")) for name, (step, _) in steps.items()])
+        sent = t.withColumn("_c", F.explode(cells))
+        of = lambda name, v: F.max(F.when(F.col("_c.as") == name, F.col(v)))
+        put = sent.groupBy(*keys, F.col("_c.t").alias("_t")).agg(*[of("", v).alias(v) for v in own], *[of(name, v).alias(name) for name, (_, v) in steps.items()])
+        return put.where("_n IS NOT NULL")
+
+    there = moved(laid, {"_Am": (-m, "_A"), "_Ak": (k + 1, "_A")}, ["_i", "_n", "_some", "_w", "_A"])
+    sums = there.withColumns({"_W": F.sum("_w").over(run), "_U": F.sum(F.col("_w") * F.coalesce("_Am", F.lit(0.0))).over(run), "_D": F.sum(F.col("_w") * F.coalesce("_Ak", F.lit(0.0))).over(run)})
+    at = {"_Um": (m, "_U"), "_Wm": (m, "_W"), "_A1": (F.lit(1), "_A"), "_W1": (F.lit(1), "_W"), "_D1": (F.lit(1), "_D"), "_Wk": (1 - k, "_W"), "_Dk": (1 - k, "_D")}
+    ends = moved(sums, at, ["_i", "_n", "_some", "_A", "_U", "_W"]).where("_t = _i")
+    up = (F.col("_U") - F.col("_Um")) - F.col("_A") * (F.col("_W") - F.col("_Wm"))
+    down = F.col("_A1") * (F.col("_Wk") - F.col("_W1")) - (F.col("_Dk") - F.col("_D1"))
+    # what the differences leave below 0 is rounding
+    load = lambda v: F.when(F.col("_some"), F.greatest(v, F.lit(0.0))).otherwise(0.0)
+    loads = ends.select(*[F.col(c).alias(f"_of_{c}") for c in keys], F.col("_i").alias("_at"), load(up).alias("load_up"), load(down).alias("load_down"))
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys]
+    return ranked.join(loads, [*same, F.col("_i") == F.col("_at")]).drop("_i", "_at", *[f"_of_{c}" for c in keys])
+
+
 def clip_negative(df: DataFrame, value: str, lookup: str) -> DataFrame:
     """A negative prediction takes the look-up, a negative one of those 0; missing stays missing. ``source`` tells."""
     v, l = F.nanvl(F.col(value), F.lit(None).cast("double")), F.col(lookup)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tramline.functions.scalars import normal_cdf, stable_number
+from tramline.operators.quantiles import exact_quantiles
 
 
 def daily_losses(df: DataFrame, axes: dict[str, Column], truth: str, base: str, model: str, target: str = "target", date: str = "date") -> DataFrame:
@@ -111,7 +112,7 @@ def brier(df: DataFrame, truth: Column, prob: str) -> DataFrame:
 
 def calibration_table(df: DataFrame, truth: Column, prob: str, bins: int = 10) -> DataFrame:
     """Mean probability and observed share by quantile bins of the probability."""
-    edges = df.agg(F.percentile(prob, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("_e"))
+    edges = exact_quantiles(df, [], prob, [i / bins for i in range(1, bins)], "_e")
     b = F.size(F.filter("_e", lambda e: F.col(prob) > e))
     return df.crossJoin(F.broadcast(edges)).groupBy(b.alias("bin")).agg(F.avg(prob).alias("mean_prob"), F.avg(truth.cast("int")).alias("observed"), F.count(F.lit(1)).alias("n"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tramline.functions.scalars import haversine_km, haversine_m
+from tramline.scratch import cut
 
 
 def explode_days(df: DataFrame, begin: str, end: str, first: Column, last: Column) -> DataFrame:
@@ -109,34 +111,100 @@ def coord_match(df: DataFrame, master: DataFrame, key: str, station: str, lat: s
     return exact.unionByName(found(rest, 5))
 
 
+def edges_of(polygons: DataFrame, area: str) -> DataFrame:
+    """``area, _a, _b``: the edges of each ring (array of x, y; not closed), the last vertex with the first."""
+    n = F.size("ring")
+    both = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get("ring", i).alias("a"), F.get("ring", (i + 1) % n).alias("b")))
+    return polygons.where(n > 0).select(area, F.explode(both).alias("_e")).select(area, F.col("_e.a").alias("_a"), F.col("_e.b").alias("_b"))
+
+
+def rasterised(edges: DataFrame, x0: float, y0: float, side: float) -> DataFrame:
+    """Edges with each cell of a grid that they touch (``_i, _j``): column by column, so a long edge has as many cells as it
+    crosses and not those of its box. A hair's breadth more is taken for rounding."""
+    pad = side * 1e-9
+    ax, ay, bx, by = F.col("_a.x"), F.col("_a.y"), F.col("_b.x"), F.col("_b.y")
+    left, right, low, high = F.least(ax, bx), F.greatest(ax, bx), F.least(ay, by), F.greatest(ay, by)
+    column = lambda v: F.floor((v - x0) / side)
+    by_column = edges.withColumn("_i", F.explode(F.sequence(column(left - pad), column(right + pad))))
+    slope = (by - ay) / F.nullif(bx - ax, F.lit(0.0))
+    at = lambda x: F.greatest(low, F.least(high, ay + (F.greatest(left, F.least(right, x)) - ax) * slope))
+    first, last = at(x0 + F.col("_i") * side - pad), at(x0 + (F.col("_i") + 1) * side + pad)
+    upright = ax == bx
+    down, up = F.when(upright, low).otherwise(F.least(first, last)), F.when(upright, high).otherwise(F.greatest(first, last))
+    row = lambda v: F.floor((v - y0) / side)
+    return by_column.withColumn("_j", F.explode(F.sequence(row(down - pad), row(up + pad))))
+
+
+def to_edge() -> Column:
+    """The distance of (x, y) from the edge ``_a, _b``."""
+    a, b = F.col("_a"), F.col("_b")
+    dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+    t = F.coalesce(((F.col("x") - a["x"]) * dx + (F.col("y") - a["y"]) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
+    return F.sqrt(F.pow(F.col("x") - a["x"] - t * dx, 2) + F.pow(F.col("y") - a["y"] - t * dy, 2))
+
+
+def nearest_boundary(points: DataFrame, polygons: DataFrame, point: str, area: str) -> DataFrame:
+    """``point, area, distance`` of the boundary nearest to each point (``point, x, y``); ties by area, null without any boundary
+    or place.
+
+    Edges lie in a pyramid of square grids, each with sides twice as long as the one below. A point looks into its cell
+    and the eight around it, from the finest grid up, until the best edge is nearer than the side of the cells, so nearer
+    than all that it has not seen; then it is done. So points meet the edges around them by an equality join, and only
+    those far from every edge climb to coarse cells. A point outside the grid looks from the nearest place in it: its way
+    there, squared, is added to what is allowed. The finest grid has about as many cells as there are edges."""
+    edges = edges_of(polygons, area)
+    xs, ys = F.array(F.col("_a.x"), F.col("_b.x")), F.array(F.col("_a.y"), F.col("_b.y"))
+    box = edges.agg(F.min(F.array_min(xs)), F.max(F.array_max(xs)), F.min(F.array_min(ys)), F.max(F.array_max(ys)), F.count(F.lit(1))).first()
+    kind = polygons.select(F.struct(F.lit(0.0).alias("d"), area).alias("s")).schema["s"].dataType
+    placed = points.select(point, "x", "y")
+    if not box[4]:
+        return placed.select(point, F.lit(None).cast(kind[area].dataType).alias(area), F.lit(None).cast("double").alias("distance"))
+    x0, x1, y0, y1, n = box
+    size = max(x1 - x0, y1 - y0) or 1.0
+    levels = min(12, max(3, math.ceil(math.log2(n) / 2)))
+    clamp = lambda v, low, high: F.greatest(F.lit(low), F.least(F.lit(high), v))
+    near_x, near_y = clamp(F.col("x"), x0, x1), clamp(F.col("y"), y0, y1)
+    away = F.pow(F.col("x") - near_x, 2) + F.pow(F.col("y") - near_y, 2)
+    open_ = placed.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select("*", near_x.alias("_px"), near_y.alias("_py"), away.alias("_away"), F.lit(None).cast(kind).alias("_best"))
+    nowhere = placed.where(F.col("x").isNull() | F.col("y").isNull())
+    found = nowhere.select(point, F.lit(None).cast(kind[area].dataType).alias(area), F.lit(None).cast("double").alias("distance"))
+    around = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    for level in range(levels + 1):
+        side = size / 2 ** (levels - level)
+        cells = rasterised(edges, x0, y0, side)
+        look = open_.withColumn("_c", F.explode(F.array(*around)))
+        look = look.select(point, "x", "y", (F.floor((F.col("_px") - x0) / side) + F.col("_c.i")).alias("_i"), (F.floor((F.col("_py") - y0) / side) + F.col("_c.j")).alias("_j"))
+        seen = look.join(cells, ["_i", "_j"]).groupBy(point).agg(F.min(F.struct(to_edge().alias("d"), F.col(area))).alias("_seen"))
+        best = F.when(F.col("_best").isNull() | (F.col("_seen") < F.col("_best")), F.coalesce("_seen", "_best")).otherwise(F.col("_best"))
+        met = cut(open_.join(seen, point, "left").withColumn("_best", best).drop("_seen"))
+        # nothing in the cells not looked at is nearer than a side
+        sure = F.coalesce(F.pow(F.col("_best.d"), 2) < (F.col("_away") + side * side) * (1 - 1e-9), F.lit(False)) | F.lit(level == levels)
+        done = met.where(sure).select(point, F.col("_best")[area].alias(area), F.col("_best.d").alias("distance"))
+        found = found.unionByName(done)
+        open_ = met.where(~sure)
+        if open_.isEmpty():
+            break
+    return found
+
+
 def point_in_polygon(points: DataFrame, polygons: DataFrame, point: str, area: str, cells: int = 64) -> DataFrame:
     """The area whose ring (array of x, y; not closed) holds each point ("within"), else the one whose boundary is nearest
     ("nearest"; ties by area). A point on an edge is within the area to the right of a vertical edge and above a horizontal
     one, as the ray's half-open rule has it.
 
-    Points meet the polygons whose bounding box has their cell of a grid of about ``cells`` cells a side over all boxes.
-    Only points in no polygon meet all polygons, for the nearest boundary."""
-
-    def edges(i: Column) -> tuple[Column, Column]:
-        n = F.size("ring")
-        return F.get("ring", i), F.get("ring", (i + 1) % n)
+    Points meet the polygons whose bounding box has their cell of a grid of about ``cells`` cells a side over all boxes;
+    those in no polygon go to ``nearest_boundary``."""
 
     def crosses(i: Column) -> Column:
-        a, b = edges(i)
+        n = F.size("ring")
+        a, b = F.get("ring", i), F.get("ring", (i + 1) % n)
         inside = (a["y"] > F.col("y")) != (b["y"] > F.col("y"))
         x = (b["x"] - a["x"]) * (F.col("y") - a["y"]) / F.when(b["y"] != a["y"], b["y"] - a["y"]) + a["x"]
         return F.coalesce(inside & (F.col("x") < x), F.lit(False)).cast("int")
 
-    def distance(i: Column) -> Column:
-        a, b = edges(i)
-        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
-        t = F.coalesce(((F.col("x") - a["x"]) * dx + (F.col("y") - a["y"]) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))
-        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
-        return F.sqrt(F.pow(F.col("x") - a["x"] - t * dx, 2) + F.pow(F.col("y") - a["y"] - t * dy, 2))
-
     index = F.sequence(F.lit(0), F.size("ring") - 1)
     inside = F.aggregate(F.transform(index, crosses), F.lit(0), lambda a, v: a + v) % 2 == 1
-    near = F.array_min(F.transform(index, distance))
     xs, ys = F.transform("ring", lambda v: v["x"]), F.transform("ring", lambda v: v["y"])
     boxed = polygons.select(area, "ring", F.array_min(xs).alias("_x0"), F.array_max(xs).alias("_x1"), F.array_min(ys).alias("_y0"), F.array_max(ys).alias("_y1"))
     grid = boxed.agg(F.min("_x0").alias("_gx"), F.min("_y0").alias("_gy"), F.nullif((F.max("_x1") - F.min("_x0")) / cells, F.lit(0.0)).alias("_w"), F.nullif((F.max("_y1") - F.min("_y0")) / cells, F.lit(0.0)).alias("_h"))
@@ -147,10 +215,9 @@ def point_in_polygon(points: DataFrame, polygons: DataFrame, point: str, area: s
     laid = laid.withColumn("_j", F.explode(F.sequence(cell(F.col("_y0"), "_gy", "_h"), cell(F.col("_y1"), "_gy", "_h")))).select(area, "ring", "_i", "_j")
     own = points.select(point, "x", "y")
     placed = own.crossJoin(F.broadcast(grid)).select(point, "x", "y", cell(F.col("x"), "_gx", "_w").alias("_i"), cell(F.col("y"), "_gy", "_h").alias("_j"))
-    within = placed.join(laid, ["_i", "_j"]).where(inside).groupBy(point).agg(F.min(area).alias(area)).withColumn("method", F.lit("within"))
-    rest = own.join(within.select(point), point, "left_anti").crossJoin(polygons.select(area, "ring"))
-    nearest = rest.groupBy(point).agg(F.min(F.struct(near.alias("d"), F.col(area))).alias("_b")).select(point, F.col("_b")[area].alias(area), F.lit("nearest").alias("method"))
-    return within.unionByName(nearest)
+    within = cut(placed.join(laid, ["_i", "_j"]).where(inside).groupBy(point).agg(F.min(area).alias(area)))
+    nearest = nearest_boundary(own.join(within, point, "left_anti"), polygons, point, area).drop("distance")
+    return within.withColumn("method", F.lit("within")).unionByName(nearest.withColumn("method", F.lit("nearest")))
 
 
 def sequence_join(left: DataFrame, right: DataFrame, a: str, b: str, date: str, tie: str, values: Sequence[str]) -> DataFrame:

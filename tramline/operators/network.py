@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tramline import scratch
 from tramline.functions.scalars import haversine_m
 
 DAY, SLOT = 86_400, 1_800
@@ -162,14 +163,8 @@ def connected(edges: DataFrame, keys: Sequence[str], a: str, b: str, checkpoint:
     """Components of each line: (keys, node, label), label the lowest node. Rounds of lowest label and pointer jumping,
     until nothing changes. Each round is cut by a reliable checkpoint; where no checkpoint folder is set, a local session
     has one in its warehouse and a cluster's session raises."""
-    context = edges.sparkSession.sparkContext
-    if checkpoint and not context.getCheckpointDir():
-        folder = context.getConf().get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or f"{edges.sparkSession.conf.get('spark.sql.warehouse.dir')}-checkpoints")
     both = edges.select(*keys, F.col(a).alias("node"), F.col(b).alias("near")).union(edges.select(*keys, F.col(b), F.col(a))).distinct()
-    cut = (lambda t: t.checkpoint()) if checkpoint else (lambda t: t)
+    cut = scratch.cut if checkpoint else (lambda t: t)
     both = cut(both)
     labels = cut(both.groupBy(*keys, "node").agg(F.least(F.col("node"), F.min("near")).alias("label")))
     while True:

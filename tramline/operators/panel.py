@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tramline.functions import timefn as T
+from tramline.operators.quantiles import exact_quantiles
 
 
 def time_split(df: DataFrame, date: Column, day: str = "date") -> tuple[DataFrame, DataFrame]:
@@ -183,12 +184,16 @@ def heatmap(df: DataFrame, row: Column, column: Column, value: str, columns: Seq
 
 
 def binned(df: DataFrame, bins: Column, value: str) -> DataFrame:
-    return df.groupBy(bins.alias("bin")).agg(F.avg(value).alias("mean"), F.median(value).alias("median"), F.count(value).alias("n"))
+    """Mean, exact median and rows of each bin; a bin may hold most rows."""
+    of = df.select(bins.alias("bin"), F.col(value).alias("_v"))
+    medians = exact_quantiles(of, ["bin"], "_v", [0.5]).select(F.col("bin").alias("_bin"), F.col("q")[0].alias("median"))
+    means = of.groupBy("bin").agg(F.avg("_v").alias("mean"), F.count("_v").alias("n"))
+    return means.join(medians, F.col("bin").eqNullSafe(F.col("_bin"))).select("bin", "mean", "median", "n")
 
 
 def decile_bins(df: DataFrame, x: str, y: str, bins: int = 10) -> DataFrame:
-    """Means of y by quantile bins of x, with the edges from one exact pass."""
-    edges = df.agg(F.percentile(x, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("_e"))
+    """Means of y by quantile bins of x, with exact edges."""
+    edges = exact_quantiles(df, [], x, [i / bins for i in range(1, bins)], "_e")
     b = F.size(F.filter("_e", lambda e: F.col(x) > e))
     return df.crossJoin(F.broadcast(edges)).groupBy(b.alias("bin")).agg(F.avg(x).alias("x_mean"), F.avg(y).alias("y_mean"), F.count(F.lit(1)).alias("n"))
 
@@ -247,8 +252,9 @@ def ratio_change(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str, li
     """Relative moves between two tables: median, 90th percentile, largest, share over ``limit``."""
     j = a.select(*keys, F.col(value).alias("_a")).join(b.select(*keys, F.col(value).alias("_b")), list(keys))
     move = F.abs(F.col("_b") - F.col("_a")) / F.nullif(F.abs("_a"), F.lit(0.0))
-    q = F.percentile("_m", F.array(F.lit(0.5), F.lit(0.9)))
-    return j.select(move.alias("_m")).agg(q.alias("_q"), F.max("_m").alias("largest"), F.avg((F.col("_m") > limit).cast("int")).alias("share_over"), F.count("_m").alias("n")).select(F.col("_q")[0].alias("median"), F.col("_q")[1].alias("p90"), "largest", "share_over", "n")
+    moves = j.select(move.alias("_m"))
+    one = moves.agg(F.max("_m").alias("largest"), F.avg((F.col("_m") > limit).cast("int")).alias("share_over"), F.count("_m").alias("n"))
+    return one.join(F.broadcast(exact_quantiles(moves, [], "_m", [0.5, 0.9], "_q"))).select(F.col("_q")[0].alias("median"), F.col("_q")[1].alias("p90"), "largest", "share_over", "n")
 
 
 def day_type_gap(df: DataFrame, keys: Sequence[str], kind: str, value: str, a: int, b: int) -> DataFrame:
@@ -260,8 +266,9 @@ def day_type_gap(df: DataFrame, keys: Sequence[str], kind: str, value: str, a: i
 def outlier_flags(df: DataFrame, station: str, value: str, share: float = 0.9) -> DataFrame:
     """Stations whose deviation, or share of zeros, is at or above that percentile of all stations."""
     s = df.groupBy(station).agg(F.stddev(value).alias("sd"), F.avg((F.col(value) <= 20).cast("int")).alias("low_rate"))
-    cut = s.agg(F.percentile("sd", share).alias("_sd"), F.percentile("low_rate", share).alias("_low"))
-    return s.crossJoin(F.broadcast(cut)).select(station, "sd", "low_rate", (F.col("sd") >= F.col("_sd")).alias("sd_high"), (F.col("low_rate") >= F.col("_low")).alias("low_high"))
+    for c in ("sd", "low_rate"):
+        s = s.crossJoin(F.broadcast(exact_quantiles(s, [], c, [share], f"_{c}")))
+    return s.select(station, "sd", "low_rate", (F.col("sd") >= F.col("_sd")[0]).alias("sd_high"), (F.col("low_rate") >= F.col("_low_rate")[0]).alias("low_high"))
 
 
 def zscore(df: DataFrame, station: str, date: str, values: Sequence[str]) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tramline.operators.quantiles import exact_quantiles
+
 
 def missing_columns(df: DataFrame, wanted: Sequence[str]) -> list[str]:
     return [c for c in wanted if c not in df.columns]
@@ -140,7 +142,8 @@ def drift(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str, grade: Co
     x = a.select(*keys, F.col(value).alias("_x"), grade.alias("_gx"), F.col(status).alias("_sx"))
     y = b.select(*keys, F.col(value).alias("_y"), grade.alias("_gy"), F.col(status).alias("_sy"))
     d = x.join(y, list(keys)).withColumn("_d", F.abs(F.col("_y") - F.col("_x")))
-    return d.agg(F.avg("_d").alias("mean"), F.percentile("_d", F.lit(0.5)).alias("median"), F.percentile("_d", F.lit(0.95)).alias("p95"), F.max("_d").alias("largest"), F.avg((F.col("_gx") != F.col("_gy")).cast("int")).alias("grade_changed"), F.avg((F.col("_sx") == F.col("_sy")).cast("int")).alias("status_same"))
+    one = d.agg(F.avg("_d").alias("mean"), F.max("_d").alias("largest"), F.avg((F.col("_gx") != F.col("_gy")).cast("int")).alias("grade_changed"), F.avg((F.col("_sx") == F.col("_sy")).cast("int")).alias("status_same"))
+    return one.join(F.broadcast(exact_quantiles(d, [], "_d", [0.5, 0.95], "_q"))).select("mean", F.col("_q")[0].alias("median"), F.col("_q")[1].alias("p95"), "largest", "grade_changed", "status_same")
 
 
 def dataset_report(train: DataFrame, test: DataFrame, station: str, date: str, horizon: str, target: str, leaks: Sequence[str] = ()) -> DataFrame:

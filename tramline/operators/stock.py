@@ -207,15 +207,47 @@ def net_flow(rent: DataFrame, ret: DataFrame, keys: Sequence[str], stock_change:
     return out.withColumn("net_flow", flow if stock_change else -flow)
 
 
-def forward_sum(df: DataFrame, entity: str, at: str, values: Sequence[str], minutes: int, frame: str = "time", step: int = 5) -> DataFrame:
+def haloed(df: DataFrame, bucket: Column, again: Column) -> DataFrame:
+    """``df`` with its bucket as ``_b``, and copies (``_halo``) of each row in the buckets of the array ``again``."""
+    place = F.concat(F.array(F.struct(bucket.alias("b"), F.lit(False).alias("halo"))), F.transform(again, lambda b: F.struct(b.alias("b"), F.lit(True).alias("halo"))))
+    return df.withColumn("_at", F.explode(place)).withColumns({"_b": F.col("_at.b"), "_halo": F.col("_at.halo")}).drop("_at")
+
+
+def forward_sum(df: DataFrame, entity: str, at: str, values: Sequence[str], minutes: int, frame: str = "time", step: int = 5, wide: int = 4, rows: int = 4096) -> DataFrame:
     """Sums of what follows within ``minutes`` (frame "time": later than now, up to then), or of rows -(steps - 2) to +1
-    as a shifted rolling window over rows has them (frame "rows_compat")."""
-    w = Window.partitionBy(entity)
+    as a shifted rolling window over rows has them (frame "rows_compat").
+
+    An entity is no single window. By time it is cut into buckets of ``wide`` times the minutes, and the first ``minutes`` of
+    each bucket are copied into the one before, where they count but give no row; so 1 in ``wide`` rows is sent twice.
+    By rows it is cut into runs of ``rows`` rows, by places that are counted by day first, with the neighbours of each run
+    copied into it. Rows without a time are of one bucket: by time they count for each other, as in a plain window."""
     if frame == "time":
-        w = w.orderBy(F.unix_timestamp(F.col(at).cast("timestamp"))).rangeBetween(1, minutes * 60)
+        sec, span = F.unix_timestamp(F.col(at).cast("timestamp")), minutes * 60
+        width = wide * span
+        bucket = F.floor(F.col("_sec") / width)
+        early = F.pmod(F.col("_sec"), F.lit(width)) <= span
+        cut = haloed(df.withColumn("_sec", sec), bucket, F.when(early, F.array(bucket - 1)).otherwise(F.array().cast("array<bigint>")))
+        w = Window.partitionBy(entity, "_b").orderBy("_sec").rangeBetween(1, span)
     else:
-        w = w.orderBy(at).rowsBetween(-(minutes // step - 2), 1)
-    return df.withColumns({f"{v}_next_{minutes}": F.coalesce(F.sum(v).over(w), F.lit(0)) for v in values})
+        before, after = minutes // step - 2, 1
+        placed = place_of(df, entity, at)
+        first, last = F.floor((F.col("_place") - after) / rows), F.floor((F.col("_place") + max(before, 0)) / rows)
+        bucket = F.floor(F.col("_place") / rows)
+        cut = haloed(placed, bucket, F.filter(F.sequence(first, last), lambda b: b != bucket))
+        w = Window.partitionBy(entity, "_b").orderBy("_place").rowsBetween(-before, after)
+    out = cut.withColumns({f"{v}_next_{minutes}": F.coalesce(F.sum(v).over(w), F.lit(0)) for v in values}).where("not _halo")
+    return out.drop("_b", "_halo", "_sec", "_place")
+
+
+def place_of(df: DataFrame, entity: str, at: str) -> DataFrame:
+    """The place of each row in its entity by time, from 0, as ``_place``: ordered inside days, behind the counts of the days before."""
+    day = df.withColumn("_day", F.to_date(at))
+    counts = day.groupBy(F.col(entity).alias("_e"), F.col("_day").alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("_e").orderBy(F.col("_d").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    inside = F.row_number().over(Window.partitionBy(entity, "_day").orderBy(at)) - 1
+    joined = day.withColumn("_i", inside).join(counts, F.col(entity).eqNullSafe(F.col("_e")) & F.col("_day").eqNullSafe(F.col("_d")))
+    return joined.withColumn("_place", F.col("_before") + F.col("_i")).drop("_day", "_e", "_d", "_before", "_i")
 
 
 def stock_labels(df: DataFrame, anchor: str, flow: str, racks: str) -> DataFrame:

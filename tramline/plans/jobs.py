@@ -46,8 +46,22 @@ def weather_features(env: DataFrame, categories: Sequence[str], ranges: Mapping[
     return wide, Q.range_check(wide, dict(ranges), ["observed", "forecast"])
 
 
-def netflow_panel(rentals: DataFrame, anchors: DataFrame, horizons: Sequence[int] = (30, 60)) -> DataFrame:
-    """P4: rentals (station_id, ts, kind, cnt) -> net flow by 5 minutes -> last anchor stock before -> sums ahead."""
+def match_stations(rentals: DataFrame, places: DataFrame, master: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rentals that name a rental place (``place_id``) by the master's station at its coordinates, and the places that match none with their rentals.
+
+    The map of places is made once and met by ``place_id``, so rentals are not grouped by it."""
+    found = E.coord_match(places.where("lat IS NOT NULL AND lon IS NOT NULL"), master, "place_id", "station_id")
+    known = rentals.join(found, "place_id")
+    return known, rentals.join(found, "place_id", "left_anti").groupBy("place_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def netflow_panel(rentals: DataFrame, anchors: DataFrame, horizons: Sequence[int] = (30, 60), places: DataFrame | None = None, master: DataFrame | None = None) -> DataFrame:
+    """P4: rentals (station_id, ts, kind, cnt) -> net flow by 5 minutes -> last anchor stock before -> sums ahead.
+
+    With ``places`` (place_id, lat, lon) and ``master`` (station_id, lat, lon) rentals name a place instead of a station, and those
+    of places that are at no station's coordinates go (``match_stations`` lists them)."""
+    if places is not None:
+        rentals = match_stations(rentals, places, master)[0]
     r = rentals.withColumns({"slot_start": T.floor_5min(F.col("ts"))})
     flow = S.net_flow(r.where("kind = 'rent'"), r.where("kind = 'return'"), ["station_id", "slot_start"])
     out = S.asof_backward(flow, anchors.select("station_id", F.col("ts").cast("timestamp").alias("slot_start"), "stock", "tie"), "station_id", "slot_start", ["stock"], "tie")
@@ -93,25 +107,52 @@ def features(panel: DataFrame, neighbors: DataFrame, value: str = "boarding", da
 
 def crowding(pred: DataFrame, calibration: DataFrame, targets: DataFrame, thresholds: Sequence[float]) -> tuple[DataFrame, DataFrame]:
     """P7: predictions (line, seq, station_no, date, hour, boarding, alighting, lookup) -> no negatives -> loads -> calibrated half
-    hours -> grade and status -> links, and the keys without one."""
+    hours -> grade and status -> links, and the keys without one. Lines whose ``circular`` (a column, if there) is true are
+    rings, on which people go the way of fewer stations."""
     clean = C.clip_negative(pred, "boarding", "lookup").withColumn("boarding", F.coalesce("clipped", F.lit(0.0)))
-    loads = C.linear_loads(clean, ["line", "date", "hour"])
+    keys = ["line", "date", "hour"]
+    if "circular" in pred.columns:
+        ring = F.coalesce("circular", F.lit(False))
+        loads = C.linear_loads(clean.where(~ring), keys).unionByName(C.ring_loads(clean.where(ring), keys))
+    else:
+        loads = C.linear_loads(clean, keys)
     ways = loads.select("line", "station_no", "date", "hour", "source", F.explode(F.create_map(F.lit("up"), "load_up", F.lit("down"), "load_down")).alias("direction", "raw"))
     cal = C.apply_calibration(ways, calibration, ["station_no", "direction"])
     graded = cal.withColumns({"grade": grade(F.col("calibrated"), thresholds), "status": C.data_status(F.col("source").isNull(), F.col("source") == "lookup", F.lit(False), F.col("ratio").isNull())})
     return C.to_link_table(graded, targets.select("station_no", "direction", "to_station"))
 
 
-def train_table(timetable: DataFrame, percent: DataFrame, adjacent: DataFrame, hourly: DataFrame, halves: DataFrame, capacity: float) -> DataFrame:
+def one_link(timetable: DataFrame, links: DataFrame) -> DataFrame:
+    """P8's first step: each stop of a timetable with the one segment that its train runs on, stops without one left out.
+
+    A station may lie on several segments (``links``: station_no, segment). The segment fits if the stop before or after in the train's
+    run lies on it as well; of several the one whose neighbours both do, else the first by name. So a stop stands once, and no
+    load of it is counted for each segment."""
+    runs = C.run_split(timetable, ["direction", "train_id"], "arr_min", "station_no")
+    of = links.select("station_no", "segment").distinct()
+    mine = runs.join(of, "station_no")
+    near = lambda c: of.select(F.col("station_no").alias(c), "segment", F.lit(1).alias(f"_{c}"))
+    fits = mine.join(near("prev_station"), ["prev_station", "segment"], "left").join(near("next_station"), ["next_station", "segment"], "left")
+    score = F.coalesce("_prev_station", F.lit(0)) + F.coalesce("_next_station", F.lit(0))
+    stop = ["station_no", "direction", "train_id", "arr_min"]
+    best = C.resolve_links(fits.withColumns({"_fit": score > 0, "_score": score}), stop, "segment", "_fit", "_score")
+    return best.select(*timetable.columns, "segment", "ambiguous")
+
+
+def train_table(timetable: DataFrame, percent: DataFrame, adjacent: DataFrame, hourly: DataFrame, halves: DataFrame, capacity: float, links: DataFrame | None = None) -> DataFrame:
     """P8: timetable (station_no, direction, train_id, arr_min) -> trains of each half hour -> people on board of them all ->
     shares by headway -> load of each train; the station's hourly boardings -> half hours -> allocated over its trains of
     both directions by load; runs -> load that arrives with each train.
 
     ``percent`` has station_no, direction, slot30, percent (of ``capacity`` a train); ``hourly`` station_no, hour, boarding;
-    ``halves`` station_no, slot30, share of the hour."""
-    at = ["station_no", "direction", "slot30"]
-    onboard = percent.join(C.trains_per_slot(timetable, at[:2]), at).withColumn("onboard", F.col("percent") / 100 * capacity * F.col("trains"))
-    shares = C.headway_share(timetable, ["station_no", "direction"])
+    ``halves`` station_no, slot30, share of the hour. With ``links`` (station_no, segment) each stop first gets its one segment
+    (``one_link``), and trains, shares and loads are those of a station's segment, so ``percent`` has segment as well."""
+    place = ["station_no", "direction"]
+    if links is not None:
+        timetable, place = one_link(timetable, links), [*place, "segment"]
+    at = [*place, "slot30"]
+    onboard = percent.join(C.trains_per_slot(timetable, place), at).withColumn("onboard", F.col("percent") / 100 * capacity * F.col("trains"))
+    shares = C.headway_share(timetable, place)
     loaded = shares.join(onboard.select(*at, "onboard"), at).withColumn("load", F.col("onboard") * F.col("share"))
     flows = C.split_hourly(hourly, halves, ["station_no"], "hour", "boarding").select("station_no", "slot30", "boarding_30min")
     boarded = loaded.join(flows, ["station_no", "slot30"], "left")
@@ -120,8 +161,18 @@ def train_table(timetable: DataFrame, percent: DataFrame, adjacent: DataFrame, h
     return C.node_states(runs, ["direction", "train_id", "run"], ["arr_min", "station_no"], adjacent)
 
 
-def event_panel(games: DataFrame, festivals: DataFrame, stations: DataFrame, venues: DataFrame, first: Column, last: Column, km: float = 1.0) -> DataFrame:
-    """P9: games and festivals at places -> stations near them -> counts by station and date."""
+def paired_games(games: DataFrame, crowds: DataFrame, most: int = 1) -> DataFrame:
+    """Games with the attendance of another source, repeated meetings of a day paired in order, without the places' days of more
+    than ``most`` games: ``games`` has id, date, place, a, b, ``crowds`` id, date, a, b, attendance, whoever stands first."""
+    seen = E.sequence_join(games, crowds, "a", "b", "date", "id", ["attendance"])
+    return E.drop_days(seen, ["date", "place"], most)
+
+
+def event_panel(games: DataFrame, festivals: DataFrame, stations: DataFrame, venues: DataFrame, first: Column, last: Column, km: float = 1.0, crowds: DataFrame | None = None) -> DataFrame:
+    """P9: games and festivals at places -> stations near them -> counts by station and date. With ``crowds`` games take
+    their attendance from there, and days of several games at a place go (``paired_games``)."""
+    if crowds is not None:
+        games = paired_games(games, crowds)
     near = E.radius_join(venues, stations.select("station_no", "lat", "lon"), km).select("place", "station_no").distinct()
     days = E.explode_days(E.duration_days(festivals, "begin_date", "end_date"), "begin_date", "end_date", first, last)
     g = E.game_rollup(games.join(near, "place"), ["station_no", "date"], "attendance")

@@ -28,8 +28,11 @@ def win11_linear_loads(spark, d):
     return rounded(C.linear_loads(line_month(spark, d), ["line", "m"]).select("station_no", "m", "load_up", "load_down"), 4)
 
 
-@query(f"""WITH l0 AS ({LINE}), l AS (SELECT line, m, station_no, boarding, alighting, row_number() OVER (PARTITION BY line, m ORDER BY seq) - 1 AS seq FROM l0), od AS (SELECT *, (j - i + n) % n AS up, (i - j + n) % n AS down FROM ({OD}))
-    SELECT l.station_no, l.m::INTEGER AS m, round(coalesce(sum(trips) FILTER (WHERE up <= down AND (l.seq - i + n) % n < up), 0), 4) AS load_up, round(coalesce(sum(trips) FILTER (WHERE down < up AND (i - l.seq + n) % n < down), 0), 4) AS load_down FROM l LEFT JOIN od ON od.line = l.line AND od.m = l.m GROUP BY 1, 2""")
+RINGS = f"""WITH l0 AS ({LINE}), l AS (SELECT line, m, station_no, boarding, alighting, row_number() OVER (PARTITION BY line, m ORDER BY seq) - 1 AS seq FROM l0), od AS (SELECT *, (j - i + n) % n AS up, (i - j + n) % n AS down FROM ({OD}))
+    SELECT l.station_no, l.m::INTEGER AS m, round(coalesce(sum(trips) FILTER (WHERE up <= down AND (l.seq - i + n) % n < up), 0), 4) AS load_up, round(coalesce(sum(trips) FILTER (WHERE down < up AND (i - l.seq + n) % n < down), 0), 4) AS load_down FROM l LEFT JOIN od ON od.line = l.line AND od.m = l.m GROUP BY 1, 2"""
+
+
+@query(RINGS)
 def win12_circular_loads(spark, d):
     from pyspark.sql.window import Window
 
@@ -37,6 +40,11 @@ def win12_circular_loads(spark, d):
     return rounded(C.circular_loads(l, ["line", "m"]).select("station_no", "m", "load_up", "load_down"), 4)
 
 
+@query(RINGS)
+def win12_ring_loads(spark, d):
+    return rounded(C.ring_loads(line_month(spark, d), ["line", "m"]).select("station_no", "m", "load_up", "load_down"), 4)
+
+
 @query("SELECT station_no, date, slot, round(CASE WHEN v >= 0 THEN v WHEN v < 0 THEN greatest(lookup - 20, 0) END, 6) AS clipped, CASE WHEN v >= 0 THEN 'model' WHEN v < 0 THEN CASE WHEN lookup - 20 >= 0 THEN 'lookup' ELSE 'zero' END END AS source FROM (SELECT *, CASE WHEN slot = 7 THEN NULL ELSE model - 25 END AS v FROM v_pred)")
 def prj10_clip_negative(spark, d):
     p = v_pred(spark, d).withColumns({"v": F.when(F.col("slot") != 7, F.col("model") - 25), "low": F.col("lookup") - 20})

@@ -2,23 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tramline.operators import stock as S
 from tramline.queries.base import query, read, v_stock
-from tramline.sources import io
+from tramline.scratch import new_folder
+from tramline.sources import io, replay, view
 from tramline.streaming import streams as R
 
 
 def place(spark: SparkSession) -> str:
-    """A new folder that the cluster shares; a local session without one has its own beside the warehouse."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{found or spark.conf.get('spark.sql.warehouse.dir') + '-scratch'}/stream-{uuid.uuid4().hex}"
+    return new_folder(spark, "stream")
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
@@ -108,17 +105,19 @@ def str03_dedup_events(spark, d):
 @query("SELECT user_id, arg_max(value, event_id) AS value FROM (SELECT *, max(ts) OVER (PARTITION BY user_id) AS m FROM events) WHERE ts = m GROUP BY 1")
 def str04_latest_stock(spark, d):
     path = place(spark)
-    R.run_available(R.latest_stock(events(spark, d), "user_id", "ts", ["value"], "event_id"), path, "complete")
-    return spark.read.parquet(path).select("user_id", "value")
+    R.run_available(R.latest_stock(events(spark, d), "user_id", "ts", ["value"], "event_id"), path, "update", R.keep_latest(path, "user_id", "ts"))
+    return view.read_view(spark, path).select("user_id", "value")
 
 
 @query("SELECT event_id, station_id, horizon FROM (SELECT *, event_id % 4 AS horizon FROM v_stock QUALIFY date = max(date) OVER (PARTITION BY station_id)) QUALIFY row_number() OVER (PARTITION BY station_id, horizon ORDER BY event_id DESC) = 1")
 def str05_latest_weather(spark, d):
     s = v_stock(spark, d).select("event_id", "station_id", (F.col("event_id") % 4).alias("horizon"), "date")
-    view = None
-    for part in (0, 2, 1):
-        view = R.merge_latest_issue(view, s.where(F.col("event_id") % 3 == part), ["station_id"], "date", "horizon", "event_id")
-    return view.select("event_id", "station_id", "horizon")
+    path = place(spark)
+    each = R.keep_latest_issue(path, ["station_id"], "date", "horizon", "event_id")
+    # the second batch runs twice
+    for number, part in ((0, 0), (1, 2), (1, 2), (2, 1)):
+        each(s.where(F.col("event_id") % 3 == part), number)
+    return view.read_view(spark, path).select("event_id", "station_id", "horizon")
 
 
 @query("SELECT user_id, max(day) AS day, arg_max(v, day) AS view, arg_max(c, day) AS click FROM (SELECT user_id, CAST(ts AS DATE) AS day, max(value) FILTER (WHERE event_type = 'view') AS v, max(value) FILTER (WHERE event_type = 'click') AS c FROM events GROUP BY 1, 2) WHERE v IS NOT NULL AND c IS NOT NULL GROUP BY 1")
@@ -162,7 +161,19 @@ def str11_latency(spark, d):
 
 
 def readings(df: DataFrame) -> DataFrame:
-    return df.select("user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("sec"), (F.col("value") > 10).alias("hot"))
+    ts = F.col("ts").cast("timestamp")
+    return df.select("user_id", ts.alias("ts"), F.unix_timestamp(ts).alias("sec"), (F.col("value") > 10).alias("hot"))
+
+
+@contextmanager
+def rocksdb(spark: SparkSession):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, R.ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
 
 
 def fired(df: DataFrame) -> DataFrame:
@@ -178,8 +189,15 @@ TWIN = """WITH RECURSIVE r AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT)
 @query(TWIN)
 def str12_cooldown(spark, d):
     path = place(spark)
-    R.run_available(R.cooldown_stream(readings(events(spark, d)), "user_id", "sec", "hot", 86400), path)
-    return fired(spark.read.parquet(path))
+    e = readings(read(spark, d, "events"))
+    # a row of no entity, long after all, takes the watermark past them
+    beat = e.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("bigint").alias("user_id"), (F.col("ts") + F.expr("INTERVAL 90 DAYS")).alias("ts"), F.lit(0).cast("bigint").alias("sec"), F.lit(False).alias("hot"))
+    e.write.parquet(f"{path}/in/rows")
+    beat.where("ts IS NOT NULL").write.parquet(f"{path}/in/beat")
+    with rocksdb(spark):
+        stream = spark.readStream.schema(e.schema).parquet(f"{path}/in/*")
+        R.run_available(R.cooldown_stream(stream, "user_id", "ts", "hot", 86400), f"{path}/out")
+    return fired(spark.read.parquet(f"{path}/out").where("entity <> '-1'"))
 
 
 @query(TWIN)
@@ -190,8 +208,12 @@ def str12_cooldown_batch(spark, d):
 @query("SELECT station_id, date, arg_max(stock, event_id) AS stock FROM v_stock GROUP BY 1, 2")
 def str13_history_upsert(spark, d):
     s = v_stock(spark, d).select("station_id", "date", "event_id", "stock")
-    first = R.history_upsert(None, s.where("event_id % 2 = 1"), ["station_id", "date"], "event_id")
-    return R.history_upsert(first, s.where("event_id % 2 = 0"), ["station_id", "date"], "event_id").drop("event_id")
+    path = place(spark)
+    each = R.keep_history(path, ["station_id", "date"], "event_id", "date")
+    # the second batch runs twice
+    for number, half in ((0, 1), (1, 0), (1, 0)):
+        each(s.where(F.col("event_id") % 2 == half), number)
+    return view.read_view(spark, path).drop("event_id")
 
 
 @query("SELECT 'bike.stock' AS topic, CAST(event_id % 3 AS INTEGER) AS partition, CAST(count_if(event_id % 7 <> 0) AS BIGINT) AS saved, CAST(count_if(event_id % 7 = 0) AS BIGINT) AS failed, max(event_id) + 1 AS next_offset FROM events GROUP BY 1, 2")
@@ -199,6 +221,20 @@ def str14_consumer_status(spark, d):
     return R.consumer_status(envelopes(read(spark, d, "events")), F.col("event_id") % 7 != 0)
 
 
+@query("SELECT 'bike.stock' AS topic, CAST(event_id % 3 AS INTEGER) AS partition, 0::BIGINT AS first_offset, count(*) AS next_offset, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS keys, 0::BIGINT AS lag FROM events GROUP BY 2")
+def src07_replay(spark, d):
+    root, path = place(spark), place(spark)
+    e = read(spark, d, "events")
+    rows = envelopes(e).join(e.select("event_id", F.col("ts").cast("timestamp").alias("timestamp")), "event_id").withColumn("key", F.col("event_id").cast("string"))
+    # the stream stops between two appends and goes on behind its checkpoint
+    for half in (0, 1):
+        replay.append_log(rows.where(F.floor(F.col("event_id") / 3) % 2 == half), root)
+        R.run_available(replay.stream_log(spark, root, ["bike.stock"], group="log"), path)
+    out = spark.read.parquet(path).groupBy("topic", "partition").agg(F.min("offset").alias("first_offset"), (F.max("offset") + 1).alias("next_offset"), F.countDistinct("offset").alias("n"), F.sum(F.col("key").cast("long")).alias("keys"))
+    end = replay.read_log(spark, root).groupBy("topic", "partition").agg((F.max("offset") + 1).alias("end"))
+    return out.join(end, ["topic", "partition"]).withColumn("lag", F.col("end") - F.col("next_offset")).drop("end")
+
+
 @query("SELECT station_id, date, slot, stock FROM (SELECT station_id, date, CAST((hour(collected_at) * 60 + minute(collected_at)) // 30 AS INTEGER) AS slot, count(*) AS stock FROM v_stock GROUP BY ALL)")
 def snk03_link_export(spark, d):
     s = v_stock(spark, d).groupBy("station_id", "date", F.concat(F.date_format("collected_at", "HH"), F.lit(":"), F.lpad((F.floor(F.minute("collected_at") / 30) * 30).cast("string"), 2, "0")).alias("time_slot_30min")).agg(F.count(F.lit(1)).alias("stock"))
@@ -263,6 +299,44 @@ def joi13_point_in_polygon(spark, d):
     return point_in_polygon(v_point(spark, d).select("point_id", F.col("lon").alias("x"), F.col("lat").alias("y")), areas, "point_id", "area")
 
 
+#: A crooked quadrilateral around each station, of a size of its own.
+CORNERS = ((-0.0011, -0.0007), (0.0013, -0.0009), (0.0008, 0.0012), (-0.0006, 0.0010))
+RINGS = "SELECT station_no AS area, " + ", ".join(f"lon + ({x}) * r AS x{i}, lat + ({y}) * r AS y{i}" for i, (x, y) in enumerate(CORNERS)) + " FROM (SELECT *, 0.7::DOUBLE + (station_no % 7) * 0.3 + station_no * 0.0001 AS r FROM v_station)"
+EDGES = " UNION ALL ".join(f"SELECT area, x{i} AS ax, y{i} AS ay, x{(i + 1) % 4} AS ex, y{(i + 1) % 4} AS ey FROM ring" for i in range(4))
+NEAREST = f"""WITH ring AS ({RINGS}), edge AS ({EDGES}), pe AS (SELECT point_id, p.lon AS x, p.lat AS y, area, ax, ay, ex, ey, ex - ax AS dx, ey - ay AS dy FROM v_point p, edge),
+    dist AS (SELECT *, greatest(0, least(1, coalesce(((x - ax) * dx + (y - ay) * dy) / nullif(dx * dx + dy * dy, 0), 0))) AS t FROM pe),
+    ins AS (SELECT point_id, min(area) AS area FROM (SELECT point_id, area FROM pe GROUP BY 1, 2 HAVING count_if((ay > y) <> (ey > y) AND x < dx * (y - ay) / nullif(dy, 0) + ax) % 2 = 1) GROUP BY 1),
+    near AS (SELECT point_id, arg_min(area, (sqrt((x - ax - t * dx) ** 2 + (y - ay - t * dy) ** 2), area)) AS area, min(sqrt((x - ax - t * dx) ** 2 + (y - ay - t * dy) ** 2)) AS d FROM dist GROUP BY 1)"""
+
+
+def rings(spark, d):
+    from tramline.queries.base import v_station
+
+    r = F.lit(0.7) + F.col("station_no") % 7 * 0.3 + F.col("station_no") * 0.0001
+    corner = lambda x, y: F.struct((F.col("lon") + x * r).alias("x"), (F.col("lat") + y * r).alias("y"))
+    return v_station(spark, d).select(F.col("station_no").alias("area"), F.array(*[corner(x, y) for x, y in CORNERS]).alias("ring"))
+
+
+def map_points(spark, d):
+    from tramline.queries.base import v_point
+
+    return v_point(spark, d).select("point_id", F.col("lon").alias("x"), F.col("lat").alias("y"))
+
+
+@query(f"{NEAREST} SELECT n.point_id, coalesce(ins.area, n.area) AS area, CASE WHEN ins.area IS NULL THEN 'nearest' ELSE 'within' END AS method FROM near n LEFT JOIN ins ON ins.point_id = n.point_id")
+def joi13_station_areas(spark, d):
+    from tramline.operators.events import point_in_polygon
+
+    return point_in_polygon(map_points(spark, d), rings(spark, d), "point_id", "area")
+
+
+@query(f"{NEAREST} SELECT point_id, area, round(d, 9) AS distance FROM near")
+def joi13_nearest_boundary(spark, d):
+    from tramline.operators.events import nearest_boundary
+
+    return nearest_boundary(map_points(spark, d), rings(spark, d), "point_id", "area").withColumn("distance", F.round("distance", 9))
+
+
 @query("SELECT CAST(user_id AS VARCHAR) AS station_id, CAST(floor(value) AS INTEGER) AS stock, 100.0::DOUBLE AS racks FROM events WHERE event_id % 2 = 0 OR event_id % 10 <> 5")
 def src02_read_mixed_schema(spark, d):
     root = place(spark)

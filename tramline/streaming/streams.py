@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
 from tramline.functions import scalars as S
 from tramline.functions import timefn as T
 from tramline.sources.io import parse_envelope
+from tramline.sources.view import merge_into
 
 
 def run_available(stream: DataFrame, path: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None):
@@ -107,28 +108,110 @@ def history_upsert(stored: DataFrame | None, batch: DataFrame, keys: list[str],
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-COOLED = "entity string, ts long, fired boolean"
+def keep_history(root: str, keys: list[str], at: str, day: str) -> Callable[[DataFrame, int], None]:
+    """A batch function that puts rows into the stored history at ``root``, by ``history_upsert``: only the days of the batch are read and
+    written again, whole or not at all, and a batch that runs twice changes nothing. ``keys`` hold the day."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        merge_into(root, batch, F.col(day), lambda stored, new: history_upsert(stored, new, keys, at), number)
+
+    return each
 
 
-def cooldown_stream(stream: DataFrame, entity: str, ts: str, trigger: str, seconds: int = 600) -> DataFrame:
-    """Triggers of each entity that fire: after one, others are silent for ``seconds``. State is the last firing time.
+def keep_latest_issue(root: str, series: list[str], issued: str, valid: str, tie: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """The same for the view of newest issues (``merge_latest_issue``), by ``buckets`` buckets of the series."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        part = F.pmod(F.xxhash64(*series), F.lit(buckets))
+        merge_into(root, batch, part, lambda stored, new: merge_latest_issue(stored, new, series, issued, valid, tie), number)
+
+    return each
+
 
-    Rows of a batch are put in order of time; a late row of an earlier batch counts from the last firing."""
+def keep_latest(root: str, entity: str, at: str, tie: str | None = None, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """The same for the newest row of each entity; of equal times the row of the higher ``tie``, else the one that came last."""
 
-    def step(key: tuple[Any], batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+    def each(batch: DataFrame, number: int) -> None:
+        def merge(stored: DataFrame | None, new: DataFrame) -> DataFrame:
+            rows = new.withColumn("_new", F.lit(1))
+            rows = rows if stored is None else stored.withColumn("_new", F.lit(0)).unionByName(rows)
+            w = Window.partitionBy(entity).orderBy(F.col(at).desc(), *([F.col(tie).desc()] if tie else []), F.col("_new").desc())
+            return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_new")
+
+        merge_into(root, batch, F.pmod(F.xxhash64(entity), F.lit(buckets)), merge, number)
+
+    return each
+
+
+COOLED = "entity string, ts long, fired boolean"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Cooldown(StatefulProcessor):
+    """Rows wait in the state until the watermark has passed them and are then read in order of time, so a row that comes
+    late, but within the delay, is where it belongs. A timer wakes an entity at its earliest waiting row; once it is
+    silent for ``seconds`` after its last firing, nothing that comes can hang on it and its state goes."""
+
+    def __init__(self, seconds: int):
+        self.seconds = seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "last long")
+        self.waiting = handle.getListState("waiting", "ts long, on boolean")
+
+    def wake(self, at: int) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(at)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows))
+        before = list(self.waiting.get()) if self.waiting.exists() else []
+        self.waiting.appendList([(int(t), bool(on)) for t, on in zip(new["ts"], new["on"], strict=True)])
+        self.wake(1000 * min(int(new["ts"].min()), *(int(t) for t, _ in before), *([] if before else [2**53])))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        rows = sorted((int(t), bool(on)) for t, on in self.waiting.get()) if self.waiting.exists() else []
+        due = [r for r in rows if 1000 * r[0] <= now]
+        last = self.last.get()[0] if self.last.exists() else None
         fired = []
-        for t, on in zip(rows["ts"], rows["on"], strict=True):
-            fire = bool(on) and (last is None or t - last >= seconds)
-            last = int(t) if fire else last
+        for t, on in due:
+            fire = on and (last is None or t - last >= self.seconds)
+            last = t if fire else last
             fired.append(fire)
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame({"entity": key[0], "ts": rows["ts"], "fired": fired})
-
-    keyed = stream.select(F.col(entity).cast("string").alias("entity"), F.col(ts).cast("long").alias("ts"), F.col(trigger).alias("on"))
-    return keyed.groupBy("entity").applyInPandasWithState(step, COOLED, "last long", "append", "NoTimeout")
+        rest = rows[len(due) :]
+        if rest:
+            self.waiting.put(rest)
+        elif rows:
+            self.waiting.clear()
+        over = last is None or 1000 * (last + self.seconds) <= now
+        if last is not None and not over:
+            self.last.update((last,))
+        elif self.last.exists():
+            self.last.clear()
+        if rest:
+            self.wake(1000 * rest[0][0])
+        elif not over:
+            self.wake(1000 * (last + self.seconds))
+        if due:
+            yield pd.DataFrame({"entity": key[0], "ts": [t for t, _ in due], "fired": fired})
+
+    def close(self) -> None:
+        pass
+
+
+def cooldown_stream(stream: DataFrame, entity: str, at: str, trigger: str, seconds: int = 600, delay: str = "10 minutes") -> DataFrame:
+    """Triggers of each entity that fire: after one, others are silent for ``seconds``; what ``cooldown_batch`` gives for the same
+    rows, in whatever order and batches they come within ``delay``. Rows come out once the watermark has passed them, those behind
+    it are dropped. ``at`` is a timestamp, read in whole seconds; rows without one or without an entity have no place in the order and go.
+
+    Start it with ``spark.sql.streaming.stateStore.providerClass`` set to ``ROCKSDB``."""
+    keyed = stream.where(F.col(at).isNotNull() & F.col(entity).isNotNull()).withWatermark(at, delay)
+    keyed = keyed.select(F.col(entity).cast("string").alias("entity"), F.col(at).alias("_at"), F.unix_timestamp(at).alias("ts"), F.coalesce(F.col(trigger), F.lit(False)).alias("on"))
+    return keyed.groupBy("entity").transformWithStateInPandas(Cooldown(seconds), COOLED, "append", "EventTime")
 
 
 def cooldown_batch(df: DataFrame, entity: str, ts: str, trigger: str, seconds: int = 600) -> DataFrame:
