@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -67,15 +68,13 @@ def nearest_one(points: DataFrame, facilities: DataFrame, point: str, facility:
 
     Points look within ``km`` first; those that find none look within four times that, and so on around the globe. So a
     city's points meet the few facilities near them, and only what is left meets more. The rounds end when no point is
-    left; each round's answers are cut from the plan by a checkpoint where one is set."""
+    left; each round's answers are cut from the plan by a checkpoint."""
     left = points.select(point, lat, lon).where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
     facilities = facilities.select(facility, lat, lon).where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
     found = None
     empty = facilities.isEmpty()
     while not empty:
-        best = radius_join(left, facilities, km, lat, lon).groupBy(point).agg(F.min(F.struct("km", facility)).alias("_b"))
-        if points.sparkSession.sparkContext.getCheckpointDir():
-            best = best.checkpoint()
+        best = cut(radius_join(left, facilities, km, lat, lon).groupBy(point).agg(F.min(F.struct("km", facility)).alias("_b")))
         found = best if found is None else found.unionByName(best)
         left = left.join(best.select(point), point, "left_anti")
         if km > FARTHEST or left.isEmpty():
@@ -317,3 +316,31 @@ def search_names(df: DataFrame, name: str, text: str, limit: int = 20) -> DataFr
     """Names that hold the text: exact first, then those that begin so, then the rest by name."""
     rank = F.when(F.col(name) == text, 0).when(F.col(name).startswith(text), 1).otherwise(2)
     return df.where(F.col(name).contains(text)).select(name, rank.alias("rank")).distinct().orderBy("rank", name).limit(limit)
+
+
+def grams_of(text: Column, n: int = 3) -> Column:
+    """The distinct runs of ``n`` characters of a text; none if it is shorter."""
+    last = F.char_length(text) - (n - 1)
+    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
+def write_name_index(df: DataFrame, name: str, path: str, buckets: int = 64) -> None:
+    """The postings of a table's names: ``gram, name`` for each run of three characters of each distinct name, in ``buckets`` folders by a
+    hash of the gram and sorted by it, so a reader of a few grams opens their folders and skips the row groups of others. Beside
+    them the names themselves, for texts too short to have a gram. A common gram is split over tasks and files."""
+    names = df.where(F.col(name).isNotNull()).select(F.col(name).alias("name")).distinct()
+    grams = names.select(F.explode(grams_of(F.col("name"))).alias("gram"), "name").withColumn("bucket", F.crc32(F.col("gram").cast("binary")) % buckets)
+    grams.repartition("bucket", F.crc32(F.col("name").cast("binary")) % 8).sortWithinPartitions("bucket", "gram", "name").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/grams")
+    names.write.mode("overwrite").parquet(f"{path}/names")
+
+
+def search_index(spark: SparkSession, path: str, text: str, limit: int = 20, buckets: int = 64) -> DataFrame:
+    """``name, rank`` as ``search_names`` gives them, from an index of ``write_name_index``: only the postings of the text's grams
+    are read, names that have all of them are checked for the text itself. Texts of under three characters scan the names."""
+    grams = sorted({text[i : i + 3] for i in range(len(text) - 2)})
+    if not grams:
+        return search_names(spark.read.parquet(f"{path}/names"), "name", text, limit)
+    where = sorted({zlib.crc32(g.encode()) % buckets for g in grams})
+    hits = spark.read.parquet(f"{path}/grams").where(F.col("bucket").isin(where) & F.col("gram").isin(grams))
+    names = hits.groupBy("name").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == len(grams)).select("name")
+    return search_names(names, "name", text, limit)

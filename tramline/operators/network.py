@@ -59,6 +59,28 @@ def latency_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return df.where(F.col(value) >= 0).groupBy(*keys).agg(F.min(value).alias("least"), rank(0.5).cast(kind).alias("p50"), rank(0.95).cast(kind).alias("p95"), F.max(value).alias("most"), F.count(F.lit(1)).alias("n"))
 
 
+#: Size of a quantile sketch. A quantile read from it is one whose rank is off by at most ``SKETCH_ERROR`` of the rows, at 99 %
+#: confidence, however many sketches were merged; up to ``SKETCH`` rows it is exact.
+SKETCH, SKETCH_ERROR = 2000, 0.0025
+
+
+def latency_partials(df: DataFrame, keys: Sequence[str], value: str, k: int = SKETCH) -> DataFrame:
+    """What a batch leaves of its latencies: ``keys``, n, least, most and a mergeable sketch; negatives do not count."""
+    v = F.col(value).cast("bigint")
+    return df.where(v >= 0).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("least"), F.max(v).alias("most"), F.kll_sketch_agg_bigint(v, k).alias("sketch"))
+
+
+def merged_latency(partials: DataFrame, keys: Sequence[str], k: int = SKETCH) -> DataFrame:
+    """Partials of any number of batches as one a key, a partial again."""
+    return partials.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"), F.kll_merge_agg_bigint("sketch", k).alias("sketch"))
+
+
+def latency_from_partials(partials: DataFrame, keys: Sequence[str], k: int = SKETCH) -> DataFrame:
+    """``latency_stats`` of all batches from their partials alone: least, most and n exact, p50 and p95 within ``SKETCH_ERROR``."""
+    at = lambda share: F.kll_sketch_get_quantile_bigint("sketch", F.lit(share))
+    return merged_latency(partials, keys, k).select(*keys, "least", at(0.5).alias("p50"), at(0.95).alias("p95"), "most", "n")
+
+
 def route_edges(stops: DataFrame, route: str, seq: str, station: str, speed: float = 5.0) -> DataFrame:
     """Edges between consecutive stops of a route, with seconds by distance."""
     w = Window.partitionBy(route).orderBy(seq)

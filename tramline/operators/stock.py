@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tramline.scratch import cut
+
 from tramline.functions import timefn as T
 
 VALUES = ("exp_bikes", "p_empty", "p_full")
@@ -288,16 +290,15 @@ def amplify(df: DataFrame, copies: int, date: str, years: int = 4) -> DataFrame:
 def station_index(df: DataFrame, entity: str) -> DataFrame:
     """Sorted distinct codes with dense numbers from 0.
 
-    Codes are dealt to ranges; a code's number is its place in its range behind those of the ranges before it, so none is
-    ordered with all others in one task. Only the ranges' counts pass one window."""
+    Codes are dealt to ranges and sorted there; their order is written down by a reliable checkpoint before it is read, so
+    numbers hang neither on how ranges are cut nor on a second evaluation of them, and a lost executor changes none. A
+    code's number is its place in its range behind the counts of the ranges before it: only a row a range passes one window."""
     codes = df.where(F.col(entity).isNotNull()).select(entity).distinct()
-    dealt = codes.repartitionByRange(entity).withColumn("_p", F.spark_partition_id())
-    first = dealt.groupBy("_p").agg(F.min(entity).alias("_low"), F.count(F.lit(1)).alias("_n"))
-    # ranges are named by their lowest code, which does not hang on how a second run deals them
-    before = Window.orderBy("_low").rowsBetween(Window.unboundedPreceding, -1)
-    starts = first.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy("_p").orderBy(entity)) - 1
-    return dealt.withColumn("_i", inside).join(starts, "_p").select(entity, (F.col("_start") + F.col("_i")).cast("int").alias("code"))
+    placed = cut(codes.repartitionByRange(entity).sortWithinPartitions(entity).withColumn("_at", F.monotonically_increasing_id()))
+    ranges = placed.groupBy(F.shiftright("_at", 33).alias("_p")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.select("_p", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_add"))
+    return placed.withColumn("_p", F.shiftright("_at", 33)).join(starts, "_p").select(entity, (F.col("_at") + F.col("_add")).cast("int").alias("code"))
 
 
 def encode_station(df: DataFrame, index: DataFrame, entity: str) -> DataFrame:

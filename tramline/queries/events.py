@@ -74,11 +74,11 @@ def agg15_station_events(spark, d):
     return E.station_events(games(spark, d), festivals(spark, d), ["place", "date"])
 
 
-@query(f"WITH near AS (SELECT DISTINCT station_no FROM (SELECT s.station_no, {KM} AS km FROM v_point p, v_station s WHERE p.lat > 37.5) WHERE km <= 1), days AS (SELECT DISTINCT date FROM v_game WHERE place = '1-URGENT') SELECT p.station_no, p.date, p.slot, p.station_no IN (SELECT station_no FROM near) AND p.date IN (SELECT date FROM days) AS event FROM v_panel p")
+@query(f"WITH near AS (SELECT DISTINCT station_no FROM (SELECT s.station_no, {KM} AS km FROM v_point p, v_station s) WHERE km <= 0.3), days AS (SELECT DISTINCT date FROM v_game WHERE place = '1-URGENT') SELECT p.station_no, p.date, p.slot, p.station_no IN (SELECT station_no FROM near) AND p.date IN (SELECT date FROM days) AS event FROM v_panel p")
 def joi26_event_flag(spark, d):
     from tramline.queries.base import v_panel
 
-    near = E.radius_join(v_point(spark, d).where("lat > 37.5"), v_station(spark, d).drop("name", "line", "seq"), 1.0)
+    near = E.radius_join(v_point(spark, d), v_station(spark, d).drop("name", "line", "seq"), 0.3)
     return E.event_flag(v_panel(spark, d), near, v_game(spark, d).where("place = '1-URGENT'")).select("station_no", "date", "slot", "event")
 
 
@@ -122,6 +122,15 @@ def top02_best_candidate(spark, d):
     return rounded(E.best_candidate(pairs, "point_id", "station_no", "minutes", "p_empty", "km"))
 
 
+@query("SELECT DISTINCT p_name AS name, CASE WHEN p_name = 'red widget' THEN 0 WHEN p_name LIKE 'red widget%' THEN 1 ELSE 2 END AS rank FROM part WHERE contains(p_name, 'red widget') ORDER BY rank, name LIMIT 20")
+def top06_search_index(spark, d):
+    from tramline.scratch import new_folder
+
+    path = new_folder(spark, "names")
+    E.write_name_index(read(spark, d, "part"), "p_name", path)
+    return E.search_index(spark, path, "red widget")
+
+
 @query("SELECT DISTINCT p_name, CASE WHEN p_name = 'red widget' THEN 0 WHEN p_name LIKE 'red%' THEN 1 ELSE 2 END AS rank FROM part WHERE contains(p_name, 'red') ORDER BY rank, p_name LIMIT 20")
 def top06_search_names(spark, d):
     out = E.search_names(read(spark, d, "part"), "p_name", "red")

@@ -160,6 +160,25 @@ def str11_latency(spark, d):
     return R.batch_latency(e, "produced", "received", ["event_type"])
 
 
+#: Each partial's p50 and p95 against all latencies: the share of rows below and up to it must hold the wanted one, within the sketch's error.
+@query("SELECT event_type, count(*) AS n, min(v) AS least, max(v) AS most, true AS p50_right, true AS p95_right FROM (SELECT event_type, CAST(floor(value * 1000) AS BIGINT) - 20000 AS v FROM events) WHERE v >= 0 GROUP BY 1")
+def str11_latency_partials(spark, d):
+    from tramline.operators.network import SKETCH_ERROR, latency_from_partials
+
+    path = place(spark)
+    ms = F.floor(F.col("value") * 1000) - 20000
+    e = read(spark, d, "events").select("event_id", "event_type", F.col("ts").cast("date").alias("day"), F.timestamp_millis(F.col("event_id")).alias("produced"), F.timestamp_millis(F.col("event_id") + ms).alias("received"))
+    each = R.keep_latency(path, ["event_type"], "day", "produced", "received")
+    for number in range(3):
+        each(e.where(F.col("event_id") % 3 == number), number)
+    stats = latency_from_partials(view.read_view(spark, path), ["event_type"])
+    rows = e.select("event_type", (F.unix_millis("received") - F.unix_millis("produced")).alias("v")).where("v >= 0")
+    at = lambda p, op: F.count_if(op(F.col("v"), F.col(p))) / F.count(F.lit(1))
+    shares = rows.join(stats, "event_type").groupBy("event_type").agg(*[at(p, op).alias(f"{p}_{name}") for p in ("p50", "p95") for name, op in (("under", lambda a, b: a < b), ("upto", lambda a, b: a <= b))])
+    right = lambda p, share: (F.col(f"{p}_under") <= share + SKETCH_ERROR) & (F.col(f"{p}_upto") >= share - SKETCH_ERROR)
+    return stats.join(shares, "event_type").select("event_type", "n", "least", "most", right("p50", 0.5).alias("p50_right"), right("p95", 0.95).alias("p95_right"))
+
+
 def readings(df: DataFrame) -> DataFrame:
     ts = F.col("ts").cast("timestamp")
     return df.select("user_id", ts.alias("ts"), F.unix_timestamp(ts).alias("sec"), (F.col("value") > 10).alias("hot"))

@@ -255,6 +255,19 @@ def batch_latency(rows: DataFrame, produced: str, received: str, keys: list[str]
     return latency_stats(rows.withColumn("latency", ms(received) - ms(produced)), keys, "latency")
 
 
+def keep_latency(root: str, keys: list[str], day: str, produced: str, received: str) -> Callable[[DataFrame, int], None]:
+    """A batch function that merges a batch's latencies (ms) into the stored partials of its days, one row a day and key."""
+    from tramline.operators import network as N
+
+    def each(batch: DataFrame, number: int) -> None:
+        ms = lambda c: F.unix_millis(F.col(c))
+        of = [day, *keys]
+        partials = N.latency_partials(batch.withColumn("_latency", ms(received) - ms(produced)), of, "_latency")
+        merge_into(root, partials, F.col(day), lambda stored, new: new if stored is None else N.merged_latency(stored.unionByName(new), of), number)
+
+    return each
+
+
 def file_stream(spark: SparkSession, folder: str, name: str, at: str = "ts") -> DataFrame:
     """A table of a folder as a stream; a time without zone becomes an instant, as watermarks need."""
     schema = spark.read.parquet(f"{folder}/{name}").schema
