@@ -158,3 +158,40 @@ def test_pipeline(spark, tmp_path):
     tokens = {k: n for k, n in zip(pieces.doc_id, pieces.doc_tokens, strict=True)}
     assert pieces.length.sum() == sum(tokens[k] * n for k, n in times.items())
     assert (pieces.groupby("sequence_id").length.sum() <= 2048).all()
+
+
+def test_more_languages_than_most_share_the_sample(spark):
+    """Nothing stops at the 65th language; each has less to learn from."""
+    rnd = random.Random(7)
+    rows, k = [], 0
+    for lang in range(70):
+        letters = [chr(0x4E00 + 40 * lang + i) for i in range(12)]
+        for _ in range(6):
+            rows.append((k, " ".join("".join(rnd.choice(letters) for _ in range(4)) for _ in range(12)), f"l{lang:02d}"))
+            k += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit(df, most_langs=64)
+    assert len(model.langs) == 70 and model.taught.sum() <= 64 * 49_152
+    got = {r.doc_id: r.lang_pred for r in L.identify(df.drop("lang"), model).collect()}
+    assert sum(got[k] == lang for k, _, lang in rows) >= 0.9 * len(rows)
+
+
+def test_marks_belong_to_words(spark):
+    df = spark.createDataFrame([("हिन्दी में",), ("été 1x",)], "t string")
+    assert [r[0] for r in df.select(L.letters(F.col("t"))).collect()] == ["हिन्दी में", "été x"]
+
+
+@pytest.mark.parametrize("share", [1, 3])
+def test_a_key_of_many_rows_is_sampled_like_others(spark, monkeypatch, share):
+    """One key for all or for a third of the rows: the driver gets no more than it asks for, and still learns."""
+    rnd = random.Random(2)
+    good = lambda: " ".join(rnd.choice(["the", "house", "of", "a", "river", "runs"]) for _ in range(30)) + "."
+    bad = lambda: "".join(rnd.choice("#$%&!0123456789 ") for _ in range(150))
+    rows = [(1 if i % share == 0 else i + 10, good() if i % 2 else bad()) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    positives = spark.createDataFrame([(1,)] + [(i + 10,) for i in range(900) if i % 2], "doc_id long")
+    seen = []
+    plain = P.descend
+    monkeypatch.setattr(P, "descend", lambda p, u, prior: seen.append((len(p), len(u))) or plain(p, u, prior))
+    model = P.fit(df, positives, most_positive=100, most_unlabelled=200)
+    assert model.weight.any() and seen and all(50 <= p <= 100 and 100 <= u <= 200 for p, u in seen[-1:])

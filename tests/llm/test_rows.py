@@ -1,5 +1,7 @@
 """Sharding, mixing, quality rules and packing against plain Python."""
 
+import hashlib
+import math
 import random
 import re
 import zlib
@@ -31,7 +33,7 @@ def docs(spark):
 
 
 def test_shards(docs):
-    out = sharding.shard_by_key(docs, buckets=8).collect()
+    out = sharding.shard_by_key(docs, rows_per_bucket=2).collect()
     rows = made()
     assert sorted((r.doc_id, r.size, r.text_crc32) for r in out) == sorted((k, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for k, t, *_ in rows)
     slots = defaultdict(list)
@@ -42,6 +44,26 @@ def test_shards(docs):
     assert {r.doc_id: r.shard for r in out} == {r.doc_id: r.shard for r in sharding.shard_by_key(docs.repartition(3)).collect()}
 
 
+def highest(key, n):
+    """The shard of a key, by the definition: the highest -1 / ln u, where u is from the MD5 of seed, key and shard."""
+    u = lambda i: (int(hashlib.md5(f"0:{'' if key is None else key}:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+    return max(range(n), key=lambda i: (-1 / math.log(u(i)), i))
+
+
+def test_shards_against_plain_python(spark):
+    """Every shard recomputed, with null keys and one key for a third of all rows, equal texts among them."""
+    rows = [(k, f"t{k}") for k in range(300)] + [(None, None)] * 40 + [(None, "x")] * 3 + [(7, f"v{k % 50}") for k in range(150)]
+    df = spark.createDataFrame([(k, t, 1, 2) for k, t in rows], "doc_id long, text string, shard int, size int")
+    out = sharding.shard_by_key(df, rows_per_bucket=1).collect()
+    assert sorted((str(r.doc_id), r.size) for r in out) == sorted((str(k), len(t or "") + 1) for k, t in rows)
+    for r in out:
+        assert (r.shard, r.grown_shard) == (highest(r.doc_id, 16), highest(r.doc_id, 17))
+    slots = defaultdict(list)
+    for r in out:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
 def test_weights_decide_how_many_rows_a_shard_gets(spark):
     n = spark.range(20_000).select(sharding.rendezvous(F.col("id"), [1.0, 3.0]).alias("s")).groupBy("s").count().collect()
     share = {r.s: r["count"] / 20_000 for r in n}

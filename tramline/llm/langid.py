@@ -65,8 +65,9 @@ def suffix_automaton(codes: np.ndarray, width: int) -> np.ndarray:
 
 
 def letters(text: Column) -> Column:
-    """A text in small letters with one blank for each run of anything else, so that markup and numbers have no say."""
-    return F.regexp_replace(F.lower(text), r"[^\p{L}]+", " ")
+    """A text in small letters, with the marks that scripts join to them, and one blank for each run of anything else, so that markup
+    and numbers have no say."""
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}]+", " ")
 
 
 def chosen(texts: list[bytes], most: int) -> list[bytes]:
@@ -85,18 +86,20 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     others tell how well texts of the language usually fit.
 
     Null langs, null and empty texts and those of over a quarter of ``bytes_per_lang`` do not teach; rows that repeat key
-    and text count once. More than ``most_langs`` languages are refused, so what comes to the driver is bounded: about four
-    times ``most_langs * texts_per_lang`` texts of that length."""
+    and text count once. Beyond ``most_langs`` languages each gets less, in texts and bytes, so that all together take no more
+    than that many would: what comes to the driver is about twice ``most_langs * texts_per_lang`` texts of that length at
+    most, and one row a language."""
+    labels = labelled.select(F.countDistinct(F.col(lang).cast("string"))).first()[0]
+    if labels > most_langs:
+        texts_per_lang, bytes_per_lang = max(2, texts_per_lang * most_langs // labels), max(256, bytes_per_lang * most_langs // labels)
     rows = labelled.select(F.col(lang).cast("string").alias("lang"), letters(F.col(text)).alias("text"), F.xxhash64(F.col(key), F.col(text)).alias("at"))
     rows = rows.where(F.col("lang").isNotNull() & (F.octet_length("text") > 1) & (F.octet_length("text") <= bytes_per_lang // 4))
-    found = rows.groupBy("lang").count().limit(most_langs + 1).collect()
-    if len(found) > most_langs:
-        raise ValueError(f"over {most_langs} languages")
+    found = rows.groupBy("lang").count().collect()
     if not found:
         return Model([], np.zeros(256, np.int64), [], np.zeros(0), np.zeros(0))
     size = rows.sparkSession.createDataFrame(found, "lang string, count long")
     # a hash threshold that leaves about four times the texts wanted of each language, then the lowest of those
-    few = rows.join(F.broadcast(size), "lang").where(F.col("at").cast("double") / 2.0**64 + 0.5 < 4.0 * texts_per_lang / F.col("count"))
+    few = rows.join(size, "lang").where(F.col("at").cast("double") / 2.0**64 + 0.5 < 4.0 * texts_per_lang / F.col("count"))
     got = few.groupBy("lang", "at").agg(F.min("text").alias("text")).toPandas().sort_values(["lang", "at"])
     texts = {name: utf8(own[:texts_per_lang]) for name, own in got.groupby("lang")["text"]}
     sample = {name: b"\n".join(chosen(own[::2], bytes_per_lang)) for name, own in texts.items()}

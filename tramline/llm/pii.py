@@ -7,7 +7,9 @@ email address are linked."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tramline.llm.common import fresh, let
@@ -288,16 +290,31 @@ def cards_within(value: Column, key: str) -> Column:
     return let(F.filter(F.split(value, ""), lambda c: c != ""), of)
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: str = "corpus-1", found: str | None = "pii_found") -> DataFrame:
+#: The setting that holds the key of the permutations. Whoever has the key can undo them, so it is in no code.
+KEY_SETTING = "spark.tramline.pseudonyms.key"
+
+
+def session_key(spark: SparkSession) -> str:
+    """The session's key. Where none is set, one is drawn for this session: pseudonyms agree within it and nobody can undo
+    them, but a later session does not link to them."""
+    found = spark.conf.get(KEY_SETTING, None)
+    if not found:
+        found = secrets.token_hex(16)
+        spark.conf.set(KEY_SETTING, found)
+    return found
+
+
+def pseudonymise(docs: DataFrame, text: str = "text", key: str | None = None, found: str | None = "pii_found") -> DataFrame:
     """``docs`` with each personal value in ``text`` replaced by its pseudonym, and the kinds found (``found``: an
     array<string>, one entry a value, in order of text; None leaves it out).
 
     The text is cut at the matches of one pattern; pieces and pseudonyms are joined again, so the rest of the text is
     kept as it is. Matches that fail their check (Luhn, modulo 97, calendar) stay, but for the cards among the groups of a
     run of digits or of what is no account number (``cards_within``). A null text stays null with no kinds;
-    an empty one stays empty. Rows, also equal ones, and all other columns stay as they are. The key is a parameter: who
-    has it can undo the permutation."""
+    an empty one stays empty. Rows, also equal ones, and all other columns stay as they are. Without a ``key`` it is the
+    session's (``session_key``); who has it can undo the permutation."""
     t = F.col(text)
+    key = session_key(docs.sparkSession) if key is None else key
     if found and found in docs.columns:
         raise ValueError(f"column {found} exists")
 

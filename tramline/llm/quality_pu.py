@@ -130,15 +130,16 @@ def lifted(x: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, positives: DataFrame, key: str = "doc_id", text: str = "text", most_positive: int = 3000, most_unlabelled: int = 6000) -> Model:
     """Learns from at most ``most_positive`` rows of ``docs`` whose key is in ``positives`` and at most
-    ``most_unlabelled`` rows of all ``docs``; both are picked by a hash of the key, so reruns agree.
+    ``most_unlabelled`` rows of all ``docs``; both are picked by a hash of key and text, so reruns agree and a key of many rows
+    is no single draw. No more than that many rows come to the driver.
 
     Null texts count as empty. Without a positive the model scores every text 0.5."""
 
     def some(rows: DataFrame, most: int, seed: int) -> np.ndarray:
         n = rows.count()
-        at = F.xxhash64(F.col(key), F.lit(seed)).cast("double") / 2.0**64 + 0.5
+        at = F.xxhash64(F.col(key), F.col(text), F.lit(seed)).cast("double") / 2.0**64 + 0.5
         few = rows.select(F.col(text).alias("t"), at.alias("at")).where(F.col("at") < 1.2 * most / max(n, 1)) if n > most else rows.select(F.col(text).alias("t"), at.alias("at"))
-        got = few.select("at", _features("t").alias("f")).toPandas().sort_values("at")[:most]
+        got = few.select("at", _features("t").alias("f")).orderBy("at").limit(most).toPandas()
         return np.array(got["f"].tolist()).reshape(len(got), len(NAMES))
 
     ids = positives.select(F.col(key)).distinct()
