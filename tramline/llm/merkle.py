@@ -122,17 +122,22 @@ def build(leaves: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     return union(nodes), union(roots)
 
 
-def prove(leaves: DataFrame, nodes: DataFrame, of_trees: DataFrame) -> DataFrame:
-    """``tree, place, proof_sha256, folded_root, row`` for each of the ``leaves(tree, place, n, hash, seen, row)``, where ``seen`` is the
-    leaf as found, perhaps tampered with. ``nodes(tree, level, place, hash)`` holds every node, leaves included;
-    ``of_trees(tree, at, trees)`` says at which place of how many a tree's root stands.
+def parts_of(trees: DataFrame) -> DataFrame:
+    """``trees`` with a row for each ``part``, 4,096 consecutive leaves of a tree, by which leaves are dealt: a join by tree alone
+    would bring a large tree to one task."""
+    return trees.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / FAN**STEP))))
+
+
+def prove(leaves: DataFrame, nodes: DataFrame, parts: DataFrame) -> DataFrame:
+    """``row, proof_sha256, folded_root`` for each of the ``leaves(tree, part, place, hash, seen, row)``, where ``seen`` is the leaf as
+    found, perhaps tampered with. ``nodes(tree, level, place, hash)`` holds every node, leaves included; ``parts(tree, part, n,
+    at, trees)`` says how many leaves a tree has and at which place of how many its root stands.
 
     A multiproof for each partition of 4,096 consecutive leaves: from the places that it has, a task works out the fewest nodes that
     are missing up to the root of all; these are fetched once, by one join; then the task derives the shared interiors
     from what it has and expands the proof of each leaf. Any subset of leaves will do: what is missing is found from the
     places alone."""
-    part = F.floor(F.col("place") / FAN**STEP)
-    asked = leaves.join(of_trees, "tree").withColumn("part", part)
+    asked = leaves.join(parts, ["tree", "part"])
 
     def wanted(pdf: pd.DataFrame) -> pd.DataFrame:
         tree, here, n, at, trees = (int(pdf[c].iloc[0]) for c in ("tree", "part", "n", "at", "trees"))
@@ -181,7 +186,9 @@ def manifest(docs: DataFrame, key: str = "doc_id", group: str = "lang", fields:
     placed = numbered(bare, ["lang"], [F.col("key").asc_nulls_first(), F.col("hash").asc()], "placed", pos="place")
     groups = numbered(bare.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), [], [F.col("lang").asc_nulls_first()], "groups", pos="tree")
     groups = groups.select(F.col("lang").alias("_lang"), "n", "tree")
-    leaves = written(placed.join(groups, F.col("lang").eqNullSafe(F.col("_lang"))).drop("lang", "_lang").withColumn("row", F.monotonically_increasing_id()), "numbered")
+    part = F.floor(F.col("place") / FAN**STEP)
+    leaves = placed.join(groups, F.col("lang").eqNullSafe(F.col("_lang"))).select("key", "hash", "seen", "n", "tree", "place", part.alias("part"), F.monotonically_increasing_id().alias("row"))
+    leaves = written(leaves, "numbered")
     inner, subroots = build(leaves.select("tree", "place", "n", "hash"), "nodes")
     subroots = written(subroots, "subroots")
     trees = subroots.count()
@@ -189,11 +196,12 @@ def manifest(docs: DataFrame, key: str = "doc_id", group: str = "lang", fields:
     upper, root = build(over, "upper")
     zero = F.lit(0).cast("long").alias("level")
     nodes = inner.union(leaves.where("n > 1").select("tree", zero, "place", "hash")).union(upper).union(over.where("n > 1").select("tree", zero, "place", "hash"))
-    at = groups.select("tree", F.col("tree").alias("at"), F.lit(trees).cast("long").alias("trees"))
-    proofs = prove(leaves, nodes, at)
+    parts = written(parts_of(groups.join(subroots.select("tree", F.col("hash").alias("subroot")), "tree").select("tree", "n", "subroot")), "parts")
+    at = parts.select("tree", "part", "n", F.col("tree").alias("at"), F.lit(trees).cast("long").alias("trees"))
+    proofs = prove(leaves.drop("n", "key"), nodes, at)
     whole = root.first()
     top = F.lit(whole["hash"] if whole else None).cast("string")
-    out = leaves.join(subroots.select("tree", F.col("hash").alias("subroot")), "tree").join(proofs, "row")
+    out = leaves.drop("n").join(parts.select("tree", "part", "subroot"), ["tree", "part"]).join(proofs, "row")
     return out.select(F.col("key").alias(key), F.col("hash").alias("leaf"), "subroot", top.alias("root"), "proof_sha256", "folded_root", (F.col("folded_root") == top).alias("verified"))
 
 
