@@ -44,6 +44,21 @@ def test_nearest_has_no_limit(spark):
     assert {r.s for r in E.nearest_one(left, right.limit(0), "p", "s").collect()} == {None}
 
 
+@pytest.mark.parametrize("full", [1, 32])
+def test_nearest_by_a_tree(spark, monkeypatch, full):
+    """A dense city, equal places, poles and the date line, points everywhere: as a scan finds it."""
+    monkeypatch.setattr(E, "FULL", full)
+    rnd = random.Random(9)
+    b = places(5, 37.5, 127, 300, 0.2) + [(400 + k, 37.5, 127.0) for k in range(40)] + [(500, 90.0, 0.0), (501, -89.9, 5.0), (502, 0.0, 180.0), (503, 0.001, -180.0), (504, 0.0, 0.0)]
+    a = [(k, math.degrees(math.asin(rnd.uniform(-1, 1))), rnd.uniform(-180, 180)) for k in range(120)] + [(200, 37.5, 127.0), (201, -90.0, 77.0), (202, 0.0, 179.9999), (203, 36.0, 127.0)]
+    left, right = spark.createDataFrame(a, "p int, lat double, lon double"), spark.createDataFrame(b, "s int, lat double, lon double")
+    out = {r.p: r._b for r in E.nearest_by_tree(left, right, "p", "s").collect()}
+    assert len(out) == len(a) and out[200].s == 400
+    for p, *x in a:
+        far = {y[0]: km(x, y[1:]) for y in b}
+        assert far[out[p].s] <= min(far.values()) + 1e-6
+
+
 def test_polygons_by_cells(spark):
     rnd = random.Random(6)
     rings = [("l", [(0.0, 0.0), (4.0, 0.0), (4.0, 1.0), (1.0, 1.0), (1.0, 4.0), (0.0, 4.0)]), ("t", [(5.0, 5.0), (9.0, 5.0), (7.0, 9.0)]), ("in", [(0.2, 0.2), (0.8, 0.2), (0.8, 0.8), (0.2, 0.8)])]

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tramline.functions import scalars as S
 from tramline.functions import timefn as T
+from tramline.operators.stock import station_index
 
 
 def linear_loads(df: DataFrame, keys: Sequence[str], seq: str = "seq", boarding: str = "boarding", alighting: str = "alighting") -> DataFrame:
@@ -307,12 +311,50 @@ def kruskal_h(df: DataFrame, group: str, value: str) -> DataFrame:
     return h.crossJoin(F.broadcast(ties)).select(((12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1)) / (1 - F.col("t") / (n * n * n - n))).alias("h"))
 
 
-def neighbor_correlation(values: DataFrame, pairs: DataFrame, station: str, time: str, value: str) -> DataFrame:
-    """Mean over the pairs of correlations of two stations' values at equal times."""
-    a = values.select(F.col(station).alias("a"), time, F.col(value).alias("_a"))
-    b = values.select(F.col(station).alias("b"), time, F.col(value).alias("_b"))
-    per = pairs.join(a, "a").join(b, ["b", time]).groupBy("a", "b").agg(F.corr("_a", "_b").alias("corr"), F.count(F.lit(1)).alias("n"))
-    return per.agg(F.avg("corr").alias("mean_corr"), F.count("corr").alias("pairs"))
+def neighbor_correlation(values: DataFrame, pairs: DataFrame, station: str, time: str, value: str, block: int = 64, times: int = 1024) -> DataFrame:
+    """Mean over the pairs (``a, b``) of correlations of two stations' values at equal times; a (station, time) stands once.
+
+    Stations are numbered in order and dealt to blocks of ``block``, times to parts of about ``times``. A pair of blocks with a pair of
+    stations in it is a task for each part of time, which gives the sums of all its pairs by products of matrices; the
+    sums of the parts are added. So a series goes once to each pair of blocks that its block is in and not to each
+    neighbour, and no task holds more than two blocks of a part."""
+    rows = values.select(F.col(station).alias("s"), F.col(time).alias("_t"), F.col(value).cast("double").alias("v")).where("s IS NOT NULL AND _t IS NOT NULL AND v IS NOT NULL")
+    number = station_index(rows, "s").select("s", F.floor(F.col("code") / block).cast("int").alias("g"))
+    parts = max(1, math.ceil(rows.agg(F.approx_count_distinct("_t")).first()[0] / times))
+    # values around their station's mean, so that squares of large numbers do not cancel
+    mean = rows.groupBy("s").agg(F.avg("v").alias("_m"))
+    rows = rows.join(mean, "s").join(number, "s").select("s", "g", F.xxhash64("_t").alias("t"), (F.col("v") - F.col("_m")).alias("v"))
+    of = lambda c: number.select(F.col("s").alias(c), F.col("g").alias(f"g{c}"))
+    wanted = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b")
+    blocks = wanted.select("ga", "gb").distinct()
+    ends = blocks.select("ga", "gb", F.explode(F.array_distinct(F.array("ga", "gb"))).alias("g"))
+    part = F.pmod(F.col("t"), F.lit(parts)).cast("long")
+    sent = rows.join(ends, "g").select(F.col("ga").alias("_ga"), F.col("gb").alias("_gb"), part.alias("_p"), "s", "t", "v")
+    asked = wanted.withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    kind = pairs.schema["a"].dataType.simpleString()
+
+    def sums(series: pd.DataFrame, pair: pd.DataFrame) -> pd.DataFrame:
+        names = ["a", "b", "n", "x", "y", "xx", "yy", "xy"]
+        if not len(series) or not len(pair):
+            return pd.DataFrame(columns=names)
+        who, row = np.unique(series["s"].to_numpy(), return_inverse=True)
+        when, column = np.unique(series["t"].to_numpy(), return_inverse=True)
+        there, v = np.zeros((len(who), len(when))), np.zeros((len(who), len(when)))
+        there[row, column], v[row, column] = 1, series["v"].to_numpy()
+        pair = pair[pair["a"].isin(who) & pair["b"].isin(who)]
+        i, j = np.searchsorted(who, pair["a"].to_numpy()), np.searchsorted(who, pair["b"].to_numpy())
+        one, other = np.unique(i), np.unique(j)
+        i, j = np.searchsorted(one, i), np.searchsorted(other, j)
+        m, k, x, y = there[one], there[other], v[one], v[other]
+        both = {"n": m @ k.T, "x": x @ k.T, "y": m @ y.T, "xx": (x * x) @ k.T, "yy": m @ (y * y).T, "xy": x @ y.T}
+        return pd.DataFrame({"a": pair["a"].to_numpy(), "b": pair["b"].to_numpy()} | {c: t[i, j] for c, t in both.items()})
+
+    schema = f"a {kind}, b {kind}, " + ", ".join(f"{c} double" for c in ("n", "x", "y", "xx", "yy", "xy"))
+    per = sent.groupBy("_ga", "_gb", "_p").cogroup(asked.groupBy("ga", "gb", "p")).applyInPandas(sums, schema).groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    n = F.col("n")
+    spread = (n * F.col("xx") - F.col("x") * F.col("x")) * (n * F.col("yy") - F.col("y") * F.col("y"))
+    corr = (n * F.col("xy") - F.col("x") * F.col("y")) / F.sqrt(F.nullif(F.greatest(spread, F.lit(0.0)), F.lit(0.0)))
+    return per.where(n > 0).select(corr.alias("corr")).agg(F.avg("corr").alias("mean_corr"), F.count("corr").alias("pairs"))
 
 
 def effect_by_condition(df: DataFrame, conditions: Sequence[str], value: str) -> DataFrame:

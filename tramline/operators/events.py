@@ -27,8 +27,6 @@ def duration_days(df: DataFrame, begin: str, end: str) -> DataFrame:
 
 #: Kilometres of a degree of latitude, a little less than on the sphere, so that cells are never too narrow.
 DEGREE = 111.0
-#: Half of the way around the sphere: nothing is further.
-FARTHEST = 20_100.0
 
 
 def in_cells(band: Column, lon: Column, km: float, steps: Column) -> Column:
@@ -62,26 +60,70 @@ def radius_join(points: DataFrame, stations: DataFrame, km: float, lat: str = "l
     return pairs.where(F.col("km") <= km).drop("_x", "_y", "_lat", "_lon")
 
 
+#: Levels of the tree of cells, each cell 4 x 4 x 4 of the next (150 m at the finest), and facilities from which on a cell is opened.
+LEVELS, FAN, FULL = 9, 4, 32
+
+
+def on_sphere(lat: str, lon: str) -> dict[str, Column]:
+    """Place on the unit sphere: no pole, no seam, and what is nearer in space is nearer on the ground."""
+    a, o = F.radians(F.col(lat)), F.radians(F.col(lon))
+    return {"_x": F.cos(a) * F.cos(o), "_y": F.cos(a) * F.sin(o), "_z": F.sin(a)}
+
+
+def cell_at(v: str, level: Column) -> Column:
+    n = F.pow(F.lit(float(FAN)), level)
+    return F.greatest(F.lit(0), F.least(n - 1, F.floor((F.col(v) + 1) / 2 * n))).cast("long")
+
+
+def nearest_by_tree(points: DataFrame, facilities: DataFrame, point: str, facility: str, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """``point, _b(km, facility)``: the nearest facility however far, by branch and bound down a tree of cells.
+
+    Each point walks down from the whole sphere. A cell of over ``FULL`` facilities is opened; of the cells in hand those go that are
+    further away than one facility of another cell is already known to be. So a point in the open sea has a handful
+    of cells at each level and meets only the facilities of the last ones, a dense city costs it no more than a village, and
+    empty cells are not there. ``LEVELS`` rounds at most, of points times a few cells."""
+    spot = ["_cx", "_cy", "_cz"]
+    level_of = F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))
+    placed = facilities.select(facility, lat, lon).withColumns(on_sphere(lat, lon)).withColumn("_level", level_of)
+    placed = placed.withColumns({c: cell_at(v, F.col("_level")) for c, v in zip(spot, ("_x", "_y", "_z"), strict=True)})
+    known = F.min(F.struct(facility, "_x", "_y", "_z")).alias("_known")
+    nodes = cut(placed.groupBy("_level", *spot).agg(F.count(F.lit(1)).alias("_n"), known))
+    own = points.select(point, lat, lon).withColumns(on_sphere(lat, lon))
+    square = lambda parts: sum((p * p for p in parts[1:]), parts[0] * parts[0])
+    side = F.lit(2.0) / F.pow(F.lit(float(FAN)), F.col("_level"))
+    gap = lambda v, c: F.greatest(F.col(c) * side - 1 - F.col(v), F.col(v) - ((F.col(c) + 1) * side - 1), F.lit(0.0))
+    bounds = {"_least": square([gap(v, c) for v, c in zip(("_x", "_y", "_z"), spot, strict=True)]), "_sure": square([F.col(v) - F.col("_known")[v] for v in ("_x", "_y", "_z")])}
+    kept = [point, lat, lon, "_x", "_y", "_z", "_level", *spot, "_n", "_least", "_sure"]
+    hand = own.join(F.broadcast(nodes.where("_level = 0"))).withColumns(bounds).select(*kept)
+    for level in range(LEVELS):
+        wide = (F.col("_level") == level) & (F.col("_n") > FULL)
+        below = nodes.where(F.col("_level") == level + 1).select("_level", *spot, "_n", "_known", *[F.floor(F.col(c) / FAN).alias(f"_up{c}") for c in spot])
+        opened = hand.where(wide).select(point, lat, lon, "_x", "_y", "_z", *[F.col(c).alias(f"_up{c}") for c in spot])
+        opened = opened.join(below, [f"_up{c}" for c in spot]).withColumns(bounds).select(*kept)
+        every = hand.where(~wide).unionByName(opened)
+        best = F.min("_sure").over(Window.partitionBy(point))
+        hand = cut(every.withColumn("_best", best).where(F.col("_least") <= F.col("_best") * (1 + 1e-9) + 1e-18).select(*kept))
+        if hand.where((F.col("_level") == level + 1) & (F.col("_n") > FULL)).isEmpty():
+            break
+    near = placed.select("_level", *spot, facility, F.col(lat).alias("_lat"), F.col(lon).alias("_lon"))
+    met = hand.join(near, ["_level", *spot]).withColumn("km", haversine_km(F.col(lat), F.col(lon), F.col("_lat"), F.col("_lon")))
+    return met.groupBy(point).agg(F.min(F.struct("km", facility)).alias("_b"))
+
+
 def nearest_one(points: DataFrame, facilities: DataFrame, point: str, facility: str, km: float = 1.0, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """The nearest facility of each point, however far (ties: lowest id); null where there are no facilities or the point
     has no place.
 
-    Points look within ``km`` first; those that find none look within four times that, and so on around the globe. So a
-    city's points meet the few facilities near them, and only what is left meets more. The rounds end when no point is
-    left; each round's answers are cut from the plan by a checkpoint."""
-    left = points.select(point, lat, lon).where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+    Points look within ``km`` first, by one join of cells, as a city's points find one there; those that find none walk down
+    ``nearest_by_tree``."""
+    placed = points.select(point, lat, lon).where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
     facilities = facilities.select(facility, lat, lon).where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
-    found = None
-    empty = facilities.isEmpty()
-    while not empty:
-        best = cut(radius_join(left, facilities, km, lat, lon).groupBy(point).agg(F.min(F.struct("km", facility)).alias("_b")))
-        found = best if found is None else found.unionByName(best)
-        left = left.join(best.select(point), point, "left_anti")
-        if km > FARTHEST or left.isEmpty():
-            break
-        km *= 4
-    if found is None:
-        found = left.select(point, F.lit(None).cast(_pair_type(facilities, facility)).alias("_b"))
+    if facilities.isEmpty():
+        found = placed.select(point, F.lit(None).cast(_pair_type(facilities, facility)).alias("_b"))
+    else:
+        found = cut(radius_join(placed, facilities, km, lat, lon).groupBy(point).agg(F.min(F.struct("km", facility)).alias("_b")))
+        left = placed.join(found.select(point), point, "left_anti")
+        found = found.unionByName(nearest_by_tree(left, facilities, point, facility, lat, lon))
     return points.select(point).join(found, point, "left").select(point, F.col("_b")[facility].alias(facility), F.col("_b")["km"].alias("km"))
 
 
