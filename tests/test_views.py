@@ -119,3 +119,20 @@ def test_newest_issue_in_batches(spark, root):
         newest.setdefault(k, {}).setdefault(d, []).append((k, d, h, t))
     want = sorted(r for days in newest.values() for r in days[max(days)])
     assert rows(V.read_view(spark, root).select("series", "issued", "valid", "tie")) == want
+
+
+def test_windows_that_change_take_their_own_place(spark, root, tmp_path):
+    """A stream in update mode over three batches: the view is that of all rows, and days that a batch leaves alone keep their files."""
+    kinds = "e int, ts timestamp, v int, id int"
+    data = [(i % 3, i * 977 % 200_000, i, i) for i in range(120)]
+    frame = lambda rows: spark.createDataFrame(rows, "e int, s long, v int, id int").select("e", F.timestamp_seconds("s").alias("ts"), "v", "id")
+    stream = lambda: spark.readStream.schema(kinds).parquet(str(tmp_path / "in"))
+    kept = []
+    # the last batch has rows of the third day alone
+    for part in ([r for r in data if r[3] < 40], [r for r in data if 40 <= r[3] and r[1] < 172_800], [r for r in data if 40 <= r[3] and r[1] >= 172_800]):
+        frame(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        R.run_available(R.tumbling_last(stream(), "e", "ts", "v", "id", delay="30 days"), root, "update", R.keep_changed(root, ["e", "start"], F.to_date("start")))
+        kept.append(set(V.read_view(spark, root).inputFiles()))
+    want = R.tumbling_last(frame(data), "e", "ts", "v", "id")
+    assert rows(V.read_view(spark, root)) == rows(want)
+    assert {f for f in kept[1] if "1970-01-03" not in f} <= kept[2] and len(kept[1] & kept[2]) > 0

@@ -137,8 +137,9 @@ def str07_arrival_board(spark, d):
 @query("SELECT user_id, CAST(epoch(time_bucket(INTERVAL 5 MINUTE, ts)) AS BIGINT) AS start, arg_max(value, event_id) AS value, count(*) AS n FROM events GROUP BY 1, 2")
 def str08_tumbling(spark, d):
     path = place(spark)
-    R.run_available(R.tumbling_last(events(spark, d), "user_id", "ts", "value", "event_id"), path, "complete")
-    return spark.read.parquet(path).withColumn("start", F.unix_timestamp("start"))
+    windows = R.tumbling_last(events(spark, d), "user_id", "ts", "value", "event_id")
+    R.run_available(windows, path, "update", R.keep_changed(path, ["user_id", "start"], F.to_date("start")))
+    return view.read_view(spark, path).withColumn("start", F.unix_timestamp("start"))
 
 
 @query("WITH s AS (SELECT *, coalesce(CAST(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 20 MINUTE AS INTEGER), 1) AS new FROM events), r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM s) SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, count(*) AS n FROM r GROUP BY user_id, run")

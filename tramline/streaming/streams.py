@@ -143,6 +143,16 @@ def keep_latest(root: str, entity: str, at: str, tie: str | None = None, buckets
     return each
 
 
+def keep_changed(root: str, keys: list[str], part: Column) -> Callable[[DataFrame, int], None]:
+    """A batch function for update mode: the rows of a batch take the place of stored rows of equal ``keys``; only the partitions
+    of ``part`` that changed are written again."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        merge_into(root, batch, part, lambda stored, new: new if stored is None else stored.join(new.select(*keys), keys, "left_anti").unionByName(new), number)
+
+    return each
+
+
 COOLED = "entity string, ts long, fired boolean"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
