@@ -66,3 +66,17 @@ def test_media_columns(spark):
     assert [r.pixels.pixels for r in W.with_pixels(bad).collect()] == [None, None]
     with pytest.raises(ValueError):
         W.with_media(df.withColumnRenamed("doc_id", "media"))
+
+
+@pytest.mark.parametrize("name", ["op11_prefix_trie", "op12_merkle"])
+def test_trees_against_their_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
+    out = con.execute(Q.ORACLE_SQL[name])
+    names = [c[0] for c in out.description]
+    got = Q.QUERIES[name](spark, FOLDER)
+    assert sorted(names) == sorted(got.columns)
+    assert sorted(map(str, (tuple(r) for r in got.select(*names).collect()))) == sorted(map(str, out.fetchall()))
