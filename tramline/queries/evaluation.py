@@ -31,10 +31,10 @@ DRAWS = """{p}days AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i,
     {p}times AS (SELECT draw, date, count(*) AS k FROM {p}picks JOIN {p}days ON {p}days.i = {p}picks.i GROUP BY 1, 2), {p}draws AS (SELECT draw, axis, "group", 100 * (1 - sqrt(sum(sse_model * k) / sum(sse_base * k))) AS r, 100 * (1 - sum(sae_model * k) / sum(sae_base * k)) AS m FROM {p}times t JOIN {x} ON {x}.date = t.date GROUP BY 1, 2, 3)"""
 
 
-@query(f"""WITH a AS (SELECT * FROM ({LOSS}) WHERE axis = 'all'), {DRAWS.format(p='', x='a', n=100)}, g AS (SELECT axis, "group", CAST(sum(n) AS BIGINT) AS n, 100 * (1 - sqrt(sum(sse_model) / sum(sse_base))) AS r, 100 * (1 - sum(sae_model) / sum(sae_base)) AS m FROM a GROUP BY 1, 2)
+@query(f"""WITH a AS (SELECT * FROM ({LOSS}) WHERE axis = 'all'), {DRAWS.format(p='', x='a', n=1000)}, g AS (SELECT axis, "group", CAST(sum(n) AS BIGINT) AS n, 100 * (1 - sqrt(sum(sse_model) / sum(sse_base))) AS r, 100 * (1 - sum(sae_model) / sum(sae_base)) AS m FROM a GROUP BY 1, 2)
     SELECT g.axis, g."group", g.n, round(g.r, 6) AS rmse_gain, round(quantile_cont(d.r, 0.025), 6) AS rmse_low, round(quantile_cont(d.r, 0.975), 6) AS rmse_high, round(g.m, 6) AS mae_gain, round(quantile_cont(d.m, 0.025), 6) AS mae_low, round(quantile_cont(d.m, 0.975), 6) AS mae_high FROM g JOIN draws d ON d.axis = g.axis AND d."group" = g."group" GROUP BY ALL""")
 def eva02_block_bootstrap(spark, d):
-    return rounded(V.block_bootstrap(losses(spark, d).where("axis = 'all'"), ["axis", "group"], 100))
+    return rounded(V.block_bootstrap(losses(spark, d).where("axis = 'all'"), ["axis", "group"]))
 
 
 @query(f"""WITH l AS ({LOSS}), d AS (SELECT axis, "group", date, (sse_base - sse_model) / n AS d FROM l), c AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY axis, "group") AS t, d - avg(d) OVER (PARTITION BY axis, "group") AS c, avg(d) OVER (PARTITION BY axis, "group") AS m FROM d WINDOW w AS (PARTITION BY axis, "group" ORDER BY date)),
