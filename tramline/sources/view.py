@@ -3,7 +3,7 @@
 A view is a folder of versions, ``data/v<n>/view_part=<p>/*.parquet``, and manifests, ``_manifests/<n>.json``, that say which version each
 partition is in. A merge writes the new partitions to a version of its own and then its manifest, by renaming a file: until then
 readers see the view as it was, and a merge that is killed leaves nothing but files that no manifest names. The number
-of the batch stands in the manifest, so a batch that comes again changes nothing."""
+of each writer's last batch stands in the manifest, so a batch that comes again changes nothing."""
 
 from __future__ import annotations
 
@@ -23,7 +23,8 @@ PART = "view_part"
 @dataclass
 class Manifest:
     version: int = 0
-    batch: int = -1
+    #: writer to the number of its last batch
+    batches: dict[str, int] = field(default_factory=dict)
     schema: dict | None = None
     #: partition to the version that has it
     parts: dict[str, int] = field(default_factory=dict)
@@ -94,16 +95,19 @@ def read_view(spark: SparkSession, root: str, parts: list[str] | None = None) ->
     return spark.read.schema(schema).parquet(*found) if found else spark.createDataFrame([], schema)
 
 
-def merge_into(root: str, batch: DataFrame, part: Column, merge: Callable[[DataFrame | None, DataFrame], DataFrame], number: int | None = None) -> list[str]:
+def merge_into(root: str, batch: DataFrame, part: Column, merge: Callable[[DataFrame | None, DataFrame], DataFrame], number: int | None = None, writer: str | None = None) -> list[str]:
     """Merges a batch into the view at ``root`` and gives the partitions that it hit.
 
     ``part`` names the partition of a row, from the columns that ``merge`` keeps: a day, or a bucket of the key. ``merge`` gets
     the stored rows of the partitions that the batch has, or None where there are none, and the batch, and gives what they
-    become; none of its rows may lie elsewhere. A batch whose ``number`` is not above that of the last one is left out.
+    become; none of its rows may lie elsewhere. A batch whose ``number`` is not above that of its
+    writer's last one is left out. The ``writer`` is the streaming query that runs it, by the id that its checkpoint keeps: one that
+    goes on counts on, one with a new checkpoint counts from 0 and is another writer.
     Partitions that a batch hits pass the driver by name, as in any listing. One merge runs at a time; of two, one fails."""
     spark = batch.sparkSession
     m = current(spark, root)
-    if number is not None and number <= m.batch:
+    writer = writer or spark.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
+    if number is not None and number <= m.batches.get(writer, -1):
         return []
     folder, aside = Folder(spark, root), f"_aside/{uuid.uuid4().hex}"
     # a batch is read several times; of a stream it must be made once
@@ -123,7 +127,7 @@ def merge_into(root: str, batch: DataFrame, part: Column, merge: Callable[[DataF
         if made - set(hit):
             raise ValueError(f"merged rows outside the partitions of the batch: {sorted(made - set(hit))[:3]}")
         parts = {p: v for p, v in m.parts.items() if p not in hit} | dict.fromkeys(sorted(made), version)
-        new = Manifest(version, m.batch if number is None else number, out.schema.jsonValue(), parts)
+        new = Manifest(version, m.batches if number is None else m.batches | {writer: number}, out.schema.jsonValue(), parts)
         folder.fs.mkdirs(folder.path("_manifests"))
         folder.write(json.dumps(asdict(new)), "_manifests", f"{version:020d}.json")
         return sorted(hit)
@@ -132,8 +136,10 @@ def merge_into(root: str, batch: DataFrame, part: Column, merge: Callable[[DataF
 
 
 def vacuum(spark: SparkSession, root: str, keep: int = 2) -> None:
-    """Removes all manifests but the last ``keep`` and the versions that none of those names. Readers of older ones are cut off."""
+    """Removes all manifests but the last ``keep``, the versions that none of those names, and what killed merges have left. Readers of
+    older ones are cut off, and so is a merge that runs meanwhile."""
     folder = Folder(spark, root)
+    folder.delete("_aside")
     names = [n for n in folder.names("_manifests") if not n.startswith(".")]
     kept = [Manifest(**json.loads(folder.read("_manifests", n))) for n in names[-keep:]]
     used = {f"v{v}" for m in kept for v in m.parts.values()}
