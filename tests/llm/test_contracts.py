@@ -68,8 +68,8 @@ def test_media_columns(spark):
         W.with_media(df.withColumnRenamed("doc_id", "media"))
 
 
-@pytest.mark.parametrize("name", ["op11_prefix_trie", "op12_merkle"])
-def test_trees_against_their_sql(spark, name):
+@pytest.mark.parametrize("name", ["op11_prefix_trie", "op12_merkle", "op13_minhash_dedup"])
+def test_against_their_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()

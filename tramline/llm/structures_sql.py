@@ -1,4 +1,4 @@
-"""SQL of the conversation trie and of the dataset manifest, for DuckDB."""
+"""SQL of the conversation trie, of the dataset manifest and of near duplicates, for DuckDB."""
 
 from __future__ import annotations
 
@@ -76,4 +76,22 @@ SELECT doc_id, placed.hash AS leaf, subroots.hash AS subroot, root.hash AS root,
 FROM placed JOIN d{levels} ON d{levels}.id = placed.id JOIN subroots ON subroots.tree = placed.tree, root"""
 
 
-SQL = {"op11_prefix_trie": TRIE, "op12_merkle": manifest(4)}
+#: ``minhash_dedup.mark`` with its defaults: every pair that shares a shingle, and what links reach.
+NEAR = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' ')) END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+c AS (SELECT a AS doc_id, min(b) AS low FROM r GROUP BY 1)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, coalesce(low, w.doc_id)) AS component_id, least(w.doc_id, coalesce(low, w.doc_id)) = w.doc_id AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.doc_id = w.doc_id"""
+
+
+SQL = {"op11_prefix_trie": TRIE, "op12_merkle": manifest(4), "op13_minhash_dedup": NEAR}
