@@ -98,8 +98,9 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     if not found:
         return Model([], np.zeros(256, np.int64), [], np.zeros(0), np.zeros(0))
     size = rows.sparkSession.createDataFrame(found, "lang string, count long")
-    # a hash threshold that leaves about four times the texts wanted of each language, then the lowest of those
-    few = rows.join(size, "lang").where(F.col("at").cast("double") / 2.0**64 + 0.5 < 4.0 * texts_per_lang / F.col("count"))
+    # a hash threshold that leaves about four times the texts wanted of each language, then the lowest of those; the side
+    # that is broadcast are the rows just collected
+    few = rows.join(F.broadcast(size), "lang").where(F.col("at").cast("double") / 2.0**64 + 0.5 < 4.0 * texts_per_lang / F.col("count"))
     got = few.groupBy("lang", "at").agg(F.min("text").alias("text")).toPandas().sort_values(["lang", "at"])
     texts = {name: utf8(own[:texts_per_lang]) for name, own in got.groupby("lang")["text"]}
     sample = {name: b"\n".join(chosen(own[::2], bytes_per_lang)) for name, own in texts.items()}
