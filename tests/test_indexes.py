@@ -96,3 +96,19 @@ def test_rings_by_sums_are_rings_by_pairs(spark):
     assert a.keys() == b.keys()
     for k, loads in a.items():
         assert b[k] == pytest.approx(loads, abs=1e-9)
+
+
+def test_circular_loads_build_no_pairs(spark):
+    """A ring of 600 stations has 54 million passings: the loads come without them, as the pairs say."""
+    n, rnd = 600, random.Random(8)
+    b, a = [float(rnd.randrange(50)) for _ in range(n)], [float(rnd.randrange(50)) for _ in range(n)]
+    df = spark.createDataFrame([(1, i, b[i], a[i]) for i in range(n)], "ring int, seq int, boarding double, alighting double")
+    out = C.circular_loads(df, ["ring"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan
+    w, total = [b[i] / (sum(a) - a[i]) for i in range(n)], n // 2
+    got = {r.seq: r for r in out.collect()}
+    for s in (0, 1, 299, 300, 599):
+        up = sum(w[(s - k) % n] * a[(s - k + d) % n] for k in range(total) for d in range(k + 1, total + 1))
+        down = sum(w[(s + k) % n] * a[(s + k - d) % n] for k in range(total - 1) for d in range(k + 1, total))
+        assert got[s].load_up == pytest.approx(up) and got[s].load_down == pytest.approx(down)

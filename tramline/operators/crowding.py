@@ -35,23 +35,14 @@ def linear_loads(df: DataFrame, keys: Sequence[str], seq: str = "seq", boarding:
 
 def circular_loads(df: DataFrame, keys: Sequence[str], seq: str = "seq", boarding: str = "boarding", alighting: str = "alighting") -> DataFrame:
     """Loads on a ring, each trip going the way of fewer stations (ties upwards): trips between all pairs of a ring's
-    stations, each laid on the stations that it departs from. ``seq`` runs from 0 without gaps."""
-    n = Window.partitionBy(*keys)
-    total = F.sum(alighting).over(n)
-    a = df.withColumns({"_n": F.count(F.lit(1)).over(n), "_w": F.when(total - F.col(alighting) > 0, F.col(boarding) / (total - F.col(alighting))).otherwise(0.0), "_all": total})
-    b = df.select(*keys, F.col(seq).alias("_to"), F.col(alighting).alias("_off"))
-    trips = a.where("_all > 0").select(*keys, F.col(seq).alias("_from"), "_w", "_n").join(b, list(keys)).where("_from <> _to")
-    up, down = F.pmod(F.col("_to") - F.col("_from"), F.col("_n")), F.pmod(F.col("_from") - F.col("_to"), F.col("_n"))
-    upward = up <= down
-    steps = F.when(upward, up).otherwise(down)
-    at = F.transform(F.sequence(F.lit(0), (steps - 1).cast("int")), lambda i: F.pmod((F.col("_from") + F.when(upward, i).otherwise(-i)).cast("int"), F.col("_n").cast("int")))
-    laid = trips.select(*keys, (F.col("_w") * F.col("_off")).alias("_t"), upward.alias("_up"), F.explode(at).alias(seq))
-    loads = laid.groupBy(*keys, seq).agg(F.sum(F.when(F.col("_up"), F.col("_t")).otherwise(0.0)).alias("load_up"), F.sum(F.when(F.col("_up"), 0.0).otherwise(F.col("_t"))).alias("load_down"))
-    return df.join(loads, [*keys, seq], "left").fillna(0.0, ["load_up", "load_down"])
+    stations, laid on the stations that they depart from. ``seq`` runs from 0 without gaps.
+
+    Pairs are not built, since a ring of n stations has n² and they pass n³ / 4 of them: ``ring_loads`` has the same sums."""
+    return ring_loads(df, keys, seq, boarding, alighting)
 
 
 def ring_loads(df: DataFrame, keys: Sequence[str], seq: str = "seq", boarding: str = "boarding", alighting: str = "alighting") -> DataFrame:
-    """``circular_loads`` without its pairs: the ring is laid out three times, and each load is a difference of running sums.
+    """Loads on a ring without its pairs of stations: the ring is laid out three times, and each load is a difference of running sums.
 
     With m = n // 2 a trip goes upwards if it has m stops or fewer, so of those who board at i up to m stations behind s, all
     pass s who get off in s+1 .. i+m: load_up(s) = sum of w(i) (A(i+m) - A(s)) over i in s-m+1 .. s, where A runs over alightings.
