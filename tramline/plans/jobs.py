@@ -108,7 +108,8 @@ def features(panel: DataFrame, neighbors: DataFrame, value: str = "boarding", da
 def crowding(pred: DataFrame, calibration: DataFrame, targets: DataFrame, thresholds: Sequence[float]) -> tuple[DataFrame, DataFrame]:
     """P7: predictions (line, seq, station_no, date, hour, boarding, alighting, lookup) -> no negatives -> loads -> calibrated half
     hours -> grade and status -> links, and the keys without one. Lines whose ``circular`` (a column, if there) is true are
-    rings, on which people go the way of fewer stations."""
+    rings, on which people go the way of fewer stations. Grades are those of loads to 9 decimals: a load that is a threshold
+    but for the last bits of its sums has the threshold's grade."""
     clean = C.clip_negative(pred, "boarding", "lookup").withColumn("boarding", F.coalesce("clipped", F.lit(0.0)))
     keys = ["line", "date", "hour"]
     if "circular" in pred.columns:
@@ -118,7 +119,7 @@ def crowding(pred: DataFrame, calibration: DataFrame, targets: DataFrame, thresh
         loads = C.linear_loads(clean, keys)
     ways = loads.select("line", "station_no", "date", "hour", "source", F.explode(F.create_map(F.lit("up"), "load_up", F.lit("down"), "load_down")).alias("direction", "raw"))
     cal = C.apply_calibration(ways, calibration, ["station_no", "direction"])
-    graded = cal.withColumns({"grade": grade(F.col("calibrated"), thresholds), "status": C.data_status(F.col("source").isNull(), F.col("source") == "lookup", F.lit(False), F.col("ratio").isNull())})
+    graded = cal.withColumns({"grade": grade(F.round("calibrated", 9), thresholds), "status": C.data_status(F.col("source").isNull(), F.col("source") == "lookup", F.lit(False), F.col("ratio").isNull())})
     return C.to_link_table(graded, targets.select("station_no", "direction", "to_station"))
 
 

@@ -86,7 +86,7 @@ LOADS = """q AS (SELECT s.line, s.seq, p.station_no, p.date, p.slot + 5 AS hour,
 
 @query(f"""WITH {LOADS}, wy AS (SELECT station_no, date, hour, source, 'up' AS direction, up AS raw FROM ld UNION ALL SELECT station_no, date, hour, source, 'down', down FROM ld),
     hf AS (SELECT *, unnest([printf('%02d:00', hour), printf('%02d:30', hour)]) AS slot30, CASE WHEN station_no % 9 <> 0 THEN (raw + 1) * 0.5 END AS calibrated FROM wy)
-    SELECT h.station_no, date, slot30, h.direction, to_station, round(round(calibrated, 9), 4) AS calibrated, CASE WHEN calibrated IS NOT NULL THEN CAST((round(calibrated, 9) >= 10)::INTEGER + (round(calibrated, 9) >= 20)::INTEGER + (round(calibrated, 9) >= 40)::INTEGER AS INTEGER) END AS grade,
+    SELECT h.station_no, date, slot30, h.direction, to_station, CAST(round(CAST(calibrated AS DECIMAL(28, 9)), 4) AS DOUBLE) AS calibrated, CASE WHEN calibrated IS NOT NULL THEN CAST((round(calibrated, 9) >= 10)::INTEGER + (round(calibrated, 9) >= 20)::INTEGER + (round(calibrated, 9) >= 40)::INTEGER AS INTEGER) END AS grade,
       CASE WHEN source IS NULL THEN 'no_lookup' WHEN source = 'lookup' THEN 'calibration_fallback' WHEN calibrated IS NULL THEN 'no_calibration' ELSE 'ok' END AS status
     FROM hf h JOIN ({CR.TARGETS}) t ON t.station_no = h.station_no AND t.direction = h.direction""")
 def p7_crowding(spark, d):
@@ -96,7 +96,8 @@ def p7_crowding(spark, d):
     pred = p.select("line", "seq", "station_no", "date", (F.col("slot") + 5).alias("hour"), (F.col("model") - 5).alias("boarding"), "alighting", "lookup", (F.col("line") % 2 == 0).alias("circular"))
     cal = v_station(spark, d).where("station_no % 9 <> 0").select("station_no", F.explode(F.array(F.lit("up"), F.lit("down"))).alias("direction")).crossJoin(spark.range(6, 13).select(F.explode(half_hours(F.col("id"))).alias("slot30"))).withColumns({"ratio": F.lit(0.5), "offset": F.lit(1.0)})
     out = J.crowding(pred, cal, C.link_targets(topo(spark, d)), [10, 20, 40])[0]
-    return out.select("station_no", "date", "slot30", "direction", "to_station", F.round(F.round("calibrated", 9), 4).alias("calibrated"), "grade", "status")
+    # halves of the fourth decimal are common, and rounding of binary fractions leaves them to the engine: decimals go up
+    return out.select("station_no", "date", "slot30", "direction", "to_station", F.round(F.col("calibrated").cast("decimal(28,9)"), 4).cast("double").alias("calibrated"), "grade", "status")
 
 
 #: Trains of many stops: 97 numbers over all events. Stations lie on one or two segments, some on none. A stop's load is its
