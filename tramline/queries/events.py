@@ -16,7 +16,7 @@ def joi09_radius_join(spark, d):
     return rounded(E.radius_join(v_point(spark, d), v_station(spark, d).drop("name", "line", "seq"), 1.5).select("point_id", "station_no", "km"))
 
 
-@query(f"SELECT point_id, arg_min(station_no, km * 1e6 + station_no * 1e-6) AS station_no, round(min(km), 6) AS km FROM (SELECT p.point_id, s.station_no, {KM} AS km FROM v_point p, v_station s) GROUP BY 1")
+@query(f"SELECT point_id, arg_min(station_no, (km, station_no)) AS station_no, round(min(km), 6) AS km FROM (SELECT p.point_id, s.station_no, round({KM}, 9) AS km FROM v_point p, v_station s) GROUP BY 1")
 def joi10_nearest_one(spark, d):
     return rounded(E.nearest_one(v_point(spark, d), v_station(spark, d), "point_id", "station_no"))
 
