@@ -117,9 +117,8 @@ def top01_nearby(spark, d):
 
 @query(f"WITH c AS (SELECT p.point_id, s.station_no, {KM} AS km, s.station_no % 10 / 10 AS p_empty FROM v_point p, v_station s), k AS (SELECT *, CASE WHEN station_no % 7 <> 0 THEN km * 15 + 10 * p_empty END AS score FROM c WHERE km <= 3) SELECT point_id, station_no, round(score, 6) AS score FROM k WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY score, km, station_no) = 1")
 def top02_best_candidate(spark, d):
-    pairs = E.radius_join(v_point(spark, d), v_station(spark, d).select("station_no", "lat", "lon"), 3.0)
-    pairs = pairs.withColumns({"minutes": F.col("km") * 15, "p_empty": F.when(F.col("station_no") % 7 != 0, F.col("station_no") % 10 / 10)})
-    return rounded(E.best_candidate(pairs, "point_id", "station_no", "minutes", "p_empty", "km"))
+    s = v_station(spark, d).select("station_no", "lat", "lon", F.when(F.col("station_no") % 7 != 0, F.col("station_no") % 10 / 10).alias("p_empty"))
+    return rounded(E.best_nearby(v_point(spark, d), s, "point_id", "station_no", 3.0, 15, "p_empty"))
 
 
 @query("SELECT DISTINCT p_name AS name, CASE WHEN p_name = 'red widget' THEN 0 WHEN p_name LIKE 'red widget%' THEN 1 ELSE 2 END AS rank FROM part WHERE contains(p_name, 'red widget') ORDER BY rank, name LIMIT 20")
