@@ -15,6 +15,7 @@ from tramline.operators import events as E
 from tramline.operators import panel as P
 from tramline.operators import quality as Q
 from tramline.operators import stock as S
+from tramline.scratch import cut
 from tramline.sources import io
 
 
@@ -171,14 +172,19 @@ def paired_games(games: DataFrame, crowds: DataFrame, most: int = 1) -> DataFram
 
 def event_panel(games: DataFrame, festivals: DataFrame, stations: DataFrame, venues: DataFrame, first: Column, last: Column, km: float = 1.0, crowds: DataFrame | None = None) -> DataFrame:
     """P9: games and festivals at places -> stations near them -> counts by station and date. With ``crowds`` games take
-    their attendance from there, and days of several games at a place go (``paired_games``)."""
+    their attendance from there, and days of several games at a place go (``paired_games``).
+
+    Stations near the same places have the same counts, so events are counted by set of places and day, and only the counts
+    go to the stations: an event is sent once to each set that its place is in and not to each station."""
     if crowds is not None:
         games = paired_games(games, crowds)
     near = E.radius_join(venues, stations.select("station_no", "lat", "lon"), km).select("place", "station_no").distinct()
+    around = cut(near.groupBy("station_no").agg(F.array_sort(F.collect_set("place")).alias("_places")))
+    sets = around.select("_places").distinct().withColumn("place", F.explode("_places"))
     days = E.explode_days(E.duration_days(festivals, "begin_date", "end_date"), "begin_date", "end_date", first, last)
-    g = E.game_rollup(games.join(near, "place"), ["station_no", "date"], "attendance")
-    f = E.festival_rollup(days.join(near, "place"), ["station_no", "date"], "id", "days")
-    return E.station_events(g, f, ["station_no", "date"])
+    g = E.game_rollup(games.join(sets, "place"), ["_places", "date"], "attendance")
+    f = E.festival_rollup(days.join(sets, "place"), ["_places", "date"], "id", "days")
+    return E.station_events(g, f, ["_places", "date"]).join(around, "_places").drop("_places")
 
 
 def load_by_train(timetable: DataFrame, congestion: DataFrame, capacity: float) -> tuple[DataFrame, DataFrame]:
