@@ -12,6 +12,11 @@ from tramline.functions import timefn as T
 from tramline.operators.quantiles import exact_quantiles
 
 
+def dealt(df: DataFrame, parts: int | None, keys: Sequence[str]) -> DataFrame:
+    """``df`` by its keys in ``parts`` tasks, as it is if that is None."""
+    return df.repartition(parts, *keys) if parts else df
+
+
 def time_split(df: DataFrame, date: Column, day: str = "date") -> tuple[DataFrame, DataFrame]:
     return df.where(F.col(day) < date), df.where(F.col(day) >= date)
 
@@ -42,14 +47,13 @@ def residual_cols(df: DataFrame, values: Sequence[str]) -> DataFrame:
 
 
 def day_lags(df: DataFrame, keys: Sequence[str], values: Sequence[str], days: Sequence[int] = (1, 7), date: str = "date") -> DataFrame:
-    """Values of the same key exactly n days before, null where that day is missing: one join for all lags.
+    """Values of the same key exactly n days before, null where that day is missing: no join for any number of lags.
 
-    The table is unioned with itself moved forward by each lag and grouped by key and date, so any number of lags is one
-    shuffle; (key, date) is unique."""
-    own = df.select(*keys, date, F.lit(0).alias("_lag"), *[F.col(v).alias(f"_{v}") for v in values])
-    moved = own.select(*keys, date, F.explode(F.array(*map(F.lit, [0, *days]))).alias("_lag"), *[f"_{v}" for v in values]).withColumn(date, F.date_add(date, F.col("_lag")))
-    wide = moved.groupBy(*keys, date).agg(F.max((F.col("_lag") == 0).cast("int")).alias("_own"), *[F.max(F.when(F.col("_lag") == n, F.col(f"_{v}"))).alias(v if n == 0 else f"{v}_lag{n}d") for n in [0, *days] for v in values])
-    return wide.where("_own = 1").drop("_own")
+    A lag is a frame of the one day n days back in the key's dates, so all lags are one partitioning by key, which a table that
+    is dealt by some of its keys already has; (key, date) is unique."""
+    dates = Window.partitionBy(*keys).orderBy(F.unix_date(date))
+    lags = [F.max(v).over(dates.rangeBetween(-n, -n)).alias(f"{v}_lag{n}d") for n in days for v in values]
+    return df.select(*keys, date, *values, *lags)
 
 
 def slot_lag(df: DataFrame, keys: Sequence[str], slot: str, values: Sequence[str]) -> DataFrame:
@@ -83,7 +87,7 @@ def centered_moving_avg(df: DataFrame, keys: Sequence[str], order: str, value: s
 
 
 def pivot_direction(long: DataFrame, keys: Sequence[str], column: str = "direction", value: str = "passengers", values: Sequence[str] = ("boarding", "alighting")) -> DataFrame:
-    return long.groupBy(*keys).pivot(column, list(values)).agg(F.sum(value))
+    return long.groupBy(*keys).agg(*[F.sum(F.when(F.col(column) == v, F.col(value))).alias(v) for v in values])
 
 
 def unpivot_hours(wide: DataFrame, keys: Sequence[str], hours: Sequence[str], value: str = "passengers") -> DataFrame:
@@ -311,11 +315,13 @@ def feature_matrix(df: DataFrame, columns: Sequence[str], realtime: Sequence[str
     return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("double").alias(c) for c in columns])
 
 
-def route_by_availability(df: DataFrame, observed: DataFrame, station: str, date: str) -> DataFrame:
-    """The predictor for each row by which of the days 1 and 7 before are observed: full, d1_only, d7_only or no_lag."""
+def route_by_availability(df: DataFrame, observed: DataFrame, station: str, date: str, parts: int | None = None) -> DataFrame:
+    """The predictor for each row by which of the days 1 and 7 before are observed: full, d1_only, d7_only or no_lag.
+    ``parts`` is the number of tasks that rows meet the days in, where the session's is not to be."""
     o = observed.select(station, date).distinct()
     moved = o.select(station, F.explode(F.array(F.lit(1), F.lit(7))).alias("_n"), date).withColumn(date, F.date_add(date, F.col("_n")))
     have = moved.groupBy(station, date).agg(F.max((F.col("_n") == 1).cast("int")).alias("_d1"), F.max((F.col("_n") == 7).cast("int")).alias("_d7"))
+    df, have = (dealt(x, parts, [station, date]) for x in (df, have))
     return df.join(have, [station, date], "left").withColumn("route", F.when((F.col("_d1") == 1) & (F.col("_d7") == 1), "full").when(F.col("_d1") == 1, "d1_only").when(F.col("_d7") == 1, "d7_only").otherwise("no_lag")).drop("_d1", "_d7")
 
 
@@ -358,11 +364,13 @@ def segment_neighbors(topology: DataFrame, line: str = "line") -> DataFrame:
     return pairs.select(line, "station_no", F.explode(F.array(before, after)).alias("other")).where("other IS NOT NULL AND other <> station_no").distinct()
 
 
-def neighbor_features(df: DataFrame, neighbors: DataFrame, values: Sequence[str], keys: Sequence[str] = ("date", "slot"), station: str = "station_no") -> DataFrame:
-    """Mean of the neighbours' values at the same date and slot."""
+def neighbor_features(df: DataFrame, neighbors: DataFrame, values: Sequence[str], keys: Sequence[str] = ("date", "slot"), station: str = "station_no", parts: int | None = None) -> DataFrame:
+    """Mean of the neighbours' values at the same date and slot. ``parts`` is the number of tasks that rows meet their means
+    in, where the session's is not to be."""
     other = df.select(F.col(station).alias("other"), *keys, *values)
-    mean = neighbors.select(station, "other").distinct().join(other, "other").groupBy(station, *keys).agg(*[F.avg(v).alias(f"{v}_near") for v in values])
-    return df.join(mean, [station, *keys], "left")
+    near = dealt(neighbors.select(station, "other").distinct().join(dealt(other, parts, ["other"]), "other"), parts, [station, *keys])
+    mean = near.groupBy(station, *keys).agg(*[F.avg(v).alias(f"{v}_near") for v in values])
+    return dealt(df, parts, [station, *keys]).join(mean, [station, *keys], "left")
 
 
 def target_skeleton(stations: DataFrame, slots: DataFrame, date: Column) -> DataFrame:

@@ -79,28 +79,30 @@ def crowd_panel(long: DataFrame, holidays: DataFrame, weather: DataFrame, events
     return P.attach_events(with_weather, events, ["date"], ["n_games"])
 
 
-def features(panel: DataFrame, neighbors: DataFrame, value: str = "boarding", date: str = "date") -> DataFrame:
+def features(panel: DataFrame, neighbors: DataFrame, value: str = "boarding", date: str = "date", parts: int | None = None) -> DataFrame:
     """P6: residual to the look-up, its lags by calendar (1 and 7 days, the slot before, the same day type), and the mean of
     the neighbours.
 
     The operators one after another would each join the panel with itself, and the plan would hold the panel 16 times. Here
     the look-up mean and the same-type lag are windows over one partitioning; then each row is laid out to every cell that
-    reads it (its own, 1 and 7 days on, the next slot, its neighbours) and the cells are put together by one grouping."""
+    reads it (its own, 1 and 7 days on, the next slot, its neighbours) and the cells are put together by one grouping, in
+    ``parts`` tasks where the session's number is not to be theirs."""
     res = f"{value}_residual"
     w = Window.partitionBy("station_no", "slot", "dow_type")
     base = panel.withColumn(f"{value}_lookup", F.avg(value).over(w)).withColumn(res, F.col(value) - F.col(f"{value}_lookup"))
     base = P.same_day_type_lag(base, ["station_no", "slot", "dow_type"], res, date=date)
     near = neighbors.groupBy("other").agg(F.collect_set("station_no").alias("_near")).select(F.col("other").alias("station_no"), "_near")
-    cell = lambda kind, station, slot, day: F.struct(F.lit(kind).alias("kind"), station.alias("station_no"), slot.alias("slot"), day.alias(date))
+    cell = lambda kind, station, slot, day: F.struct(F.lit(kind).alias("_c"), station.alias("station_no"), slot.alias("slot"), day.alias(date))
     st, sl, dy = F.col("station_no"), F.col("slot"), F.col(date)
     fixed = F.array(cell(0, st, sl, dy), cell(1, st, sl, F.date_add(dy, 1)), cell(2, st, sl, F.date_add(dy, 7)), cell(3, st, sl + 1, dy))
     around = F.transform(F.coalesce("_near", F.array().cast(near.schema["_near"].dataType)), lambda s: cell(4, s, sl, dy))
     others = [c for c in base.columns if c not in ("station_no", "slot", date)]
-    laid = base.join(near, "station_no", "left").select(F.explode(F.concat(fixed, around)).alias("_c"), *others)
-    of = lambda kind, f, c=res: f(F.when(F.col("_c.kind") == kind, F.col(c)))
+    laid = base.join(near, "station_no", "left").select(F.explode(F.concat(fixed, around)).alias("_at"), *others)
+    laid = P.dealt(laid.select("_at.*", *others), parts, ["station_no", "slot", date])
+    of = lambda kind, f, c=res: f(F.when(F.col("_c") == kind, F.col(c)))
     # a value each instead of a struct keeps the aggregation hashed
-    cells = laid.groupBy(*[F.col(f"_c.{k}").alias(k) for k in ("station_no", "slot", date)]).agg(
-        F.min("_c.kind").alias("_kind"), *[of(0, F.max, c).alias(c) for c in others],
+    cells = laid.groupBy("station_no", "slot", date).agg(
+        F.min("_c").alias("_kind"), *[of(0, F.max, c).alias(c) for c in others],
         of(1, F.max).alias(f"{res}_lag1d"), of(2, F.max).alias(f"{res}_lag7d"), of(3, F.max).alias(f"{res}_prev"), of(4, F.avg).alias(f"{res}_near"),
     )
     return cells.where("_kind = 0").drop("_kind")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,12 +77,25 @@ def v_rental(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", F.col("user_id").alias("station_id"), "ts", F.when(F.col("event_type") == "view", "rent").otherwise("return").alias("kind"), F.lit(1).cast("long").alias("cnt"))
 
 
+#: Rows of the largest table to a task, on the mean, where panels are put together.
+ROWS = 500_000
+
+
+def parts(spark: SparkSession, d: str) -> int:
+    """Tasks that a panel is dealt to. Their number grows with the rows of its table (its files' footers tell), so the memory of
+    one does not, however few partitions a session's shuffles have."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(read(spark, d, "lineitem").count() / ROWS))
+
+
 def v_panel(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("station_no"), F.col("l_shipdate").cast("date").alias("date"), F.col("l_linenumber").alias("slot")).agg(F.sum("l_quantity").alias("boarding"), (F.sum("l_extendedprice") / 1000).alias("alighting"))
+    """Dealt by station, which has a row a day and slot at most, so whatever is grouped by station and more needs no other shuffle."""
+    i = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("station_no"), F.col("l_shipdate").cast("date").alias("date"), F.col("l_linenumber").alias("slot"), "l_quantity", "l_extendedprice")
+    return i.repartition(parts(spark, d), "station_no").groupBy("station_no", "date", "slot").agg(F.sum("l_quantity").alias("boarding"), (F.sum("l_extendedprice") / 1000).alias("alighting"))
 
 
 def v_long(spark: SparkSession, d: str) -> DataFrame:
-    return v_panel(spark, d).unpivot(["station_no", "date", "slot"], ["boarding", "alighting"], "direction", "passengers")
+    both = F.create_map(F.lit("boarding"), "boarding", F.lit("alighting"), "alighting")
+    return v_panel(spark, d).select("station_no", "date", "slot", F.explode(both).alias("direction", "passengers"))
 
 
 def v_station(spark: SparkSession, d: str) -> DataFrame:

@@ -13,7 +13,7 @@ from tramline.queries import crowding as CR
 from tramline.queries import events as EV
 from tramline.queries import panel as PN
 from tramline.queries import stock as ST
-from tramline.queries.base import query, read, rounded, v_anchor, v_dow, v_festival, v_game, v_holiday, v_long, v_point, v_pred, v_rental, v_station, v_stock, v_timetable
+from tramline.queries.base import parts, query, read, rounded, v_anchor, v_dow, v_festival, v_game, v_holiday, v_long, v_point, v_pred, v_rental, v_station, v_stock, v_timetable
 
 
 #: The profile of the last rows of each slot, under the name that the grid's SQL reads.
@@ -65,7 +65,7 @@ def p5_crowd_panel(spark, d):
 @query(f"WITH r AS (SELECT *, boarding - lookup AS res FROM v_pred), n AS ({PN.NEIGHBORS}), m AS (SELECT n.station_no, q.date, q.slot, avg(q.res) AS near FROM n JOIN r q ON q.station_no = n.other GROUP BY ALL) SELECT r.station_no, r.date, r.slot, round(r.res, 6) AS residual, round(a.res, 6) AS lag1d, round(b.res, 6) AS lag7d, round(c.res, 6) AS prev, round(m.near, 6) AS near FROM r LEFT JOIN r a ON a.station_no = r.station_no AND a.slot = r.slot AND a.date = r.date - 1 LEFT JOIN r b ON b.station_no = r.station_no AND b.slot = r.slot AND b.date = r.date - 7 LEFT JOIN r c ON c.station_no = r.station_no AND c.date = r.date AND c.slot = r.slot - 1 LEFT JOIN m ON m.station_no = r.station_no AND m.date = r.date AND m.slot = r.slot")
 def p6_features(spark, d):
     n = P.segment_neighbors(PN.topology(spark, d).withColumn("circular", F.lit(False)))
-    out = J.features(v_dow(spark, d), n)
+    out = J.features(v_dow(spark, d), n, parts=6 * parts(spark, d))
     b = "boarding_residual"
     return rounded(out.select("station_no", "date", "slot", F.col(b).alias("residual"), F.col(f"{b}_lag1d").alias("lag1d"), F.col(f"{b}_lag7d").alias("lag7d"), F.col(f"{b}_prev").alias("prev"), F.col(f"{b}_near").alias("near")))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tramline.functions import timefn as T
 from tramline.operators import panel as P
-from tramline.queries.base import query, read, rounded, v_dow, v_long, v_panel, v_pred, v_station, v_stock
+from tramline.queries.base import parts, query, read, rounded, v_dow, v_long, v_panel, v_pred, v_station, v_stock
 
 KEY = ["station_no", "slot"]
 
@@ -306,7 +306,7 @@ def prj13_feature_matrix(spark, d):
 @query("WITH s AS (SELECT DISTINCT station_no, date FROM v_panel) SELECT p.station_no, p.date, CASE WHEN a.date IS NOT NULL AND b.date IS NOT NULL THEN 'full' WHEN a.date IS NOT NULL THEN 'd1_only' WHEN b.date IS NOT NULL THEN 'd7_only' ELSE 'no_lag' END AS route FROM s p LEFT JOIN s a ON a.station_no = p.station_no AND a.date = p.date - 1 LEFT JOIN s b ON b.station_no = p.station_no AND b.date = p.date - 7")
 def prj17_route_by_availability(spark, d):
     p = v_panel(spark, d)
-    return P.route_by_availability(p.select("station_no", "date").distinct(), p, "station_no", "date")
+    return P.route_by_availability(p.select("station_no", "date").distinct(), p, "station_no", "date", parts(spark, d))
 
 
 RULES = [("any", None, None), ("line3", 3, None), ("line3-seq2", 3, 2), ("seq1", None, 1)]
@@ -346,7 +346,7 @@ def win19_segment_neighbors(spark, d):
 @query(f"WITH n AS ({NEIGHBORS}) SELECT p.station_no, p.date, p.slot, round(avg(q.boarding), 6) AS boarding_near FROM v_panel p LEFT JOIN n ON n.station_no = p.station_no LEFT JOIN v_panel q ON q.station_no = n.other AND q.date = p.date AND q.slot = p.slot GROUP BY ALL")
 def joi22_neighbor_features(spark, d):
     n = P.segment_neighbors(topology(spark, d).withColumn("circular", F.lit(False)))
-    return rounded(P.neighbor_features(v_panel(spark, d), n, ["boarding"]).select("station_no", "date", "slot", "boarding_near"))
+    return rounded(P.neighbor_features(v_panel(spark, d), n, ["boarding"], parts=2 * parts(spark, d)).select("station_no", "date", "slot", "boarding_near"))
 
 
 @query(f"WITH n AS ({NEIGHBORS}), s AS (SELECT station_no, slot, greatest(coalesce(stddev_pop(boarding), 1), 1) AS scale FROM v_panel GROUP BY 1, 2) SELECT a.station_no, a.slot, round(avg(b.scale), 6) AS scale_near FROM s a LEFT JOIN n ON n.station_no = a.station_no LEFT JOIN s b ON b.station_no = n.other AND b.slot = a.slot GROUP BY 1, 2")
