@@ -79,3 +79,36 @@ def test_correlations_by_blocks(spark, block, times):
     values = spark.createDataFrame([(s, t, v) for s, of in series.items() for t, v in of.items()], "station int, t int, v double")
     r = C.neighbor_correlation(values, spark.createDataFrame(pairs, "a int, b int"), "station", "t", "v", block, times).first()
     assert r.pairs == len(want) and r.mean_corr == pytest.approx(np.mean(want), abs=1e-9)
+
+
+@pytest.mark.parametrize(("block", "times"), [(64, 1024), (3, 5)])
+def test_correlations_by_places(spark, block, times):
+    """Stations of few places under scattered ids: pairs of places stand for all pairs of their stations, and blocks follow places,
+    so few of them are neighbours."""
+    rnd = random.Random(9)
+    place = {s: s % 7 for s in range(23)}
+    series = {s: {t: 50 + rnd.gauss(0, 9) + t % (2 + s % 5) for t in range(30) if rnd.random() < 0.8} for s in range(22)}
+    paired = [(p, p) for p in range(6)] + [(p, p + 1) for p in range(6)] + [(5, 4)]
+    want = []
+    for a in range(22):
+        for b in range(a + 1, 22):
+            if {(place[a], place[b]), (place[b], place[a])} & set(paired):
+                both = sorted(set(series[a]) & set(series[b]))
+                want.append(np.corrcoef([series[a][t] for t in both], [series[b][t] for t in both])[0, 1])
+    values = spark.createDataFrame([(s, t, v) for s, of in series.items() for t, v in of.items()], "station int, t int, v double")
+    places = spark.createDataFrame([(s, p, p) for s, p in place.items()], "station int, place int, order int")
+    pairs = spark.createDataFrame(paired, "a int, b int")
+    r = C.neighbor_correlation(values, pairs, "station", "t", "v", block, times, places).first()
+    assert r.pairs == len(want) and r.mean_corr == pytest.approx(np.mean(want), abs=1e-9)
+    none = C.neighbor_correlation(values.limit(0), pairs, "station", "t", "v", block, times, places).first()
+    assert none.pairs == 0 and none.mean_corr is None
+
+
+def test_close_numbers_are_close_places(spark):
+    """A run of 64 of 4,096 places of a square lies in a corner of it."""
+    from tramline.operators.events import along_curve
+
+    grid = spark.range(4096).selectExpr("37 + id % 64 * 0.01 AS lat", "127 + floor(id / 64) * 0.01 AS lon")
+    rows = [(r.lat, r.lon) for r in grid.orderBy(along_curve(grid.lat, grid.lon)).collect()]
+    runs = [rows[i : i + 64] for i in range(0, 4096, 64)]
+    assert np.median([max(la for la, _ in run) - min(la for la, _ in run) + max(lo for _, lo in run) - min(lo for _, lo in run) for run in runs]) < 0.4

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from tramline.functions import scalars as S
 from tramline.functions import timefn as T
 from tramline.operators.stock import station_index
+from tramline.scratch import cut
 
 
 def linear_loads(df: DataFrame, keys: Sequence[str], seq: str = "seq", boarding: str = "boarding", alighting: str = "alighting") -> DataFrame:
@@ -302,50 +303,111 @@ def kruskal_h(df: DataFrame, group: str, value: str) -> DataFrame:
     return h.crossJoin(F.broadcast(ties)).select(((12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1)) / (1 - F.col("t") / (n * n * n - n))).alias("h"))
 
 
-def neighbor_correlation(values: DataFrame, pairs: DataFrame, station: str, time: str, value: str, block: int = 64, times: int = 1024) -> DataFrame:
-    """Mean over the pairs (``a, b``) of correlations of two stations' values at equal times; a (station, time) stands once.
-
-    Stations are numbered in order and dealt to blocks of ``block``, times to parts of about ``times``. A pair of blocks with a pair of
-    stations in it is a task for each part of time, which gives the sums of all its pairs by products of matrices; the
-    sums of the parts are added. So a series goes once to each pair of blocks that its block is in and not to each
-    neighbour, and no task holds more than two blocks of a part."""
+class BlockSums:
+    """Sums over the common times of each two stations of two blocks, added up part of time by part of time."""
+
+    def __init__(self, ga: int, gb: int, low: np.ndarray, high: np.ndarray, block: int):
+        self.first, self.block, self.low, self.high = (ga * block, gb * block), block, low, high
+        self.place = [np.full(block, -1, np.int64) for _ in range(2)]
+        self.sums = np.zeros((6, block, block))
+
+    def add(self, rows: list[tuple]) -> None:
+        """``rows`` of one part of time: number, place, mean, times and values of a station."""
+        when = np.unique(np.concatenate([r[3] for r in rows]))
+        sides = []
+        for first, place in zip(self.first, self.place, strict=True):
+            mine = [r for r in rows if first <= r[0] < first + self.block]
+            at = np.array([r[0] - first for r in mine], np.int64)
+            place[at] = [r[1] for r in mine]
+            there, v = np.zeros((len(mine), len(when))), np.zeros((len(mine), len(when)))
+            for k, (_, _, mean, times, given) in enumerate(mine):
+                column = np.searchsorted(when, times)
+                # values around their station's mean, so that squares of large numbers do not cancel
+                there[k, column], v[k, column] = 1, np.asarray(given) - mean
+            sides.append((at, there, v))
+        (i, m, x), (j, k, y) = sides
+        for total, part in zip(self.sums, ((m, k), (x, k), (m, y), (x * x, k), (m, y * y), (x, y)), strict=True):
+            total[np.ix_(i, j)] += part[0] @ part[1].T
+
+    def result(self) -> tuple[float, int]:
+        """Sum and number of the correlations of the pairs that are asked for."""
+        (a, i), (b, j) = (np.unique(c, return_inverse=True) for c in (self.low, self.high))
+        asked = np.zeros((len(a) + 1, len(b) + 1), bool)
+        asked[i, j] = True
+        row, column = (np.where(np.isin(p, known), np.searchsorted(known, p), len(known)) for p, known in zip(self.place, (a, b), strict=True))
+        number = [np.arange(f, f + self.block) for f in self.first]
+        n, x, y, xx, yy, xy = self.sums[:, asked[np.ix_(row, column)] & (number[0][:, None] < number[1])]
+        spread = (n * xx - x * x) * (n * yy - y * y)
+        ok = (n > 0) & (spread > 0)
+        return float(((n * xy - x * y)[ok] / np.sqrt(spread[ok])).sum()), int(ok.sum())
+
+
+def neighbor_correlation(values: DataFrame, pairs: DataFrame, station: str, time: str, value: str, block: int = 64, times: int = 1024, places: DataFrame | None = None) -> DataFrame:
+    """Mean over the pairs (``a, b``) of correlations of two stations' values at equal times; a (station, time) stands once, and
+    a pair counts once in whichever order.
+
+    With ``places`` (``station, place, order``) pairs are of places: a station is paired with those of the other place, and with
+    those of its own if a place is paired with itself. ``order`` should be close for places that are.
+
+    Stations are numbered by ``order`` and place and dealt to blocks of ``block``, so that the neighbours of a block are in few
+    others. Two blocks with a pair in them are a task: it gets each series of a place that is paired there once, as arrays of one of
+    the parts of about ``times`` times, adds up the sums of all its pairs by products of matrices, part by part, and gives the
+    correlations' sum. So no pair of stations is a row, and no task holds more than the sums of two blocks and one part."""
     rows = values.select(F.col(station).alias("s"), F.col(time).alias("_t"), F.col(value).cast("double").alias("v")).where("s IS NOT NULL AND _t IS NOT NULL AND v IS NOT NULL")
-    number = station_index(rows, "s").select("s", F.floor(F.col("code") / block).cast("int").alias("g"))
     parts = max(1, math.ceil(rows.agg(F.approx_count_distinct("_t")).first()[0] / times))
-    # values around their station's mean, so that squares of large numbers do not cancel
-    mean = rows.groupBy("s").agg(F.avg("v").alias("_m"))
-    rows = rows.join(mean, "s").join(number, "s").select("s", "g", F.xxhash64("_t").alias("t"), (F.col("v") - F.col("_m")).alias("v"))
-    of = lambda c: number.select(F.col("s").alias(c), F.col("g").alias(f"g{c}"))
-    wanted = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b")
-    blocks = wanted.select("ga", "gb").distinct()
-    ends = blocks.select("ga", "gb", F.explode(F.array_distinct(F.array("ga", "gb"))).alias("g"))
-    part = F.pmod(F.col("t"), F.lit(parts)).cast("long")
-    sent = rows.join(ends, "g").select(F.col("ga").alias("_ga"), F.col("gb").alias("_gb"), part.alias("_p"), "s", "t", "v")
-    asked = wanted.withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    kind = pairs.schema["a"].dataType.simpleString()
-
-    def sums(series: pd.DataFrame, pair: pd.DataFrame) -> pd.DataFrame:
-        names = ["a", "b", "n", "x", "y", "xx", "yy", "xy"]
-        if not len(series) or not len(pair):
-            return pd.DataFrame(columns=names)
-        who, row = np.unique(series["s"].to_numpy(), return_inverse=True)
-        when, column = np.unique(series["t"].to_numpy(), return_inverse=True)
-        there, v = np.zeros((len(who), len(when))), np.zeros((len(who), len(when)))
-        there[row, column], v[row, column] = 1, series["v"].to_numpy()
-        pair = pair[pair["a"].isin(who) & pair["b"].isin(who)]
-        i, j = np.searchsorted(who, pair["a"].to_numpy()), np.searchsorted(who, pair["b"].to_numpy())
-        one, other = np.unique(i), np.unique(j)
-        i, j = np.searchsorted(one, i), np.searchsorted(other, j)
-        m, k, x, y = there[one], there[other], v[one], v[other]
-        both = {"n": m @ k.T, "x": x @ k.T, "y": m @ y.T, "xx": (x * x) @ k.T, "yy": m @ (y * y).T, "xy": x @ y.T}
-        return pd.DataFrame({"a": pair["a"].to_numpy(), "b": pair["b"].to_numpy()} | {c: t[i, j] for c, t in both.items()})
-
-    schema = f"a {kind}, b {kind}, " + ", ".join(f"{c} double" for c in ("n", "x", "y", "xx", "yy", "xy"))
-    per = sent.groupBy("_ga", "_gb", "_p").cogroup(asked.groupBy("ga", "gb", "p")).applyInPandas(sums, schema).groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
-    n = F.col("n")
-    spread = (n * F.col("xx") - F.col("x") * F.col("x")) * (n * F.col("yy") - F.col("y") * F.col("y"))
-    corr = (n * F.col("xy") - F.col("x") * F.col("y")) / F.sqrt(F.nullif(F.greatest(spread, F.lit(0.0)), F.lit(0.0)))
-    return per.where(n > 0).select(corr.alias("corr")).agg(F.avg("corr").alias("mean_corr"), F.count("corr").alias("pairs"))
+    t = {"date": F.unix_date, "timestamp": F.unix_micros}.get(values.schema[time].dataType.typeName(), F.xxhash64)("_t").cast("long")
+    rows = rows.select("s", t.alias("t"), "v").withColumn("p", F.pmod(F.xxhash64("t"), F.lit(parts)).cast("int"))
+    series = rows.groupBy("s", "p").agg(F.collect_list(F.struct("t", "v")).alias("_c"), F.sum("v").alias("_v"), F.count(F.lit(1)).alias("_n"))
+    every = Window.partitionBy("s")
+    series = series.select("s", "p", F.col("_c.t").alias("t"), F.col("_c.v").alias("v"), (F.sum("_v").over(every) / F.sum("_n").over(every)).alias("mean"))
+
+    if places is None:
+        known = rows.select("s").distinct().select("s", F.col("s").alias("place"), F.col("s").alias("order"))
+    else:
+        known = places.select(F.col("station").alias("s"), "place", "order").where("s IS NOT NULL")
+    # the stations of a place follow one another, so of two places all numbers of one are lower
+    number = station_index(known.select(F.struct("order", "place", "s").alias("e")), "e").select("e.s", "e.place", F.col("code").cast("long").alias("code"))
+    first = number.groupBy("place").agg(F.min("code").alias("spot"))
+    number = number.join(first, "place").select("s", "code", "spot", F.floor(F.col("code") / block).cast("int").alias("g"))
+    of = lambda c: first.select(F.col("place").alias(c), F.col("spot").alias(f"_{c}"))
+    wanted = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").select(F.least("_a", "_b").alias("low"), F.greatest("_a", "_b").alias("high")).distinct()
+    held = number.select("spot", "g").distinct()
+    at = lambda c, g: held.select(F.col("spot").alias(c), F.col("g").alias(g))
+    # at most block x block pairs of places in a list
+    lists = wanted.join(at("low", "ga"), "low").join(at("high", "gb"), "high").where("ga <= gb").groupBy("ga", "gb").agg(F.collect_list(F.struct("low", "high")).alias("_c"))
+    lists = cut(lists.select("ga", "gb", F.col("_c.low").alias("low"), F.col("_c.high").alias("high")))
+    tasks = max(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), lists.count())
+    end = lambda c, g: F.transform(c, lambda p: F.struct(F.col(g).alias("g"), p.alias("spot")))
+    ends = F.explode(F.array_distinct(F.concat(end("low", "ga"), end("high", "gb"))))
+    ends = lists.select("ga", "gb", ends.alias("_e")).select("ga", "gb", "_e.g", "_e.spot")
+    sent = series.join(number.join(ends, ["g", "spot"]), "s").select("ga", "gb", "p", "code", "spot", "mean", "t", "v")
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    asked = lists.select("ga", "gb", F.lit(-1).alias("p"), none("code", "long"), none("spot", "long"), none("mean", "double"), none("t", "array<long>"), none("v", "array<double>"), "low", "high")
+    dealt = sent.unionByName(asked, allowMissingColumns=True).repartition(tasks, "ga", "gb").sortWithinPartitions("ga", "gb", "p")
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, part, sums, held, found = None, None, None, [], []
+        for pdf in batches:
+            for ga, gb, p, code, spot, mean, t, v, low, high in zip(*[pdf[c] for c in ("ga", "gb", "p", "code", "spot", "mean", "t", "v", "low", "high")], strict=True):
+                if held and ((ga, gb) != here or p != part):
+                    sums.add(held)
+                    held = []
+                if (ga, gb) != here:
+                    if sums is not None:
+                        found.append(sums.result())
+                    # the list comes before the parts of time
+                    here, sums = (ga, gb), BlockSums(ga, gb, low, high, block)
+                else:
+                    held.append((int(code), int(spot), mean, t, v))
+                part = p
+        if held:
+            sums.add(held)
+        if sums is not None:
+            found.append(sums.result())
+        yield pd.DataFrame(found, columns=["c", "n"]).astype({"c": float, "n": "int64"})
+
+    total = dealt.mapInPandas(walk, "c double, n long").agg(F.sum("c").alias("c"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"))
+    return total.select((F.col("c") / F.nullif("pairs", F.lit(0))).alias("mean_corr"), "pairs")
 
 
 def effect_by_condition(df: DataFrame, conditions: Sequence[str], value: str) -> DataFrame:

@@ -234,8 +234,10 @@ def agg29_effect_by_condition(spark, d):
 def agg30_neighbor_correlation(spark, d):
     v = v_panel(spark, d).groupBy("station_no", "date").agg(F.avg("boarding").alias("v"))
     s = v_station(spark, d).select("station_no", "lat", "lon")
-    pairs = E.radius_join(s.withColumnRenamed("station_no", "a"), s.withColumnRenamed("station_no", "b"), 2.0).where("a < b").select("a", "b")
-    return rounded(C.neighbor_correlation(v, pairs, "station_no", "date", "v"))
+    at = s.groupBy("lat", "lon").agg(F.min("station_no").alias("place"))
+    pairs = E.radius_join(at.withColumnRenamed("place", "a"), at.withColumnRenamed("place", "b"), 2.0).select("a", "b")
+    places = s.join(at, ["lat", "lon"]).select(F.col("station_no").alias("station"), "place", E.along_curve(F.col("lat"), F.col("lon")).alias("order"))
+    return rounded(C.neighbor_correlation(v, pairs, "station_no", "date", "v", block=1024, places=places))
 
 
 
