@@ -33,3 +33,16 @@ def test_lags_by_frames(spark):
     assert out.columns == ["s", "date", "v", "v_lag1d", "v_lag7d"]
     want = {(s, day(k)): (v, rows.get((s, k - 1)), rows.get((s, k - 7))) for (s, k), v in rows.items()}
     assert {(r.s, r.date): (r.v, r.v_lag1d, r.v_lag7d) for r in out.collect()} == want
+
+
+def test_weather_is_parsed_once(spark):
+    """One parse and one pass over the payloads; what is broken, without place or of another category leaves no value."""
+    from tramline.sources import io
+
+    body = '{"baseDate": "20240101", "baseTime": "600", "nx": "%s", "ny": 1, "category": "%s", "obsrValue": %s}'
+    rows = [(body % (1, "A", '"3"'), 10), (body % (1, "A", '"4"'), 20), (body % (1, "A", "null"), 30), (body % (1, "C", '"7"'), 40), (body % ("x", "A", '"5"'), 50), (body % (2, "C", "2.5"), 60), ("{broken", 70), (None, 80)]
+    env = spark.createDataFrame(rows, "payload_json string, at long").selectExpr("payload_json", "timestamp_seconds(at) AS poll_run_at", "current_timestamp() AS ingested_at")
+    wide = io.weather_pivot(io.weather_payload(env), ["A", "B"])
+    assert sorted((r.nx, r.A, r.B, r.collected_at.timestamp()) for r in wide.collect()) == [(1, 4.0, None, 40), (2, None, None, 60)]
+    plan = wide._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("json_tuple") == 1 and "get_json_object" not in plan and "join" not in plan

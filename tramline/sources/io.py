@@ -75,18 +75,22 @@ def stock_payload(env: DataFrame, strict: bool = True) -> DataFrame:
 def weather_payload(env: DataFrame) -> DataFrame:
     """Observed or forecast values by which value key the payload has; neither or both is none. The time collected is
     the poll's, else the ingest's."""
-    v = lambda k: F.get_json_object("payload_json", f"$.{k}")
-    observed, forecast = v("obsrValue").isNotNull(), v("fcstValue").isNotNull()
-    rows = env.where(observed != forecast)
-    valid = F.when(observed, T.weather_time(v("baseDate"), v("baseTime"))).otherwise(T.weather_time(v("fcstDate"), v("fcstTime")))
-    return rows.select(F.when(observed, "observed").otherwise("forecast").alias("source"), T.weather_time(v("baseDate"), v("baseTime")).alias("base_time"), valid.alias("valid_time"), v("nx").try_cast("int").alias("nx"), v("ny").try_cast("int").alias("ny"), v("category").alias("category"), S.weather_value(F.coalesce(v("obsrValue"), v("fcstValue"))).alias("value"), F.coalesce("poll_run_at", "ingested_at").alias("collected_at"))
+    names = ("baseDate", "baseTime", "fcstDate", "fcstTime", "category", "nx", "ny", "obsrValue", "fcstValue")
+    # one parse a payload, and of times one each
+    rows = env.select(F.coalesce("poll_run_at", "ingested_at").alias("collected_at"), F.json_tuple("payload_json", *names).alias(*names))
+    observed = F.col("obsrValue").isNotNull()
+    rows = rows.where(observed != F.col("fcstValue").isNotNull()).withColumn("base_time", T.weather_time(F.col("baseDate"), F.col("baseTime")))
+    valid = F.when(observed, F.col("base_time")).otherwise(T.weather_time(F.col("fcstDate"), F.col("fcstTime")))
+    return rows.select(F.when(observed, "observed").otherwise("forecast").alias("source"), "base_time", valid.alias("valid_time"), F.col("nx").try_cast("int").alias("nx"), F.col("ny").try_cast("int").alias("ny"), "category", S.weather_value(F.coalesce("obsrValue", "fcstValue")).alias("value"), "collected_at")
 
 
 def weather_pivot(rows: DataFrame, categories: Sequence[str]) -> DataFrame:
     """One row for each source, times and place, a column a category: the value collected last."""
     keys = ["source", "base_time", "valid_time", "nx", "ny"]
-    wide = rows.groupBy(*keys).pivot("category", list(categories)).agg(F.max_by("value", "collected_at"))
-    return wide.join(rows.groupBy(*keys).agg(F.max("collected_at").alias("collected_at")), keys)
+    of = lambda k, c: F.when(F.col("category") == k, F.col(c))
+    # what is of another category has no time in a category's column, so it is not its last; rows without a key have no place
+    last = [F.max_by(of(k, "value"), of(k, "collected_at")).alias(k) for k in categories]
+    return rows.dropna(subset=keys).groupBy(*keys).agg(*last, F.max("collected_at").alias("collected_at"))
 
 
 def arrival_payload(env: DataFrame) -> DataFrame:
