@@ -3,6 +3,8 @@
 import datetime
 import random
 
+import pytest
+
 from tramline.operators import panel as P
 from tramline.queries import base as B
 
@@ -46,3 +48,23 @@ def test_weather_is_parsed_once(spark):
     assert sorted((r.nx, r.A, r.B, r.collected_at.timestamp()) for r in wide.collect()) == [(1, 4.0, None, 40), (2, None, None, 60)]
     plan = wide._jdf.queryExecution().optimizedPlan().toString().lower()
     assert plan.count("json_tuple") == 1 and "get_json_object" not in plan and "join" not in plan
+
+
+def test_residuals_are_dealt_by_table_rows(spark, monkeypatch):
+    """The trainer keeps its rows in as many partitions as the table's rows say, not in the few that small shuffles are put together to."""
+    from pyspark.ml.regression import GBTRegressor
+
+    from tramline.queries import QUERIES, base
+
+    seen = []
+
+    def fit(self, rows):
+        seen.append([len(p) for p in rows.rdd.glom().collect()])
+        raise InterruptedError
+
+    monkeypatch.setattr(base, "ROWS", 600)
+    monkeypatch.setattr(GBTRegressor, "fit", fit)
+    folder = "/root/testdata/sf0.001"
+    with pytest.raises(InterruptedError):
+        QUERIES["ml03_residual_model"](spark, folder)
+    assert len(seen[0]) == base.parts(spark, folder) >= 10 and max(seen[0]) < sum(seen[0]) / 4

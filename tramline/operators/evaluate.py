@@ -166,12 +166,17 @@ def cluster_profiles(df: DataFrame, key: str, values: Sequence[str], k: int, see
     return KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="cluster").fit(vectors).transform(vectors).select(key, "cluster")
 
 
-def residual_model(train: DataFrame, test: DataFrame, features: Sequence[str], truth: str, lookup: str, seed: int = 5, iterations: int = 20) -> DataFrame:
-    """Look-up plus boosted trees on its residuals; rows without a look-up or a feature get no prediction."""
+def residual_model(train: DataFrame, test: DataFrame, features: Sequence[str], truth: str, lookup: str, seed: int = 5, iterations: int = 20, tasks: int | None = None) -> DataFrame:
+    """Look-up plus boosted trees on its residuals; rows without a look-up or a feature get no prediction.
+
+    Each round reads the rows that the trainer keeps, by the partitions they came in; ``tasks`` is their number, which should
+    grow with the rows (the optimizer would put small shuffles together to a few, each then kept as one)."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
     a = VectorAssembler(inputCols=list(features), outputCol="_v", handleInvalid="skip")
-    rows = train.withColumn("_y", F.col(truth) - F.col(lookup)).where("_y IS NOT NULL")
+    rows = train.withColumn("_y", F.col(truth) - F.col(lookup)).where("_y IS NOT NULL").select(*features, "_y")
+    if tasks:
+        rows = rows.repartition(tasks, *features, "_y")
     model = GBTRegressor(featuresCol="_v", labelCol="_y", predictionCol="_r", seed=seed, maxIter=iterations, maxDepth=4).fit(a.transform(rows))
     return model.transform(a.transform(test)).withColumn("prediction", F.col(lookup) + F.col("_r")).drop("_v", "_r")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tramline.functions.scalars import grade
 from tramline.operators import evaluate as V
 from tramline.operators import panel as P
-from tramline.queries.base import query, read, rounded, v_panel, v_pred, v_station
+from tramline.queries.base import parts, query, read, rounded, v_panel, v_pred, v_station
 
 LOSS = "SELECT date, axis, \"group\", count(*) AS n, sum((lookup - boarding) ** 2) AS sse_base, sum(abs(lookup - boarding)) AS sae_base, sum((model - boarding) ** 2) AS sse_model, sum(abs(model - boarding)) AS sae_model FROM (SELECT *, 'all' AS axis, 'all' AS \"group\" FROM v_pred UNION ALL SELECT *, 'slot', CAST(slot AS VARCHAR) FROM v_pred) GROUP BY ALL"
 
@@ -154,5 +154,5 @@ def ml02_cluster_profiles(spark, d):
 @query()
 def ml03_residual_model(spark, d):
     p = v_pred(spark, d).join(v_station(spark, d).select("station_no", "line"), "station_no").withColumn("dom", F.dayofmonth("date"))
-    out = V.residual_model(p.where("year(date) < 1999"), p.where("year(date) >= 1999"), ["slot", "dow_type", "dom", "line"], "boarding", "lookup", iterations=5)
+    out = V.residual_model(p.where("year(date) < 1999"), p.where("year(date) >= 1999"), ["slot", "dow_type", "dom", "line"], "boarding", "lookup", iterations=5, tasks=parts(spark, d))
     return out.select("station_no", "date", "slot", "prediction")
