@@ -28,8 +28,8 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(arrow(spark), sf_dir, "documents")
     n = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    media = webp.with_media(docs.select("doc_id", "text"))
-    read = media.select("doc_id", n.alias("n_bytes"), webp.digest_of("media", n).alias("d"))
+    media = webp.with_pixels(webp.with_media(docs.select("doc_id", "text")))
+    read = media.select("doc_id", n.alias("n_bytes"), webp.digest_of("media", "pixels", n).alias("d"))
     return read.select("doc_id", "n_bytes", "d.payload_bytes", "d.payload_sha256", "d.tail_crc32", "d.media_bytes", "d.media_sha256", "d.feature")
 
 

@@ -5,11 +5,11 @@ Pixels are uint8 arrays [height, width, 4] in the order red, green, blue, alpha.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -26,6 +26,10 @@ HASH = 0x1E35A7BD
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0))
 #: Pixels coded or decoded at once by the array paths; a multiple of 8, so that runs end on whole bytes.
 RUN = 1 << 18
+#: Bytes that the decoder looks up at once.
+SPAN = 1 << 12
+#: The 15 bits of each number in the other order.
+TURNED = np.array([int(f"{i:015b}"[::-1], 2) for i in range(1 << 15)], np.uint32)
 
 
 class Bits:
@@ -60,8 +64,10 @@ class BitWriter:
         self.size += n
 
     def bits(self) -> np.ndarray:
-        raw = np.frombuffer(self.value.to_bytes((self.size + 7) // 8, "little"), np.uint8)
-        return np.unpackbits(raw, bitorder="little")[: self.size]
+        return np.unpackbits(np.frombuffer(self.bytes(), np.uint8), bitorder="little")[: self.size]
+
+    def bytes(self) -> bytes:
+        return self.value.to_bytes((self.size + 7) // 8, "little")
 
 
 class Code:
@@ -70,52 +76,60 @@ class Code:
     def __init__(self, lengths: dict[int, int]):
         self.lengths = {s: n for s, n in lengths.items() if n}
         self.single = next(iter(self.lengths)) if len(self.lengths) == 1 else None
-        code, last, self.codes = 0, 0, {}
-        for n, s in sorted((n, s) for s, n in self.lengths.items()):
-            code <<= n - last
-            self.codes[s] = code
-            code, last = code + 1, n
-        if self.single is None and (not self.lengths or sum(2.0 ** -n for n in self.lengths.values()) != 1):
-            raise ValueError("a prefix code is not complete")
-        self.symbols = {(n, self.codes[s]): s for s, n in self.lengths.items()}
-        self._table = None
+        symbols, sizes = np.array([*self.lengths]), np.array([*self.lengths.values()])
+        order = np.lexsort((symbols, sizes))
+        self.symbols, self.sizes = symbols[order], sizes[order]
+        self.most = 0 if self.single is not None else int(max(sizes, default=0))
         #: Bits of every symbol if all have as many.
-        self.fixed = 0 if self.single is not None else last if len(set(self.lengths.values())) == 1 else None
+        self.fixed = 0 if self.single is not None else self.most if len(set(self.lengths.values())) == 1 else None
+        if self.single is None:
+            room = np.left_shift(1, self.most - self.sizes)
+            if not self.lengths or self.most > 15 or room.sum() != 1 << self.most:
+                raise ValueError("a prefix code is not complete")
+            self.numbers = (np.cumsum(room) - room) >> (self.most - self.sizes)
+        else:
+            self.numbers = np.zeros(1, int)
+        self._entries: np.ndarray | None = None
+        self._written: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     @property
-    def table(self) -> list[tuple[int, int]]:
-        """Symbol and length by the next 7 bits, for codes of at most 7."""
-        if self._table is None:
-            if self.single is not None:
-                self._table = [(self.single, 0)] * 128
-            else:
-                self._table = [(0, 7)] * 128
-                for s, n in self.lengths.items():
-                    code = int(f"{self.codes[s]:0{n}b}"[::-1], 2)
-                    self._table[code :: 1 << n] = [(s, n)] * (128 >> n)
-        return self._table
+    def codes(self) -> dict[int, int]:
+        return dict(zip(self.symbols.tolist(), self.numbers.tolist(), strict=True))
+
+    def entries(self) -> np.ndarray:
+        """By the next ``most`` bits: the symbol above 6 bits with its length."""
+        if self._entries is None:
+            each = self.symbols << 6 | self.sizes * (self.single is None)
+            table = np.repeat(each, np.left_shift(1, self.most - self.sizes) if self.single is None else 1)
+            self._entries = table[TURNED[: 1 << self.most] >> np.uint32(15 - self.most)]
+        return self._entries
 
     def read(self, bits: Bits) -> int:
-        if self.single is not None:
-            return self.single
-        code, n = 0, 0
-        while True:
-            code, n = code << 1 | bits.read(1), n + 1
-            if (n, code) in self.symbols:
-                return self.symbols[n, code]
-            if n > 15:
-                raise ValueError("no such code")
-
-    def write(self, out: BitWriter, symbol: int) -> None:
+        e = int(self.entries()[bits.window(16) & (1 << self.most) - 1])
+        bits.read(e & 63)
+        return e >> 6
+
+    def written(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """By symbol, below ``size``: its code as it lies in the stream, first bit lowest, and its length."""
+        if size in self._written:
+            return self._written[size]
+        to, n = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
         if self.single is None:
-            n, code = self.lengths[symbol], self.codes[symbol]
-            out.write(int(f"{code:0{n}b}"[::-1], 2), n)
+            to[self.symbols] = TURNED[self.numbers << (15 - self.sizes)]
+            n[self.symbols] = self.sizes
+        self._written[size] = to, n
+        return to, n
+
+
+@lru_cache(maxsize=4096)
+def simple_code(first: int, second: int) -> Code:
+    return Code({first: 1, second: 1})
 
 
 @lru_cache(maxsize=256)
-def code_of(lengths: tuple[tuple[int, int], ...]) -> Code:
-    """Codes do not change, and texts of one script share most of them."""
-    return Code(dict(lengths))
+def code_of(lengths: bytes) -> Code:
+    """Codes do not change, and copies of a text share theirs."""
+    return Code(dict(enumerate(lengths)))
 
 
 #: Stored codes met in this process by alphabet and first bits: their number of bits, the bits, the code.
@@ -124,8 +138,10 @@ _MET: dict[tuple[int, int], list[tuple[int, int, Code]]] = {}
 
 def read_code(bits: Bits, alphabet: int) -> Code:
     """The next stored code. One that was met before is known by all of its bits and not parsed again."""
+    if bits.window(1) & 1:
+        return parse_code(bits, alphabet)
     window = bits.window(14 * alphabet + 64)
-    met = _MET.setdefault((alphabet, window & (1 << 96) - 1), [])
+    met = _MET.setdefault((alphabet, window & (1 << 128) - 1), [])
     for n, stored_bits, code in met:
         if window & (1 << n) - 1 == stored_bits:
             bits.read(n)
@@ -143,29 +159,35 @@ def parse_code(bits: Bits, alphabet: int) -> Code:
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
         first = bits.read(8 if wide else 1)
-        return Code({first: 1, bits.read(8): 1} if two else {first: 1})
-    meta = code_of(tuple((LENGTH_ORDER[i], bits.read(3)) for i in range(4 + bits.read(4))))
+        return simple_code(first, bits.read(8) if two else first)
+    stored_lengths = bytearray(19)
+    for i in range(4 + bits.read(4)):
+        stored_lengths[LENGTH_ORDER[i]] = bits.read(3)
+    meta = code_of(bytes(stored_lengths))
     most = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
     # at most 7 bits and 7 more a length: a window over them all is one number that is shifted as it is read
     window, at = bits.window(14 * alphabet + 64), 0
-    table = meta.table
-    out: list[int] = []
+    table, mask = meta.entries().tolist(), (1 << meta.most) - 1
+    out = bytearray()
     last = 8
     while len(out) < alphabet and most:
         most -= 1
-        s, n = table[window >> at & 127]
+        e = table[window & mask]
+        s, n = e >> 6, e & 63
+        window >>= n
         at += n
         if s < 16:
             out.append(s)
             last = s or last
         else:
             n = (2, 3, 7)[s - 16]
-            out += [last if s == 16 else 0] * ((window >> at & (1 << n) - 1) + (3, 3, 11)[s - 16])
+            out += bytes((last if s == 16 else 0,)) * ((window & (1 << n) - 1) + (3, 3, 11)[s - 16])
+            window >>= n
             at += n
     bits.read(at)
     if len(out) > alphabet:
         raise ValueError("too many code lengths")
-    return code_of(tuple(enumerate(out)))
+    return code_of(bytes(out))
 
 
 def prefix_value(bits: Bits, code: int) -> int:
@@ -191,12 +213,13 @@ def read_image(bits: Bits, width: int, height: int, main: bool = False) -> np.nd
     g, r, b, a, d = codes[0]
     if group is None and not cache_bits and all(c.fixed is not None for c in (g, r, b, a)) and max(g.lengths) < LITERALS:
         return read_fixed(bits, (g, r, b, a), total)
+    if group is None:
+        return read_tokens(bits, codes[0], width, total, cache_bits)
     out = [0] * total
     cache = [0] * (1 << cache_bits) if cache_bits else []
     shift, i, fed = 32 - cache_bits, 0, 0
     while i < total:
-        if group:
-            g, r, b, a, d = codes[group[(i // width >> block) * across + (i % width >> block)]]
+        g, r, b, a, d = codes[group[(i // width >> block) * across + (i % width >> block)]]
         s = g.read(bits)
         if s < LITERALS:
             red, blue = r.read(bits), b.read(bits)
@@ -204,12 +227,7 @@ def read_image(bits: Bits, width: int, height: int, main: bool = False) -> np.nd
             i += 1
         elif s < LITERALS + LENGTHS:
             length = prefix_value(bits, s - LITERALS)
-            far = prefix_value(bits, d.read(bits))
-            if far > len(NEAR):
-                far -= len(NEAR)
-            else:
-                x, y = NEAR[far - 1]
-                far = max(x + y * width, 1)
+            far = distance(prefix_value(bits, d.read(bits)), width)
             if far > i or i + length > total:
                 raise ValueError("a reference leaves the image")
             for _ in range(length):
@@ -224,6 +242,112 @@ def read_image(bits: Bits, width: int, height: int, main: bool = False) -> np.nd
     return np.array(out, np.uint32)
 
 
+def distance(code: int, width: int) -> int:
+    """Pixels back, from a distance code."""
+    if code > len(NEAR):
+        return code - len(NEAR)
+    x, y = NEAR[code - 1]
+    return max(x + y * width, 1)
+
+
+def read_tokens(bits: Bits, codes: list[Code], width: int, total: int, cache_bits: int) -> np.ndarray:
+    """The pixels of an image of one group of codes. What would stand at each bit is looked up for a span of bits at
+    once; a walk from code to code then finds where one begins, and reads references on its way."""
+    g, r, b, a, d = codes
+    wide = g.most + r.most + b.most + a.most > 57
+    mask = [(1 << c.most) - 1 for c in codes]
+    tables = [c.entries() for c in codes]
+    i, p = 0, bits.at
+    read, copies = [], []
+    while i < total:
+        if p > bits.end:
+            raise ValueError("the image ends too early")
+        base = p & ~7
+        data = bits.data[base >> 3 : (base >> 3) + SPAN + 16]
+        # the 64 bits from each bit on, of which 57 are sure
+        windows = np.ndarray((min(len(data), SPAN) + 1,), "<i8", data + bytes(16), 0, (1,))
+        v = (windows[:, None] >> np.arange(8)).reshape(-1)
+        first = tables[0].take(v & mask[0])
+        size = first & 63
+        v >>= size
+        red = tables[1].take(v & mask[1])
+        n = red & 63
+        v >>= n
+        size += n
+        blue = tables[2].take(v & mask[2])
+        n = blue & 63
+        size += n
+        if wide:
+            at = np.arange(len(v)) + size
+            far = np.ndarray((len(data) + 9,), "<i8", data + bytes(16), 0, (1,))
+            v = far[np.minimum(at >> 3, len(far) - 1)] >> (at & 7)
+        else:
+            v >>= n
+        alpha = tables[3].take(v & mask[3])
+        size += alpha & 63
+        other = np.flatnonzero(first >= LITERALS << 6)
+        size[other] = np.where(first[other] < LITERALS + LENGTHS << 6, -1, first[other] & 63)
+        go, starts = memoryview(size), []
+        here, last = p - base, min(SPAN * 8, bits.end - base)
+        while i < total and here <= last:
+            n = go[here]
+            if n >= 0:
+                starts.append(here)
+                here += n
+                i += 1
+            else:
+                e = int(first[here])
+                bits.at = base + here + (e & 63)
+                length = prefix_value(bits, (e >> 6) - LITERALS)
+                e = int(tables[4][bits.window(16) & int(mask[4])])
+                bits.at += e & 63
+                far = distance(prefix_value(bits, e >> 6), width)
+                if far > i or i + length > total:
+                    raise ValueError("a reference leaves the image")
+                copies.append((i, length, far))
+                here = bits.at - base
+                i += length
+        starts = np.array(starts, int)
+        symbol = first[starts] >> 6
+        value = alpha[starts] >> 6 << 24 | red[starts] >> 6 << 16 | symbol << 8 | blue[starts] >> 6
+        read.append(np.where(symbol < LITERALS, value, symbol << 32))
+        p = base + here
+    if p > bits.end:
+        raise ValueError("the image ends too early")
+    bits.at = p
+    values = np.concatenate(read)
+    if not copies and not cache_bits:
+        return values.astype(np.uint32)
+    # where each pixel comes from: references from pixels before, places of the cache from the last pixel of their hash
+    source, kept = np.arange(total), np.ones(total, bool)
+    if copies:
+        _, lengths, fars = (np.array(c) for c in zip(*copies, strict=True))
+        for i, n, _ in copies:
+            kept[i : i + n] = False
+        source[~kept] -= np.repeat(fars, lengths)
+        source = followed(source)
+    out, hit = np.zeros(total, int), np.zeros(total, bool)
+    out[kept], hit[kept] = values, values >> 32 > 0
+    if hit.any():
+        key = (out.astype(np.uint32) * np.uint32(HASH)) >> np.uint32(32 - cache_bits)
+        key[hit] = (out[hit] >> 32) - (LITERALS + LENGTHS)
+        out[hit] = 0
+        before = earlier(key[source])
+        hit &= before >= 0
+        source[hit] = before[hit]
+        source = followed(source)
+    return out[source].astype(np.uint32)
+
+
+def followed(source: np.ndarray) -> np.ndarray:
+    """The end of each chain of places, all of which lead back."""
+    while True:
+        further = source[source]
+        if (further == source).all():
+            return source
+        source = further
+
+
 def read_fixed(bits: Bits, codes: tuple[Code, ...], total: int) -> np.ndarray:
     """The pixels of an image whose four codes have each one length: places of all bits are known, so runs of pixels
     are read as arrays."""
@@ -292,30 +416,63 @@ def predicted(mode: int, left, top, right, corner) -> list[int]:
     return [min(max(m + int((m - c) / 2), 0), 255) for m, c in zip(mean(left, top), corner, strict=True)]
 
 
+def guesses(rgba: np.ndarray) -> np.ndarray:
+    """The predictions of a known image by each mode, [14, height, width, 4]; the edges have theirs in every mode."""
+    p = rgba.astype(np.int16)
+    out = np.empty((14, *p.shape), np.int16)
+    out[:, 0, 0], out[:, 0, 1:], out[:, 1:, 0] = (0, 0, 0, 255), p[0, :-1], p[:-1, 0]
+    left, top, corner = p[1:, :-1], p[:-1, 1:], p[:-1, :-1]
+    # right of the last column stands the first pixel of this row
+    right = np.concatenate([p[:-1, 2:], p[1:, :1]], axis=1)[:, : top.shape[1]]
+    inner = out[:, 1:, 1:]
+    mean = lambda a, b: (a + b) >> 1
+    inner[0] = (0, 0, 0, 255)
+    inner[1:5] = left, top, right, corner
+    inner[5] = mean(mean(left, right), top)
+    inner[6:10] = mean(left, corner), mean(left, top), mean(corner, top), mean(top, right)
+    inner[10] = mean(mean(left, corner), mean(top, right))
+    by_left, by_top = np.abs(top - corner).sum(-1), np.abs(left - corner).sum(-1)
+    inner[11] = np.where((by_left < by_top)[..., None], left, top)
+    inner[12] = np.clip(left + top - corner, 0, 255)
+    m = mean(left, top)
+    # halves are cut towards zero
+    inner[13] = np.clip(m + np.sign(m - corner) * (np.abs(m - corner) >> 1), 0, 255)
+    return out
+
+
+def spread(blocks: np.ndarray, bits: int, h: int, w: int) -> np.ndarray:
+    """A value of each block for each of its pixels."""
+    return np.repeat(np.repeat(blocks, 1 << bits, 0), 1 << bits, 1)[:h, :w]
+
+
 def predictions(rgba: np.ndarray, modes: np.ndarray, bits: int, invert: bool) -> np.ndarray:
     """Adds (invert) or takes off the prediction of each pixel; modes is [block row, block column]."""
     h, w, _ = rgba.shape
-    given = rgba.astype(int).tolist()
-    out = [[None] * w for _ in range(h)]
-    known = out if invert else given
+    modes = np.where(np.asarray(modes) > 13, 0, modes).astype(int)
+    if not invert:
+        of = spread(modes, bits, h, w)
+        return (rgba - np.take_along_axis(guesses(rgba), of[None, :, :, None], 0)[0]).astype(np.uint8)
+    given, out = rgba.astype(int).tolist(), []
     for y in range(h):
+        row = []
         for x in range(w):
             if y == 0:
-                p = [0, 0, 0, 255] if x == 0 else known[0][x - 1]
+                p = [0, 0, 0, 255] if x == 0 else row[x - 1]
             elif x == 0:
-                p = known[y - 1][0]
+                p = out[y - 1][0]
             else:
                 # right of the last column stands the first pixel of this row
-                corner = known[y - 1][x + 1] if x + 1 < w else known[y][0]
-                p = predicted(int(modes[y >> bits][x >> bits]), known[y][x - 1], known[y - 1][x], corner, known[y - 1][x - 1])
-            out[y][x] = [(v + q if invert else v - q) & 255 for v, q in zip(given[y][x], p, strict=True)]
+                corner = out[y - 1][x + 1] if x + 1 < w else row[0]
+                p = predicted(int(modes[y >> bits][x >> bits]), row[x - 1], out[y - 1][x], corner, out[y - 1][x - 1])
+            row.append([(v + q) & 255 for v, q in zip(given[y][x], p, strict=True)])
+        out.append(row)
     return np.array(out, np.uint8).reshape(h, w, 4)
 
 
 def cross_colour(rgba: np.ndarray, elements: np.ndarray, bits: int, invert: bool) -> np.ndarray:
     """elements is [block row, block column, 4]: red to blue, green to blue, green to red, -."""
     h, w, _ = rgba.shape
-    e = np.repeat(np.repeat(elements, 1 << bits, 0), 1 << bits, 1)[:h, :w].astype(np.int8).astype(int)
+    e = spread(elements, bits, h, w).astype(np.int8).astype(int)
     p = rgba.astype(int)
     small = lambda v: (v & 255).astype(np.uint8).astype(np.int8).astype(int)
     by = lambda t, c: (t * small(c)) >> 5
@@ -326,6 +483,17 @@ def cross_colour(rgba: np.ndarray, elements: np.ndarray, bits: int, invert: bool
     return np.stack([red & 255, p[..., 1], blue & 255, p[..., 3]], axis=-1).astype(np.uint8)
 
 
+def with_green(rgba: np.ndarray) -> np.ndarray:
+    return np.stack([rgba[..., 0] + rgba[..., 1], rgba[..., 1], rgba[..., 2] + rgba[..., 1], rgba[..., 3]], axis=-1)
+
+
+def from_palette(rgba: np.ndarray, table: np.ndarray, bundle: int, width: int) -> np.ndarray:
+    each = 8 >> bundle
+    index = np.repeat(rgba[..., 1], 1 << bundle, axis=1)[:, :width]
+    index = index >> (np.arange(width) % (1 << bundle) * each).astype(np.uint8) & np.uint8((1 << each) - 1)
+    return np.vstack([table, np.zeros((256 - len(table), 4), np.uint8)])[index]
+
+
 def decode(data: bytes) -> np.ndarray:
     """The pixels of a lossless WebP file. Raises ValueError on anything that is not one."""
     if data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L" or data[20:21] != b"\x2f":
@@ -357,74 +525,79 @@ def decode(data: bytes) -> np.ndarray:
         elif kind == CROSS:
             rgba = cross_colour(rgba, extra, block, True)
         elif kind == SUBTRACT:
-            rgba = np.stack([rgba[..., 0] + rgba[..., 1], rgba[..., 1], rgba[..., 2] + rgba[..., 1], rgba[..., 3]], axis=-1)
+            rgba = with_green(rgba)
         else:
-            each = 8 >> block
-            index = np.repeat(rgba[..., 1], 1 << block, axis=1)[:, :wide]
-            index = index >> (np.arange(wide) % (1 << block) * each).astype(np.uint8) & np.uint8((1 << each) - 1)
-            rgba = np.vstack([extra, np.zeros((256 - len(extra), 4), np.uint8)])[index]
+            rgba = from_palette(rgba, extra, block, wide)
     if rgba.shape != (height, full, 4):
         raise ValueError("sizes do not agree")
     return rgba
 
 
-def lengths_of(counts: Counter, most: int = 15) -> dict[int, int]:
+def lengths_of(counts: Counter | dict, most: int = 15) -> dict[int, int]:
     """Lengths of an optimal prefix code of at most ``most`` bits: counts are flattened until it fits."""
-    counts = Counter({s: n for s, n in counts.items() if n})
+    counts = {s: n for s, n in counts.items() if n}
     if len(counts) < 2:
         return dict.fromkeys(counts or [0], 1)
     while True:
-        heap = [(n, i, [s]) for i, (s, n) in enumerate(sorted(counts.items()))]
-        heapq.heapify(heap)
-        out, made = Counter(), len(heap)
-        while len(heap) > 1:
-            (n, _, a), (m, _, b) = heapq.heappop(heap), heapq.heappop(heap)
-            out.update(a + b)
-            heapq.heappush(heap, (n + m, made, a + b))
-            made += 1
-        if max(out.values()) <= most:
-            return dict(out)
-        counts = Counter({s: n // 2 + 1 for s, n in counts.items()})
+        # the two rarest of leaves and of what was merged, which both ascend
+        leaves = sorted((n, s) for s, n in counts.items())
+        few, k = [n for n, _ in leaves], len(leaves)
+        few += [1 << 62] * 2
+        above, merged, a, b = [0] * (2 * k - 1), [], 0, 0
+        for at in range(k, 2 * k - 1):
+            total = 0
+            for _ in range(2):
+                if b == len(merged) or few[a] <= merged[b]:
+                    total += few[a]
+                    above[a] = at
+                    a += 1
+                else:
+                    total += merged[b]
+                    above[k + b] = at
+                    b += 1
+            merged.append(total)
+        depth = [0] * (2 * k - 1)
+        for i in range(2 * k - 3, -1, -1):
+            depth[i] = depth[above[i]] + 1
+        if max(depth) <= most:
+            return {s: depth[i] for i, (_, s) in enumerate(leaves)}
+        counts = {s: n // 2 + 1 for s, n in counts.items()}
 
 
 def write_code(out: BitWriter, lengths: dict[int, int], alphabet: int) -> Code:
-    code = code_of(tuple(sorted(lengths.items())))
-    used = sorted(code.lengths)
+    used = sorted(lengths)
     if len(used) <= 2 and used[-1] < 256:
         out.write(1, 1)
         out.write(len(used) - 1, 1)
         out.write(1, 1)
         for s in used:
             out.write(s, 8)
-        return Code(dict.fromkeys(used, 1))
-    out.write(*code_bits(tuple(code.lengths.get(s, 0) for s in range(used[-1] + 1))))
-    return code
+        return simple_code(used[0], used[-1])
+    dense = bytearray(used[-1] + 1)
+    for s, n in lengths.items():
+        dense[s] = n
+    out.write(*code_bits(bytes(dense)))
+    return code_of(bytes(dense))
 
 
 @lru_cache(maxsize=256)
-def code_bits(lengths: tuple[int, ...]) -> tuple[int, int]:
+def code_bits(lengths: bytes) -> tuple[int, int]:
     """The stored form of a code, as bits and their number: runs of zeros and repeats are one entry each."""
     entries: list[tuple[int, int, int]] = []
-    i = 0
-    while i < len(lengths):
-        n = 1
-        while i + n < len(lengths) and lengths[i + n] == lengths[i]:
-            n += 1
-        if lengths[i]:
-            entries.append((lengths[i], 0, 0))
-            left = n - 1
+    for n, run in groupby(lengths):
+        left = len(list(run))
+        if n:
+            entries.append((n, 0, 0))
+            left -= 1
             while left >= 3:
                 entries.append((16, min(left, 6) - 3, 2))
                 left -= min(left, 6)
-            entries += [(lengths[i], 0, 0)] * left
         else:
-            left = n
             while left >= 3:
                 step = min(left, 138)
                 entries.append((18, step - 11, 7) if step > 10 else (17, step - 3, 3))
                 left -= step
-            entries += [(0, 0, 0)] * left
-        i += n
+        entries += [(n, 0, 0)] * left
     entries += [(0, 0, 0)] * (2 - len(entries))
     out = BitWriter()
     out.write(0, 1)
@@ -435,10 +608,9 @@ def code_bits(lengths: tuple[int, ...]) -> tuple[int, int]:
     out.write(1, 1)
     out.write(5, 3)
     out.write(len(entries) - 2, 12)
-    by = Code(meta)
+    to, sizes = (x.tolist() for x in Code(meta).written(19))
     for s, extra, n in entries:
-        by.write(out, s)
-        out.write(extra, n)
+        out.write(to[s] | extra << sizes[s], sizes[s] + n)
     return out.value, out.size
 
 
@@ -452,63 +624,188 @@ def prefix_of(value: int) -> tuple[int, int, int]:
     return 2 * top + second, v & ((1 << (top - 1)) - 1), top - 1
 
 
-def write_image(out: BitWriter, argb: np.ndarray, width: int, main: bool, cache_bits: int = 0, references: bool = False) -> None:
-    """Optimal codes, and on demand back-references (a hash of the last place of each three pixels) and a colour cache."""
-    px = argb.tolist()
-    tokens, i, last, cache = [], 0, {}, {}
-    while i < len(px):
-        found = last.get(tuple(px[i : i + 3])) if references and i + 3 <= len(px) else None
-        step = 1
-        if found is not None:
-            while step < 4096 and i + step < len(px) and px[i + step] == px[found + step]:
-                step += 1
-        key = (HASH * px[i] & 0xFFFFFFFF) >> (32 - cache_bits) if cache_bits else None
-        if step >= 3:
-            far = i - found
-            near = next((k + 1 for k, (x, y) in enumerate(NEAR) if max(x + y * width, 1) == far), far + len(NEAR))
-            tokens.append(("copy", step, near))
-        elif key is not None and cache.get(key) == px[i]:
-            step = 1
-            tokens.append(("cache", key))
-        else:
-            step = 1
-            tokens.append(("pixel", px[i]))
-        for j in range(i, i + step):
-            last[tuple(px[j : j + 3])] = j
-            if cache_bits:
-                cache[(HASH * px[j] & 0xFFFFFFFF) >> (32 - cache_bits)] = px[j]
-        i += step
-    counts = [Counter() for _ in range(5)]
-    for kind, *v in tokens:
-        if kind == "pixel":
-            for c, k in zip(counts, (8, 16, 0, 24), strict=False):
-                c[v[0] >> k & 255] += 1
-        elif kind == "cache":
-            counts[0][LITERALS + LENGTHS + v[0]] += 1
-        else:
-            counts[0][LITERALS + prefix_of(v[0])[0]] += 1
-            counts[4][prefix_of(v[1])[0]] += 1
-    out.write(1 | cache_bits << 1, 5) if cache_bits else out.write(0, 1)
-    if main:
-        out.write(0, 1)
-    sizes = (LITERALS + LENGTHS + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCES)
-    codes = [write_code(out, lengths_of(c), n) for c, n in zip(counts, sizes, strict=True)]
-    for kind, *v in tokens:
-        if kind == "pixel":
-            for c, k in zip(codes, (8, 16, 0, 24), strict=False):
-                c.write(out, v[0] >> k & 255)
-        elif kind == "cache":
-            codes[0].write(out, LITERALS + LENGTHS + v[0])
-        else:
-            for c, x in ((codes[0], v[0]), (codes[4], v[1])):
-                code, extra, n = prefix_of(x)
-                c.write(out, code + (LITERALS if c is codes[0] else 0))
-                out.write(extra, n)
+def earlier(keys: np.ndarray) -> np.ndarray:
+    """For each place the last one before it with the same key, or -1."""
+    order = np.argsort(keys, kind="stable")
+    same = keys[order[1:]] == keys[order[:-1]]
+    out = np.full(len(keys), -1)
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
+#: n * log2(n) of small counts.
+N_LOG_N = np.arange(1 << 14) * np.log2(np.maximum(np.arange(1 << 14), 1))
+
+
+def cost_of(counts: np.ndarray) -> np.ndarray:
+    """About the bits of each histogram (last axis): its entropy, and 5 bits for each symbol's length in the stored code."""
+    n = counts.sum(-1)
+    each = N_LOG_N[counts] if counts.max() < len(N_LOG_N) else counts * np.log2(np.maximum(counts, 1))
+    return n * np.log2(np.maximum(n, 1)) - each.sum(-1) + 5 * (counts > 0).sum(-1)
+
+
+def planes_of(argb: np.ndarray) -> np.ndarray:
+    """The samples of each channel in the order of their codes: green, red, blue, alpha."""
+    return np.stack([argb >> np.uint32(k) & np.uint32(255) for k in (8, 16, 0, 24)])
+
+
+def histograms(planes: np.ndarray) -> np.ndarray:
+    k = len(planes)
+    return np.bincount((planes + (np.arange(k) * 256)[:, None]).reshape(-1), minlength=256 * k).reshape(k, 256)
+
+
+@lru_cache(maxsize=64)
+def near_codes(width: int) -> dict[int, int]:
+    """Short codes of distances in an image of this width."""
+    out: dict[int, int] = {}
+    for k, (x, y) in enumerate(NEAR):
+        out.setdefault(max(x + y * width, 1), k + 1)
+    return out
+
+
+def references_in(argb: np.ndarray, bits_a_pixel: float) -> list[tuple[int, int, int]]:
+    """Places, lengths and distances of back-references: the last place of the same two pixels, where a copy of what
+    follows there takes fewer bits than its pixels."""
+    if len(argb) < 3:
+        return []
+    before = earlier(argb[:-1].astype(np.uint64) << np.uint64(32) | argb[1:])
+    places = np.flatnonzero(before >= 0)
+    if not len(places):
+        return []
+    px, total, end, out = argb.tolist(), len(argb), 0, []
+    for i, found in zip(places.tolist(), before[places].tolist(), strict=True):
+        if i < end:
+            continue
+        step, most = 2, min(4096, total - i)
+        while step < most and px[i + step] == px[found + step]:
+            step += 1
+        if step * bits_a_pixel > 10 + (i - found).bit_length():
+            out.append((i, step, i - found))
+            end = i + step
+    return out
+
+
+def cached_in(argb: np.ndarray, cache_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each pixel in a colour cache, and whether it stands there when its turn comes."""
+    key = (argb * np.uint32(HASH)) >> np.uint32(32 - cache_bits)
+    before = earlier(key)
+    return key, (before >= 0) & (argb[before] == argb)
 
 
 #: Bytes by how usual they are in European text, an order that only decides which codes are shared.
 USUAL = list(dict.fromkeys([*b" etaoinshrdlucmfwypvbgkjqxz\n.,\0", 195, *(169, 168, 188, 164, 182, 159, 177, 179, 161, 173, 186, 167, 170, 160, 162, 174, 180, 187, 137, 128, 156), *b"TEAOINSHRDLUCMFWYPVBGKJQXZ0123456789", *range(256)]))
 
+#: Bits that a code of an image's own must save against the best shared one: making, storing and reading it takes as long.
+OWN = 4000
+
+
+@lru_cache(maxsize=64)
+def shared_codes(alphabet: int) -> tuple[list[tuple[tuple[int, int], tuple[np.ndarray, np.ndarray]]], np.ndarray, np.ndarray]:
+    """Codes for the usual bytes, the first 16, 32, 64, 128 or all, for 280 symbols and more also for lengths and for places
+    in a cache: stored forms with codes and lengths by symbol, bits of the stored forms, bits by symbol and code (a symbol that
+    a code lacks: too many)."""
+    out = []
+    for bits in (4, 5, 6, 7, 8):
+        weight = {b: int(1e6 / (i + 4) ** (1.1 if bits > 4 else 0.7)) + 1 for i, b in enumerate(USUAL[: 1 << bits])}
+        if alphabet == DISTANCES:
+            weight = dict.fromkeys(range(DISTANCES), 1) | dict.fromkeys(range(8, 22), 6)
+        elif alphabet > LITERALS:
+            total, cached = sum(weight.values()), alphabet - LITERALS - LENGTHS
+            weight |= {LITERALS + i: total // (20 * (i + 1)) for i in range(LENGTHS)}
+            weight |= dict.fromkeys(range(LITERALS + LENGTHS, alphabet), total // (5 * max(cached, 1)) + 1)
+        form = BitWriter()
+        out.append((write_code(form, lengths_of(weight), alphabet).written(alphabet), (form.value, form.size)))
+    sizes = np.array([n for (_, n), _ in out], float)
+    return [(form, by) for by, form in out], np.array([form[1] for _, form in out]), np.where(sizes > 0, sizes, 1e12).T
+
+
+def put_codes(out: BitWriter, counts: np.ndarray, alphabet: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Writes the codes for these histograms one after the other, a shared one where its own would not save enough; codes and
+    lengths by symbol."""
+    known, heads, each = shared_codes(alphabet)
+    bits = counts @ each + heads
+    best = bits.argmin(axis=1)
+    own = (bits.min(axis=1) >= cost_of(counts) + OWN) | ((counts > 0).sum(axis=1) <= 2)
+    codes = []
+    for c, k, alone in zip(counts, best.tolist(), own.tolist(), strict=True):
+        if alone:
+            used = np.flatnonzero(c)
+            codes.append(write_code(out, lengths_of(dict(zip(used.tolist(), c[used].tolist(), strict=True))), alphabet).written(alphabet))
+        else:
+            out.write(*known[k][0])
+            codes.append(known[k][1])
+    return codes
+
+
+def write_image(out: BitWriter, argb: np.ndarray, width: int, main: bool, cache_bits: int | None = 0, references: bool = False) -> None:
+    """Prefix codes, and on demand back-references and a colour cache; with ``cache_bits`` of None the cache is as large
+    as pays, if any."""
+    planes = planes_of(argb)
+    bits_a_pixel = float(cost_of(histograms(planes)).sum()) / len(argb) if references or cache_bits is None else 0.0
+    copies = references_in(argb, bits_a_pixel) if references else []
+    kept = np.ones(len(argb), bool)
+    for i, n, _ in copies:
+        kept[i : i + n] = False
+    places = np.flatnonzero(kept)
+    literal = planes[:, places]
+    short = near_codes(width)
+    coded = [(prefix_of(n), prefix_of(short.get(far, far + len(NEAR)))) for _, n, far in copies]
+    lengths = np.array([n[0] for n, _ in coded], int) + LITERALS
+
+    green, whole = literal[0].astype(np.int64), np.ones(len(places), bool)
+    if cache_bits is None:
+        size = min(max(len(places).bit_length() - 1, 1), 10)
+        key, hit = cached_in(argb, size)
+        # a pixel in the cache costs its place and about three bits more, and the code has to tell places
+        saved = np.count_nonzero(hit[places]) * (bits_a_pixel - size - 3)
+        cache_bits = size if saved > 32 else 0
+    elif cache_bits:
+        key, hit = cached_in(argb, cache_bits)
+    if cache_bits:
+        whole = ~hit[places]
+        green = np.where(whole, green, key[places] + np.uint32(LITERALS + LENGTHS))
+    out.write(1 | cache_bits << 1, 5) if cache_bits else out.write(0, 1)
+    if main:
+        out.write(0, 1)
+    first = LITERALS + LENGTHS + (1 << cache_bits if cache_bits else 0)
+    codes = put_codes(out, np.bincount(np.concatenate([green, lengths]), minlength=first)[None], first)
+    codes += put_codes(out, histograms(literal[1:, whole]), 256)
+    codes += put_codes(out, np.bincount(np.array([d[0] for _, d in coded], int), minlength=DISTANCES)[None], DISTANCES)
+    # each pixel or copy is one number of at most 60 bits
+    (to, n), *others = codes
+    value, size = to[green], n[green]
+    for (to, n), plane in zip(others[:3], literal[1:], strict=True):
+        value |= np.where(whole, to[plane] << size, 0)
+        size = size + np.where(whole, n[plane], 0)
+    if copies:
+        more = BitWriter()
+        values, ends = [], []
+        for length, far in coded:
+            more.value, more.size = 0, 0
+            for (code, extra, bits), (to, n) in ((length, codes[0]), (far, codes[4])):
+                code += LITERALS if n is codes[0][1] else 0
+                more.write(int(to[code]) | extra << int(n[code]), int(n[code]) + bits)
+            values.append(more.value)
+            ends.append(more.size)
+        order = np.argsort(np.concatenate([places, [i for i, _, _ in copies]]))
+        value = np.concatenate([value, np.array(values, np.uint64)])[order]
+        size = np.concatenate([size, np.array(ends, np.uint64)])[order]
+    out.write(int.from_bytes(joined(value, size), "little"), int(size.sum()))
+
+
+def joined(value: np.ndarray, size: np.ndarray) -> bytes:
+    """Numbers of at most 63 bits one after the other, first bits lowest."""
+    ends = np.cumsum(size)
+    at = ends - size
+    word, low = at >> np.uint64(6), at & np.uint64(63)
+    words = np.zeros(int(ends[-1] >> np.uint64(6)) + 2, np.uint64)
+    begins = np.flatnonzero(np.diff(word, prepend=np.uint64(1 << 63)))
+    words[word[begins]] = np.bitwise_or.reduceat(value << low, begins)
+    # what of a word's last number does not fit stands in the next one
+    over = np.flatnonzero(low + size > 64)
+    words[word[over] + np.uint64(1)] |= value[over] >> (np.uint64(64) - low[over])
+    return words.astype("<u8").tobytes()
+
 
 @lru_cache(maxsize=256)
 def symbols_for(used: bytes) -> tuple[int, np.ndarray]:
@@ -557,7 +854,82 @@ def fixed_body(out: BitWriter, argb: np.ndarray) -> bytes:
     return b"".join(parts) or np.packbits(head, bitorder="little").tobytes()
 
 
-def encode(rgba: np.ndarray, transforms: tuple = (), cache_bits: int = 0, references: bool = False, arrays: bool = False) -> bytes:
+def without_green(rgba: np.ndarray) -> np.ndarray:
+    return np.stack([rgba[..., 0] - rgba[..., 1], rgba[..., 1], rgba[..., 2] - rgba[..., 1], rgba[..., 3]], axis=-1)
+
+
+def sums_of_blocks(values: np.ndarray, bits: int) -> np.ndarray:
+    """Sums over blocks of the last two axes."""
+    h, w = values.shape[-2:]
+    return np.add.reduceat(np.add.reduceat(values, np.arange(0, h, 1 << bits), axis=-2), np.arange(0, w, 1 << bits), axis=-1)
+
+
+def modes_for(rgba: np.ndarray, bits: int) -> np.ndarray:
+    """The mode of each block whose differences are the smallest."""
+    least = []
+    for guess in guesses(rgba):
+        off = (rgba - guess).astype(np.uint8).astype(np.int16)
+        least.append(sums_of_blocks(np.minimum(off, 256 - off).sum(-1, dtype=np.int64), bits))
+    return np.argmin(least, axis=0)
+
+
+def elements_for(rgba: np.ndarray, bits: int) -> np.ndarray:
+    """Cross-colour elements of each block by least squares: green from red and blue, then red from blue."""
+    p = rgba.astype(np.int8).astype(np.int64)
+
+    def slope(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        both, own = sums_of_blocks(x * y, bits), sums_of_blocks(x * x, bits)
+        return np.clip(np.round(32 * both / np.maximum(own, 1)), -128, 127).astype(np.int8)
+
+    out = np.zeros((*sums_of_blocks(p[..., 0], bits).shape, 4), np.int8)
+    out[..., 2], out[..., 1] = slope(p[..., 1], p[..., 0]), slope(p[..., 1], p[..., 2])
+    rest = cross_colour(rgba, out.view(np.uint8), bits, False).astype(np.int8).astype(np.int64)
+    out[..., 0] = slope(p[..., 0], rest[..., 2])
+    return out.view(np.uint8)
+
+
+#: Blocks of predictor modes and cross-colour elements have 2^4 pixels a side.
+BLOCK = 4
+
+
+def transforms_for(rgba: np.ndarray) -> tuple:
+    """The transforms of an image, by the costs of its histograms: as it is, less its green, as differences of
+    neighbours (predictor), both, or as places in a palette. Elements of cross-colour join differences where that costs less."""
+    argb = packed(rgba).reshape(-1)
+    green, red, blue, alpha = planes = planes_of(argb)
+    less = np.stack([red - green, blue - green])
+    whole = np.concatenate([planes, less]) & np.uint32(255)
+    off = np.diff(whole, axis=1, prepend=np.uint32(0)) & np.uint32(255)
+    c = cost_of(histograms(np.concatenate([whole, off])))
+    asis, minus = c[0] + c[3], c[6] + c[9]
+    # a block's mode and its elements are numbers of their own
+    blocks = -(-rgba.shape[0] >> BLOCK) * -(-rgba.shape[1] >> BLOCK)
+    costs = {"": asis + c[1] + c[2], "subtract": asis + c[4] + c[5], "predictor": minus + c[7] + c[8] + 4 * blocks + 60, "both": minus + c[10] + c[11] + 4 * blocks + 60}
+    ordered = np.sort(argb)
+    n = 1 + int(np.count_nonzero(ordered[1:] != ordered[:-1]))
+    if n <= 256:
+        table, index = np.unique(argb, return_inverse=True)
+        steps = np.diff(planes_of(table), axis=1, prepend=np.uint32(0)) & np.uint32(255)
+        # indices of small palettes share pixels, which only helps
+        costs["palette"] = float(cost_of(np.bincount(index))) + cost_of(histograms(steps)).sum() + 40
+    best = min(costs, key=costs.get)
+    if best == "palette":
+        return (("palette",),)
+    out = (("subtract",),) if best in ("subtract", "both") else ()
+    if best in ("predictor", "both"):
+        if out:
+            rgba = without_green(rgba)
+        modes = modes_for(rgba, BLOCK)
+        out += (("predictor", BLOCK, modes),)
+        rgba = predictions(rgba, modes, BLOCK, False)
+        elements = elements_for(rgba, BLOCK)
+        before, after = (histograms(planes_of(packed(x).reshape(-1))[1:3]) for x in (rgba, cross_colour(rgba, elements, BLOCK, False)))
+        if cost_of(after).sum() + 24 * blocks + 60 < cost_of(before).sum():
+            out += (("cross", BLOCK, elements),)
+    return out
+
+
+def encode(rgba: np.ndarray, transforms: tuple = (), cache_bits: int | None = 0, references: bool = False, arrays: bool = False) -> bytes:
     """A lossless WebP file.
 
     ``transforms`` are applied in order: ("subtract",), ("predictor", bits, modes), ("cross", bits, elements),
@@ -574,7 +946,7 @@ def encode(rgba: np.ndarray, transforms: tuple = (), cache_bits: int = 0, refere
         out.write(1, 1)
         if kind == "subtract":
             out.write(SUBTRACT, 2)
-            rgba = np.stack([rgba[..., 0] - rgba[..., 1], rgba[..., 1], rgba[..., 2] - rgba[..., 1], rgba[..., 3]], axis=-1)
+            rgba = without_green(rgba)
         elif kind == "palette":
             out.write(PALETTE, 2)
             table, index = np.unique(packed(rgba).reshape(-1), return_inverse=True)
@@ -605,7 +977,7 @@ def encode(rgba: np.ndarray, transforms: tuple = (), cache_bits: int = 0, refere
         body = fixed_body(out, argb)
     else:
         write_image(out, argb, width, True, cache_bits, references)
-        body = np.packbits(out.bits(), bitorder="little").tobytes()
+        body = out.bytes()
     body = b"\x2f" + body
     pad = b"\0" * (len(body) % 2)
     return b"RIFF" + (12 + len(body) + len(pad)).to_bytes(4, "little") + b"WEBPVP8L" + len(body).to_bytes(4, "little") + body + pad
@@ -619,13 +991,12 @@ def payload_of(text: bytes) -> bytes:
 def stored(payload: bytes) -> bytes:
     """A payload as an image of 16 pixels a row (more where that is over the format's height), each byte a sample.
 
-    Rows that the last one lacks are zero. Few distinct pixels make a palette image."""
+    Rows that the last one lacks are zero. Transforms, references and cache are those that cost least for the image."""
     n = len(payload) // 64
     wide = -(-n // 16384)
     rgba = np.zeros((-(-n // wide), 16 * wide, 4), np.uint8)
     rgba.reshape(-1)[: len(payload)] = np.frombuffer(payload, np.uint8)
-    few = len(np.unique(packed(rgba[:64]))) <= 256 and len(np.unique(packed(rgba))) <= 256
-    return encode(rgba, (("palette",),) if few and rgba.size > 4096 else (), arrays=True)
+    return encode(rgba, transforms_for(rgba), cache_bits=None, references=True)
 
 
 def feature_of(rgba: np.ndarray) -> str:
@@ -655,12 +1026,14 @@ PIXELS = T.StructType().add("width", T.IntegerType()).add("height", T.IntegerTyp
 
 
 @F.pandas_udf(DIGEST)
-def digest_of(media: pd.Series, n_bytes: pd.Series) -> pd.DataFrame:
+def digest_of(media: pd.Series, pixels: pd.DataFrame, n_bytes: pd.Series) -> pd.DataFrame:
     """What is read back from each image: digests of file and payload, and features of the pixels."""
     rows = []
-    for data, n in zip(media, n_bytes, strict=True):
-        rgba = decode(data)
-        payload = rgba.tobytes()[: len(payload_of(b"")) * max(1, -(-int(n) // 64))]
+    for data, width, samples, n in zip(media, pixels["width"], pixels["pixels"], n_bytes, strict=True):
+        if samples is None:
+            raise ValueError("a stored image is not read back")
+        rgba = np.frombuffer(samples, np.uint8).reshape(-1, int(width), 4)
+        payload = samples[: len(payload_of(b"")) * max(1, -(-int(n) // 64))]
         rows.append((len(data), hashlib.sha256(data).hexdigest(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), feature_of(rgba)))
     return pd.DataFrame(rows, columns=DIGEST.names)
 
