@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
@@ -160,7 +160,10 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 class Cooldown(StatefulProcessor):
     """Rows wait in the state until the watermark has passed them and are then read in order of time, so a row that comes
     late, but within the delay, is where it belongs. A timer wakes an entity at its earliest waiting row; once it is
-    silent for ``seconds`` after its last firing, nothing that comes can hang on it and its state goes."""
+    silent for ``seconds`` after its last firing, nothing that comes can hang on it and its state goes.
+
+    Calls to the state are what an entity costs: the rows of a batch are one entry, and no timer is looked for or taken
+    back, since one that finds nothing due changes nothing."""
 
     def __init__(self, seconds: int):
         self.seconds = seconds
@@ -168,46 +171,40 @@ class Cooldown(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "last long")
-        self.waiting = handle.getListState("waiting", "ts long, on boolean")
-
-    def wake(self, at: int) -> None:
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        self.handle.registerTimer(at)
+        self.waiting = handle.getListState("waiting", "ts array<bigint>, on array<boolean>")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows))
-        before = list(self.waiting.get()) if self.waiting.exists() else []
-        self.waiting.appendList([(int(t), bool(on)) for t, on in zip(new["ts"], new["on"], strict=True)])
-        self.wake(1000 * min(int(new["ts"].min()), *(int(t) for t, _ in before), *([] if before else [2**53])))
-        yield from ()
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        ts, on = zip(*((r["ts"], r["on"]) for r in rows), strict=True)
+        self.waiting.appendValue((list(ts), list(on)))
+        self.handle.registerTimer(1000 * min(ts))
+        return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
-        rows = sorted((int(t), bool(on)) for t, on in self.waiting.get()) if self.waiting.exists() else []
+        rows = sorted((t, on) for pack in self.waiting.get() for t, on in zip(*pack, strict=True)) if self.waiting.exists() else []
         due = [r for r in rows if 1000 * r[0] <= now]
-        last = self.last.get()[0] if self.last.exists() else None
+        before = self.last.get()
+        last = before = before[0] if before is not None else None
         fired = []
         for t, on in due:
             fire = on and (last is None or t - last >= self.seconds)
             last = t if fire else last
             fired.append(fire)
         rest = rows[len(due) :]
-        if rest:
-            self.waiting.put(rest)
-        elif rows:
+        if due and rest:
+            self.waiting.put([tuple(list(c) for c in zip(*rest, strict=True))])
+        elif due:
             self.waiting.clear()
         over = last is None or 1000 * (last + self.seconds) <= now
-        if last is not None and not over:
+        if not over and last != before:
             self.last.update((last,))
-        elif self.last.exists():
+        elif over and before is not None:
             self.last.clear()
         if rest:
-            self.wake(1000 * rest[0][0])
+            self.handle.registerTimer(1000 * rest[0][0])
         elif not over:
-            self.wake(1000 * (last + self.seconds))
-        if due:
-            yield pd.DataFrame({"entity": key[0], "ts": [t for t, _ in due], "fired": fired})
+            self.handle.registerTimer(1000 * (last + self.seconds))
+        return (Row(entity=key[0], ts=t, fired=fire) for (t, _), fire in zip(due, fired, strict=True))
 
     def close(self) -> None:
         pass
@@ -221,7 +218,7 @@ def cooldown_stream(stream: DataFrame, entity: str, at: str, trigger: str, secon
     Start it with ``spark.sql.streaming.stateStore.providerClass`` set to ``ROCKSDB``."""
     keyed = stream.where(F.col(at).isNotNull() & F.col(entity).isNotNull()).withWatermark(at, delay)
     keyed = keyed.select(F.col(entity).cast("string").alias("entity"), F.col(at).alias("_at"), F.unix_timestamp(at).alias("ts"), F.coalesce(F.col(trigger), F.lit(False)).alias("on"))
-    return keyed.groupBy("entity").transformWithStateInPandas(Cooldown(seconds), COOLED, "append", "EventTime")
+    return keyed.groupBy("entity").transformWithState(Cooldown(seconds), COOLED, "append", "EventTime")
 
 
 def cooldown_batch(df: DataFrame, entity: str, ts: str, trigger: str, seconds: int = 600) -> DataFrame:
