@@ -7,9 +7,10 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import groupby
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -24,8 +25,11 @@ LITERALS, LENGTHS, DISTANCES = 256, 24, 40
 HASH = 0x1E35A7BD
 #: Offsets of the 120 short distance codes: the places before a pixel up to 7 rows up, nearest first.
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0))
+NEAR_X, NEAR_Y = np.array(NEAR).T
 #: Pixels coded or decoded at once by the array paths; a multiple of 8, so that runs end on whole bytes.
 RUN = 1 << 18
+#: Pixels of images that are coded together, and of those that are decoded together.
+WRITTEN, READ = 1 << 18, 1 << 19
 #: Bytes that the decoder looks up at once.
 SPAN = 1 << 12
 #: The 15 bits of each number in the other order.
@@ -76,7 +80,7 @@ class Code:
     def __init__(self, lengths: dict[int, int]):
         self.lengths = {s: n for s, n in lengths.items() if n}
         self.single = next(iter(self.lengths)) if len(self.lengths) == 1 else None
-        symbols, sizes = np.array([*self.lengths]), np.array([*self.lengths.values()])
+        symbols, sizes = np.array([*self.lengths], int), np.array([*self.lengths.values()], int)
         order = np.lexsort((symbols, sizes))
         self.symbols, self.sizes = symbols[order], sizes[order]
         self.most = 0 if self.single is not None else int(max(sizes, default=0))
@@ -197,8 +201,25 @@ def prefix_value(bits: Bits, code: int) -> int:
     return ((2 + (code & 1)) << extra) + bits.read(extra) + 1
 
 
+class Coded(NamedTuple):
+    """An entropy-coded image whose codes are read: for an image of several groups of codes, blocks of 2^block pixels a side have
+    their group."""
+
+    bits: Bits
+    width: int
+    total: int
+    cache_bits: int
+    codes: list[list[Code]]
+    block: int
+    group: list[int] | None
+
+
 def read_image(bits: Bits, width: int, height: int, main: bool = False) -> np.ndarray:
     """An entropy-coded image as a flat array of ARGB numbers."""
+    return read_pixels(read_codes(bits, width, height, main))
+
+
+def read_codes(bits: Bits, width: int, height: int, main: bool) -> Coded:
     cache_bits = bits.read(4) if bits.read(1) else 0
     if cache_bits > 11:
         raise ValueError("the colour cache is too large")
@@ -209,12 +230,22 @@ def read_image(bits: Bits, width: int, height: int, main: bool = False) -> np.nd
         group = (read_image(bits, across, -(-height >> block)) >> np.uint32(8) & np.uint32(0xFFFF)).tolist()
     sizes = (LITERALS + LENGTHS + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCES)
     codes = [[read_code(bits, n) for n in sizes] for _ in range(max(group) + 1 if group else 1)]
-    total = width * height
-    g, r, b, a, d = codes[0]
-    if group is None and not cache_bits and all(c.fixed is not None for c in (g, r, b, a)) and max(g.lengths) < LITERALS:
-        return read_fixed(bits, (g, r, b, a), total)
+    return Coded(bits, width, width * height, cache_bits, codes, block, group)
+
+
+def is_fixed(image: Coded) -> bool:
+    """Whether the places of all bits are known: one group, no cache or references, codes of one length each."""
+    green, *others = image.codes[0][:4]
+    return image.group is None and not image.cache_bits and all(c.fixed is not None for c in (green, *others)) and max(green.lengths) < LITERALS
+
+
+def read_pixels(image: Coded) -> np.ndarray:
+    bits, width, total, cache_bits, codes, block, group = image
+    if is_fixed(image):
+        return read_fixed(bits, tuple(codes[0][:4]), total)
     if group is None:
         return read_tokens(bits, codes[0], width, total, cache_bits)
+    across = -(-width >> block)
     out = [0] * total
     cache = [0] * (1 << cache_bits) if cache_bits else []
     shift, i, fed = 32 - cache_bits, 0, 0
@@ -318,27 +349,150 @@ def read_tokens(bits: Bits, codes: list[Code], width: int, total: int, cache_bit
     values = np.concatenate(read)
     if not copies and not cache_bits:
         return values.astype(np.uint32)
-    # where each pixel comes from: references from pixels before, places of the cache from the last pixel of their hash
     source, kept = np.arange(total), np.ones(total, bool)
     if copies:
         _, lengths, fars = (np.array(c) for c in zip(*copies, strict=True))
         for i, n, _ in copies:
             kept[i : i + n] = False
         source[~kept] -= np.repeat(fars, lengths)
-        source = followed(source)
-    out, hit = np.zeros(total, int), np.zeros(total, bool)
-    out[kept], hit[kept] = values, values >> 32 > 0
+    out = np.zeros(total, int)
+    out[kept] = values
+    return settled(out, source, 32 - cache_bits)
+
+
+def settled(out: np.ndarray, source: np.ndarray, shift: np.ndarray | int, of: np.ndarray | int = 0) -> np.ndarray:
+    """Pixels, from those that were read (places of the cache: their symbol above 32 bits) and the place before that each
+    reference leads to. A place of the cache has the last pixel of its hash in its image (``of``)."""
+    source = followed(source)
+    hit = out >> 32 > 0
     if hit.any():
-        key = (out.astype(np.uint32) * np.uint32(HASH)) >> np.uint32(32 - cache_bits)
+        key = (out.astype(np.uint32) * np.uint32(HASH)) >> np.asarray(shift, np.uint32)
         key[hit] = (out[hit] >> 32) - (LITERALS + LENGTHS)
         out[hit] = 0
-        before = earlier(key[source])
+        before = earlier(key[source] | np.asarray(of, np.uint64) << np.uint64(11))
         hit &= before >= 0
         source[hit] = before[hit]
         source = followed(source)
     return out[source].astype(np.uint32)
 
 
+#: So few images are not read by turns.
+FEW = 64
+
+
+def goes_by_turns(image: Coded) -> bool:
+    """Whether ``read_together`` can read it: one group of codes, at most 57 bits a pixel, and at least one."""
+    codes = image.codes[0]
+    return image.group is None and not is_fixed(image) and codes[0].single is None and sum(c.most for c in codes[:4]) <= 57
+
+
+def extra_bits(code: np.ndarray) -> np.ndarray:
+    return np.maximum(code - 2 >> 1, 0)
+
+
+def table_of_turns(code: Code, channel: int) -> np.ndarray:
+    """By the next bits: the symbol above 8 bits; 1 for a reference or 2 for a place in the cache; the bits of the symbol and of
+    the number after it."""
+    symbol, size = code.entries() >> 6, code.entries() & 63
+    kind = np.zeros(len(symbol), int)
+    if channel == 0:
+        kind = 1 * (symbol >= LITERALS) + (symbol >= LITERALS + LENGTHS)
+        size = size + np.where(kind == 1, extra_bits(symbol - LITERALS), 0)
+    elif channel == 4:
+        size = size + extra_bits(symbol)
+    return symbol << 8 | kind << 6 | size
+
+
+def read_together(images: list[Coded]) -> list[np.ndarray | None]:
+    """The pixels of images (None: not readable), by turns: each turn looks up the next pixel, reference or place in the cache
+    of every image that is not at its end."""
+    n = len(images)
+    lengths = np.array([len(x.bits.data) + 16 for x in images])
+    begins = 8 * (np.cumsum(lengths) - lengths)
+    # past the last one is room for the turns between two looks at what is at its end
+    data = b"".join([x.bits.data + bytes(16) for x in images]) + bytes(512)
+    windows = np.ndarray((len(data) - 7,), "<i8", data, 0, (1,))
+    # the first table is of no bits
+    tables, known, size, begin, mask = [np.zeros(1, int)], {}, 1, np.zeros((6, n), int), np.zeros((6, n), int)
+    for i, x in enumerate(images):
+        for channel, c in enumerate(x.codes[0]):
+            key = id(c), channel if channel in (0, 4) else 1
+            if key not in known:
+                known[key] = size
+                tables.append(table_of_turns(c, channel))
+                size += len(tables[-1])
+            begin[channel, i], mask[channel, i] = known[key], (1 << c.most) - 1
+    table = np.concatenate(tables)
+    # what follows a green sample, a reference and a place in the cache: red, blue and alpha, a distance, nothing
+    rows = np.array([[1, 4, 5], [2, 5, 5], [3, 5, 5]])
+    p, ends = begins + [x.bits.at for x in images], begins + [x.bits.end for x in images]
+    live, read, turn = np.arange(n), [], 0
+    while len(live):
+        if turn % 8 == 0:
+            live = live[p[live] < ends[live]]
+            here, m, number = p[live], len(live), np.arange(len(live))
+            at, at_mask = begin[0, live], mask[0, live]
+            then, then_mask = (x[:, live][rows].reshape(3, -1) for x in (begin, mask))
+        v = windows[here >> 3] >> (here & 7)
+        e = table.take(at + (v & at_mask))
+        step = e & 63
+        v >>= step
+        found = [live, here, e]
+        kind = (e >> 6 & 3) * m + number
+        for k in range(3):
+            e = table.take(then[k].take(kind) + (v & then_mask[k].take(kind)))
+            found.append(e)
+            bits = e & 63
+            v >>= bits
+            step += bits
+        read.append(found)
+        here = here + step
+        turn += 1
+        if turn % 8 == 0:
+            p[live] = here
+    image, *found = (np.concatenate(x) for x in zip(*read, strict=True))
+    order = np.argsort(image.astype(np.min_scalar_type(n)), kind="stable")
+    image, at, first, red, blue, alpha = (x[order] for x in (image, *found))
+
+    def number_at(bit: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """``prefix_value`` for many, whose extra bits end before ``bit``."""
+        extra = extra_bits(code)
+        q = bit - extra
+        return np.where(code < 4, code, (2 + (code & 1) << extra) + (windows[q >> 3] >> (q & 7) & (1 << extra) - 1)) + 1
+
+    total, width = np.array([x.total for x in images]), np.array([x.width for x in images])
+    symbol, took = first >> 8, np.ones(len(first), int)
+    back = np.flatnonzero(first >> 6 & 3 == 1)
+    after = at[back] + (first[back] & 63)
+    took[back] = run = number_at(after, symbol[back] - LITERALS)
+    counts = np.bincount(image, minlength=n)
+    i = np.cumsum(took) - took
+    i -= np.repeat(i[(np.cumsum(counts) - counts)[counts > 0]], counts[counts > 0])
+    there = i < total[image]
+    bad = np.bincount(image[there], took[there], n) != total
+    beyond = at + (first & 63) + (red & 63) + (blue & 63) + (alpha & 63) > ends[image]
+    bad[image[there & beyond]] = True
+    # a reference is followed by its distance
+    code = number_at(after + (red[back] & 63), red[back] >> 8)
+    near = np.minimum(code, len(NEAR)) - 1
+    far = np.where(code > len(NEAR), code - len(NEAR), np.maximum(NEAR_X[near] + NEAR_Y[near] * width[image[back]], 1))
+    bad[image[back[there[back] & (far > i[back])]]] = True
+
+    base = np.cumsum(total) - total
+    out, of = np.zeros(int(total.sum()), int), np.repeat(np.arange(n), total)
+    source = np.arange(len(out))
+    there &= ~bad[image]
+    one = np.flatnonzero(there & (first >> 6 & 3 != 1))
+    value = alpha[one] >> 8 << 24 | red[one] >> 8 << 16 | symbol[one] << 8 | blue[one] >> 8
+    out[base[image[one]] + i[one]] = np.where(symbol[one] < LITERALS, value, symbol[one] << 32)
+    good = there[back]
+    back, run = back[good], run[good]
+    place = np.repeat(base[image[back]] + i[back] - np.cumsum(run) + run, run) + np.arange(int(run.sum()))
+    source[place] -= np.repeat(far[good], run)
+    pixels = settled(out, source, np.repeat(32 - np.maximum([x.cache_bits for x in images], 1), total), of)
+    return [None if wrong else pixels[b : b + k] for wrong, b, k in zip(bad.tolist(), base.tolist(), total.tolist(), strict=True)]
+
+
 def followed(source: np.ndarray) -> np.ndarray:
     """The end of each chain of places, all of which lead back."""
     while True:
@@ -496,6 +650,47 @@ def from_palette(rgba: np.ndarray, table: np.ndarray, bundle: int, width: int) -
 
 def decode(data: bytes) -> np.ndarray:
     """The pixels of a lossless WebP file. Raises ValueError on anything that is not one."""
+    image = opened(data)
+    return undone(image, read_pixels(image.coded))
+
+
+def decode_all(files: Iterable[bytes]) -> Iterator[np.ndarray | None]:
+    """``decode`` for each file, None for what is no lossless WebP image. Small images are read together, but for the
+    largest of them, which would have turns of their own at the end."""
+    for group in dealt(map(opened_or_none, files), weight_of, READ):
+        some = [k for k, x in enumerate(group) if x is not None and goes_by_turns(x.coded)]
+        some = sorted(some, key=lambda k: group[k].coded.total)[: max(len(some) - FEW, 0)]
+        read = dict(zip(some, read_together([group[k].coded for k in some]), strict=True)) if some else {}
+        for k, x in enumerate(group):
+            try:
+                pixels = read.get(k)
+                yield None if x is None else undone(x, read_pixels(x.coded) if pixels is None else pixels)
+            except (ValueError, IndexError):
+                yield None
+
+
+def weight_of(image: Opened | None) -> int:
+    """Pixels, or what tables of large codes take as much room as."""
+    return max(image.coded.total, sum(1 << c.most for c in image.coded.codes[0] if c.most > 12) // 8) if image else 0
+
+
+class Opened(NamedTuple):
+    """A file up to the main image: its sides, the main image with its codes, and transforms."""
+
+    width: int
+    height: int
+    coded: Coded
+    undo: list
+
+
+def opened_or_none(data: bytes | None) -> Opened | None:
+    try:
+        return None if data is None else opened(data)
+    except (ValueError, IndexError):
+        return None
+
+
+def opened(data: bytes) -> Opened:
     if data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L" or data[20:21] != b"\x2f":
         raise ValueError("not a lossless WebP image")
     bits = Bits(data[21 : 20 + int.from_bytes(data[16:20], "little")])
@@ -518,8 +713,13 @@ def decode(data: bytes) -> np.ndarray:
             bundle = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
             undo.append((kind, width, bundle, table))
             width = -(-width >> bundle)
-    rgba = channels(read_image(bits, width, height, main=True)).reshape(height, width, 4)
-    for kind, wide, block, extra in reversed(undo):
+    return Opened(full, height, read_codes(bits, width, height, True), undo)
+
+
+def undone(image: Opened, argb: np.ndarray) -> np.ndarray:
+    """The image from the pixels of its main image."""
+    rgba = channels(argb).reshape(image.height, image.coded.width, 4)
+    for kind, wide, block, extra in reversed(image.undo):
         if kind == PREDICTOR:
             rgba = predictions(rgba, extra[..., 1], block, True)
         elif kind == CROSS:
@@ -528,7 +728,7 @@ def decode(data: bytes) -> np.ndarray:
             rgba = with_green(rgba)
         else:
             rgba = from_palette(rgba, extra, block, wide)
-    if rgba.shape != (height, full, 4):
+    if rgba.shape != (image.height, image.width, 4):
         raise ValueError("sizes do not agree")
     return rgba
 
@@ -624,24 +824,41 @@ def prefix_of(value: int) -> tuple[int, int, int]:
     return 2 * top + second, v & ((1 << (top - 1)) - 1), top - 1
 
 
+def prefixes_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``prefix_of`` for many numbers."""
+    v = values - 1
+    top = np.maximum(np.frexp(v)[1].astype(int) - 1, 1)
+    extra = top - 1
+    return np.where(values <= 4, v, 2 * top + (v >> extra & 1)), np.where(values <= 4, 0, v & (1 << extra) - 1), np.where(values <= 4, 0, extra)
+
+
 def earlier(keys: np.ndarray) -> np.ndarray:
-    """For each place the last one before it with the same key, or -1."""
-    order = np.argsort(keys, kind="stable")
-    same = keys[order[1:]] == keys[order[:-1]]
-    out = np.full(len(keys), -1)
+    """For each place the last one before it with the same key, of at most 35 bits, or -1."""
+    ordered = np.sort(keys.astype(np.uint64) << PLACE | np.arange(len(keys), dtype=np.uint64))
+    order, keys = (ordered & LOW).astype(int), ordered >> PLACE
+    same = keys[1:] == keys[:-1]
+    out = np.full(len(order), -1)
     out[order[1:][same]] = order[:-1][same]
     return out
 
 
-#: n * log2(n) of small counts.
-N_LOG_N = np.arange(1 << 14) * np.log2(np.maximum(np.arange(1 << 14), 1))
+#: Bits of a place in an image, whose sides are at most 2^14, as numbers that are sorted hold it.
+PLACE, LOW = np.uint64(28), np.uint64((1 << 28) - 1)
+
+
+def n_log_n(n: np.ndarray) -> np.ndarray:
+    """n * log2(n) in whole 256ths, so that sums are the same in every order."""
+    return np.rint(n * np.log2(np.maximum(n, 1)) * 256) / 256
+
+
+#: Those of small counts.
+N_LOG_N = n_log_n(np.arange(1 << 14))
 
 
 def cost_of(counts: np.ndarray) -> np.ndarray:
     """About the bits of each histogram (last axis): its entropy, and 5 bits for each symbol's length in the stored code."""
-    n = counts.sum(-1)
-    each = N_LOG_N[counts] if counts.max() < len(N_LOG_N) else counts * np.log2(np.maximum(counts, 1))
-    return n * np.log2(np.maximum(n, 1)) - each.sum(-1) + 5 * (counts > 0).sum(-1)
+    each = N_LOG_N[counts] if counts.max() < len(N_LOG_N) else n_log_n(counts)
+    return n_log_n(counts.sum(-1)) - each.sum(-1) + 5 * np.count_nonzero(counts, axis=-1)
 
 
 def planes_of(argb: np.ndarray) -> np.ndarray:
@@ -649,9 +866,12 @@ def planes_of(argb: np.ndarray) -> np.ndarray:
     return np.stack([argb >> np.uint32(k) & np.uint32(255) for k in (8, 16, 0, 24)])
 
 
-def histograms(planes: np.ndarray) -> np.ndarray:
-    k = len(planes)
-    return np.bincount((planes + (np.arange(k) * 256)[:, None]).reshape(-1), minlength=256 * k).reshape(k, 256)
+def histograms(planes: np.ndarray, of: np.ndarray | int = 0, n: int = 1) -> np.ndarray:
+    """[image, plane, 256]; ``of`` has the image of each place."""
+    out, row = np.empty((n, len(planes), 256), int), of * 256
+    for k, plane in enumerate(planes):
+        out[:, k] = np.bincount(row + plane.astype(int), minlength=256 * n).reshape(n, 256)
+    return out
 
 
 @lru_cache(maxsize=64)
@@ -663,33 +883,29 @@ def near_codes(width: int) -> dict[int, int]:
     return out
 
 
-def references_in(argb: np.ndarray, bits_a_pixel: float) -> list[tuple[int, int, int]]:
-    """Places, lengths and distances of back-references: the last place of the same two pixels, where a copy of what
-    follows there takes fewer bits than its pixels."""
-    if len(argb) < 3:
-        return []
-    before = earlier(argb[:-1].astype(np.uint64) << np.uint64(32) | argb[1:])
+def references_in(argb: np.ndarray, of: np.ndarray, ends: np.ndarray, bits_a_pixel: np.ndarray) -> np.ndarray:
+    """Places, lengths and distances of back-references in images that stand one after the other: the last place of the
+    same two pixels, where a copy of what follows there takes fewer bits than its pixels. Two pairs of pixels in one image that
+    share 36 bits of a hash hide each other."""
+    pair = argb[:-1].astype(np.uint64) << np.uint64(32) | argb[1:]
+    order = (np.sort(pair * np.uint64(0x9E3779B97F4A7C15) & ~LOW | np.arange(len(pair), dtype=np.uint64)) & LOW).astype(int)
+    first, second = order[:-1], order[1:]
+    same = (pair[first] == pair[second]) & (of[first] == of[second]) & (of[second] == of[second + 1])
+    before = np.full(len(argb), -1)
+    before[second[same]] = first[same]
     places = np.flatnonzero(before >= 0)
-    if not len(places):
-        return []
-    px, total, end, out = argb.tolist(), len(argb), 0, []
-    for i, found in zip(places.tolist(), before[places].tolist(), strict=True):
+    image = of[places]
+    px, end, out = argb.tolist(), 0, []
+    for i, found, stop, bits in zip(places.tolist(), before[places].tolist(), ends[image].tolist(), bits_a_pixel[image].tolist(), strict=True):
         if i < end:
             continue
-        step, most = 2, min(4096, total - i)
+        step, most = 2, min(4096, stop - i)
         while step < most and px[i + step] == px[found + step]:
             step += 1
-        if step * bits_a_pixel > 10 + (i - found).bit_length():
+        if step * bits > 10 + (i - found).bit_length():
             out.append((i, step, i - found))
             end = i + step
-    return out
-
-
-def cached_in(argb: np.ndarray, cache_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The place of each pixel in a colour cache, and whether it stands there when its turn comes."""
-    key = (argb * np.uint32(HASH)) >> np.uint32(32 - cache_bits)
-    before = earlier(key)
-    return key, (before >= 0) & (argb[before] == argb)
+    return np.array(out, int).reshape(-1, 3).T
 
 
 #: Bytes by how usual they are in European text, an order that only decides which codes are shared.
@@ -719,92 +935,127 @@ def shared_codes(alphabet: int) -> tuple[list[tuple[tuple[int, int], tuple[np.nd
     return [(form, by) for by, form in out], np.array([form[1] for _, form in out]), np.where(sizes > 0, sizes, 1e12).T
 
 
-def put_codes(out: BitWriter, counts: np.ndarray, alphabet: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Writes the codes for these histograms one after the other, a shared one where its own would not save enough; codes and
+def codes_for(counts: np.ndarray, alphabet: int) -> list[tuple[tuple[int, int], tuple[np.ndarray, np.ndarray]]]:
+    """The code for each of these histograms, a shared one where its own would not save enough: its stored form, and codes and
     lengths by symbol."""
     known, heads, each = shared_codes(alphabet)
     bits = counts @ each + heads
     best = bits.argmin(axis=1)
-    own = (bits.min(axis=1) >= cost_of(counts) + OWN) | ((counts > 0).sum(axis=1) <= 2)
+    own = (bits.min(axis=1) >= cost_of(counts) + OWN) | (np.count_nonzero(counts, axis=1) <= 2)
     codes = []
     for c, k, alone in zip(counts, best.tolist(), own.tolist(), strict=True):
         if alone:
-            used = np.flatnonzero(c)
-            codes.append(write_code(out, lengths_of(dict(zip(used.tolist(), c[used].tolist(), strict=True))), alphabet).written(alphabet))
+            used, form = np.flatnonzero(c), BitWriter()
+            code = write_code(form, lengths_of(dict(zip(used.tolist(), c[used].tolist(), strict=True))), alphabet)
+            codes.append(((form.value, form.size), code.written(alphabet)))
         else:
-            out.write(*known[k][0])
-            codes.append(known[k][1])
+            codes.append(known[k])
     return codes
 
 
-def write_image(out: BitWriter, argb: np.ndarray, width: int, main: bool, cache_bits: int | None = 0, references: bool = False) -> None:
+def end_to_end(tables: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes (above 4 bits) with lengths of all tables, each different one once, and where each image's begins."""
+    begins, parts, at = {}, [], 0
+    for to, n in tables:
+        if id(to) not in begins:
+            begins[id(to)] = at
+            parts.append(to << np.uint64(4) | n)
+            at += len(to)
+    return np.concatenate(parts), np.array([begins[id(to)] for to, _ in tables])
+
+
+def write_images(outs: list[BitWriter], images: list[np.ndarray], widths: list[int], main: bool, cache_bits: int | None = 0, references: bool = False) -> None:
     """Prefix codes, and on demand back-references and a colour cache; with ``cache_bits`` of None the cache is as large
-    as pays, if any."""
+    as pays, if any. Images are as if each were written alone: they only share the calls."""
+    flat = [x.reshape(-1, 4) for x in images]
+    n, total = len(flat), np.array([len(x) for x in flat])
+    of, argb = np.repeat(np.arange(n), total), packed(np.concatenate(flat))
     planes = planes_of(argb)
-    bits_a_pixel = float(cost_of(histograms(planes)).sum()) / len(argb) if references or cache_bits is None else 0.0
-    copies = references_in(argb, bits_a_pixel) if references else []
-    kept = np.ones(len(argb), bool)
-    for i, n, _ in copies:
-        kept[i : i + n] = False
-    places = np.flatnonzero(kept)
-    literal = planes[:, places]
-    short = near_codes(width)
-    coded = [(prefix_of(n), prefix_of(short.get(far, far + len(NEAR)))) for _, n, far in copies]
-    lengths = np.array([n[0] for n, _ in coded], int) + LITERALS
-
-    green, whole = literal[0].astype(np.int64), np.ones(len(places), bool)
+    bits_a_pixel = cost_of(histograms(planes, of, n)).sum(-1) / total if references or cache_bits is None else np.zeros(n)
+    at, runs, fars = references_in(argb, of, np.cumsum(total), bits_a_pixel) if references else np.zeros((3, 0), int)
+    inside = np.zeros(len(argb) + 1, int)
+    inside[at] += 1
+    inside[at + runs] -= 1
+    kept = np.cumsum(inside[:-1]) == 0
+    short = [near_codes(w) for w in widths]
+    run_code, run_extra, run_bits = prefixes_of(runs)
+    far_code, far_extra, far_bits = prefixes_of(np.array([short[i].get(far, far + len(NEAR)) for i, far in zip(of[at].tolist(), fars.tolist(), strict=True)], int))
+
+    size = np.full(n, cache_bits or 0)
     if cache_bits is None:
-        size = min(max(len(places).bit_length() - 1, 1), 10)
-        key, hit = cached_in(argb, size)
-        # a pixel in the cache costs its place and about three bits more, and the code has to tell places
-        saved = np.count_nonzero(hit[places]) * (bits_a_pixel - size - 3)
-        cache_bits = size if saved > 32 else 0
-    elif cache_bits:
-        key, hit = cached_in(argb, cache_bits)
-    if cache_bits:
-        whole = ~hit[places]
-        green = np.where(whole, green, key[places] + np.uint32(LITERALS + LENGTHS))
-    out.write(1 | cache_bits << 1, 5) if cache_bits else out.write(0, 1)
-    if main:
-        out.write(0, 1)
-    first = LITERALS + LENGTHS + (1 << cache_bits if cache_bits else 0)
-    codes = put_codes(out, np.bincount(np.concatenate([green, lengths]), minlength=first)[None], first)
-    codes += put_codes(out, histograms(literal[1:, whole]), 256)
-    codes += put_codes(out, np.bincount(np.array([d[0] for _, d in coded], int), minlength=DISTANCES)[None], DISTANCES)
+        size = np.clip(np.frexp(np.bincount(of[kept], minlength=n))[1].astype(int) - 1, 1, 10)
+    green, whole = planes[0].astype(int), kept
+    if size.any():
+        key = (argb * np.uint32(HASH)) >> (32 - size).astype(np.uint32)[of]
+        before = earlier(of.astype(np.uint64) << np.uint64(11) | key)
+        hit = kept & (before >= 0) & (argb[before] == argb)
+        if cache_bits is None:
+            # a pixel in the cache costs its place and about three bits more, and the code has to tell places
+            size[np.bincount(of[hit], minlength=n) * (bits_a_pixel - size - 3) <= 32] = 0
+            hit &= size[of] > 0
+        green, whole = np.where(hit, key.astype(int) + (LITERALS + LENGTHS), green), kept & ~hit
+
+    places = np.flatnonzero(kept)
+    image, literal = of[places], np.flatnonzero(whole)
+    first = LITERALS + LENGTHS + np.where(size > 0, 1 << size, 0)
+    most = int(first.max())
+    counts = np.bincount(np.concatenate([image * most + green[places], of[at] * most + run_code + LITERALS]), minlength=n * most).reshape(n, most)
+    codes = [[None] * n]
+    for alphabet in np.unique(first).tolist():
+        some = np.flatnonzero(first == alphabet)
+        for i, code in zip(some.tolist(), codes_for(counts[some, :alphabet], alphabet), strict=True):
+            codes[0][i] = code
+    others = histograms(planes[1:, literal], of[literal], n)
+    codes += [codes_for(others[:, k], 256) for k in range(3)]
+    codes.append(codes_for(np.bincount(of[at] * DISTANCES + far_code, minlength=n * DISTANCES).reshape(n, DISTANCES), DISTANCES))
     # each pixel or copy is one number of at most 60 bits
-    (to, n), *others = codes
-    value, size = to[green], n[green]
-    for (to, n), plane in zip(others[:3], literal[1:], strict=True):
-        value |= np.where(whole, to[plane] << size, 0)
-        size = size + np.where(whole, n[plane], 0)
-    if copies:
-        more = BitWriter()
-        values, ends = [], []
-        for length, far in coded:
-            more.value, more.size = 0, 0
-            for (code, extra, bits), (to, n) in ((length, codes[0]), (far, codes[4])):
-                code += LITERALS if n is codes[0][1] else 0
-                more.write(int(to[code]) | extra << int(n[code]), int(n[code]) + bits)
-            values.append(more.value)
-            ends.append(more.size)
-        order = np.argsort(np.concatenate([places, [i for i, _, _ in copies]]))
-        value = np.concatenate([value, np.array(values, np.uint64)])[order]
-        size = np.concatenate([size, np.array(ends, np.uint64)])[order]
-    out.write(int.from_bytes(joined(value, size), "little"), int(size.sum()))
-
-
-def joined(value: np.ndarray, size: np.ndarray) -> bytes:
-    """Numbers of at most 63 bits one after the other, first bits lowest."""
+    (table, begin), *rest = [end_to_end([tables for _, tables in each]) for each in codes]
+    value, length = np.zeros(len(argb), np.uint64), np.zeros(len(argb), np.uint64)
+
+    def add(at: np.ndarray, bits: np.ndarray, n: np.ndarray) -> None:
+        value[at] |= bits.astype(np.uint64) << length[at]
+        length[at] += n.astype(np.uint64)
+
+    def add_code(at: np.ndarray, entry: np.ndarray) -> None:
+        add(at, entry >> np.uint64(4), entry & np.uint64(15))
+
+    add_code(places, table[begin[image] + green[places]])
+    for (others_table, others_begin), plane in zip(rest[:3], planes[1:], strict=True):
+        add_code(literal, others_table[others_begin[of[literal]] + plane[literal]])
+    if len(at):
+        add_code(at, table[begin[of[at]] + run_code + LITERALS])
+        add(at, run_extra, run_bits)
+        add_code(at, rest[3][0][rest[3][1][of[at]] + far_code])
+        add(at, far_extra, far_bits)
+    kept[at] = True
+    bodies = joined(value[kept], length[kept], np.bincount(of[kept], minlength=n))
+    for i, (out, k, body) in enumerate(zip(outs, size.tolist(), bodies, strict=True)):
+        out.write(1 | k << 1, 5) if k else out.write(0, 1)
+        if main:
+            out.write(0, 1)
+        for each in codes:
+            out.write(*each[i][0])
+        out.write(*body)
+
+
+def joined(value: np.ndarray, size: np.ndarray, counts: np.ndarray) -> list[tuple[int, int]]:
+    """The numbers of each image, of at most 63 bits, one after the other, first bits lowest: all bits and how many."""
+    last = np.cumsum(counts)
     ends = np.cumsum(size)
-    at = ends - size
+    bits = np.diff(ends[last - 1], prepend=np.uint64(0))
+    # an image begins with a word of its own
+    room = (bits >> np.uint64(6)) + np.uint64(2)
+    begin = np.cumsum(room) - room
+    at = ends - size + np.repeat((begin << np.uint64(6)) - (np.cumsum(bits) - bits), counts)
     word, low = at >> np.uint64(6), at & np.uint64(63)
-    words = np.zeros(int(ends[-1] >> np.uint64(6)) + 2, np.uint64)
+    words = np.zeros(int(room.sum()), np.uint64)
     begins = np.flatnonzero(np.diff(word, prepend=np.uint64(1 << 63)))
     words[word[begins]] = np.bitwise_or.reduceat(value << low, begins)
     # what of a word's last number does not fit stands in the next one
     over = np.flatnonzero(low + size > 64)
     words[word[over] + np.uint64(1)] |= value[over] >> (np.uint64(64) - low[over])
-    return words.astype("<u8").tobytes()
+    data = words.astype("<u8").tobytes()
+    return [(int.from_bytes(data[8 * b : 8 * b + (n + 7) // 8], "little"), n) for b, n in zip(begin.tolist(), bits.tolist(), strict=True)]
 
 
 @lru_cache(maxsize=256)
@@ -892,31 +1143,51 @@ def elements_for(rgba: np.ndarray, bits: int) -> np.ndarray:
 BLOCK = 4
 
 
-def transforms_for(rgba: np.ndarray) -> tuple:
-    """The transforms of an image, by the costs of its histograms: as it is, less its green, as differences of
-    neighbours (predictor), both, or as places in a palette. Elements of cross-colour join differences where that costs less."""
-    argb = packed(rgba).reshape(-1)
+KINDS = ("", "subtract", "predictor", "both", "palette")
+
+
+def kinds_for(images: list[np.ndarray]) -> list[str]:
+    """What costs least for each image, by its histograms: to stay as it is, less its green, as differences of neighbours
+    (predictor), both, or as places in a palette."""
+    flat = [x.reshape(-1, 4) for x in images]
+    n, total = len(flat), np.array([len(x) for x in flat])
+    of, argb = np.repeat(np.arange(n), total), packed(np.concatenate(flat))
     green, red, blue, alpha = planes = planes_of(argb)
-    less = np.stack([red - green, blue - green])
-    whole = np.concatenate([planes, less]) & np.uint32(255)
-    off = np.diff(whole, axis=1, prepend=np.uint32(0)) & np.uint32(255)
-    c = cost_of(histograms(np.concatenate([whole, off])))
+    whole = np.concatenate([planes, np.stack([red - green, blue - green])]) & np.uint32(255)
+    c = cost_of(np.concatenate([histograms(whole, of, n), histograms(steps_in(whole, of), of, n)], axis=1)).T
     asis, minus = c[0] + c[3], c[6] + c[9]
     # a block's mode and its elements are numbers of their own
-    blocks = -(-rgba.shape[0] >> BLOCK) * -(-rgba.shape[1] >> BLOCK)
-    costs = {"": asis + c[1] + c[2], "subtract": asis + c[4] + c[5], "predictor": minus + c[7] + c[8] + 4 * blocks + 60, "both": minus + c[10] + c[11] + 4 * blocks + 60}
-    ordered = np.sort(argb)
-    n = 1 + int(np.count_nonzero(ordered[1:] != ordered[:-1]))
-    if n <= 256:
-        table, index = np.unique(argb, return_inverse=True)
-        steps = np.diff(planes_of(table), axis=1, prepend=np.uint32(0)) & np.uint32(255)
-        # indices of small palettes share pixels, which only helps
-        costs["palette"] = float(cost_of(np.bincount(index))) + cost_of(histograms(steps)).sum() + 40
-    best = min(costs, key=costs.get)
-    if best == "palette":
+    more = 4 * blocks_of(images) + 60
+    # the colours of each image in their order, and how many pixels have each
+    ordered = np.sort(of.astype(np.uint64) << np.uint64(32) | argb)
+    at = np.flatnonzero(np.diff(ordered, prepend=~ordered[:1]))
+    colour, image, counts = ordered[at].astype(np.uint32), (ordered[at] >> np.uint64(32)).astype(int), np.diff(at, append=len(ordered))
+    colours = np.bincount(image, minlength=n)
+    # indices of small palettes share pixels, which only helps
+    indices = n_log_n(total) - np.bincount(image, n_log_n(counts), n) + 5 * colours
+    palette = indices + cost_of(histograms(steps_in(planes_of(colour), image), image, n)).sum(-1) + 40
+    costs = [asis + c[1] + c[2], asis + c[4] + c[5], minus + c[7] + c[8] + more, minus + c[10] + c[11] + more, np.where(colours <= 256, palette, np.inf)]
+    return [KINDS[k] for k in np.argmin(costs, axis=0).tolist()]
+
+
+def steps_in(planes: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Differences from the place before, from 0 at each image's first."""
+    out = np.diff(planes, axis=1, prepend=np.uint32(0))
+    begins = np.flatnonzero(np.diff(of, prepend=-1))
+    out[:, begins] = planes[:, begins]
+    return out & np.uint32(255)
+
+
+def blocks_of(images: list[np.ndarray]) -> np.ndarray:
+    return np.array([-(-x.shape[0] >> BLOCK) * -(-x.shape[1] >> BLOCK) for x in images])
+
+
+def transforms_for(rgba: np.ndarray, kind: str) -> tuple:
+    """The transforms of an image of this kind. Elements of cross-colour join differences where that costs less."""
+    if kind == "palette":
         return (("palette",),)
-    out = (("subtract",),) if best in ("subtract", "both") else ()
-    if best in ("predictor", "both"):
+    out = (("subtract",),) if kind in ("subtract", "both") else ()
+    if kind in ("predictor", "both"):
         if out:
             rgba = without_green(rgba)
         modes = modes_for(rgba, BLOCK)
@@ -924,7 +1195,7 @@ def transforms_for(rgba: np.ndarray) -> tuple:
         rgba = predictions(rgba, modes, BLOCK, False)
         elements = elements_for(rgba, BLOCK)
         before, after = (histograms(planes_of(packed(x).reshape(-1))[1:3]) for x in (rgba, cross_colour(rgba, elements, BLOCK, False)))
-        if cost_of(after).sum() + 24 * blocks + 60 < cost_of(before).sum():
+        if cost_of(after).sum() + 24 * int(blocks_of([rgba])[0]) + 60 < cost_of(before).sum():
             out += (("cross", BLOCK, elements),)
     return out
 
@@ -935,6 +1206,15 @@ def encode(rgba: np.ndarray, transforms: tuple = (), cache_bits: int | None = 0,
     ``transforms`` are applied in order: ("subtract",), ("predictor", bits, modes), ("cross", bits, elements),
     ("palette",); a palette must be the last and needs at most 256 colours. ``arrays`` writes the main image by the fast
     path (codes of one length, no references or cache)."""
+    out, rgba = transformed(rgba, transforms)
+    if arrays:
+        return file_of(fixed_body(out, packed(rgba).reshape(-1)))
+    write_images([out], [rgba], [rgba.shape[1]], True, cache_bits, references)
+    return file_of(out.bytes())
+
+
+def transformed(rgba: np.ndarray, transforms: tuple) -> tuple[BitWriter, np.ndarray]:
+    """The stream up to the main image, and the main image."""
     height, width, _ = rgba.shape
     if not (1 <= width <= 16384 and 1 <= height <= 16384):
         raise ValueError("a side is over 16,384 pixels")
@@ -954,7 +1234,7 @@ def encode(rgba: np.ndarray, transforms: tuple = (), cache_bits: int | None = 0,
             out.write(n - 1, 8)
             steps = channels(table)
             steps[1:] -= channels(table)[:-1]
-            write_image(out, packed(steps), n, False)
+            write_images([out], [steps], [n], False)
             bundle = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
             across = -(-width >> bundle)
             grid = np.zeros((height, across << bundle), np.uint8)
@@ -969,15 +1249,13 @@ def encode(rgba: np.ndarray, transforms: tuple = (), cache_bits: int | None = 0,
             out.write(PREDICTOR if kind == "predictor" else CROSS, 2)
             out.write(bits - 2, 3)
             image = extra if kind == "cross" else np.stack([np.zeros_like(extra), extra, np.zeros_like(extra), np.full_like(extra, 255)], axis=-1)
-            write_image(out, packed(image).reshape(-1), image.shape[1], False)
+            write_images([out], [image], [image.shape[1]], False)
             rgba = predictions(rgba, extra, bits, False) if kind == "predictor" else cross_colour(rgba, extra, bits, False)
     out.write(0, 1)
-    argb = packed(rgba).reshape(-1)
-    if arrays:
-        body = fixed_body(out, argb)
-    else:
-        write_image(out, argb, width, True, cache_bits, references)
-        body = out.bytes()
+    return out, rgba
+
+
+def file_of(body: bytes) -> bytes:
     body = b"\x2f" + body
     pad = b"\0" * (len(body) % 2)
     return b"RIFF" + (12 + len(body) + len(pad)).to_bytes(4, "little") + b"WEBPVP8L" + len(body).to_bytes(4, "little") + body + pad
@@ -988,15 +1266,41 @@ def payload_of(text: bytes) -> bytes:
     return text + b"\0" * (-len(text) % 64 or (0 if text else 64))
 
 
-def stored(payload: bytes) -> bytes:
-    """A payload as an image of 16 pixels a row (more where that is over the format's height), each byte a sample.
-
-    Rows that the last one lacks are zero. Transforms, references and cache are those that cost least for the image."""
+def image_of(payload: bytes) -> np.ndarray:
+    """A payload as 16 pixels a row (more where that is over the format's height), each byte a sample; what rows lack is zero."""
     n = len(payload) // 64
     wide = -(-n // 16384)
     rgba = np.zeros((-(-n // wide), 16 * wide, 4), np.uint8)
     rgba.reshape(-1)[: len(payload)] = np.frombuffer(payload, np.uint8)
-    return encode(rgba, transforms_for(rgba), cache_bits=None, references=True)
+    return rgba
+
+
+def stored(payload: bytes) -> bytes:
+    """A payload as an image. Transforms, references and cache are those that cost least for the image."""
+    return next(stored_all([payload]))
+
+
+def stored_all(payloads: Iterable[bytes]) -> Iterator[bytes]:
+    """``stored`` for each payload, of which those of up to WRITTEN pixels share the calls."""
+    for group in dealt(payloads, lambda p: len(p) // 4, WRITTEN):
+        images = [image_of(p) for p in group]
+        heads = [transformed(x, transforms_for(x, kind)) for x, kind in zip(images, kinds_for(images), strict=True)]
+        write_images([out for out, _ in heads], [x for _, x in heads], [x.shape[1] for _, x in heads], True, None, True)
+        yield from (file_of(out.bytes()) for out, _ in heads)
+
+
+def dealt(items: Iterable, weight: Callable[..., int], most: int) -> Iterator[list]:
+    """The items in their order, in groups of up to ``most`` by weight; one that is over it is alone."""
+    group, room = [], most
+    for x in items:
+        w = weight(x)
+        if group and w > room:
+            yield group
+            group, room = [], most
+        group.append(x)
+        room -= w
+    if group:
+        yield group
 
 
 def feature_of(rgba: np.ndarray) -> str:
@@ -1016,7 +1320,7 @@ def feature_of(rgba: np.ndarray) -> str:
 def media_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The image of each text (null: as an empty text)."""
     for texts in batches:
-        yield pd.Series([stored(payload_of((t or "").encode("utf-8", "surrogatepass"))) for t in texts], dtype=object)
+        yield pd.Series([*stored_all(payload_of((t or "").encode("utf-8", "surrogatepass")) for t in texts)], dtype=object)
 
 
 DIGEST = T.StructType()
@@ -1042,13 +1346,7 @@ def digest_of(media: pd.Series, pixels: pd.DataFrame, n_bytes: pd.Series) -> pd.
 def pixels_of(media: pd.Series) -> pd.DataFrame:
     """The pixel array of each image: sides and red, green, blue, alpha samples row by row; null for null or what is no
     lossless WebP image."""
-    rows = []
-    for data in media:
-        try:
-            p = decode(data) if data is not None else None
-        except (ValueError, IndexError):
-            p = None
-        rows.append((p.shape[1], p.shape[0], p.tobytes()) if p is not None else (None, None, None))
+    rows = [(p.shape[1], p.shape[0], p.tobytes()) if p is not None else (None, None, None) for p in decode_all(media)]
     return pd.DataFrame(rows, columns=["width", "height", "pixels"]).astype({"width": "Int32", "height": "Int32"})
 
 
