@@ -29,7 +29,7 @@ NEAR_X, NEAR_Y = np.array(NEAR).T
 #: Pixels coded or decoded at once by the array paths; a multiple of 8, so that runs end on whole bytes.
 RUN = 1 << 18
 #: Pixels of images that are coded together, and of those that are decoded together.
-WRITTEN, READ = 1 << 18, 1 << 19
+WRITTEN, READ = 1 << 17, 1 << 18
 #: Bytes that the decoder looks up at once.
 SPAN = 1 << 12
 #: The 15 bits of each number in the other order.
@@ -400,7 +400,7 @@ def table_of_turns(code: Code, channel: int) -> np.ndarray:
         size = size + np.where(kind == 1, extra_bits(symbol - LITERALS), 0)
     elif channel == 4:
         size = size + extra_bits(symbol)
-    return symbol << 8 | kind << 6 | size
+    return (symbol << 8 | kind << 6 | size).astype(np.int32)
 
 
 def read_together(images: list[Coded]) -> list[np.ndarray | None]:
@@ -413,7 +413,7 @@ def read_together(images: list[Coded]) -> list[np.ndarray | None]:
     data = b"".join([x.bits.data + bytes(16) for x in images]) + bytes(512)
     windows = np.ndarray((len(data) - 7,), "<i8", data, 0, (1,))
     # the first table is of no bits
-    tables, known, size, begin, mask = [np.zeros(1, int)], {}, 1, np.zeros((6, n), int), np.zeros((6, n), int)
+    tables, known, size, begin, mask = [np.zeros(1, np.int32)], {}, 1, np.zeros((6, n), int), np.zeros((6, n), int)
     for i, x in enumerate(images):
         for channel, c in enumerate(x.codes[0]):
             key = id(c), channel if channel in (0, 4) else 1
@@ -451,6 +451,7 @@ def read_together(images: list[Coded]) -> list[np.ndarray | None]:
         if turn % 8 == 0:
             p[live] = here
     image, *found = (np.concatenate(x) for x in zip(*read, strict=True))
+    del read
     order = np.argsort(image.astype(np.min_scalar_type(n)), kind="stable")
     image, at, first, red, blue, alpha = (x[order] for x in (image, *found))
 
@@ -483,8 +484,8 @@ def read_together(images: list[Coded]) -> list[np.ndarray | None]:
     source = np.arange(len(out))
     there &= ~bad[image]
     one = np.flatnonzero(there & (first >> 6 & 3 != 1))
-    value = alpha[one] >> 8 << 24 | red[one] >> 8 << 16 | symbol[one] << 8 | blue[one] >> 8
-    out[base[image[one]] + i[one]] = np.where(symbol[one] < LITERALS, value, symbol[one] << 32)
+    value = alpha[one].astype(int) >> 8 << 24 | red[one] >> 8 << 16 | symbol[one] << 8 | blue[one] >> 8
+    out[base[image[one]] + i[one]] = np.where(symbol[one] < LITERALS, value, symbol[one].astype(int) << 32)
     good = there[back]
     back, run = back[good], run[good]
     place = np.repeat(base[image[back]] + i[back] - np.cumsum(run) + run, run) + np.arange(int(run.sum()))
@@ -654,24 +655,26 @@ def decode(data: bytes) -> np.ndarray:
     return undone(image, read_pixels(image.coded))
 
 
-def decode_all(files: Iterable[bytes]) -> Iterator[np.ndarray | None]:
-    """``decode`` for each file, None for what is no lossless WebP image. Small images are read together, but for the
-    largest of them, which would have turns of their own at the end."""
-    for group in dealt(map(opened_or_none, files), weight_of, READ):
-        some = [k for k, x in enumerate(group) if x is not None and goes_by_turns(x.coded)]
-        some = sorted(some, key=lambda k: group[k].coded.total)[: max(len(some) - FEW, 0)]
-        read = dict(zip(some, read_together([group[k].coded for k in some]), strict=True)) if some else {}
-        for k, x in enumerate(group):
-            try:
-                pixels = read.get(k)
-                yield None if x is None else undone(x, read_pixels(x.coded) if pixels is None else pixels)
-            except (ValueError, IndexError):
-                yield None
-
-
-def weight_of(image: Opened | None) -> int:
+def decode_all(files: Iterable[bytes | None]) -> Iterator[np.ndarray | None]:
+    """``decode`` for each file, None for what is no lossless WebP image. Small images are read together, those of about one
+    size in a group, so that all have turns to its end."""
+    images = [opened_or_none(data) for data in files]
+    turns = [k for k, x in enumerate(images) if x and goes_by_turns(x.coded) and weight_of(x.coded) <= READ // max(FEW, 1)]
+    read = {}
+    for group in dealt(sorted(turns, key=lambda k: images[k].coded.total), lambda k: weight_of(images[k].coded), READ):
+        if len(group) >= FEW:
+            read |= zip(group, read_together([images[k].coded for k in group]), strict=True)
+    for k, x in enumerate(images):
+        pixels = read.pop(k, None)
+        try:
+            yield None if x is None else undone(x, read_pixels(x.coded) if pixels is None else pixels)
+        except (ValueError, IndexError):
+            yield None
+
+
+def weight_of(image: Coded) -> int:
     """Pixels, or what tables of large codes take as much room as."""
-    return max(image.coded.total, sum(1 << c.most for c in image.coded.codes[0] if c.most > 12) // 8) if image else 0
+    return max(image.total, sum(1 << c.most for c in image.codes[0] if c.most > 13) // 8)
 
 
 class Opened(NamedTuple):
